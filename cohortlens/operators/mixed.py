@@ -32,10 +32,11 @@ from cohortlens.operators.cohort import level_table, level_values
 from cohortlens.operators.unit_algebra import (
     SUMS, Design, Search, Step, contribution_shapes, unit_contributions, updated_effects,
 )
-from cohortlens.session import checkpoint_dir
+from cohortlens.session import checkpoint_dir, ship_package
 
 CELLS_PER_TASK = 1_000_000
-UNITS_PER_TASK = 20_000
+UNITS_PER_TASK = 20_000    # in the batched algebra, where a unit costs about levels^3 operations
+UNITS_PER_JOIN = 200_000   # in the hash table that cells are joined with
 EFFECTS_SCHEMA = (
     "model string, unit string, salts int, v array<double>, previous array<double>, off array<double>, slope array<double>"
 )
@@ -168,16 +169,18 @@ def _update_task(
 # Spark passes
 
 
-def _with_sums(df: DataFrame) -> DataFrame:
-    """Add what a cell contributes, given its linear predictor ``eta``."""
-    return (
-        df.withColumn("mu", 1 / (1 + F.exp(-F.col("eta"))))
-        .withColumn("w", F.col("n") * F.col("mu") * (1 - F.col("mu")))
-        .withColumn("r", F.col("k") - F.col("n") * F.col("mu"))
-        .withColumn("t", F.col("w") * (1 - 2 * F.col("mu")))
-        .withColumn("likelihood", F.col("k") * F.col("eta") - F.col("n") * (
-            F.greatest(F.col("eta"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("eta")))
-        ))
+def _with_sums(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What every cell contributes, given its linear predictor ``eta``."""
+    n, k, eta, mu = (F.col(c) for c in ("n", "k", "eta", "mu"))
+    kept = [*keys, "s", "n", "k", "eta"]
+    weighted = df.select(*kept, (1 / (1 + F.exp(-eta))).alias("mu")).select(
+        *kept, "mu", (n * mu * (1 - mu)).alias("w")
+    )
+    return weighted.select(
+        *keys, "s", "w",
+        (k - n * mu).alias("r"),
+        (F.col("w") * (1 - 2 * mu)).alias("t"),
+        (k * eta - n * (F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta))))).alias("likelihood"),
     )
 
 
@@ -189,12 +192,11 @@ def _sum_columns():
 
 
 def unit_sums(packed: DataFrame, effects: DataFrame, keys: Sequence[str], partitions: int) -> DataFrame:
-    """One row per unit: its effects and the sums of its cells per level.
+    """One row per unit: its effects and the sums of its cells per level. Effects come partitioned by model and unit.
 
     With ``keys`` = (model, unit) the cells stay where they are cached. With a salt among the keys each piece of a split
     unit is summed in its own task first, and only these sums are exchanged.
     """
-    effects = effects.repartition(partitions, "model", "unit")
     sides = effects.select("model", "unit", "salts", "off", "slope")
     if "salt" in keys:
         sides = sides.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).repartition(
@@ -202,7 +204,7 @@ def unit_sums(packed: DataFrame, effects: DataFrame, keys: Sequence[str], partit
         )
     joined = packed.join(sides.hint("shuffle_hash"), list(keys))
     with_eta = joined.withColumn("eta", F.get("off", F.col("lev")) + F.get("slope", F.col("lev")) * F.col("s"))
-    summed = _with_sums(with_eta).groupBy("model", "unit", "lev").agg(*_sum_columns())
+    summed = _with_sums(with_eta, ["model", "unit", "lev"]).groupBy("model", "unit", "lev").agg(*_sum_columns())
     per_unit = summed.groupBy("model", "unit").agg(F.collect_list(F.struct("lev", *SUMS)).alias("sums"))
     return per_unit.join(effects.hint("shuffle_hash"), ["model", "unit"])
 
@@ -241,7 +243,8 @@ def fit_fixed(
             rows += [(name, lev, float(fixed[i]), float(fixed[g + i])) for i, lev in enumerate(design.levels)]
         params = spark.createDataFrame(rows, "model string, lev int, a double, c double")
         summed = _with_sums(
-            pooled.join(F.broadcast(params), ["model", "lev"]).withColumn("eta", F.col("a") + F.col("c") * F.col("s"))
+            pooled.join(F.broadcast(params), ["model", "lev"]).withColumn("eta", F.col("a") + F.col("c") * F.col("s")),
+            ["model", "lev"],
         ).groupBy("model", "lev").agg(*_sum_columns()).collect()
         for name in sorted(active):
             design, fit = designs[name], found[name]
@@ -292,6 +295,7 @@ def fit_mixed_logit(
     """
     spark = cells.sparkSession
     checkpoint_dir(spark)
+    ship_package(spark)
     if "model" not in cells.columns:
         cells = cells.withColumn("model", F.lit("model"))
     # from here on the source is not read again
@@ -395,7 +399,9 @@ def _run_search(coded, effects, designs, searches, n_levels, n_cells, largest, n
     """Iterate until every model has converged; returns the final unit effects."""
     spark = coded.sparkSession
     slots = spark.sparkContext.defaultParallelism
-    partitions = max(min(slots, math.ceil(n_cells / 20_000)), math.ceil(n_cells / CELLS_PER_TASK))
+    partitions = max(
+        min(slots, math.ceil(n_cells / 20_000)), math.ceil(n_cells / CELLS_PER_TASK), math.ceil(n_units / UNITS_PER_JOIN)
+    )
     tasks = math.ceil(n_units / UNITS_PER_TASK)
     keys = ["model", "unit"]
     if largest > CELLS_PER_TASK:
@@ -407,7 +413,15 @@ def _run_search(coded, effects, designs, searches, n_levels, n_cells, largest, n
     packed = coded.select(*keys, "lev", "s", "n", "k").repartition(partitions, *keys).persist(
         StorageLevel.MEMORY_AND_DISK
     )
-    state = unit_sums(packed, effects, keys, partitions).checkpoint()
+
+    def visit_cells(changed: DataFrame) -> DataFrame:
+        # read twice: to give cells their linear predictor, and to go along with the new sums
+        placed = changed.repartition(partitions, "model", "unit").persist(StorageLevel.MEMORY_AND_DISK)
+        reached = unit_sums(packed, placed, keys, partitions).checkpoint()
+        placed.unpersist()
+        return reached
+
+    state = visit_cells(effects)
     final, active = [], dict(designs)
     for last in range(max_passes, 0, -1):
         factors = {name: searches[name].factor for name in active}
@@ -424,7 +438,7 @@ def _run_search(coded, effects, designs, searches, n_levels, n_cells, largest, n
         moved = state.where(F.col("model").isin(list(active))).select(
             "model", "unit", "salts", "sums", "v", "previous"
         ).mapInArrow(_update_task(active, factors, steps, n_levels), EFFECTS_SCHEMA)
-        state = unit_sums(packed, moved, keys, partitions).checkpoint()
+        state = visit_cells(moved)
     packed.unpersist()
     columns = ["model", "unit", "salts", "v", "previous", "off", "slope"]
     result = final[0].select(columns)
