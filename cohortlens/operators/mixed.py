@@ -78,7 +78,7 @@ class FitSet:
 
 
 def stack_models(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """The same cells for several models that are to be fitted together."""
+    """The same cells for several models that are fitted together."""
     return df.withColumn("model", F.explode(F.array(*[F.lit(name) for name in names])))
 
 
@@ -285,21 +285,24 @@ def fit_mixed_logit(
     tol: float = 1e-8,
     max_passes: int = 100,
 ) -> FitSet:
-    """Fit one model per value of ``model`` in ``cells`` (a single model if there is no such column), all in one loop.
+    """Fit several models in one loop.
 
-    ``fixed``: ``interaction`` (score x level) or ``additive`` (score + level). ``random``: ``level`` (a vector of level
-    effects per unit with free covariance), ``intercept`` (one effect per unit) or ``none``. ``designs`` gives another
-    (fixed, random) pair to models by name. ``levels`` fixes the order of the levels; cells of other levels are left out.
+    With a column ``model`` in ``cells``, one model per value of it. Without, all models named in ``designs`` on the same
+    cells, or a single one. ``fixed``: ``interaction`` (score x level) or ``additive`` (score + level). ``random``:
+    ``level`` (a vector of level effects per unit with free covariance), ``intercept`` (one effect per unit) or ``none``.
+    ``designs`` gives (fixed, random) by model name. ``levels`` fixes the order of the levels; cells of other levels are
+    left out.
     A level without cells in a model is left out of that model. A model stops by itself once converged: the expected gain in
     the criterion is below ``tol`` and the fixed and unit effects solve their equations.
     """
     spark = cells.sparkSession
     checkpoint_dir(spark)
     ship_package(spark)
-    if "model" not in cells.columns:
-        cells = cells.withColumn("model", F.lit("model"))
+    keyed = ["model"] if "model" in cells.columns else []
     # from here on the source is not read again
-    stored = cells.select("model", "unit", "level", F.col("saps").cast("double").alias("saps"), "n", "k").checkpoint()
+    stored = cells.select(*keyed, "unit", "level", F.col("saps").cast("double").alias("saps"), "n", "k").checkpoint()
+    if not keyed:
+        stored = stack_models(stored, list(designs or ["model"]))
 
     level_names = list(levels) if levels is not None else level_values(stored, "level")
     positions = level_table(spark, level_names).select("level", (F.col("idx") - 1).alias("lev"))
@@ -399,16 +402,19 @@ def _run_search(coded, effects, designs, searches, n_levels, n_cells, largest, n
     """Iterate until every model has converged; returns the final unit effects."""
     spark = coded.sparkSession
     slots = spark.sparkContext.defaultParallelism
+    # at least two: the planner does not keep a single partition in place
     partitions = max(
-        min(slots, math.ceil(n_cells / 20_000)), math.ceil(n_cells / CELLS_PER_TASK), math.ceil(n_units / UNITS_PER_JOIN)
+        2, min(slots, math.ceil(n_cells / 20_000)), math.ceil(n_cells / CELLS_PER_TASK), math.ceil(n_units / UNITS_PER_JOIN)
     )
     tasks = math.ceil(n_units / UNITS_PER_TASK)
     keys = ["model", "unit"]
     if largest > CELLS_PER_TASK:
         keys.append("salt")
-        salts = effects.select("model", "unit", "salts")
-        coded = coded.join(salts, ["model", "unit"]).withColumn(
-            "salt", F.pmod(F.xxhash64("lev", "s"), F.col("salts")).cast("int")
+        # every split unit has more than CELLS_PER_TASK cells, so there are at most n_cells / CELLS_PER_TASK of them
+        split = F.broadcast(effects.where("salts > 1").select("model", "unit", "salts"))
+        salts = F.coalesce(F.col("salts"), F.lit(1))
+        coded = coded.join(split, ["model", "unit"], "left").withColumn(
+            "salt", F.pmod(F.xxhash64("lev", "s"), salts).cast("int")
         )
     packed = coded.select(*keys, "lev", "s", "n", "k").repartition(partitions, *keys).persist(
         StorageLevel.MEMORY_AND_DISK
@@ -437,7 +443,7 @@ def _run_search(coded, effects, designs, searches, n_levels, n_cells, largest, n
             break
         moved = state.where(F.col("model").isin(list(active))).select(
             "model", "unit", "salts", "sums", "v", "previous"
-        ).mapInArrow(_update_task(active, factors, steps, n_levels), EFFECTS_SCHEMA)
+        ).coalesce(tasks).mapInArrow(_update_task(active, factors, steps, n_levels), EFFECTS_SCHEMA)
         state = visit_cells(moved)
     packed.unpersist()
     columns = ["model", "unit", "salts", "v", "previous", "off", "slope"]

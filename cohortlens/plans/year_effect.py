@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from cohortlens.operators import estimates as est
 from cohortlens.operators.cells import cells
 from cohortlens.operators.fit_tables import coef_table, compare_fits, fit_stats, level_estimates, varcomp_table
-from cohortlens.operators.mixed import FitSet, fit_mixed_logit, stack_models
+from cohortlens.operators.mixed import FitSet, fit_mixed_logit
 from cohortlens.operators.report import or_report
 
 # Model name -> (fixed part, random part).
@@ -39,8 +39,7 @@ class YearEffect:
 
 def fit_year_models(admissions: DataFrame, models: Sequence[str] = tuple(YEAR_MODELS), **options) -> FitSet:
     """The chosen models fitted together on one set of cells."""
-    counted = cells(admissions)
-    return fit_mixed_logit(stack_models(counted, models), designs={m: YEAR_MODELS[m] for m in models}, **options)
+    return fit_mixed_logit(cells(admissions), designs={m: YEAR_MODELS[m] for m in models}, **options)
 
 
 def compare_with_last(
