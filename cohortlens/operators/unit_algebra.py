@@ -8,8 +8,8 @@ Notation (G levels, p fixed coefficients, q random effects per unit)::
     R0 R1      sums of r, r s               r = k - n mu
     T0 T1      sums of t, t s               t = n mu (1 - mu) (1 - 2 mu), how w reacts to the linear predictor
 
-Records enter only through these sums, which Spark computes. L is the lower-triangular factor of the covariance of the
-random effects and may be singular, so variances can go to zero without a floor.
+Records enter only through these sums, which Spark computes. L is any factor of the covariance L L' of the random effects
+and may be singular, so variances can go to zero without a floor.
 """
 
 from __future__ import annotations
@@ -236,38 +236,32 @@ class Search:
         return np.linalg.cholesky((vectors * np.maximum(values, floor)) @ vectors.T)
 
     def _covariance_model(self, parts, info):
-        """Gradient and curvature of the criterion in the entries of L."""
-        q = self.design.n_random
-        pairs = lower_pairs(q)
+        """Gradient and curvature of the criterion in all entries of L.
+
+        L is not held triangular: rotations of its columns change nothing, and a fixed triangle makes slow progress where
+        the covariance is singular in a direction that mixes levels.
+        """
+        q, ell = self.design.n_random, self.factor
         adjoint = self._solve(info, parts["drift_fixed"])
-        full = parts["grad"] - np.einsum("p,pqr->qr", adjoint, parts["cross"])
-        gradient = np.array([full[i, j] for i, j in pairs])
-        jac = np.zeros((len(pairs), len(pairs)))
-        for col, (i, j) in enumerate(pairs):
-            change = np.zeros((q, q))
-            change[i] = self.factor[:, j]
-            change = change + change.T
-            jac[:, col] = [change[a, b] for a, b in pairs]
-        curvature = jac.T @ parts["fisher"] @ jac
+        gradient = (parts["grad"] - np.einsum("p,pqr->qr", adjoint, parts["cross"])).ravel()
+        change = np.einsum("ai,bj->abij", np.eye(q), ell)
+        change = change + change.transpose(1, 0, 2, 3)
+        rows, cols = np.array(lower_pairs(q)).T
+        jac = change[rows, cols].reshape(len(rows), q * q)
         values, vectors = np.linalg.eigh((parts["scale"] + parts["scale"].T) / 2)
         bend = (vectors * np.maximum(values, 0)) @ vectors.T
-        for x, (i, j) in enumerate(pairs):
-            for y, (k, l) in enumerate(pairs):
-                if j == l:
-                    curvature[x, y] += 2 * bend[i, k]
-        return gradient, curvature
+        return gradient, jac.T @ parts["fisher"] @ jac + 2 * np.kron(bend, np.eye(q))
 
     def _covariance_step(self) -> np.ndarray:
         q = self.design.n_random
         gradient, curvature = self.best["gradient"], self.best["curvature"]
         diagonal = np.diag(curvature)
-        damped = curvature + self.damping * np.diag(diagonal + 1e-6 * max(diagonal.max(), 1e-300))
-        move = -self._solve(damped, gradient)
+        values, vectors = np.linalg.eigh(curvature + self.damping * np.diag(diagonal))
+        # rotations have neither slope nor curvature
+        used = values > 1e-10 * max(values.max(), 1e-300)
+        move = -vectors[:, used] @ ((vectors[:, used].T @ gradient) / values[used])
         self.predicted = float(-(gradient @ move + 0.5 * move @ curvature @ move))
-        change = np.zeros((q, q))
-        for value, (i, j) in zip(move, lower_pairs(q)):
-            change[i, j] = value
-        return change
+        return move.reshape(q, q)
 
     def _go(self, beta, factor, backtrack=None) -> Step:
         step = Step(beta, factor, beta - self.beta, backtrack)
@@ -303,11 +297,10 @@ class Search:
             self.trail = self.trail / 2
             return self._go(self.beta - self.trail, self.factor, backtrack=0.5)
 
+        solved = decrement < self.POLISHED * max(1.0, abs(penalized))
         if self.phase == "polish":
-            if decrement < self.POLISHED * max(1.0, abs(penalized)):
-                self.converged = True
-                return None
-            return self._newton(move, penalized)
+            self.converged = solved
+            return None if solved else self._newton(move, penalized)
 
         if decrement > max(1e-10, min(self.SETTLED, 0.02 * self.predicted)):
             return self._newton(move, penalized)
@@ -323,8 +316,8 @@ class Search:
             self.damping = max(self.damping / 10, 1e-9)
             change = self._covariance_step()
             if self.predicted < self.tol:
-                self.phase = "polish"
-                return self._newton(move, penalized)
+                self.phase, self.converged = "polish", solved
+                return None if solved else self._newton(move, penalized)
         else:
             if self.predicted < 10 * self.tol or self.damping > 1e6:
                 self.phase = "polish"
