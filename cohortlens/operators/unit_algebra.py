@@ -297,7 +297,7 @@ class Search:
             self.trail = self.trail / 2
             return self._go(self.beta - self.trail, self.factor, backtrack=0.5)
 
-        solved = decrement < self.POLISHED * max(1.0, abs(penalized))
+        solved = bool(decrement < self.POLISHED * max(1.0, abs(penalized)))
         if self.phase == "polish":
             self.converged = solved
             return None if solved else self._newton(move, penalized)

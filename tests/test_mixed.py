@@ -134,6 +134,15 @@ def simulated(spark):
     return data, fit
 
 
+def test_statistics_table(simulated):
+    (_, _, _, y), fit = simulated
+    row = fit_tables.fit_stats(fit).collect()[0]
+    assert row.converged and row.npar == 8 + 10 and row.n_obs == len(y) and row.n_units == 60
+    assert row.deviance == pytest.approx(-2 * row.log_lik)
+    assert row.aic == pytest.approx(row.deviance + 2 * 18)
+    assert row.bic == pytest.approx(row.deviance + 18 * np.log(len(y)))
+
+
 def test_recovery(simulated):
     (_, level, _, _), fit = simulated
     model = fit.models["model"]
