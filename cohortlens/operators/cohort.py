@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlens.session import checkpoint_dir
@@ -54,7 +54,7 @@ def used_levels(df: DataFrame, column: str, order: Sequence[str] | None = None)
 
 def as_factor(df: DataFrame, column: str, levels: DataFrame) -> DataFrame:
     """Column as text, null where the value is not one of the levels."""
-    known = F.broadcast(levels.select(F.col("level").alias(column)))
+    known = levels.select(F.col("level").alias(column))
     text = df.withColumn(column, F.col(column).cast("string"))
     return text.join(known.withColumn("_known", F.lit(True)), column, "left").withColumn(
         column, F.when(F.col("_known"), F.col(column))
@@ -114,25 +114,39 @@ def attach_dates(
 ) -> DataFrame:
     """Bind the admission date from a second table by key; admissions without a date stay, with a null.
 
-    The dates must have one row per key, and so must the admissions unless ``one_to_one`` is off. A null key matches
-    nothing, but would send all its rows to one task: such rows are spread by a hash of their other columns. Repeated keys
-    on the left are the business of adaptive skew-join splitting.
+    The dates must have one row per key, and so must the admissions unless ``one_to_one`` is off. With it on, both checks
+    ride on the exchanges of the join itself and fail the job that reads the date. With it off a key may repeat on the
+    left without bound: the dates are checked in a job of their own, and the join is left in the shape that adaptive
+    execution can split at a hot key. A null key matches nothing but would gather its rows in one task: such rows are
+    spread by a hash of their other columns.
     """
-    _require_unique(dates, [key], "dates")
-    if one_to_one:
-        _require_unique(admissions, [key], "admissions")
     others = [c for c in admissions.columns if c != key]
-    spread = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*others), F.lit(4096))).otherwise(F.lit(0))
-    right = dates.select(F.col(key), F.col(date).cast("date").alias(name), F.lit(0).cast("bigint").alias("_spread"))
-    return (
-        admissions.withColumn("_spread", spread.cast("bigint"))
-        .join(right, [key, "_spread"], "left")
-        .select(*admissions.columns, name)
-    )
+    buckets = F.pmod(F.xxhash64(*others), F.lit(4096)) if others else F.lit(0)
+    spread = F.when(F.col(key).isNull(), buckets).otherwise(F.lit(0)).cast("bigint")
+    # always zero, but not a literal: the planner would take a literal out of the join key and undo the spreading
+    zero = F.pmod(F.xxhash64(key), F.lit(1)).cast("bigint")
+    left = admissions.withColumn("_spread", spread)
+    right = dates.where(F.col(key).isNotNull()).select(key, zero.alias("_spread"), F.col(date).cast("date").alias(name))
+    found = F.col(name)
+    if one_to_one:
+        right = right.groupBy(key, "_spread").agg(F.count(F.lit(1)).alias("_dates"), F.first(name).alias(name))
+        left = left.withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy(key, "_spread")))
+        found = (
+            F.when(F.col("_dates") > 1, _failed(f"dates: {key} is not unique"))
+            .when(F.col(key).isNotNull() & (F.col("_copies") > 1), _failed(f"admissions: {key} is not unique"))
+            .otherwise(found)
+        )
+    else:
+        _require_unique(dates, [key], "dates")
+    return left.join(right, [key, "_spread"], "left").select(*admissions.columns, found.alias(name))
+
+
+def _failed(message: str) -> Column:
+    return F.raise_error(F.lit(message)).cast("date")
 
 
-def _positions(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Rows with their 0-based position under a total order, without a single-task window.
+def _positions(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, int]:
+    """Rows with their 0-based position under a total order, and their number; no single-task window.
 
     A range-partitioned sort puts row r of partition p at offset(p) + r. The sorted rows are checkpointed first, so that
     counting and numbering see the same partitions even after an executor is lost.
@@ -145,15 +159,15 @@ def _positions(df: DataFrame, order: Sequence[str]) -> DataFrame:
         .withColumn("_row", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
         .drop("_id").checkpoint()
     )
+    # one row per partition
     sizes = {row["_part"]: row["n"] for row in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
     starts, total = [], 0
     for part in sorted(sizes):
         starts.append((part, total))
         total += sizes[part]
     offsets = df.sparkSession.createDataFrame(starts, "_part int, _start bigint")
-    return placed.join(F.broadcast(offsets), "_part").withColumn("_pos", F.col("_start") + F.col("_row")).drop(
-        "_part", "_row", "_start"
-    )
+    numbered = placed.join(F.broadcast(offsets), "_part").withColumn("_pos", F.col("_start") + F.col("_row"))
+    return numbered.drop("_part", "_row", "_start"), total
 
 
 def bind_by_position(
@@ -164,12 +178,12 @@ def bind_by_position(
     Rows of a Spark table have no position of their own, so an order has to be stated for each side and has to be total.
     The tables must have equally many rows.
     """
-    rows_left, rows_right = left.count(), right.count()
+    needed = list(dict.fromkeys([*right_order, column]))
+    other, rows_right = _positions(right.select(needed), right_order)
+    mine, rows_left = _positions(left, left_order)
     if rows_left != rows_right:
         raise ValueError(f"tables differ in length: {rows_left} and {rows_right} rows")
-    needed = list(dict.fromkeys([*right_order, column]))
-    other = _positions(right.select(needed), right_order).select("_pos", F.col(column).alias(name))
-    return _positions(left, left_order).join(other, "_pos").drop("_pos")
+    return mine.join(other.select("_pos", F.col(column).alias(name)), "_pos").drop("_pos")
 
 
 def relabel(df: DataFrame, column: str, labels: Mapping[str, str], name: str = "label") -> DataFrame:
@@ -181,7 +195,3 @@ def relabel(df: DataFrame, column: str, labels: Mapping[str, str], name: str = "
 def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows without a null in any of the model columns."""
     return df.dropna(subset=list(columns))
-
-
-def column_of(value: Column | str) -> Column:
-    return F.col(value) if isinstance(value, str) else value

@@ -40,6 +40,7 @@ UNITS_PER_JOIN = 200_000   # in the hash table that cells are joined with
 EFFECTS_SCHEMA = (
     "model string, unit string, salts int, v array<double>, previous array<double>, off array<double>, slope array<double>"
 )
+MAX_MARGINS = 20_000       # models x levels; their parameters are kept on the driver
 BATCH_VALUES = 4_000_000   # bound on the numbers held at once by the batched algebra
 
 
@@ -311,9 +312,11 @@ def fit_mixed_logit(
     margins = coded.groupBy("model", "lev").agg(
         F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n"),
         F.sum(F.col("n") * F.col("saps")).alias("ns"), F.sum(F.col("n") * F.col("saps") * F.col("saps")).alias("nss"),
-    ).collect()
+    ).limit(MAX_MARGINS + 1).collect()
     if not margins:
         raise ValueError("no cells to fit")
+    if len(margins) > MAX_MARGINS:
+        raise ValueError(f"more than {MAX_MARGINS} combinations of model and level")
     total = sum(row["n"] for row in margins)
     center = sum(row["ns"] for row in margins) / total
     spread = math.sqrt(max(sum(row["nss"] for row in margins) / total - center * center, 0.0)) or 1.0

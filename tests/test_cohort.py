@@ -74,13 +74,34 @@ def test_attach_dates_checks_keys(spark, records):
     day = datetime.date(2020, 5, 1)
     doubled = spark.createDataFrame([("a1", day), ("a1", day)], io.ADMISSION_DATES_SCHEMA)
     single = spark.createDataFrame([("a1", day)], io.ADMISSION_DATES_SCHEMA)
+    with pytest.raises(Exception, match="dates: admission_id is not unique"):
+        cohort.attach_dates(records, doubled).collect()
+    with pytest.raises(Exception, match="admissions: admission_id is not unique"):
+        cohort.attach_dates(records.unionByName(records), single).collect()
     with pytest.raises(ValueError, match="dates"):
-        cohort.attach_dates(records, doubled)
-    with pytest.raises(ValueError, match="admissions"):
-        cohort.attach_dates(records.unionByName(records), single)
+        cohort.attach_dates(records, doubled, one_to_one=False)
     assert cohort.attach_dates(records.unionByName(records), single, one_to_one=False).count() == 2 * records.count()
 
 
+def test_attach_dates_spreads_missing_keys(spark):
+    """Most rows without a key: the shuffle key has more than the key in it, and the checks need no shuffle of their own."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        left = spark.range(2000).select(F.when(F.col("id") % 10 == 0, F.col("id")).alias("admission_id"), F.col("id").alias("x"))
+        dates = spark.range(0, 2000, 10).select(F.col("id").alias("admission_id"), F.lit("2020-01-01").alias("unit_admission_date"))
+        for one_to_one in (True, False):
+            bound = cohort.attach_dates(left, dates, one_to_one=one_to_one)
+            assert bound.count() == 2000 and bound.where("adm_date is not null").count() == 200
+            plan = bound._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning(admission_id") == 2
+            assert plan.count(", _spread") and "hashpartitioning(admission_id" in plan
+            for line in plan.splitlines():
+                if "Exchange hashpartitioning" in line:
+                    assert "_spread" in line
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_bind_by_position(spark):
     left = spark.range(1000).select((F.col("id") * 7 % 1000).alias("a"))
     right = spark.range(1000).select((F.col("id") * 3 % 1000).alias("b"), F.concat(F.lit("d"), F.col("id") * 3 % 1000).alias("d"))
