@@ -35,7 +35,7 @@ from cohortlens.operators.unit_algebra import (
 from cohortlens.session import checkpoint_dir, ship_package
 
 CELLS_PER_TASK = 1_000_000
-UNITS_PER_TASK = 20_000    # in the batched algebra, where a unit costs about levels^3 operations
+UNITS_PER_TASK = 4_000    # in the batched algebra, where a unit costs about levels^3 operations
 UNITS_PER_JOIN = 200_000   # in the hash table that cells are joined with
 EFFECTS_SCHEMA = (
     "model string, unit string, salts int, v array<double>, previous array<double>, off array<double>, slope array<double>"

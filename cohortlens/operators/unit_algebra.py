@@ -141,7 +141,8 @@ def unit_contributions(sums: dict[str, np.ndarray], v: np.ndarray, factor: np.nd
     cross -= np.einsum("jqs,jps,jr->pqr", wl, scaled_inv, v, optimize=True)
 
     precision = wt - wl @ inverse @ np.swapaxes(wl, 1, 2)
-    scale = precision.sum(0) - rt.T @ rt
+    settled = rt - np.einsum("jqr,jr->jq", wl @ inverse, slack)      # residual sums after the pending step
+    scale = precision.sum(0) - settled.T @ settled
     flat = precision.reshape(len(v), q * q)
     kron = (flat.T @ flat).reshape(q, q, q, q).transpose(0, 2, 1, 3).reshape(q * q, q * q)
     basis = symmetric_basis(q)
@@ -195,6 +196,7 @@ class Search:
     information for the curvature.
     """
 
+    FIRST_VARIANCE = 0.1    # on the log-odds scale; keeps a few huge units from deciding the first estimate alone
     SETTLED = 1e-3
     POLISHED = 1e-20
     MAX_HALVINGS = 12
@@ -202,7 +204,7 @@ class Search:
     def __init__(self, design: Design, beta: np.ndarray, tol: float):
         q = design.n_random
         self.design, self.tol = design, tol
-        self.beta, self.factor = np.asarray(beta, float), np.zeros((q, q))
+        self.beta, self.factor = np.asarray(beta, float), np.sqrt(self.FIRST_VARIANCE) * np.eye(q)
         self.damping, self.best, self.predicted = 1e-3, None, np.inf
         self.phase, self.converged, self.passes = "start", False, 0
         self.trail, self.before, self.halvings = None, np.inf, 0
@@ -222,18 +224,19 @@ class Search:
             return np.linalg.lstsq(info, rhs, rcond=None)[0]
 
     def _first_factor(self, parts) -> np.ndarray:
-        """Scoring step for the covariance from zero, kept inside the positive definite cone."""
+        """Scoring step for the covariance from the first guess, kept inside the positive definite cone."""
         q = self.design.n_random
         pairs = lower_pairs(q)
         slope = np.array([parts["scale"][i, j] * (1 if i == j else 2) for i, j in pairs])
         fisher = parts["fisher"] + 1e-8 * np.eye(len(pairs)) * max(np.trace(parts["fisher"]) / len(pairs), 1e-300)
-        move = -self._solve(fisher, slope)
-        sigma = np.zeros((q, q))
-        for value, (i, j) in zip(move, pairs):
-            sigma[i, j] = sigma[j, i] = value
+        sigma = self.factor @ self.factor.T
+        for value, (i, j) in zip(-self._solve(fisher, slope), pairs):
+            sigma[i, j] += value
+            if i != j:
+                sigma[j, i] += value
         values, vectors = np.linalg.eigh(sigma)
         floor = max(1e-3, 0.05 * values.max(initial=0.0))
-        return np.linalg.cholesky((vectors * np.maximum(values, floor)) @ vectors.T)
+        return (vectors * np.sqrt(np.maximum(values, floor))) @ vectors.T
 
     def _covariance_model(self, parts, info):
         """Gradient and curvature of the criterion in all entries of L.
