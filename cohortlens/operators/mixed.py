@@ -8,7 +8,8 @@ One pass:
 
 1. unit effects are updated from the sums of the last pass (batched algebra per unit, ``mapInArrow``);
 2. cells are joined with them and summed per unit and level by built-in expressions. Cells are cached hash-partitioned by
-   model and unit, so neither this join nor the sums move them: only the effects, one row per unit, are exchanged;
+   model and unit (one number, the node), so neither this join nor the sums move them: only the effects, one row per
+   unit, are exchanged;
 3. the sums, again one row per unit, are checkpointed, which keeps the plan flat and survives the loss of executors;
 4. what units add to the equations of the fixed effects is added up within tasks and then by Spark. The driver sees only
    these totals, whose size depends on the number of levels and models.
@@ -37,8 +38,10 @@ from cohortlens.session import checkpoint_dir, ship_package
 CELLS_PER_TASK = 1_000_000
 UNITS_PER_TASK = 4_000    # in the batched algebra, where a unit costs about levels^3 operations
 UNITS_PER_JOIN = 200_000   # in the hash table that cells are joined with
+EFFECT_COLUMNS = ["model", "unit", "node", "salts", "v", "previous", "off", "slope"]
 EFFECTS_SCHEMA = (
-    "model string, unit string, salts int, v array<double>, previous array<double>, off array<double>, slope array<double>"
+    "model string, unit string, node bigint, salts int, v array<double>, previous array<double>, off array<double>, "
+    "slope array<double>"
 )
 MAX_MARGINS = 20_000       # models x levels; their parameters are kept on the driver
 BATCH_VALUES = 4_000_000   # bound on the numbers held at once by the batched algebra
@@ -144,9 +147,8 @@ def _effect_columns(
     slope = np.zeros((len(v), n_levels))
     slope[:, at] = fixed[g:]
     return pa.RecordBatch.from_arrays(
-        [part.column("model"), part.column("unit"), part.column("salts"),
-         *map(_matrix_list, (v, previous, off, slope))],
-        ["model", "unit", "salts", "v", "previous", "off", "slope"],
+        [*(part.column(name) for name in EFFECT_COLUMNS[:4]), *map(_matrix_list, (v, previous, off, slope))],
+        EFFECT_COLUMNS,
     )
 
 
@@ -171,17 +173,18 @@ def _update_task(
 
 
 def _with_sums(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """What every cell contributes, given its linear predictor ``eta``."""
-    n, k, eta, mu = (F.col(c) for c in ("n", "k", "eta", "mu"))
+    """What every cell contributes, given its linear predictor ``eta``; one exponential, safe for any size of eta."""
+    n, k, eta, e, mu = (F.col(c) for c in ("n", "k", "eta", "e", "mu"))
     kept = [*keys, "s", "n", "k", "eta"]
-    weighted = df.select(*kept, (1 / (1 + F.exp(-eta))).alias("mu")).select(
-        *kept, "mu", (n * mu * (1 - mu)).alias("w")
+    shrunk = df.select(*kept, F.exp(-F.abs(eta)).alias("e"))
+    weighted = shrunk.select(
+        *kept, "e", (F.when(eta < 0, e).otherwise(1.0) / (1 + e)).alias("mu"), (n * e / ((1 + e) * (1 + e))).alias("w")
     )
     return weighted.select(
         *keys, "s", "w",
         (k - n * mu).alias("r"),
         (F.col("w") * (1 - 2 * mu)).alias("t"),
-        (k * eta - n * (F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta))))).alias("likelihood"),
+        (k * eta - n * (F.greatest(eta, F.lit(0.0)) + F.log1p(e))).alias("likelihood"),
     )
 
 
@@ -193,21 +196,21 @@ def _sum_columns():
 
 
 def unit_sums(packed: DataFrame, effects: DataFrame, keys: Sequence[str], partitions: int) -> DataFrame:
-    """One row per unit: its effects and the sums of its cells per level. Effects come partitioned by model and unit.
+    """One row per unit: its effects and the sums of its cells per level. Effects come partitioned by node.
 
-    With ``keys`` = (model, unit) the cells stay where they are cached. With a salt among the keys each piece of a split
-    unit is summed in its own task first, and only these sums are exchanged.
+    With ``keys`` = (node) the cells stay where they are cached. With a salt among the keys each piece of a split unit is
+    summed in its own task first, and only these sums are exchanged.
     """
-    sides = effects.select("model", "unit", "salts", "off", "slope")
+    sides = effects.select("node", "salts", "off", "slope")
     if "salt" in keys:
         sides = sides.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).repartition(
             partitions, *keys
         )
     joined = packed.join(sides.hint("shuffle_hash"), list(keys))
     with_eta = joined.withColumn("eta", F.get("off", F.col("lev")) + F.get("slope", F.col("lev")) * F.col("s"))
-    summed = _with_sums(with_eta, ["model", "unit", "lev"]).groupBy("model", "unit", "lev").agg(*_sum_columns())
-    per_unit = summed.groupBy("model", "unit").agg(F.collect_list(F.struct("lev", *SUMS)).alias("sums"))
-    return per_unit.join(effects.hint("shuffle_hash"), ["model", "unit"])
+    summed = _with_sums(with_eta, ["node", "lev"]).groupBy("node", "lev").agg(*_sum_columns())
+    per_unit = summed.groupBy("node").agg(F.collect_list(F.struct("lev", *SUMS)).alias("sums"))
+    return per_unit.join(effects.hint("shuffle_hash"), "node")
 
 
 def total_contributions(
@@ -334,7 +337,7 @@ def fit_mixed_logit(
     simple = fit_fixed(pooled, plans)
     pooled.unpersist()
 
-    per_unit = coded.groupBy("model", "unit").agg(F.count(F.lit(1)).alias("cells"))
+    coded, per_unit = _with_nodes(coded)
     sizes = per_unit.groupBy("model").agg(
         F.count(F.lit(1)).alias("units"), F.max("cells").alias("largest")
     ).collect()
@@ -378,11 +381,24 @@ def fit_mixed_logit(
         )
     unit_effects = finished[0] if len(finished) == 1 else finished[0].unionByName(finished[1])
     return FitSet(
-        spark, models, level_names, coded.select("model", "unit", "lev", "s", "saps", "n", "k"),
-        unit_effects.select("model", "unit", "off", "slope"), center, spread,
+        spark, models, level_names, coded.select("model", "unit", "node", "lev", "s", "saps", "n", "k"),
+        unit_effects.select("model", "unit", "node", "off", "slope"), center, spread,
     )
 
 
+def _with_nodes(coded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells and units with a ``node``, one number per model and unit, so that passes join and group on a plain long.
+
+    A hash needs no shuffle of the cells; should two units ever share one, another seed is taken.
+    """
+    for seed in range(10):
+        node = F.xxhash64(F.lit(seed), "model", "unit").alias("node")
+        units = coded.groupBy("model", "unit").agg(F.count(F.lit(1)).alias("cells")).select("*", node)
+        if not units.groupBy("node").count().where("count > 1").limit(1).count():
+            return coded.select("*", node), units
+    raise RuntimeError("no seed without collisions")
+
+
 def _start_effects(spark, coded, per_unit, plans, simple, n_levels) -> DataFrame:
     """Every unit with zero effects on top of the fit without unit effects."""
     rows = []
@@ -396,9 +412,7 @@ def _start_effects(spark, coded, per_unit, plans, simple, n_levels) -> DataFrame
         rows, "model string, v array<double>, previous array<double>, off array<double>, slope array<double>"
     )
     salts = F.ceil(F.col("cells") / CELLS_PER_TASK).cast("int").alias("salts")
-    return per_unit.select("model", "unit", salts).join(F.broadcast(start), "model").select(
-        "model", "unit", "salts", "v", "previous", "off", "slope"
-    )
+    return per_unit.select("model", "unit", "node", salts).join(F.broadcast(start), "model").select(EFFECT_COLUMNS)
 
 
 def _run_search(coded, effects, designs, searches, n_levels, n_cells, largest, n_units, max_passes) -> DataFrame:
@@ -410,22 +424,23 @@ def _run_search(coded, effects, designs, searches, n_levels, n_cells, largest, n
         2, min(slots, math.ceil(n_cells / 20_000)), math.ceil(n_cells / CELLS_PER_TASK), math.ceil(n_units / UNITS_PER_JOIN)
     )
     tasks = math.ceil(n_units / UNITS_PER_TASK)
-    keys = ["model", "unit"]
+    keys = ["node"]
     if largest > CELLS_PER_TASK:
         keys.append("salt")
         # every split unit has more than CELLS_PER_TASK cells, so there are at most n_cells / CELLS_PER_TASK of them
-        split = F.broadcast(effects.where("salts > 1").select("model", "unit", "salts"))
+        split = F.broadcast(effects.where("salts > 1").select("node", "salts"))
         salts = F.coalesce(F.col("salts"), F.lit(1))
-        coded = coded.join(split, ["model", "unit"], "left").withColumn(
+        coded = coded.join(split, "node", "left").withColumn(
             "salt", F.pmod(F.xxhash64("lev", "s"), salts).cast("int")
         )
-    packed = coded.select(*keys, "lev", "s", "n", "k").repartition(partitions, *keys).persist(
+    counts = [F.col(c).cast("double").alias(c) for c in ("n", "k")]
+    packed = coded.select(*keys, "lev", "s", *counts).repartition(partitions, *keys).persist(
         StorageLevel.MEMORY_AND_DISK
     )
 
     def visit_cells(changed: DataFrame) -> DataFrame:
         # read twice: to give cells their linear predictor, and to go along with the new sums
-        placed = changed.repartition(partitions, "model", "unit").persist(StorageLevel.MEMORY_AND_DISK)
+        placed = changed.repartition(partitions, "node").persist(StorageLevel.MEMORY_AND_DISK)
         reached = unit_sums(packed, placed, keys, partitions).checkpoint()
         placed.unpersist()
         return reached
@@ -445,14 +460,13 @@ def _run_search(coded, effects, designs, searches, n_levels, n_cells, largest, n
         if not active:
             break
         moved = state.where(F.col("model").isin(list(active))).select(
-            "model", "unit", "salts", "sums", "v", "previous"
+            "model", "unit", "node", "salts", "sums", "v", "previous"
         ).coalesce(tasks).mapInArrow(_update_task(active, factors, steps, n_levels), EFFECTS_SCHEMA)
         state = visit_cells(moved)
     packed.unpersist()
-    columns = ["model", "unit", "salts", "v", "previous", "off", "slope"]
-    result = final[0].select(columns)
+    result = final[0].select(EFFECT_COLUMNS)
     for more in final[1:]:
-        result = result.unionByName(more.select(columns))
+        result = result.unionByName(more.select(EFFECT_COLUMNS))
     return result
 
 
@@ -460,7 +474,7 @@ def fitted_totals(fit: FitSet) -> DataFrame:
     """Observed and fitted deaths per model and level, plain and weighted by score, unit effects included."""
     names = level_table(fit.spark, fit.level_names).select("level", (F.col("idx") - 1).alias("lev"))
     eta = F.get("off", F.col("lev")) + F.get("slope", F.col("lev")) * F.col("s")
-    joined = fit.cells.join(fit.unit_effects, ["model", "unit"]).withColumn("fit", F.col("n") / (1 + F.exp(-eta)))
+    joined = fit.cells.join(fit.unit_effects.select("node", "off", "slope"), "node").withColumn("fit", F.col("n") / (1 + F.exp(-eta)))
     return joined.groupBy("model", "lev").agg(
         F.sum("k").alias("observed"), F.sum("fit").alias("fitted"),
         F.sum(F.col("saps") * F.col("k")).alias("observed_saps"), F.sum(F.col("saps") * F.col("fit")).alias("fitted_saps"),
