@@ -29,7 +29,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.operators.cohort import level_table, level_values
+from cohortlens.operators.cohort import MAX_LEVELS, level_table
 from cohortlens.operators.unit_algebra import (
     SUMS, Design, Search, Step, contribution_shapes, unit_contributions, updated_effects,
 )
@@ -43,6 +43,7 @@ EFFECTS_SCHEMA = (
     "model string, unit string, node bigint, salts int, v array<double>, previous array<double>, off array<double>, "
     "slope array<double>"
 )
+START_TOL = 1e-2           # for a fit that only serves as a start; the search moves all parameters on
 MAX_MARGINS = 20_000       # models x levels; their parameters are kept on the driver
 BATCH_VALUES = 4_000_000   # bound on the numbers held at once by the batched algebra
 
@@ -269,7 +270,8 @@ def fit_fixed(
             info = m0.T @ (w0 * m0) + m0.T @ (w1 * m1) + m1.T @ (w1 * m0) + m1.T @ (w2 * m1)
             score = m0.T @ sums["r0"] + m1.T @ sums["r1"]
             move = Search._solve(info, score)
-            fit.update(ll=ll, info=info, passes=passes, converged=bool(score @ move < tol * max(1.0, abs(ll))))
+            enough = tol * max(1.0, abs(ll)) if design.random == "none" else START_TOL
+            fit.update(ll=ll, info=info, passes=passes, converged=bool(score @ move < enough))
             if fit["converged"]:
                 active.discard(name)
             else:
@@ -308,11 +310,9 @@ def fit_mixed_logit(
     if not keyed:
         stored = stack_models(stored, list(designs or ["model"]))
 
-    level_names = list(levels) if levels is not None else level_values(stored, "level")
-    positions = level_table(spark, level_names).select("level", (F.col("idx") - 1).alias("lev"))
-    coded = stored.join(F.broadcast(positions), "level").drop("level")
-
-    margins = coded.groupBy("model", "lev").agg(
+    if levels is not None:
+        stored = stored.where(F.col("level").isin(list(levels)))
+    margins = stored.groupBy("model", "level").agg(
         F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n"),
         F.sum(F.col("n") * F.col("saps")).alias("ns"), F.sum(F.col("n") * F.col("saps") * F.col("saps")).alias("nss"),
     ).limit(MAX_MARGINS + 1).collect()
@@ -320,6 +320,13 @@ def fit_mixed_logit(
         raise ValueError("no cells to fit")
     if len(margins) > MAX_MARGINS:
         raise ValueError(f"more than {MAX_MARGINS} combinations of model and level")
+    level_names = list(levels) if levels is not None else sorted({row["level"] for row in margins})
+    if len(level_names) > MAX_LEVELS:
+        raise ValueError(f"more than {MAX_LEVELS} levels cannot serve as a factor")
+    place = {level: i for i, level in enumerate(level_names)}
+    positions = level_table(spark, level_names).select("level", (F.col("idx") - 1).alias("lev"))
+    coded = stored.join(F.broadcast(positions), "level").drop("level")
+
     total = sum(row["n"] for row in margins)
     center = sum(row["ns"] for row in margins) / total
     spread = math.sqrt(max(sum(row["nss"] for row in margins) / total - center * center, 0.0)) or 1.0
@@ -327,7 +334,7 @@ def fit_mixed_logit(
     plans: dict[str, Design] = {}
     for name in names:
         f, r = (designs or {}).get(name, (fixed, random))
-        plans[name] = Design(f, r, tuple(sorted(row["lev"] for row in margins if row["model"] == name)))
+        plans[name] = Design(f, r, tuple(sorted(place[row["level"]] for row in margins if row["model"] == name)))
     n_obs = {name: sum(row["n"] for row in margins if row["model"] == name) for name in names}
 
     coded = coded.withColumn("s", (F.col("saps") - center) / spread)
@@ -337,10 +344,7 @@ def fit_mixed_logit(
     simple = fit_fixed(pooled, plans)
     pooled.unpersist()
 
-    coded, per_unit = _with_nodes(coded)
-    sizes = per_unit.groupBy("model").agg(
-        F.count(F.lit(1)).alias("units"), F.max("cells").alias("largest")
-    ).collect()
+    coded, per_unit, sizes = _with_nodes(coded)
     n_units = {row["model"]: row["units"] for row in sizes}
     n_cells = sum(row["cells"] for row in margins)
     largest = max(row["largest"] for row in sizes)
@@ -386,16 +390,23 @@ def fit_mixed_logit(
     )
 
 
-def _with_nodes(coded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cells and units with a ``node``, one number per model and unit, so that passes join and group on a plain long.
+def _with_nodes(coded: DataFrame) -> tuple[DataFrame, DataFrame, list]:
+    """Cells and units with a ``node``, one number per model and unit, so that passes join and group on a plain long; and
+    per model the number of units and the most cells in one.
 
     A hash needs no shuffle of the cells; should two units ever share one, another seed is taken.
     """
     for seed in range(10):
         node = F.xxhash64(F.lit(seed), "model", "unit").alias("node")
         units = coded.groupBy("model", "unit").agg(F.count(F.lit(1)).alias("cells")).select("*", node)
-        if not units.groupBy("node").count().where("count > 1").limit(1).count():
-            return coded.select("*", node), units
+        by_node = units.groupBy("node").agg(
+            F.count(F.lit(1)).alias("sharing"), F.min("model").alias("model"), F.max("cells").alias("cells")
+        )
+        sizes = by_node.groupBy("model").agg(
+            F.count(F.lit(1)).alias("units"), F.max("cells").alias("largest"), F.max("sharing").alias("sharing")
+        ).collect()
+        if max(row["sharing"] for row in sizes) == 1:
+            return coded.select("*", node), units, sizes
     raise RuntimeError("no seed without collisions")
 
 
