@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.session import checkpoint_dir
 
@@ -193,5 +194,9 @@ def relabel(df: DataFrame, column: str, labels: Mapping[str, str], name: str = "
 
 
 def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows without a null in any of the model columns."""
-    return df.dropna(subset=list(columns))
+    """Rows without a null (or NaN) in any of the model columns, as plain conditions that reach the scan."""
+    for column in columns:
+        df = df.where(F.col(column).isNotNull())
+        if isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType)):
+            df = df.where(~F.isnan(column))
+    return df

@@ -31,8 +31,9 @@ def level_estimates(fit: FitSet) -> tuple[DataFrame, DataFrame]:
 
 
 def _report_coding(model: ModelFit, score: str, factor: str) -> tuple[list[str], np.ndarray]:
-    """Terms of the usual table, first level as baseline, and the map from level parameters to them."""
-    g = len(model.levels)
+    """Terms of the usual table, first level as baseline, and the map from level parameters to them. Slopes that cannot
+    be estimated have no term."""
+    g, slopes = len(model.levels), model.design.slope_columns
     rows, terms = [], []
 
     def term(name, **weights):
@@ -43,11 +44,12 @@ def _report_coding(model: ModelFit, score: str, factor: str) -> tuple[list[str],
         rows.append(row)
 
     term("(Intercept)", one=(0, 1.0))
-    term(score, one=(g, 1.0))
+    if slopes[0] is not None:
+        term(score, one=(g, 1.0))
     for i in range(1, g):
         term(f"{factor}{model.levels[i]}", one=(i, 1.0), base=(0, -1.0))
-    if model.design.fixed == "interaction":
-        for i in range(1, g):
+    for i in range(1, g):
+        if slopes[i] != slopes[0]:
             term(f"{score}:{factor}{model.levels[i]}", one=(g + i, 1.0), base=(g, -1.0))
     return terms, np.array(rows)
 

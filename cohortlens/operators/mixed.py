@@ -297,9 +297,9 @@ def fit_mixed_logit(
     cells, or a single one. ``fixed``: ``interaction`` (score x level) or ``additive`` (score + level). ``random``:
     ``level`` (a vector of level effects per unit with free covariance), ``intercept`` (one effect per unit) or ``none``.
     ``designs`` gives (fixed, random) by model name. ``levels`` fixes the order of the levels; cells of other levels are
-    left out.
-    A level without cells in a model is left out of that model. A model stops by itself once converged: the expected gain in
-    the criterion is below ``tol`` and the fixed and unit effects solve their equations.
+    left out. A level without cells in a model is left out of that model; one whose cells all have the same score takes the
+    slope of the first level that has its own. A model stops by itself once converged: the expected gain in the criterion
+    is below ``tol`` and the fixed and unit effects solve their equations.
     """
     spark = cells.sparkSession
     checkpoint_dir(spark)
@@ -315,6 +315,7 @@ def fit_mixed_logit(
     margins = stored.groupBy("model", "level").agg(
         F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n"),
         F.sum(F.col("n") * F.col("saps")).alias("ns"), F.sum(F.col("n") * F.col("saps") * F.col("saps")).alias("nss"),
+        F.min("saps").alias("low"), F.max("saps").alias("high"),
     ).limit(MAX_MARGINS + 1).collect()
     if not margins:
         raise ValueError("no cells to fit")
@@ -334,7 +335,8 @@ def fit_mixed_logit(
     plans: dict[str, Design] = {}
     for name in names:
         f, r = (designs or {}).get(name, (fixed, random))
-        plans[name] = Design(f, r, tuple(sorted(place[row["level"]] for row in margins if row["model"] == name)))
+        mine = sorted((place[row["level"]], row["low"] == row["high"]) for row in margins if row["model"] == name)
+        plans[name] = Design(f, r, tuple(at for at, _ in mine), tuple(i for i, (_, one) in enumerate(mine) if one))
     n_obs = {name: sum(row["n"] for row in margins if row["model"] == name) for name in names}
 
     coded = coded.withColumn("s", (F.col("saps") - center) / spread)
@@ -485,7 +487,8 @@ def fitted_totals(fit: FitSet) -> DataFrame:
     """Observed and fitted deaths per model and level, plain and weighted by score, unit effects included."""
     names = level_table(fit.spark, fit.level_names).select("level", (F.col("idx") - 1).alias("lev"))
     eta = F.get("off", F.col("lev")) + F.get("slope", F.col("lev")) * F.col("s")
-    joined = fit.cells.join(fit.unit_effects.select("node", "off", "slope"), "node").withColumn("fit", F.col("n") / (1 + F.exp(-eta)))
+    effects = fit.unit_effects.select("node", "off", "slope")
+    joined = fit.cells.join(effects, "node").withColumn("fit", F.col("n") / (1 + F.exp(-eta)))
     return joined.groupBy("model", "lev").agg(
         F.sum("k").alias("observed"), F.sum("fit").alias("fitted"),
         F.sum(F.col("saps") * F.col("k")).alias("observed_saps"), F.sum(F.col("saps") * F.col("fit")).alias("fitted_saps"),

@@ -23,11 +23,13 @@ SUMS = ["w0", "w1", "w2", "r0", "r1", "t0", "t1", "ll"]
 
 @dataclass(frozen=True)
 class Design:
-    """Which level parameters a model has. ``levels`` are positions in the common level list."""
+    """Which level parameters a model has. ``levels`` are positions in the common level list; ``flat`` are those among them
+    (by place in ``levels``) whose records all have one score."""
 
     fixed: str
     random: str
     levels: tuple[int, ...]
+    flat: tuple[int, ...] = ()
 
     def __post_init__(self):
         if self.fixed not in ("interaction", "additive"):
@@ -35,14 +37,28 @@ class Design:
         if self.random not in ("none", "intercept", "level"):
             raise ValueError("random must be 'none', 'intercept' or 'level'")
 
+    @property
+    def slope_columns(self) -> list[int | None]:
+        """Number of the slope parameter of each level.
+
+        A level with one score has no slope of its own to estimate and takes that of the first level that has one. Without
+        any such level there is no slope at all.
+        """
+        sloped = [i for i in range(len(self.levels)) if i not in self.flat]
+        if not sloped:
+            return [None] * len(self.levels)
+        if self.fixed == "additive":
+            return [0] * len(self.levels)
+        return [sloped.index(i) if i in sloped else 0 for i in range(len(self.levels))]
+
     @property
     def fixed_map(self) -> np.ndarray:
-        g = len(self.levels)
-        if self.fixed == "interaction":
-            return np.eye(2 * g)
-        m = np.zeros((2 * g, g + 1))
+        g, columns = len(self.levels), self.slope_columns
+        m = np.zeros((2 * g, g + len(set(columns) - {None})))
         m[:g, :g] = np.eye(g)
-        m[g:, g] = 1.0
+        for i, column in enumerate(columns):
+            if column is not None:
+                m[g + i, g + column] = 1.0
         return m
 
     @property
@@ -52,8 +68,7 @@ class Design:
 
     @property
     def n_fixed(self) -> int:
-        g = len(self.levels)
-        return 2 * g if self.fixed == "interaction" else g + 1
+        return self.fixed_map.shape[1]
 
     @property
     def n_random(self) -> int:

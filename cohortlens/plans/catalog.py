@@ -24,6 +24,7 @@ from cohortlens.plans.seasonal import fit_season, season_or as make_season_or
 from cohortlens.plans.subgroups import subgroup_or as make_subgroup_or
 from cohortlens.plans.year_effect import compare_with_last, fit_year_models
 from cohortlens.session import scratch_path
+from cohortlens.sources.admissions import read_admissions as read_table
 from cohortlens.sources.admissions import read_extract, write_extract, write_report
 from cohortlens.sources.lineitem_cohort import LAST_YEAR, PREVIOUS_YEAR, lineitem_admissions
 
@@ -64,6 +65,15 @@ def read_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineitem_admissions(spark, sf_dir)
 
 
+@query
+def csv_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Admissions written as text and read back with a declared schema."""
+    path = scratch_path(spark, "admissions")
+    records = lineitem_admissions(spark, sf_dir).drop("l_orderkey", "adm_date")
+    records.write.option("header", True).csv(path)
+    return read_table(spark, path, fmt="csv", schema=records.schema)
+
+
 @query
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_cells(lineitem_admissions(spark, sf_dir))

@@ -160,6 +160,7 @@ COUNTS = "count(*) AS n, CAST(sum(death) AS BIGINT) AS k"
 
 ORACLES = {
     "read_admissions": f"WITH {ADM} SELECT * FROM adm",
+    "csv_admissions": f"WITH {ADM} SELECT * EXCLUDE (l_orderkey, adm_date) FROM adm",
     "cells": f"WITH {ADM} SELECT unit_code AS unit, adm_year AS level, saps, {COUNTS} FROM adm GROUP BY 1, 2, 3",
     "subgroup_cells": f"WITH {ADM} " + " UNION ALL ".join(
         f"SELECT '{name}' AS subgroup, unit_code AS unit, adm_year AS level, saps, {COUNTS} FROM adm WHERE {rule} "

@@ -46,6 +46,11 @@ def test_cells_leave_out_incomplete_rows(records):
     ]
 
 
+def test_nan_score_counts_as_missing(records):
+    scored = records.withColumn("saps", F.when(F.col("admission_id") == "a1", F.lit(float("nan"))).otherwise(F.col("saps")))
+    assert rows_of(cells(scored).groupBy().agg(F.sum("n").alias("n")), "n") == [(4,)]
+
+
 def test_subgroup_cells_equal_filtered_cells(records):
     together = subgroup_cells(records)
     for name, (column, value) in cohort.SUBGROUPS.items():
@@ -144,3 +149,15 @@ def test_report_sink_writes_one_file(spark, records, tmp_path):
     path = tmp_path / "report"
     io.write_report(io.shown(records.select("saps", "death")).repartition(5), str(path))
     assert len(list(path.glob("part-*.csv"))) == 1
+
+
+def test_scan_reads_only_what_the_cells_need(spark, records, tmp_path):
+    path = str(tmp_path / "admissions")
+    records.write.parquet(path)
+    table = io.read_admissions(spark, path)
+    plan = cells(cohort.member_of(table, "adm_year", ["2019", "2020"]))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<unit_code:string,saps:int,death:int,adm_year:string>" in plan
+    assert "IsNotNull(unit_code)" in plan and "In(adm_year, [2019,2020])" in plan
+    assert plan.count("Exchange") == 1
+    tagged = subgroup_cells(table)._jdf.queryExecution().executedPlan().toString()
+    assert tagged.count("FileScan") == 1 and tagged.count("Exchange") == 2

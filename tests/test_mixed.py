@@ -237,6 +237,30 @@ def test_level_order_and_foreign_levels(spark, small):
         mixed.fit_mixed_logit(data, levels=["absent"])
 
 
+def test_level_with_one_score_borrows_its_slope(spark, small):
+    unit, level, saps, y = small
+    fit = mixed.fit_mixed_logit(cells(records(spark, unit, level, np.where(level == 2, 60, saps), y)), random="intercept")
+    model = fit.models["model"]
+    assert model.converged and model.n_par == 5 + 1
+    assert model.level_coef[5] == model.level_coef[3]
+    terms = [row.term for row in fit_tables.coef_table(fit).orderBy("idx").collect()]
+    assert terms == ["(Intercept)", "saps", "adm_yearL1", "adm_yearL2", "saps:adm_yearL1"]
+    for row in mixed.fitted_totals(fit).collect():
+        assert row.fitted == pytest.approx(row.observed, abs=1e-6)
+    for fixed in ("interaction", "additive"):
+        constant = mixed.fit_mixed_logit(cells(records(spark, unit, level, 0 * saps + 50, y)), fixed=fixed, random="none")
+        deaths, rows = np.bincount(level, weights=y), np.bincount(level)
+        assert constant.models["model"].level_coef == pytest.approx([*np.log(deaths / (rows - deaths)), 0, 0, 0])
+        assert fit_tables.coef_table(constant).count() == 3
+
+
+def test_level_without_deaths_is_reported_as_not_converged(spark, small):
+    """Its log odds run off to minus infinity, as in any logistic fit."""
+    unit, level, saps, y = small
+    fit = mixed.fit_mixed_logit(cells(records(spark, unit, level, saps, np.where(level == 1, 0, y))), random="none")
+    assert not fit.models["model"].converged and fit.models["model"].level_coef[1] < -20
+
+
 def test_pass_limit_is_reported(spark, small):
     fit = mixed.fit_mixed_logit(cells(records(spark, *small)), max_passes=2)
     assert not fit.models["model"].converged and fit.models["model"].passes == 2
