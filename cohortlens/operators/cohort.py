@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.session import checkpoint_dir
+from cohortlens.session import checkpoint_dir, small_table
 
 # A factor with more levels than this is not usable as a model term: the fit is quadratic in the number of levels.
 MAX_LEVELS = 500
@@ -43,8 +43,8 @@ def level_values(df: DataFrame, column: str, order: Sequence[str] | None = None)
 
 def level_table(spark: SparkSession, levels: Sequence[str]) -> DataFrame:
     """``level, idx`` with idx counted from 1 in the given order."""
-    return spark.createDataFrame(
-        [(level, idx) for idx, level in enumerate(levels, start=1)], "level string, idx int"
+    return small_table(
+        spark, [(level, idx) for idx, level in enumerate(levels, start=1)], "level string, idx int"
     )
 
 
@@ -166,7 +166,7 @@ def _positions(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, int]:
     for part in sorted(sizes):
         starts.append((part, total))
         total += sizes[part]
-    offsets = df.sparkSession.createDataFrame(starts, "_part int, _start bigint")
+    offsets = small_table(df.sparkSession, starts, "_part int, _start bigint")
     numbered = placed.join(F.broadcast(offsets), "_part").withColumn("_pos", F.col("_start") + F.col("_row"))
     return numbered.drop("_part", "_row", "_start"), total
 
@@ -189,7 +189,7 @@ def bind_by_position(
 
 def relabel(df: DataFrame, column: str, labels: Mapping[str, str], name: str = "label") -> DataFrame:
     """Report label of each level, looked up by level rather than by its place on an axis."""
-    table = df.sparkSession.createDataFrame(list(labels.items()), f"{column} string, {name} string")
+    table = small_table(df.sparkSession, list(labels.items()), f"{column} string, {name} string")
     return df.join(F.broadcast(table), column, "left").select(*df.columns, name)
 
 

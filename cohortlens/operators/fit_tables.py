@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.stats import chi_square_upper, two_sided_p
 from cohortlens.operators.mixed import FitSet, ModelFit
+from cohortlens.session import small_table
 
 
 def level_estimates(fit: FitSet) -> tuple[DataFrame, DataFrame]:
@@ -23,9 +24,9 @@ def level_estimates(fit: FitSet) -> tuple[DataFrame, DataFrame]:
                 v = model.level_cov
                 cov.append((name, i + 1, j + 1, *map(float, (v[i, j], v[i, g + j], v[g + i, j], v[g + i, g + j]))))
     return (
-        fit.spark.createDataFrame(coef, "model string, level string, idx int, a double, c double"),
-        fit.spark.createDataFrame(
-            cov, "model string, idx_a int, idx_b int, v_aa double, v_ac double, v_ca double, v_cc double"
+        small_table(fit.spark, coef, "model string, level string, idx int, a double, c double"),
+        small_table(
+        fit.spark, cov, "model string, idx_a int, idx_b int, v_aa double, v_ac double, v_ca double, v_cc double"
         ),
     )
 
@@ -62,7 +63,7 @@ def coef_table(fit: FitSet, score: str = "saps", factor: str = "adm_year") -> Da
         estimates = coding @ model.level_coef
         errors = np.sqrt(np.diag(coding @ model.level_cov @ coding.T))
         out += [(name, i + 1, t, float(e), float(s)) for i, (t, e, s) in enumerate(zip(terms, estimates, errors))]
-    table = fit.spark.createDataFrame(out, "model string, idx int, term string, estimate double, std_error double")
+    table = small_table(fit.spark, out, "model string, idx int, term string, estimate double, std_error double")
     with_z = table.withColumn("z_value", F.col("estimate") / F.col("std_error"))
     return with_z.withColumn("p_value", two_sided_p(F.col("z_value")))
 
@@ -88,8 +89,8 @@ def varcomp_table(fit: FitSet, factor: str = "adm_year", group: str = "unit_code
             for j in range(i):
                 size = sd[i] * sd[j]
                 out.append((name, group, terms[j], terms[i], float(cov[i, j]), float(cov[i, j] / size) if size else None))
-    return fit.spark.createDataFrame(
-        out, "model string, grp string, var1 string, var2 string, vcov double, sdcor double"
+    return small_table(
+        fit.spark, out, "model string, grp string, var1 string, var2 string, vcov double, sdcor double"
     )
 
 
@@ -102,8 +103,8 @@ def fit_stats(fit: FitSet) -> DataFrame:
             name, model.n_par, model.n_obs, model.n_units, model.log_lik, deviance, deviance + 2 * model.n_par,
             deviance + math.log(model.n_obs) * model.n_par, model.passes, model.converged,
         ))
-    return fit.spark.createDataFrame(
-        out,
+    return small_table(
+        fit.spark, out,
         "model string, npar int, n_obs bigint, n_units bigint, log_lik double, deviance double, aic double, bic double, "
         "passes int, converged boolean",
     )

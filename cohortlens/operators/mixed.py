@@ -33,7 +33,7 @@ from cohortlens.operators.cohort import MAX_LEVELS, level_table
 from cohortlens.operators.unit_algebra import (
     SUMS, Design, Search, Step, contribution_shapes, unit_contributions, updated_effects,
 )
-from cohortlens.session import checkpoint_dir, ship_package
+from cohortlens.session import checkpoint_dir, ship_package, small_table
 
 CELLS_PER_TASK = 1_000_000
 UNITS_PER_TASK = 4_000    # in the batched algebra, where a unit costs about levels^3 operations
@@ -246,7 +246,7 @@ def fit_fixed(
             design, g = designs[name], len(designs[name].levels)
             fixed = design.fixed_map @ found[name]["beta"]
             rows += [(name, lev, float(fixed[i]), float(fixed[g + i])) for i, lev in enumerate(design.levels)]
-        params = spark.createDataFrame(rows, "model string, lev int, a double, c double")
+        params = small_table(spark, rows, "model string, lev int, a double, c double")
         summed = _with_sums(
             pooled.join(F.broadcast(params), ["model", "lev"]).withColumn("eta", F.col("a") + F.col("c") * F.col("s")),
             ["model", "lev"],
@@ -421,8 +421,8 @@ def _start_effects(spark, coded, per_unit, plans, simple, n_levels) -> DataFrame
         off[list(design.levels)], slope[list(design.levels)] = fixed[:g], fixed[g:]
         zero = [0.0] * design.n_random
         rows.append((name, zero, zero, off.tolist(), slope.tolist()))
-    start = spark.createDataFrame(
-        rows, "model string, v array<double>, previous array<double>, off array<double>, slope array<double>"
+    start = small_table(
+        spark, rows, "model string, v array<double>, previous array<double>, off array<double>, slope array<double>"
     )
     salts = F.ceil(F.col("cells") / CELLS_PER_TASK).cast("int").alias("salts")
     return per_unit.select("model", "unit", "node", salts).join(F.broadcast(start), "model").select(EFFECT_COLUMNS)

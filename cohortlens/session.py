@@ -7,7 +7,10 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 CHECKPOINT_DIR_KEY = "spark.checkpoint.dir"
 
@@ -59,6 +62,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A table of levels or estimates held in the plan itself: its size is known to the planner, and reading it is no job."""
+    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
+    columns = [pa.array([row[i] for row in rows], type=field.type) for i, field in enumerate(schema)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=schema))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers, once per application; a no-op where it is already shipped."""
     context = spark.sparkContext
