@@ -108,10 +108,16 @@ def test_attach_dates_spreads_missing_keys(spark):
 
 
 def test_bind_by_position(spark):
-    left = spark.range(1000).select((F.col("id") * 7 % 1000).alias("a"))
-    right = spark.range(1000).select((F.col("id") * 3 % 1000).alias("b"), F.concat(F.lit("d"), F.col("id") * 3 % 1000).alias("d"))
-    bound = cohort.bind_by_position(left, right, ["a"], ["b"], "d", "date").collect()
-    assert len(bound) == 1000 and all(row.date == f"d{row.a}" for row in bound)
+    numbers = spark.range(1000)
+    left = numbers.select((F.col("id") * 7 % 1000).alias("a"))
+    right = numbers.select((F.col("id") * 3 % 1000).alias("b"), F.concat(F.lit("d"), F.col("id") * 3 % 1000).alias("d"))
+    for coalesced in ("true", "false"):       # the sorted rows in one partition and in several
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+        try:
+            bound = cohort.bind_by_position(left, right, ["a"], ["b"], "d", "date").collect()
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert len(bound) == 1000 and all(row.date == f"d{row.a}" for row in bound)
     with pytest.raises(ValueError, match="length"):
         cohort.bind_by_position(left, right.limit(10), ["a"], ["b"], "d", "date")
     with pytest.raises(ValueError, match="not unique"):
