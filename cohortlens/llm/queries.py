@@ -8,20 +8,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm.line_dedup import dedup_lines
+from cohortlens.llm.ngram_jaccard import ngram_classes
+from cohortlens.llm.toxicity import fit_severity, with_severity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity, grade and probability of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_severity(docs, _table(spark, sf_dir, "labels"))
+    return with_severity(docs, model).withColumn("rejected", (F.col("severity") > 0) & (F.length("text") > 0)).drop("text")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many of them go, and the digest of the rest."""
     kept = dedup_lines(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the size of its set of 3-word shingles and the component it is linked to at a Jaccard of 0.9."""
+    return ngram_classes(_table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 ORACLES: dict[str, str] = {
@@ -40,5 +56,31 @@ marked AS (
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op10_ngram_jaccard": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+grams AS MATERIALIZED (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END)) AS g FROM words),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n, bit_xor(hash(g)) AS h FROM grams GROUP BY doc_id),
+classes AS MATERIALIZED (SELECT n, h, min(doc_id) AS rep FROM sizes GROUP BY n, h),
+reps AS MATERIALIZED (SELECT c.rep AS doc_id, c.n FROM classes c),
+few AS MATERIALIZED (SELECT g FROM grams SEMI JOIN reps USING (doc_id) GROUP BY g HAVING count(*) > 1),
+kept AS MATERIALIZED (SELECT doc_id, g FROM grams SEMI JOIN reps USING (doc_id) SEMI JOIN few USING (g)),
+common AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM kept a JOIN kept b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT a, b FROM common JOIN reps x ON x.doc_id = a JOIN reps y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS node, doc_id AS other FROM reps
+  UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.other),
+parts AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(c.rep, d.doc_id) AS class_id,
+       coalesce(p.component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN classes c USING (n, h) LEFT JOIN parts p ON p.node = c.rep
 """,
 }

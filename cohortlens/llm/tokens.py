@@ -19,6 +19,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+# Bytes between words where only letters and digits count (bytes of other scripts do).
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 # Texts are handled in slices of about this many bytes, whatever the size of the Arrow batch; a longer text is one slice.
 SLICE_BYTES = 2 << 20
 
@@ -73,8 +75,8 @@ class Words:
     """The words of some texts: byte ranges ``start`` to ``end``, the ``row`` each is in, and ``first``: for every row its
     first word (one entry more than rows)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        solid = ~_SPACE[data]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE):
+        solid = ~between[data]
         n = len(data)
         edge = np.zeros(n + 1, dtype=bool)
         edge[offsets] = True
