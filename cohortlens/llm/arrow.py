@@ -13,7 +13,7 @@ from cohortlens.llm.shared import ship_package
 
 
 def with_arrow_columns(
-    df: DataFrame, text_col: str, added: str, compute: Callable[[pa.Array], list[pa.Array]]
+    df: DataFrame, text_col: str, added: str, compute: Callable[[pa.Array], list[pa.Array]], cast: str | None = "string"
 ) -> DataFrame:
     """``df`` with the columns of the schema ``added`` computed from the text column, batch by batch; a column that is
     there under such a name is replaced. Nothing is shuffled."""
@@ -21,11 +21,12 @@ def with_arrow_columns(
     fields = T.StructType.fromDDL(added)
     kept = [f for f in df.schema.fields if f.name not in fields.names]
     columns = [F.col(f"`{f.name}`") for f in kept]
-    if T.StructField(text_col, T.StringType()) in kept:
+    source = F.col(f"`{text_col}`")
+    if text_col in [f.name for f in kept] and (cast is None or df.schema[text_col].dataType == T.StringType()):
         place = [f.name for f in kept].index(text_col)
     else:
         place = len(kept)
-        columns.append(F.col(f"`{text_col}`").cast("string").alias("_text_in"))
+        columns.append((source.cast(cast) if cast else source).alias("_text_in"))
     frame, names, width = df.select(*columns), [f.name for f in kept] + fields.names, len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

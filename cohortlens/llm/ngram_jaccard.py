@@ -8,8 +8,9 @@ size that some partner asks for. That is a handful of deletions from a small set
 
 Heavy sets are joined by inverted lists. N-grams have a global order, frequent ones last; a set enters the lists of its
 first n - ceil(p n / 100) + 1 n-grams only, which a partner above the threshold cannot miss. A light set that a heavy one
-can still reach enters the lists as well. Lists give candidates after length and position filters; these are verified
-exactly on their whole texts.
+can still reach enters the lists as well. Lists give candidates after length and position filters. Every set also has a
+sketch of 256 bytes, one per part of the hash range; the parts that differ are a lower bound of the symmetric difference,
+which drops most false candidates without a look at their texts. The others are verified exactly on their whole texts.
 
 The boundary between light and heavy minimizes the estimated number of emitted subsets, list entries and list pairs. The
 estimate and the frequent n-grams come from a bounded sample of documents; both decide about cost only, any boundary and
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.arrow import with_arrow_columns
 from cohortlens.llm.components import connected_components
-from cohortlens.llm.shared import own_columns, stored
+from cohortlens.llm.shared import own_columns, ship_package, stored
 from cohortlens.llm.tokens import Words, mix, shingles, slices
 
 SHINGLE, PERCENT = 5, 80
@@ -40,6 +41,9 @@ SAMPLE_DOCS = 5000
 SAMPLE_FREQUENT = 5
 # Light sets have at most this many subsets each, whatever the cost estimate says.
 MOST_SUBSETS = 500
+SKETCH = 256
+# Bits of the filter that keeps most texts that no candidate needs out of the shuffle; 16 MB, whatever the input.
+FILTER_BITS = 1 << 27
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -121,7 +125,7 @@ def subset_hashes(grams: np.ndarray, percent: int) -> np.ndarray:
 class Signatures:
     """Signature columns of a batch of texts: set size, 128-bit set hash, list entries in order, subset hashes."""
 
-    ddl = "n int, h1 bigint, h2 bigint, prefix array<bigint>, subsets array<bigint>"
+    ddl = "n int, h1 bigint, h2 bigint, prefix array<bigint>, subsets array<bigint>, sketch binary"
 
     def __init__(self, size: int, percent: int, boundary: int, frequent: np.ndarray):
         self.size, self.percent, self.boundary, self.frequent = size, percent, boundary, frequent
@@ -129,8 +133,9 @@ class Signatures:
     def __call__(self, texts: pa.Array) -> list[pa.Array]:
         parts = [self._slice(data, offsets) for _, _, data, offsets in slices(texts)]
         if not parts:
-            return [pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
-        return [pa.chunked_array([part[i] for part in parts]).combine_chunks() for i in range(5)]
+            lists = pa.list_(pa.int64())
+            return [pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int64(), lists, lists, pa.binary())]
+        return [pa.chunked_array([part[i] for part in parts]).combine_chunks() for i in range(6)]
 
     def _slice(self, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
         n_rows = len(offsets) - 1
@@ -155,10 +160,17 @@ class Signatures:
         subsets = [subset_hashes(grams[first[r] : first[r + 1]], self.percent) for r in light]
         many = np.zeros(n_rows, np.int64)
         many[light] = [len(s) for s in subsets]
+        terms = mix(grams)
+        part = (terms >> np.uint64(56)).astype(np.int64)
+        cells = np.zeros(n_rows * SKETCH, np.uint8)
+        np.add.at(cells, rows * SKETCH + part, (terms & np.uint64(255)).astype(np.uint8))
+        width = pa.py_buffer((np.arange(n_rows + 1) * SKETCH).astype(np.int32))
+        sketch = pa.Array.from_buffers(pa.binary(), n_rows, [None, width, pa.py_buffer(cells)])
         return [
             pa.array(n.astype(np.int32)), pa.array(hashes[0]), pa.array(hashes[1]),
             _lists(ordered[listed], np.bincount(rows[listed], minlength=n_rows)),
             _lists(np.concatenate([np.zeros(0, np.uint64), *subsets]), many),
+            sketch,
         ]
 
 
@@ -193,11 +205,47 @@ def pair_overlap(size: int):
     return compute
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs ``a, b`` whose whole texts reach the threshold. ``texts`` has ``doc_id, text``."""
-    from cohortlens.llm.shared import ship_package
-
+def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs ``a, b`` whose sketches (``doc_id, n, sketch``) don't rule the threshold out."""
     ship_package(pairs.sparkSession)
+    side = lambda c: sketches.select(
+        F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")
+    )
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.expr("n_a + n_b"), "sketch_a", "sketch_b")
+
+    def cells(column: pa.Array) -> np.ndarray:
+        _, offsets, data = column.buffers()
+        first = np.frombuffer(offsets, np.int32)[column.offset] if len(column) else 0
+        held = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        return held[first : first + len(column) * SKETCH].reshape(len(column), SKETCH)
+
+    def run(batches):
+        for batch in batches:
+            differ = (cells(batch.column(3)) != cells(batch.column(4))).sum(axis=1)
+            keep = pa.array((100 + percent) * differ <= (100 - percent) * batch.column(2).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return both.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents (``doc_id, text``) with an id in ``ids``, and a few others: a filter of fixed size instead of a join, so
+    that no text is moved for it."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bits = ids.distinct().select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")
+    )
+    byte = F.substring("bits", F.floor(F.col("at") / 8).cast("int") + 1, F.lit(1))
+    found = docs.withColumns({"bucket": F.bitmap_bucket_number(place), "at": F.bitmap_bit_position(place)})
+    found = found.join(F.broadcast(bits), "bucket")
+    return found.where(F.getbit(F.conv(F.hex(byte), 16, 10).cast("bigint"), (F.col("at") % 8).cast("int")) == 1).select(
+        "doc_id", "text"
+    )
+
+
+def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the pairs ``a, b`` whose whole texts (``doc_id, text``) reach the threshold."""
+    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
     overlap = pair_overlap(size)
@@ -269,13 +317,15 @@ def ngram_classes(
     )
     linked = signatures.where("n > 0 and doc_id is not null")
     classes = stored(linked.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    reps = linked.join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "n", "doc_id"], "left_semi")
+    reps = linked.drop("sketch").join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "n", "doc_id"], "left_semi")
     entries = reps.select(
         F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("rep"), "n"
     ).unionByName(
         # a shared subset is proof enough, whatever its place
         reps.select(F.lit(0).alias("pos"), F.explode("subsets").alias("token"), F.col("doc_id").alias("rep"), "n")
     )
+    # one exchange serves the counts and the join with them
+    entries = entries.repartition("token")
     shared = entries.groupBy("token").agg(
         F.count(F.lit(1)).alias("members"), F.min(F.struct("pos", "rep", "n")).alias("pivot")
     ).where("members > 1").select(
@@ -289,10 +339,11 @@ def ngram_classes(
     pairs_of = lambda df: df.where("a != b").where(_fits(percent)).select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     ).distinct()
-    to_pivots = stored(pairs_of(lists), "jaccard-pairs")
     listed = lists.select(F.col("a").alias("doc_id")).distinct()
-    texts = stored(own.join(listed, "doc_id", "left_semi"), "jaccard-texts")
-    links = stored(verified(to_pivots, texts, shingle, percent), "jaccard-links")
+    sketches = stored(linked.join(listed, "doc_id", "left_semi").select("doc_id", "n", "sketch"), "jaccard-sketches")
+    to_pivots = stored(pairs_of(lists), "jaccard-pairs")
+    likely = stored(plausible(to_pivots, sketches, percent), "jaccard-likely")
+    links = stored(verified(likely, own, shingle, percent), "jaccard-links")
     # documents with several texts tie their classes together
     own_class = signatures.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
     several = own_class.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a"))
@@ -310,7 +361,8 @@ def ngram_classes(
                           F.col("c_x").alias("c_y"))
     rest = pairs_of(apart.join(others, "token").where("a > b and c_x != c_y"))
     rest = rest.join(to_pivots, ["a", "b"], "left_anti")
-    more = stored(verified(rest, texts, shingle, percent), "jaccard-more-links")
+    likely = stored(plausible(rest, sketches, percent), "jaccard-likely")
+    more = stored(verified(likely, own, shingle, percent), "jaccard-more-links")
     final = connected_components(so_far.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     return own_class.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.llm.decontaminate import benchmark_matches
 from cohortlens.llm.line_dedup import dedup_lines
 from cohortlens.llm.ngram_jaccard import ngram_classes
 from cohortlens.llm.toxicity import fit_severity, with_severity
@@ -16,11 +17,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, exactly or nearly, with the place of the best window."""
+    return benchmark_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity, grade and probability of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_severity(docs, _table(spark, sf_dir, "labels"))
-    return with_severity(docs, model).withColumn("rejected", (F.col("severity") > 0) & (F.length("text") > 0)).drop("text")
+    return with_severity(docs, model).drop("text")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +41,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op10_ngram_jaccard": op10_ngram_jaccard,

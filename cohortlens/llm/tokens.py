@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 _rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+EXACT = _rng.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE = EXACT.copy()
 _BYTE[65:91] = _BYTE[97:123]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -100,12 +101,12 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each byte range."""
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
+    """Hash of each byte range; with the table ``EXACT``, upper and lower case differ."""
     n = len(data)
     up, down = _Powers.upto(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * up[:n], out=sums[1:])
+    np.cumsum(table[data] * up[:n], out=sums[1:])
     return mix((sums[end] - sums[start]) * down[start])
 
 

@@ -23,20 +23,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.arrow import with_arrow_columns
-from cohortlens.llm.tokens import PUNCTUATION, Words, slices
+from cohortlens.llm.tokens import PUNCTUATION, Words, mix, slices, span_hashes
 
-MAX_ROWS = 8000
-BITS = 18
-OUTPUT = "expected_severity double, severity int, p_toxic double"
+MAX_ROWS = 20000
+BITS = 19
+# A word counts as a whole and by its first bytes, so that inflected and compounded forms share a feature.
+STEM_BYTES = (4, 5, 6, 7)
+OUTPUT = "expected_severity double, severity int, p_toxic double, rejected boolean"
 
 
 def word_features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed words of every text: all feature numbers, and the first of each row (one entry more than rows)."""
+    """Distinct hashed words and word beginnings of every text: all feature numbers, and the first of each row (one entry more than rows)."""
     found, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for _, _, data, offsets in slices(texts):
         words = Words(data, offsets, PUNCTUATION)
-        feature = (words.hashes() >> np.uint64(64 - bits)).astype(np.int64)
-        both = np.unique((words.row.astype(np.int64) << bits) | feature)
+        row = words.row.astype(np.int64) << bits
+        parts = [row | (words.hashes() >> np.uint64(64 - bits)).astype(np.int64)]
+        for length in STEM_BYTES:
+            longer = words.end - words.start > length
+            start = words.start[longer]
+            stem = mix(span_hashes(data, start, start + length) ^ np.uint64(length))
+            parts.append(row[longer] | (stem >> np.uint64(64 - bits)).astype(np.int64))
+        both = np.unique(np.concatenate(parts))
         found.append(both & ((1 << bits) - 1))
         counts.append(np.bincount(both >> bits, minlength=len(offsets) - 1))
     return np.concatenate(found), np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
@@ -57,12 +65,13 @@ class SeverityModel:
     weights: np.ndarray
     thresholds: np.ndarray  # ascending, one less than grades
     bits: int = BITS
+    cut: float = 0.5  # of P(grade >= 1), for rejection
 
-    def at_least(self, texts: pa.Array) -> np.ndarray:
-        """P(grade >= k) for k = 1..K, one row per text."""
+    def at_least(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """P(grade >= k) for k = 1..K, one row per text, and the number of features of each."""
         feature, first = word_features(texts, self.bits)
         score = _sums(self.weights[feature], first)
-        return _logistic(score[:, None] - self.thresholds[None, :])
+        return _logistic(score[:, None] - self.thresholds[None, :]), np.diff(first)
 
 
 def fit_ordinal(
@@ -72,29 +81,45 @@ def fit_ordinal(
     rows, top = len(grade), int(grade.max()) if len(grade) else 0
     if not top:
         return SeverityModel(np.zeros(1 << bits, np.float32), np.full(max(top, 1), 40.0), bits)
-    w = np.zeros(1 << bits)
     below = np.array([(grade < k).mean() for k in range(1, top + 1)]).clip(1e-4, 1 - 1e-4)
     theta = np.log(below / (1 - below))
-    square_w, square_t = np.full(1 << bits, 1e-10), np.full(top, 1e-10)
-    lens = np.diff(first)
-    for _ in range(steps):
+
+    def slopes(w: np.ndarray, theta: np.ndarray, feature: np.ndarray, first: np.ndarray):
+        """Derivatives of the mean negative log-likelihood by weights and thresholds."""
         score = _sums(w[feature], first)
         bound = np.concatenate([[-40.0], theta, [40.0]])
         upper, lower = _logistic(bound[grade + 1] - score), _logistic(bound[grade] - score)
         inside = np.maximum(upper - lower, 1e-12)
         d_upper, d_lower = upper * (1 - upper) / inside, lower * (1 - lower) / inside
-        # derivatives of the mean negative log-likelihood
-        g = np.bincount(feature, weights=np.repeat((d_upper - d_lower) / rows, lens), minlength=1 << bits)
-        g_theta = np.array([
-            (d_lower[grade == k + 1].sum() - d_upper[grade == k].sum()) / rows for k in range(top)
-        ])
-        square_w += g * g
-        square_t += g_theta * g_theta
-        size = 0.5 / np.sqrt(square_w)
-        w = w - size * g
-        w = np.sign(w) * np.maximum(np.abs(w) - size * penalty, 0)
-        theta = np.maximum.accumulate(theta - 0.2 * g_theta / np.sqrt(square_t))
-    return SeverityModel(w.astype(np.float32), theta, bits)
+        each = np.repeat((d_upper - d_lower) / rows, np.diff(first))
+        by_threshold = [(d_lower[grade == k + 1].sum() - d_upper[grade == k].sum()) / rows for k in range(top)]
+        return np.bincount(feature, weights=each, minlength=len(w)), np.array(by_threshold)
+
+    # words that hardly pull at the start stay at zero; the others are numbered afresh
+    start, _ = slopes(np.zeros(1 << bits), theta, feature, first)
+    alive = np.flatnonzero(np.abs(start) > penalty / 4)
+    number = np.full(1 << bits, -1)
+    number[alive] = np.arange(len(alive))
+    row = np.repeat(np.arange(rows), np.diff(first))
+    held = number[feature] >= 0
+    feature, row = number[feature[held]], row[held]
+    first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))])
+    w = np.zeros(len(alive))
+    # the second pass takes the shrinking back for the words that the first one chose
+    for shrink in (penalty, penalty / 20):
+        chosen = (w != 0) | (shrink == penalty)
+        square_w, square_t = np.full(len(alive), 1e-10), np.full(top, 1e-10)
+        for _ in range(steps):
+            g, g_theta = slopes(w, theta, feature, first)
+            square_w += g * g
+            square_t += g_theta * g_theta
+            size = 0.5 / np.sqrt(square_w)
+            w = w - size * g
+            w = np.sign(w) * np.maximum(np.abs(w) - size * shrink, 0) * chosen
+            theta = np.maximum.accumulate(theta - 0.2 * g_theta / np.sqrt(square_t))
+    weights = np.zeros(1 << bits, np.float32)
+    weights[alive] = w
+    return SeverityModel(weights, theta, bits)
 
 
 def severity_grades(toxic: np.ndarray, feature: np.ndarray, first: np.ndarray, bits: int, bands: int = 3) -> np.ndarray:
@@ -110,6 +135,17 @@ def severity_grades(toxic: np.ndarray, feature: np.ndarray, first: np.ndarray, b
     return np.where(bad, 1 + sum((hits > cut).astype(int) for cut in cuts), 0).astype(np.int64)
 
 
+def calibrated_cut(p: np.ndarray, bad: np.ndarray) -> float:
+    """The cut of P(grade >= 1) with the best F score on the fitted rows, in the middle of the gap it falls in."""
+    order = np.argsort(-p, kind="stable")
+    p, bad = p[order], bad[order]
+    hits = np.cumsum(bad)
+    score = 2 * hits / (np.arange(1, len(p) + 1) + bad.sum())
+    last = np.append(p[1:] < p[:-1], True)  # equal scores fall on one side
+    best = int(np.argmax(np.where(last, score, -1)))
+    return float((p[best] + (p[best + 1] if best + 1 < len(p) else 0)) / 2)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     """``doc_id, text, toxic`` of at most ``max_rows`` labelled documents in the order of a hash, equal texts once.
     ``docs`` has ``doc_id, text``."""
@@ -132,11 +168,17 @@ def fit_severity(
     ).select("doc_id", "toxic", "text_hash", "features")
     rows = sample.toPandas().sort_values(["text_hash", "doc_id"]).drop_duplicates("text_hash")
     if not len(rows):
-        return fit_ordinal(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), bits)
+        return SeverityModel(np.zeros(1 << bits, np.float32), np.full(1, 40.0), bits, 1.0)
     feature = np.concatenate([np.asarray(x, np.int64) for x in rows["features"]])
     first = np.concatenate([[0], np.cumsum([len(x) for x in rows["features"]])]).astype(np.int64)
     grade = severity_grades(rows["toxic"].to_numpy(), feature, first, bits, bands)
-    return fit_ordinal(feature, first, grade, bits)
+    model = fit_ordinal(feature, first, grade, bits)
+    if (grade > 0).any() and (grade == 0).any():
+        score = _sums(model.weights[feature], first)
+        model.cut = calibrated_cut(_logistic(score - model.thresholds[0]), grade > 0)
+    else:
+        model.cut = 1.0
+    return model
 
 
 def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
@@ -145,12 +187,16 @@ def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
 
 def with_severity(docs: DataFrame, model: SeverityModel, text_col: str = "text") -> DataFrame:
     """The documents with ``expected_severity``, ``severity`` (the likeliest grade bound: how many of P(grade >= k) are
-    over a half) and ``p_toxic`` = P(grade >= 1)."""
+    over a half), ``p_toxic`` = P(grade >= 1) and ``rejected``: ``p_toxic`` over the calibrated cut, and there is a word."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def compute(texts: pa.Array) -> list[pa.Array]:
-        p = shared.value.at_least(texts)
-        return [pa.array(p.sum(axis=1)), pa.array((p > 0.5).sum(axis=1).astype(np.int32)), pa.array(p[:, 0].copy())]
+        model = shared.value
+        p, words = model.at_least(texts)
+        return [
+            pa.array(p.sum(axis=1)), pa.array((p > 0.5).sum(axis=1).astype(np.int32)), pa.array(p[:, 0].copy()),
+            pa.array((p[:, 0] > model.cut) & (words > 0)),
+        ]
 
     return with_arrow_columns(docs, text_col, OUTPUT, compute)
 
@@ -158,12 +204,13 @@ def with_severity(docs: DataFrame, model: SeverityModel, text_col: str = "text")
 def keep_clean(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS
 ) -> DataFrame:
-    """The documents whose severity is zero, with their own columns."""
+    """The documents that are not rejected, with their own columns."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     model = fit_severity(own, labels, max_rows)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = with_arrow_columns(
-        docs, text_col, "_p_toxic double", lambda texts: [pa.array(shared.value.at_least(texts)[:, 0].copy())]
-    )
-    empty = F.coalesce(F.length(F.trim(F.col(text_col))), F.lit(0)) == 0
-    return scored.where((F.col("_p_toxic") <= 0.5) | empty).drop("_p_toxic")
+
+    def compute(texts: pa.Array) -> list[pa.Array]:
+        p, words = shared.value.at_least(texts)
+        return [pa.array((p[:, 0] > shared.value.cut) & (words > 0))]
+
+    return with_arrow_columns(docs, text_col, "_rejected boolean", compute).where("NOT _rejected").drop("_rejected")
