@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.arrow import with_arrow_columns
 from cohortlens.llm.components import connected_components
+from cohortlens.llm.idfilter import perhaps_with, without
 from cohortlens.llm.shared import own_columns, ship_package, stored
 from cohortlens.llm.tokens import Words, mix, shingles, slices
 
@@ -42,8 +43,6 @@ SAMPLE_FREQUENT = 5
 # Light sets have at most this many subsets each, whatever the cost estimate says.
 MOST_SUBSETS = 500
 SKETCH = 256
-# Bits of the filter that keeps most texts that no candidate needs out of the shuffle; 16 MB, whatever the input.
-FILTER_BITS = 1 << 27
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -228,24 +227,9 @@ def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents (``doc_id, text``) with an id in ``ids``, and a few others: a filter of fixed size instead of a join, so
-    that no text is moved for it."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bits = ids.distinct().select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")
-    )
-    byte = F.substring("bits", F.floor(F.col("at") / 8).cast("int") + 1, F.lit(1))
-    found = docs.withColumns({"bucket": F.bitmap_bucket_number(place), "at": F.bitmap_bit_position(place)})
-    found = found.join(F.broadcast(bits), "bucket")
-    return found.where(F.getbit(F.conv(F.hex(byte), 16, 10).cast("bigint"), (F.col("at") % 8).cast("int")) == 1).select(
-        "doc_id", "text"
-    )
-
-
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the pairs ``a, b`` whose whole texts (``doc_id, text``) reach the threshold."""
-    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    texts = perhaps_with(docs, "doc_id", pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
     overlap = pair_overlap(size)
@@ -368,3 +352,13 @@ def ngram_classes(
         "doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"),
         F.coalesce("component", "rep", "doc_id").alias("component_id"),
     )
+
+
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
+    """The documents that are the smallest of their component, with all their columns; rows that share such an id all stay,
+    and so do rows without an id."""
+    classes = ngram_classes(docs, id_col, text_col, shingle, percent)
+    gone = stored(classes.where("component_id < doc_id").select("doc_id").distinct(), "jaccard-gone")
+    return without(docs, id_col, gone)

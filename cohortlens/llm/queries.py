@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm.decontaminate import benchmark_matches
+from cohortlens.llm.language_id import fit_languages, with_languages
 from cohortlens.llm.line_dedup import dedup_lines
 from cohortlens.llm.ngram_jaccard import ngram_classes
+from cohortlens.llm.sentencepieces import with_decoded, with_pieces
+from cohortlens.llm.suffix_tree import fit_suffix_tree, score_texts
+from cohortlens.llm.shared import crc_remainder
 from cohortlens.llm.toxicity import fit_severity, with_severity
 
 
@@ -35,6 +39,35 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and suffix-tree log10 probabilities of every whole text; a seventh of the documents is held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_remainder(F.col("doc_id"), 7) == 2
+    tree, counts = fit_suffix_tree(docs.where(~held_out))
+    return score_texts(docs, tree, counts).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tree.tokens).cast("bigint").alias("train_tokens"),
+        "base_score", "score",
+    )
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every whole text, learned from four fifths of the documents."""
+    docs = _table(spark, sf_dir, "documents")
+    learned = crc_remainder(F.col("doc_id"), 5)
+    model = fit_languages(docs.select("doc_id", "lang", "text").where(learned != 0))
+    return with_languages(docs.select("doc_id", "text"), model).select(
+        "doc_id", (learned == 0).alias("held_out"), "lang_pred", "score", "cross_entropy", "accepted"
+    )
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and whether decoding them gives the text again."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_decoded(with_pieces(docs)).select(
+        "doc_id", "n_tokens", "token_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip")
+    )
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: the size of its set of 3-word shingles and the component it is linked to at a Jaccard of 0.9."""
     return ngram_classes(_table(spark, sf_dir, "documents"), shingle=3, percent=90)
@@ -44,6 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
+    "op7_suffix_tree": op7_suffix_tree,
+    "op8_language_id": op8_language_id,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
