@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from cohortlens.llm.decontaminate import benchmark_matches
 from cohortlens.llm.language_id import fit_languages, with_languages
 from cohortlens.llm.line_dedup import dedup_lines
+from cohortlens.llm.merkle import with_edits
 from cohortlens.llm.ngram_jaccard import ngram_classes
 from cohortlens.llm.sentencepieces import with_decoded, with_pieces
 from cohortlens.llm.suffix_tree import fit_suffix_tree, score_texts
 from cohortlens.llm.shared import crc_remainder
+from cohortlens.llm.warc import index_archive, read_archive, write_archive
 from cohortlens.llm.toxicity import fit_severity, with_severity
 
 
@@ -26,6 +28,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages as WARC records, index them, and read them back by way of the index."""
+    archive = index_archive(spark, write_archive(_table(spark, sf_dir, "pages")))
+    return read_archive(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity, grade and probability of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -39,6 +47,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text, of the text with its last third replaced, and how alike they are."""
+    return with_edits(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        "near_edited", "near_next", F.size("edited_at").alias("edited_paragraphs"),
+    )
+
+
 def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and suffix-tree log10 probabilities of every whole text; a seventh of the documents is held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -75,8 +91,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
+    "op5_fingerprints": op5_fingerprints,
     "op7_suffix_tree": op7_suffix_tree,
     "op8_language_id": op8_language_id,
     "op9_sentencepiece": op9_sentencepiece,
@@ -84,6 +102,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (
+  SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+         list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (((('0x' || substr(h, 1 + 10 * (i // 8), 10))::BIGINT >> (5 * (7 - i % 8))) & 31) + 1)::INT, 1)
+           FOR i IN range(0, 32)], 'string_agg', '') AS payload_digest
+  FROM p),
+k AS (SELECT payload_digest, payload_bytes, max(page_id) AS keeper FROM d GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM d JOIN k USING (payload_digest, payload_bytes)
+""",
     "op4_line_dedup": r"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 pos AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM docs),
@@ -99,6 +131,30 @@ marked AS (
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op5_fingerprints": r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+pairs AS (
+  SELECT doc_id, t, n, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nt FROM docs),
+edits AS (SELECT doc_id, t, n, nt, substr(t, 1, n - n // 3) || substr(nt, 1, n // 3) AS e FROM pairs),
+paras AS (
+  SELECT doc_id, n, e, nt, t, [sha256(p) FOR p IN string_split(t, chr(10))] AS d,
+         [sha256(p) FOR p IN string_split(e, chr(10))] AS ed FROM edits),
+sects AS (
+  SELECT *, [sha256(s) FOR s IN string_split(array_to_string([x || CASE WHEN x[1] IN ('0', '1') THEN '|' ELSE ' ' END FOR x IN d], ''), '|') IF s <> ''] AS s,
+         [sha256(s) FOR s IN string_split(array_to_string([x || CASE WHEN x[1] IN ('0', '1') THEN '|' ELSE ' ' END FOR x IN ed], ''), '|') IF s <> ''] AS es
+  FROM paras),
+pieces AS (
+  SELECT *, list_distinct(flatten([regexp_extract_all(p, '(?s).{1,40}[^ \t\n\x0B\f\r]*[ \t\n\x0B\f\r]*') FOR p IN string_split(t, chr(10))])) AS a,
+         list_distinct(flatten([regexp_extract_all(p, '(?s).{1,40}[^ \t\n\x0B\f\r]*[ \t\n\x0B\f\r]*') FOR p IN string_split(e, chr(10))])) AS b,
+         list_distinct(flatten([regexp_extract_all(p, '(?s).{1,40}[^ \t\n\x0B\f\r]*[ \t\n\x0B\f\r]*') FOR p IN string_split(nt, chr(10))])) AS c
+  FROM sects)
+SELECT doc_id, n::BIGINT AS n_chars, sha256(e) AS edited_sha256, sha256(array_to_string(s, ' ')) AS fingerprint,
+       sha256(array_to_string(es, ' ')) AS edited_fingerprint,
+       CASE WHEN greatest(len(a), len(b)) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / greatest(len(a), len(b)) END AS near_edited,
+       CASE WHEN greatest(len(a), len(c)) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a, c))::DOUBLE / greatest(len(a), len(c)) END AS near_next,
+       CASE WHEN s = es THEN 0 ELSE len([x FOR x IN ed IF NOT list_contains(d, x)]) END::INT AS edited_paragraphs
+FROM pieces
 """,
     "op10_ngram_jaccard": r"""
 WITH RECURSIVE words AS (
