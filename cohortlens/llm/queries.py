@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.decontaminate import benchmark_matches
 from cohortlens.llm.language_id import fit_languages, with_languages
+from cohortlens.llm.license_scan import license_matches
 from cohortlens.llm.line_dedup import dedup_lines
 from cohortlens.llm.merkle import with_edits
 from cohortlens.llm.ngram_jaccard import ngram_classes
@@ -55,6 +56,11 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence rules that match in the documents."""
+    return license_matches(_table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and suffix-tree log10 probabilities of every whole text; a seventh of the documents is held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -95,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_fingerprints": op5_fingerprints,
+    "op6_licenses": op6_licenses,
     "op7_suffix_tree": op7_suffix_tree,
     "op8_language_id": op8_language_id,
     "op9_sentencepiece": op9_sentencepiece,

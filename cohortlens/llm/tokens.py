@@ -50,6 +50,9 @@ class _Powers:
         return cls.up, cls.down
 
 
+powers = _Powers.upto
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
