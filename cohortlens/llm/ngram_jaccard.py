@@ -6,10 +6,11 @@ Light sets (few n-grams) are joined by fixed-size subsets: two sets of sizes a a
 share a subset of c(a, b) = ceil(p (a + b) / (100 + p)) n-grams, so every light set emits the hashes of its subsets of each
 size that some partner asks for. That is a handful of deletions from a small set.
 
-Heavy sets are joined by inverted lists. N-grams have a global order, frequent ones last; a set enters the lists of its
+Heavy sets are joined by inverted lists. N-grams have a global order, rare ones first: those found often in a sample of
+documents come last, the others by the frequency that the sample's counts of their words let expect; a set enters the lists of its
 first n - ceil(p n / 100) + 1 n-grams only, which a partner above the threshold cannot miss. A light set that a heavy one
 can still reach enters the lists as well. Lists give candidates after length and position filters. Every set also has a
-sketch of 256 bytes, one per part of the hash range; the parts that differ are a lower bound of the symmetric difference,
+sketch of a byte per part of the hash range, with about half as many parts as n-grams; the parts that differ are a lower bound of the symmetric difference,
 which drops most false candidates without a look at their texts. The others are verified exactly on their whole texts.
 
 The boundary between light and heavy minimizes the estimated number of emitted subsets, list entries and list pairs. The
@@ -42,18 +43,27 @@ SAMPLE_DOCS = 5000
 SAMPLE_FREQUENT = 5
 # Light sets have at most this many subsets each, whatever the cost estimate says.
 MOST_SUBSETS = 500
+# Least number of parts of a sketch.
 SKETCH = 256
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
-def distinct_ngrams(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-gram hashes, sorted by row and hash, and their rows. A text of fewer words is one n-gram as a whole."""
+def distinct_ngrams(
+    data: np.ndarray, offsets: np.ndarray, size: int, word_class=None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, distinct n-gram hashes (sorted by row and hash) and the sums of their words' classes. A text of fewer words is
+    one n-gram as a whole, of class 0. ``word_class`` maps word hashes to classes."""
     words = Words(data, offsets)
     hashes = words.hashes()
     gram, whole = shingles(hashes, words.first, size)
+    classes = np.zeros(len(gram), np.int16)
+    if word_class is not None:
+        each = word_class(hashes)
+        for k in range(size):
+            classes[: len(each) - k] += each[k:]
     counts = np.diff(words.first)
     short = np.flatnonzero((counts > 0) & (counts < size))
-    rows, grams = words.row[whole], gram[whole]
+    rows, grams, classes = words.row[whole], gram[whole], classes[whole]
     if len(short):
         ends = []
         for row in short:
@@ -62,12 +72,18 @@ def distinct_ngrams(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[n
                 value = mix(np.array([value ^ h]))[0]
             ends.append(value)
         rows, grams = np.concatenate([rows, short]), np.concatenate([grams, np.array(ends, np.uint64)])
+        classes = np.concatenate([classes, np.zeros(len(short), np.int16)])
     order = np.argsort(grams)
     order = order[np.argsort(rows[order].astype(np.int32), kind="stable")]
     rows, grams = rows[order], grams[order]
     new = np.ones(len(rows), dtype=bool)
     new[1:] = (rows[1:] != rows[:-1]) | (grams[1:] != grams[:-1])
-    return rows[new], grams[new]
+    return rows[new], grams[new], classes[order][new]
+
+
+def sketch_cells(n: np.ndarray) -> np.ndarray:
+    """Parts of the sketch of a set of n n-grams: a power of two, half of n at least."""
+    return 2 ** np.ceil(np.log2(np.maximum(n / 2, SKETCH))).astype(np.int64)
 
 
 def needed(a: int, b: int, percent: int) -> int:
@@ -126,8 +142,9 @@ class Signatures:
 
     ddl = "n int, h1 bigint, h2 bigint, prefix array<bigint>, subsets array<bigint>, sketch binary"
 
-    def __init__(self, size: int, percent: int, boundary: int, frequent: np.ndarray):
-        self.size, self.percent, self.boundary, self.frequent = size, percent, boundary, frequent
+    def __init__(self, size: int, percent: int, plan: "Plan"):
+        self.size, self.percent, self.boundary, self.frequent = size, percent, plan.boundary, plan.frequent
+        self.plan = plan
 
     def __call__(self, texts: pa.Array) -> list[pa.Array]:
         parts = [self._slice(data, offsets) for _, _, data, offsets in slices(texts)]
@@ -138,20 +155,19 @@ class Signatures:
 
     def _slice(self, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
         n_rows = len(offsets) - 1
-        rows, grams = distinct_ngrams(data, offsets, self.size)
+        rows, grams, classes = distinct_ngrams(data, offsets, self.size, self.plan.word_class)
         n = np.bincount(rows, minlength=n_rows)
         first = np.concatenate([[0], np.cumsum(n)])
         hashes = []
         for salt in (np.uint64(1), _SALT):
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams ^ salt), dtype=np.uint64)])
             hashes.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
-        # frequent n-grams last
-        ordered = grams
+        # rare n-grams first
         if len(self.frequent) and len(grams):
             at = np.minimum(np.searchsorted(self.frequent, grams), len(self.frequent) - 1)
-            late = self.frequent[at] == grams
-            if late.any():
-                ordered = grams[np.argsort(rows.astype(np.int64) * 2 + late, kind="stable")]
+            classes = np.where(self.frequent[at] == grams, np.int16(1000), classes)
+        by_class = np.argsort(classes, kind="stable")
+        ordered = grams[by_class[np.argsort(rows[by_class].astype(np.int32), kind="stable")]]
         place = np.arange(len(rows)) - first[rows]
         smallest = -(-self.percent * (self.boundary + 1) // 100)
         listed = (place < prefix_length(n, self.percent)[rows]) & (n[rows] >= smallest)
@@ -160,11 +176,14 @@ class Signatures:
         many = np.zeros(n_rows, np.int64)
         many[light] = [len(s) for s in subsets]
         terms = mix(grams)
-        part = (terms >> np.uint64(56)).astype(np.int64)
-        cells = np.zeros(n_rows * SKETCH, np.uint8)
-        np.add.at(cells, rows * SKETCH + part, (terms & np.uint64(255)).astype(np.uint8))
-        width = pa.py_buffer((np.arange(n_rows + 1) * SKETCH).astype(np.int32))
-        sketch = pa.Array.from_buffers(pa.binary(), n_rows, [None, width, pa.py_buffer(cells)])
+        cells = sketch_cells(n)
+        begin = np.concatenate([[0], np.cumsum(cells)])
+        part = (terms >> (np.uint64(64) - np.log2(cells).astype(np.uint64)[rows])).astype(np.int64)
+        held = np.bincount(begin[rows] + part, weights=(terms & np.uint64(255)).astype(np.float64), minlength=begin[-1])
+        held = (held.astype(np.int64) & 255).astype(np.uint8)
+        sketch = pa.Array.from_buffers(
+            pa.binary(), n_rows, [None, pa.py_buffer(begin.astype(np.int32)), pa.py_buffer(held)]
+        )
         return [
             pa.array(n.astype(np.int32)), pa.array(hashes[0]), pa.array(hashes[1]),
             _lists(ordered[listed], np.bincount(rows[listed], minlength=n_rows)),
@@ -184,10 +203,10 @@ def pair_overlap(size: int):
     def compute(texts_a: pa.Array, texts_b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         inter, union = np.zeros(len(texts_a), np.int64), np.zeros(len(texts_a), np.int64)
         for lo, hi, data, offsets in slices(texts_a):
-            rows_a, grams_a = distinct_ngrams(data, offsets, size)
+            rows_a, grams_a, _ = distinct_ngrams(data, offsets, size)
             rows_b, grams_b = [], []
             for lo_b, _, data_b, offsets_b in slices(texts_b.slice(lo, hi - lo)):
-                r, g = distinct_ngrams(data_b, offsets_b, size)
+                r, g, _ = distinct_ngrams(data_b, offsets_b, size)
                 rows_b.append(r + lo_b)
                 grams_b.append(g)
             rows = np.concatenate([rows_a, *rows_b])
@@ -204,6 +223,16 @@ def pair_overlap(size: int):
     return compute
 
 
+def parts_that_differ(x, y) -> int:
+    """Parts in which two sketches differ; the finer one is folded to the parts of the other."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) < len(y):
+        y = y.reshape(len(x), -1).sum(axis=1, dtype=np.uint8)
+    return int(np.count_nonzero(x != y))
+
+
 def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs ``a, b`` whose sketches (``doc_id, n, sketch``) don't rule the threshold out."""
     ship_package(pairs.sparkSession)
@@ -212,16 +241,11 @@ def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     )
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.expr("n_a + n_b"), "sketch_a", "sketch_b")
 
-    def cells(column: pa.Array) -> np.ndarray:
-        _, offsets, data = column.buffers()
-        first = np.frombuffer(offsets, np.int32)[column.offset] if len(column) else 0
-        held = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-        return held[first : first + len(column) * SKETCH].reshape(len(column), SKETCH)
-
     def run(batches):
         for batch in batches:
-            differ = (cells(batch.column(3)) != cells(batch.column(4))).sum(axis=1)
-            keep = pa.array((100 + percent) * differ <= (100 - percent) * batch.column(2).to_numpy(zero_copy_only=False))
+            total = batch.column(2).to_numpy(zero_copy_only=False)
+            differ = np.array([parts_that_differ(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(3), batch.column(4))], np.int64)
+            keep = pa.array((100 + percent) * differ <= (100 - percent) * total)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
@@ -243,36 +267,60 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _cost_sample(docs: DataFrame, size: int, percent: int, sample_docs: int) -> tuple[np.ndarray, int]:
-    """Frequent n-grams (sorted) and the boundary, from at most about ``sample_docs`` documents."""
+class Plan:
+    """What the sample tells: the light boundary, the frequent n-grams, and classes of words by frequency (rare: 0)."""
+
+    def __init__(self, boundary: int = 0, frequent: np.ndarray | None = None, words: np.ndarray | None = None, times: np.ndarray | None = None):
+        none = np.zeros(0, np.uint64)
+        self.boundary, self.frequent = boundary, none if frequent is None else frequent
+        self.words = none if words is None else words
+        self.classes = np.zeros(0, np.int16) if times is None else np.log2(times).astype(np.int16)
+
+    def word_class(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(hashes), np.int16)
+        distinct, which = np.unique(hashes, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.words, distinct), len(self.words) - 1)
+        return np.where(self.words[at] == distinct, self.classes[at], np.int16(0))[which]
+
+
+def _plan(docs: DataFrame, size: int, percent: int, sample_docs: int) -> Plan:
+    """From at most about ``sample_docs`` documents, which also bounds what is collected here."""
     rows = docs.count()
     if not rows:
-        return np.zeros(0, np.uint64), 0
+        return Plan()
     share = min(1.0, sample_docs / rows)
     drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
-    def grams(texts: pa.Array) -> list[pa.Array]:
+    def found(texts: pa.Array) -> list[pa.Array]:
         parts = []
         for _, _, data, offsets in slices(texts):
-            r, g = distinct_ngrams(data, offsets, size)
-            parts.append(_lists(g, np.bincount(r, minlength=len(offsets) - 1)))
-        return [pa.chunked_array(parts, type=pa.list_(pa.int64())).combine_chunks()]
+            r, g, _ = distinct_ngrams(data, offsets, size)
+            rw, w, _ = distinct_ngrams(data, offsets, 1)
+            rows = len(offsets) - 1
+            parts.append((_lists(g, np.bincount(r, minlength=rows)), _lists(w, np.bincount(rw, minlength=rows))))
+        return [pa.chunked_array([p[i] for p in parts], type=pa.list_(pa.int64())).combine_chunks() for i in (0, 1)]
 
     sampled = stored(
-        with_arrow_columns(drawn, "text", "grams array<bigint>", grams).select("grams"), "jaccard-sample"
+        with_arrow_columns(drawn, "text", "grams array<bigint>, words array<bigint>", found).select("grams", "words"), "jaccard-sample"
     )
     sizes = sampled.groupBy(F.least(F.size("grams"), F.lit(1000)).alias("n")).count().collect()
-    counted = stored(
-        sampled.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c")), "jaccard-counted"
-    )
-    # bounded by the n-grams of the sample
-    frequent = counted.where(F.col("c") >= SAMPLE_FREQUENT).select("g").toArrow().column(0)
-    frequent = np.sort(np.asarray(frequent.to_numpy(), np.int64).view(np.uint64))
+    counted = lambda c: sampled.select(F.explode(c).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    grams = stored(counted("grams"), "jaccard-counted")
+
+    def hashes(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        table = df.toArrow()
+        h = table.column("g").to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(h)
+        return h[order], table.column("c").to_numpy().astype(np.int64)[order]
+
+    frequent, _ = hashes(grams.where(F.col("c") >= SAMPLE_FREQUENT))
+    words, times = hashes(counted("words").where("c > 1"))
     counts = np.repeat([r["n"] for r in sizes], [r["count"] for r in sizes]).astype(np.int64)
     # other documents that a rarer n-gram has on average, carried over from the sample to the table
-    rare = counted.where(F.col("c") < SAMPLE_FREQUENT).agg(F.sum(F.col("c") * (F.col("c") - 1)), F.sum("c")).first()
+    rare = grams.where(F.col("c") < SAMPLE_FREQUENT).agg(F.sum(F.col("c") * (F.col("c") - 1)), F.sum("c")).first()
     list_length = (rare[0] or 0) / max(rare[1] or 0, 1) / max(share, 1e-9)
-    return frequent, choose_boundary(counts[counts > 0], list_length, percent)
+    return Plan(choose_boundary(counts[counts > 0], list_length, percent), frequent, words, times)
 
 
 def _fits(percent: int) -> Column:
@@ -294,11 +342,9 @@ def ngram_classes(
     results. Other columns of ``docs`` are not looked at.
     """
     own = own_columns(docs, id_col, text_col)
-    frequent, boundary = _cost_sample(own, shingle, percent, sample_docs)
-    signatures = stored(
-        with_arrow_columns(own, "text", Signatures.ddl, Signatures(shingle, percent, boundary, frequent)).drop("text"),
-        "jaccard-signatures",
-    )
+    plan = own.sparkSession.sparkContext.broadcast(_plan(own, shingle, percent, sample_docs))
+    signed = with_arrow_columns(own, "text", Signatures.ddl, lambda texts: Signatures(shingle, percent, plan.value)(texts))
+    signatures = stored(signed.drop("text"), "jaccard-signatures")
     linked = signatures.where("n > 0 and doc_id is not null")
     classes = stored(linked.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     reps = linked.drop("sketch").join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "n", "doc_id"], "left_semi")
