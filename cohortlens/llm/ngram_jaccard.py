@@ -60,7 +60,7 @@ def distinct_ngrams(
     if word_class is not None:
         each = word_class(hashes)
         for k in range(size):
-            classes[: len(each) - k] += each[k:]
+            classes[: max(len(each) - k, 0)] += each[k:]
     counts = np.diff(words.first)
     short = np.flatnonzero((counts > 0) & (counts < size))
     rows, grams, classes = words.row[whole], gram[whole], classes[whole]

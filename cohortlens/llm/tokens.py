@@ -119,7 +119,7 @@ def shingles(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
     out = np.zeros(n, dtype=np.uint64)
     for k in range(size):
         factor = np.uint64(_BYTE[200 + k % 56])
-        out[: n - k] += words[k:] * factor
+        out[: max(n - k, 0)] += words[k:] * factor
         out = mix(out) if k + 1 < size else out
     ends = np.repeat(first[1:], np.diff(first))
     return mix(out), np.arange(n) + size <= ends
