@@ -10,9 +10,6 @@ from pyspark.sql import types as T
 
 from cohortlens.session import checkpoint_dir, small_table
 
-# A factor with more levels than this is not usable as a model term: the fit is quadratic in the number of levels.
-MAX_LEVELS = 500
-
 # Subgroup name -> (column, value); fixed values.
 SUBGROUPS = {
     "surg": ("adm_type", "eSurgery"),
@@ -25,22 +22,6 @@ SUBGROUPS = {
 }
 
 
-def level_values(df: DataFrame, column: str, order: Sequence[str] | None = None) -> list[str]:
-    """Levels of a factor that occur in the data, in the given order or else sorted as text.
-
-    ``distinct`` combines map-side, so every task ships each level once. The number of levels is checked before they
-    reach the driver.
-    """
-    found = df.select(F.col(column).cast("string").alias("level")).where("level is not null").distinct()
-    values = [row["level"] for row in found.limit(MAX_LEVELS + 1).collect()]
-    if len(values) > MAX_LEVELS:
-        raise ValueError(f"{column} has more than {MAX_LEVELS} levels and cannot serve as a factor")
-    if order is None:
-        return sorted(values)
-    present = set(values)
-    return [level for level in order if level in present]
-
-
 def level_table(spark: SparkSession, levels: Sequence[str]) -> DataFrame:
     """``level, idx`` with idx counted from 1 in the given order."""
     return small_table(
@@ -49,8 +30,18 @@ def level_table(spark: SparkSession, levels: Sequence[str]) -> DataFrame:
 
 
 def used_levels(df: DataFrame, column: str, order: Sequence[str] | None = None) -> DataFrame:
-    """Level table without the levels that do not occur, numbered afresh."""
-    return level_table(df.sparkSession, level_values(df, column, order))
+    """``level, idx`` of the levels that occur in the data, in the given order or else sorted as text, numbered from 1.
+
+    ``distinct`` combines map-side, so every task ships each level once; nothing is collected. The numbering is a window
+    over the levels alone.
+    """
+    found = df.select(F.col(column).cast("string").alias("level")).where("level is not null").distinct()
+    if order is None:
+        numbered = Window.orderBy("level")
+    else:
+        found = level_table(df.sparkSession, order).join(found, "level", "left_semi")
+        numbered = Window.orderBy("idx")
+    return found.select("level", F.row_number().over(numbered).alias("idx"))
 
 
 def as_factor(df: DataFrame, column: str, levels: DataFrame) -> DataFrame:
@@ -115,31 +106,23 @@ def attach_dates(
 ) -> DataFrame:
     """Bind the admission date from a second table by key; admissions without a date stay, with a null.
 
-    The dates must have one row per key, and so must the admissions unless ``one_to_one`` is off. With it on, both checks
-    ride on the exchanges of the join itself and fail the job that reads the date. With it off a key may repeat on the
-    left without bound: the dates are checked in a job of their own, and the join is left in the shape that adaptive
-    execution can split at a hot key. A null key matches nothing but would gather its rows in one task: such rows are
-    spread by a hash of their other columns.
+    The dates must have one row per key, and so must the admissions unless ``one_to_one`` is off; a repeated key fails the
+    job that reads the date. Both checks are counts per key on the exchanges that the join needs anyway. A null key matches
+    nothing, so such rows don't take part in the join and stay in their tasks.
     """
-    others = [c for c in admissions.columns if c != key]
-    buckets = F.pmod(F.xxhash64(*others), F.lit(4096)) if others else F.lit(0)
-    spread = F.when(F.col(key).isNull(), buckets).otherwise(F.lit(0)).cast("bigint")
-    # always zero, but not a literal: the planner would take a literal out of the join key and undo the spreading
-    zero = F.pmod(F.xxhash64(key), F.lit(1)).cast("bigint")
-    left = admissions.withColumn("_spread", spread)
-    right = dates.where(F.col(key).isNotNull()).select(key, zero.alias("_spread"), F.col(date).cast("date").alias(name))
-    found = F.col(name)
+    bound = dates.where(F.col(key).isNotNull()).select(key, F.col(date).cast("date").alias(name)).groupBy(key).agg(
+        F.count(F.lit(1)).alias("_dates"), F.first(name).alias(name)
+    )
+    keyed = admissions.where(F.col(key).isNotNull())
+    found = F.when(F.col("_dates") > 1, _failed(f"dates: {key} is not unique")).otherwise(F.col(name))
     if one_to_one:
-        right = right.groupBy(key, "_spread").agg(F.count(F.lit(1)).alias("_dates"), F.first(name).alias(name))
-        left = left.withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy(key, "_spread")))
-        found = (
-            F.when(F.col("_dates") > 1, _failed(f"dates: {key} is not unique"))
-            .when(F.col(key).isNotNull() & (F.col("_copies") > 1), _failed(f"admissions: {key} is not unique"))
-            .otherwise(found)
-        )
-    else:
-        _require_unique(dates, [key], "dates")
-    return left.join(right, [key, "_spread"], "left").select(*admissions.columns, found.alias(name))
+        copies = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_copies"))
+        bound = copies.join(bound, key, "left")
+        found = F.when(F.col("_copies") > 1, _failed(f"admissions: {key} is not unique")).otherwise(found)
+    joined = keyed.join(bound, key, "left").select(*admissions.columns, found.alias(name))
+    return joined.unionAll(
+        admissions.where(F.col(key).isNull()).select(*admissions.columns, F.lit(None).cast("date").alias(name))
+    )
 
 
 def _failed(message: str) -> Column:
@@ -187,10 +170,12 @@ def bind_by_position(
     return mine.join(other.select("_pos", F.col(column).alias(name)), "_pos").drop("_pos")
 
 
-def relabel(df: DataFrame, column: str, labels: Mapping[str, str], name: str = "label") -> DataFrame:
-    """Report label of each level, looked up by level rather than by its place on an axis."""
-    table = small_table(df.sparkSession, list(labels.items()), f"{column} string, {name} string")
-    return df.join(F.broadcast(table), column, "left").select(*df.columns, name)
+def relabel(df: DataFrame, column: str, labels: Mapping[str, str] | DataFrame, name: str = "label") -> DataFrame:
+    """Report label of each level, looked up by level rather than by its place on an axis. Labels are a mapping or a table
+    of the column and its label."""
+    if not isinstance(labels, DataFrame):
+        labels = small_table(df.sparkSession, list(labels.items()), f"{column} string, {name} string")
+    return df.join(labels, column, "left").select(*df.columns, name)
 
 
 def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:

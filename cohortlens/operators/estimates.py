@@ -88,12 +88,14 @@ def marginal_means(means: DataFrame, z: float = EXACT_INTERVAL) -> DataFrame:
 
 def closed_form_means(counts: DataFrame) -> DataFrame:
     """Log odds and variance straight from counts ``model, saps, level, idx, n, k``: the model with one free parameter
-    per level and score. Levels are then independent, so contrasts of them need no ``cov``."""
-    alive = F.col("n") - F.col("k")
-    return counts.where((F.col("k") > 0) & (alive > 0)).select(
+    per level and score. Levels are then independent, so contrasts of them need no ``cov``. A level without deaths or without
+    survivors at a score has no estimate there: it stays with nulls, and counts in the family of the adjustments."""
+    k, alive = F.col("k"), F.col("n") - F.col("k")
+    known = (k > 0) & (alive > 0)
+    return counts.select(
         "model", "saps", "level", "idx",
-        F.log(F.col("k") / alive).alias("eta"),
-        (1 / F.col("k") + 1 / alive).alias("var_eta"),
+        F.when(known, F.log(k / alive)).alias("eta"),
+        F.when(known, 1 / k + 1 / alive).alias("var_eta"),
     )
 
 
@@ -159,7 +161,8 @@ def adjust(compared: DataFrame, method: str = "tukey") -> DataFrame:
         p = tukey_upper(z * math.sqrt(2), F.col("family"))
     else:
         raise ValueError("method must be 'none', 'bonferroni' or 'tukey'")
-    return compared.withColumn("p_value", p)
+    # comparisons without an estimate count in the family but have no p
+    return compared.withColumn("p_value", F.when(z.isNotNull(), p))
 
 
 def vs_reference(compared: DataFrame, reference: str, side: str = "second") -> DataFrame:

@@ -13,16 +13,26 @@ from cohortlens.operators.mixed import FitSet, ModelFit
 from cohortlens.session import small_table
 
 
-def level_estimates(fit: FitSet) -> tuple[DataFrame, DataFrame]:
-    """``coef`` and ``cov`` tables that predictions, marginal means and contrasts are computed from."""
+def level_estimates(fit: FitSet, allow_unfinished: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``coef`` and ``cov`` tables that predictions, marginal means and contrasts are computed from.
+
+    A model whose fit didn't converge is refused unless allowed. Levels without deaths or survivors have no finite estimate:
+    they are nulls here and in what follows from it, and still count in the family of the adjustments.
+    """
+    unfinished = [name for name, model in fit.models.items() if not model.converged and not model.runaway]
+    if unfinished and not allow_unfinished:
+        raise ValueError(f"not converged: {', '.join(unfinished)}")
     coef, cov = [], []
     for name, model in fit.models.items():
         g = len(model.levels)
+        lost = [level in model.runaway for level in model.levels]
         for i, level in enumerate(model.levels):
-            coef.append((name, level, i + 1, float(model.level_coef[i]), float(model.level_coef[g + i])))
+            own = (None, None) if lost[i] else (float(model.level_coef[i]), float(model.level_coef[g + i]))
+            coef.append((name, level, i + 1, *own))
             for j in range(g):
                 v = model.level_cov
-                cov.append((name, i + 1, j + 1, *map(float, (v[i, j], v[i, g + j], v[g + i, j], v[g + i, g + j]))))
+                values = [float(x) for x in (v[i, j], v[i, g + j], v[g + i, j], v[g + i, g + j])]
+                cov.append((name, i + 1, j + 1, *([None] * 4 if lost[i] or lost[j] else values)))
     return (
         small_table(fit.spark, coef, "model string, level string, idx int, a double, c double"),
         small_table(
@@ -101,26 +111,35 @@ def fit_stats(fit: FitSet) -> DataFrame:
         deviance = -2 * model.log_lik
         out.append((
             name, model.n_par, model.n_obs, model.n_units, model.log_lik, deviance, deviance + 2 * model.n_par,
-            deviance + math.log(model.n_obs) * model.n_par, model.passes, model.converged,
+            deviance + math.log(model.n_obs) * model.n_par, model.passes, model.converged, list(model.runaway),
         ))
     return small_table(
         fit.spark, out,
         "model string, npar int, n_obs bigint, n_units bigint, log_lik double, deviance double, aic double, bic double, "
-        "passes int, converged boolean",
+        "passes int, converged boolean, runaway array<string>",
     )
 
 
 def compare_fits(stats: DataFrame) -> DataFrame:
-    """Likelihood-ratio test of each model against the next smaller one. One row per model, so one window is enough."""
+    """Likelihood-ratio test of each model against the next smaller one. One row per model, so one window is enough.
+
+    The models have to be finished fits of the same rows. A statistic below zero (models that aren't nested) is kept and has
+    no p.
+    """
+    fits = stats.select("model", "n_obs", "converged").collect()
+    if len({row["n_obs"] for row in fits}) > 1:
+        raise ValueError("models of different rows can't be compared")
+    if not all(row["converged"] for row in fits):
+        raise ValueError(f"not converged: {', '.join(row['model'] for row in fits if not row['converged'])}")
     order = Window.partitionBy(F.lit(0)).orderBy("npar", "model")
     smaller = lambda column: F.lag(column).over(order)
     compared = stats.select(
         "model", "npar", "aic", "bic", "log_lik", "deviance",
-        F.greatest(F.lit(0.0), 2 * (F.col("log_lik") - smaller("log_lik"))).alias("chisq"),
+        (2 * (F.col("log_lik") - smaller("log_lik"))).alias("chisq"),
         (F.col("npar") - smaller("npar")).alias("df"),
     )
     first = F.col("df").isNull()
     chisq = F.when(~first, F.col("chisq"))
     return compared.withColumn("chisq", chisq).withColumn(
-        "p_value", F.when(F.col("df") > 0, chi_square_upper(F.col("chisq"), F.col("df")))
+        "p_value", F.when((F.col("df") > 0) & (F.col("chisq") >= 0), chi_square_upper(F.col("chisq"), F.col("df")))
     )

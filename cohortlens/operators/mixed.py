@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.operators.cohort import MAX_LEVELS, level_table
+from cohortlens.operators.cohort import level_table
 from cohortlens.operators.unit_algebra import (
     SUMS, Design, Search, Step, contribution_shapes, unit_contributions, updated_effects,
 )
@@ -44,7 +45,7 @@ EFFECTS_SCHEMA = (
     "slope array<double>"
 )
 START_TOL = 1e-2           # for a fit that only serves as a start; the search moves all parameters on
-MAX_MARGINS = 20_000       # models x levels; their parameters are kept on the driver
+MAX_ALGEBRA = 20_000_000   # numbers held on the driver for the models fitted together: levels^4 / 4 each with vector effects
 BATCH_VALUES = 4_000_000   # bound on the numbers held at once by the batched algebra
 
 
@@ -63,6 +64,7 @@ class ModelFit:
     n_units: int
     passes: int
     converged: bool
+    runaway: tuple[str, ...] = ()   # levels without deaths or survivors, whose log odds have no finite estimate
 
     @property
     def n_par(self) -> int:
@@ -221,24 +223,23 @@ def total_contributions(
     parts = state.select("model", "sums", "v").coalesce(tasks).mapInArrow(
         _contribution_task(designs, factors), "model string, parts array<double>"
     )
-    if tasks == 1:
-        return {row["model"]: np.asarray(row["parts"]) for row in parts.collect()}
     entries = parts.select("model", F.posexplode("parts").alias("pos", "part"))
-    totals = {
-        name: np.zeros(sum(int(np.prod(shape)) for shape in contribution_shapes(design).values()))
-        for name, design in designs.items()
-    }
+    totals = {name: np.zeros(algebra_size(design)) for name, design in designs.items()}
     for row in entries.groupBy("model", "pos").agg(F.sum("part").alias("part")).collect():
         totals[row["model"]][row["pos"]] = row["part"]
     return totals
 
 
 def fit_fixed(
-    pooled: DataFrame, designs: Mapping[str, Design], tol: float = 1e-20, max_passes: int = 40
+    pooled: DataFrame, designs: Mapping[str, Design], tol: float = 1e-20, max_passes: int = 40,
+    odds: Mapping[tuple[str, int], float] | None = None,
 ) -> dict[str, dict]:
-    """Logistic fits without unit effects, by Newton steps; every pass is one aggregation to model x level rows."""
+    """Logistic fits without unit effects, by Newton steps; every pass is one aggregation to model x level rows. They start
+    from the odds per model and level, without slopes."""
     spark = pooled.sparkSession
     found = {name: {"beta": np.zeros(d.n_fixed), "ll": -np.inf, "move": None} for name, d in designs.items()}
+    for name, design in designs.items() if odds else ():
+        found[name]["beta"][: len(design.levels)] = [math.log(odds[name, lev]) for lev in design.levels]
     active = set(designs)
     for passes in range(1, max_passes + 1):
         rows = []
@@ -290,6 +291,7 @@ def fit_mixed_logit(
     levels: Sequence[str] | None = None,
     tol: float = 1e-8,
     max_passes: int = 100,
+    max_algebra: int = MAX_ALGEBRA,
 ) -> FitSet:
     """Fit several models in one loop.
 
@@ -300,6 +302,9 @@ def fit_mixed_logit(
     left out. A level without cells in a model is left out of that model; one whose cells all have the same score takes the
     slope of the first level that has its own. A model stops by itself once converged: the expected gain in the criterion
     is below ``tol`` and the fixed and unit effects solve their equations.
+
+    The totals of a pass hold about levels^4 / 4 numbers for a model with a vector of level effects. Models are fitted in
+    groups whose totals stay within ``max_algebra`` numbers; a single model beyond it is refused.
     """
     spark = cells.sparkSession
     checkpoint_dir(spark)
@@ -315,15 +320,15 @@ def fit_mixed_logit(
     margins = stored.groupBy("model", "level").agg(
         F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n"),
         F.sum(F.col("n") * F.col("saps")).alias("ns"), F.sum(F.col("n") * F.col("saps") * F.col("saps")).alias("nss"),
-        F.min("saps").alias("low"), F.max("saps").alias("high"),
-    ).limit(MAX_MARGINS + 1).collect()
+        F.min("saps").alias("low"), F.max("saps").alias("high"), F.sum("k").alias("k"),
+    )
+    # a level costs hundreds of numbers at the least
+    margins = margins.limit(max_algebra // 100 + 1).collect()
     if not margins:
         raise ValueError("no cells to fit")
-    if len(margins) > MAX_MARGINS:
-        raise ValueError(f"more than {MAX_MARGINS} combinations of model and level")
+    if len(margins) > max_algebra // 100:
+        raise ValueError("more levels than max_algebra allows")
     level_names = list(levels) if levels is not None else sorted({row["level"] for row in margins})
-    if len(level_names) > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} levels cannot serve as a factor")
     place = {level: i for i, level in enumerate(level_names)}
     positions = level_table(spark, level_names).select("level", (F.col("idx") - 1).alias("lev"))
     coded = stored.join(F.broadcast(positions), "level").drop("level")
@@ -340,15 +345,58 @@ def fit_mixed_logit(
     n_obs = {name: sum(row["n"] for row in margins if row["model"] == name) for name in names}
 
     coded = coded.withColumn("s", (F.col("saps") - center) / spread)
+    runaway = {
+        name: tuple(row["level"] for row in margins if row["model"] == name and row["k"] in (0, row["n"])) for name in names
+    }
+    odds = {(row["model"], place[row["level"]]): (row["k"] + 0.5) / (row["n"] - row["k"] + 0.5) for row in margins}
+    models, final_cells, final_effects = {}, [], []
+    for group in _groups(plans, max_algebra):
+        own = coded if len(group) == len(plans) else coded.where(F.col("model").isin(group))
+        made, own, effects = _fit_group(
+            spark, own, {name: plans[name] for name in group}, odds, level_names, n_obs,
+            sum(row["cells"] for row in margins if row["model"] in group), center, spread, tol, max_passes, runaway,
+        )
+        models |= made
+        final_cells.append(own.select("model", "unit", "node", "lev", "s", "saps", "n", "k"))
+        final_effects.append(effects.select("model", "unit", "node", "off", "slope"))
+    return FitSet(
+        spark, models, level_names, reduce(DataFrame.unionByName, final_cells), reduce(DataFrame.unionByName, final_effects),
+        center, spread,
+    )
+
+
+def algebra_size(design: Design) -> int:
+    return sum(int(np.prod(shape)) for shape in contribution_shapes(design).values())
+
+
+def _groups(plans: Mapping[str, Design], max_algebra: int) -> list[list[str]]:
+    """Models in groups whose totals stay within the bound."""
+    groups, held = [[]], 0
+    for name, design in plans.items():
+        size = algebra_size(design)
+        if size > max_algebra:
+            raise ValueError(f"{name}: {len(design.levels)} levels need {size} numbers, more than max_algebra = {max_algebra}")
+        if groups[-1] and held + size > max_algebra:
+            groups.append([])
+            held = 0
+        groups[-1].append(name)
+        held += size
+    return groups
+
+
+def _fit_group(
+    spark, coded, plans, odds, level_names, n_obs, n_cells, center, spread, tol, max_passes, runaway
+) -> tuple[dict[str, ModelFit], DataFrame, DataFrame]:
+    """Fit some models together: their results, the cells with nodes, the unit effects."""
+    names = list(plans)
     pooled = coded.groupBy("model", "lev", "s").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).persist(
         StorageLevel.MEMORY_AND_DISK
     )
-    simple = fit_fixed(pooled, plans)
+    simple = fit_fixed(pooled, plans, odds=odds)
     pooled.unpersist()
 
     coded, per_unit, sizes = _with_nodes(coded)
     n_units = {row["model"]: row["units"] for row in sizes}
-    n_cells = sum(row["cells"] for row in margins)
     largest = max(row["largest"] for row in sizes)
 
     mixed = {name: design for name, design in plans.items() if design.random != "none"}
@@ -383,13 +431,9 @@ def fit_mixed_logit(
         models[name] = ModelFit(
             name, design, [level_names[i] for i in design.levels], to_level @ beta,
             to_level @ Search._solve(info, np.eye(design.n_fixed)) @ to_level.T, covariance, float(log_lik),
-            int(n_obs[name]), int(n_units[name]), passes, converged,
+            int(n_obs[name]), int(n_units[name]), passes, converged, runaway[name],
         )
-    unit_effects = finished[0] if len(finished) == 1 else finished[0].unionByName(finished[1])
-    return FitSet(
-        spark, models, level_names, coded.select("model", "unit", "node", "lev", "s", "saps", "n", "k"),
-        unit_effects.select("model", "unit", "node", "off", "slope"), center, spread,
-    )
+    return models, coded, finished[0] if len(finished) == 1 else finished[0].unionByName(finished[1])
 
 
 def _with_nodes(coded: DataFrame) -> tuple[DataFrame, DataFrame, list]:
@@ -436,7 +480,9 @@ def _run_search(coded, effects, designs, searches, n_levels, n_cells, largest, n
     partitions = max(
         2, min(slots, math.ceil(n_cells / 20_000)), math.ceil(n_cells / CELLS_PER_TASK), math.ceil(n_units / UNITS_PER_JOIN)
     )
-    tasks = math.ceil(n_units / UNITS_PER_TASK)
+    # a unit costs about levels^3 operations; the constant counts units of ten levels
+    cost = max(len(design.levels) for design in designs.values()) ** 3 / 1000
+    tasks = max(1, min(math.ceil(n_units * max(cost, 0.25) / UNITS_PER_TASK), n_units))
     keys = ["node"]
     if largest > CELLS_PER_TASK:
         keys.append("salt")

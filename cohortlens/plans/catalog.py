@@ -20,7 +20,7 @@ from cohortlens.operators.report import or_report as make_report
 from cohortlens.operators.report import percent_curve
 from cohortlens.operators.season import period_levels, season_cohort
 from cohortlens.plans.closed_form import closed_form
-from cohortlens.plans.seasonal import fit_season, season_or as make_season_or
+from cohortlens.plans.seasonal import fit_season, season_extract, season_or as make_season_or
 from cohortlens.plans.subgroups import subgroup_or as make_subgroup_or
 from cohortlens.plans.year_effect import compare_with_last, fit_year_models
 from cohortlens.session import scratch_path
@@ -31,7 +31,6 @@ from cohortlens.sources.lineitem_cohort import LAST_YEAR, PREVIOUS_YEAR, lineite
 QUERIES = {}
 TIE_BREAK = 1 + 1e-12
 
-YEAR_LABELS = {str(year): f"Year {year}" for year in range(1990, 2031)}
 FIGURE_YEARS = ["1995", "1999", PREVIOUS_YEAR, LAST_YEAR]
 
 
@@ -95,6 +94,12 @@ def used_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_levels(lineitem_admissions(spark, sf_dir), "adm_year")
 
 
+@query
+def used_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units as a factor: as many levels as there are units."""
+    return find_levels(lineitem_admissions(spark, sf_dir), "unit_code")
+
+
 @query
 def dropped_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels left after the two-year filter, in period order."""
@@ -122,11 +127,11 @@ def attach_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bind_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The date of the n-th order bound to the n-th order; the two tables only share their order."""
+    """The n-th date, by date and key, bound to the n-th order by key; the two sides only share their positions."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return bind_by_position(
         orders.select("o_orderkey", "o_totalprice"), orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("d")),
-        ["o_orderkey"], ["o_orderkey"], "d", "adm_date",
+        ["o_orderkey"], ["d", "o_orderkey"], "d", "adm_date",
     )
 
 
@@ -172,6 +177,18 @@ def period_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_cells(season_records(spark, sf_dir), level="period").withColumnRenamed("level", "period")
 
 
+@query
+def season_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seasonal analysis up to its counts: select, bind the dates of a second table, save, read back, week, filter."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    path = scratch_path(spark, "season")
+    season_extract(
+        lineitem_admissions(spark, sf_dir).drop("adm_date"), orders.withColumnRenamed("o_orderkey", "l_orderkey"),
+        key="l_orderkey", path=path, date="o_orderdate", one_to_one=False,
+    )
+    return _period_counts(season_cohort(read_extract(spark, path), LAST_YEAR, PREVIOUS_YEAR))
+
+
 # Contrasts from counts ----------------------------------------------------------------------------------------------
 
 
@@ -268,7 +285,9 @@ def or_report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = est.vs_reference(_year_contrasts(spark, sf_dir), LAST_YEAR)
-    return rounded(add_labels(kept, "level_a", YEAR_LABELS).select("saps", "label", "odds_ratio"))
+    years = find_levels(lineitem_admissions(spark, sf_dir), "adm_year")
+    labels = years.select(F.col("level").alias("level_a"), F.concat(F.lit("Year "), "level").alias("label"))
+    return rounded(add_labels(kept, "level_a", labels).select("saps", "label", "odds_ratio"))
 
 
 # Fits without unit effects ------------------------------------------------------------------------------------------
@@ -347,6 +366,32 @@ def fixed_season_or_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ors.select("saps", "contrast", "or_direction", "label", "odds_ratio", "lower", "upper", "p_value"))
 
 
+@query
+def fixed_subgroup_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subgroup tables without unit effects."""
+    ors = make_subgroup_or(lineitem_admissions(spark, sf_dir), LAST_YEAR, random="none")
+    return rounded(ors.select("model", "saps", "contrast", "or_direction", "odds_ratio", "lower", "upper", "p_value"))
+
+
+@query
+def fixed_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The additive model against the interaction, without unit effects."""
+    fit = fit_mixed_logit(
+        count_cells(lineitem_admissions(spark, sf_dir)),
+        designs={"additive": ("additive", "none"), "interaction": ("interaction", "none")},
+    )
+    compared = fit_tables.compare_fits(fit_tables.fit_stats(fit))
+    return rounded(compared.select("model", "npar", "deviance", "chisq", "df", "p_value"), 4)
+
+
+@query
+def fixed_additive_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odds ratios of the additive model, whose levels are correlated by the common slope."""
+    coef, cov = fit_tables.level_estimates(_fixed_fit(spark, sf_dir, "additive"))
+    ors = compare_with_last(coef, cov, LAST_YEAR, method="none")
+    return rounded(ors.select("saps", "contrast", "or_direction", "odds_ratio", "lower", "upper", "p_value"))
+
+
 # Mixed fits ---------------------------------------------------------------------------------------------------------
 
 

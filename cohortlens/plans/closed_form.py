@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators import estimates as est
 from cohortlens.operators.cells import cells
-from cohortlens.operators.cohort import level_table, level_values
+from cohortlens.operators.cohort import used_levels
 from cohortlens.session import checkpoint_dir
 
 
@@ -17,7 +17,5 @@ def closed_form(records: DataFrame, level: str = "adm_year", levels: Sequence[st
     """Log odds and variance per level and score over all records, which are read once: the counts are checkpointed."""
     checkpoint_dir(records.sparkSession)
     counted = cells(records, level=level, unit=level).checkpoint()
-    names = level_table(records.sparkSession, level_values(counted, "level", levels))
-    return est.closed_form_means(
-        counted.join(F.broadcast(names), "level").withColumn("model", F.lit("counts"))
-    )
+    names = used_levels(counted, "level", levels)
+    return est.closed_form_means(counted.join(names, "level").withColumn("model", F.lit("counts")))

@@ -27,16 +27,17 @@ LEVELS = """lv AS (
   FROM (SELECT DISTINCT adm_year AS level FROM adm))"""
 
 PERIOD_LEVELS = """lv AS (
-  SELECT * FROM (VALUES ('2000', 1, NULL), ('before', 2, 'Baseline/2019'), ('peak1', 3, 'First Peak/2019'),
-    ('plateau', 4, 'Plateau/2019'), ('peak2', 5, 'Second Peak/2019')) t(level, idx, label)
+  SELECT * FROM (VALUES ('2000', 1, '2000'), ('before', 2, 'Baseline'), ('peak1', 3, 'First Peak'),
+    ('plateau', 4, 'Plateau'), ('peak2', 5, 'Second Peak')) t(level, idx, label)
   WHERE level IN (SELECT period FROM phased))"""
 
 CLOSED = f"""{ADM}, {LEVELS},
 counts AS (
   SELECT saps, adm_year AS level, CAST(count(*) AS DOUBLE) AS n, CAST(sum(death) AS DOUBLE) AS k FROM adm GROUP BY ALL),
 means AS (
-  SELECT saps, level, idx, ln(k / (n - k)) AS eta, 1 / k + 1 / (n - k) AS v
-  FROM counts JOIN lv USING (level) WHERE k > 0 AND k < n)"""
+  SELECT saps, level, idx, CASE WHEN k > 0 AND k < n THEN ln(k / (n - k)) END AS eta,
+    CASE WHEN k > 0 AND k < n THEN 1 / k + 1 / (n - k) END AS v
+  FROM counts JOIN lv USING (level))"""
 
 PAIRS = """pairs AS (
   SELECT a.saps, a.level AS level_a, b.level AS level_b, a.level || ' / ' || b.level AS contrast,
@@ -59,8 +60,8 @@ TUKEY = f"""nodes AS (
   SELECT x, {half('x')} AS h, exp(-x * x / 2) / sqrt(2 * pi()) * 0.2 AS weight
   FROM (SELECT (i - 45) * 0.2 AS x FROM range(91) t(i))),
 tukey AS (
-  SELECT saps, contrast, greatest(0.0, least(1.0, 1 - family * sum(
-    weight * power(h - {half('x - sqrt(2) * z')}, family - 1)))) AS p_value
+  SELECT saps, contrast, CASE WHEN max(z) IS NOT NULL THEN greatest(0.0, least(1.0, 1 - family * sum(
+    weight * power(h - {half('x - sqrt(2) * z')}, family - 1)))) END AS p_value
   FROM (SELECT saps, contrast, family, CAST(abs(log_or / se_log) AS DOUBLE) AS z FROM pairs) CROSS JOIN nodes
   GROUP BY saps, contrast, family)"""
 
@@ -125,10 +126,11 @@ FROM pairs JOIN tukey USING (saps, contrast) WHERE level_b = '2001'"""
 def season_sql(compat: bool) -> str:
     # pairs run from the earlier to the later level; the season compares the later with the earlier one
     direction = "level_a || ' / ' || level_b" if compat else "level_b || ' / ' || level_a"
+    label = "level_a || '/' || label" if compat else "label || '/' || level_a"
     center = "log_or" if compat else "-log_or"
     error = "exp(-log_or) * se_log" if compat else "se_log"
     return f"""WITH RECURSIVE {FIXED_PERIODS}, {at_scores(CONTRAST_SCORES)}, {PAIRS}, {TUKEY}
-SELECT saps, level_b || ' / ' || level_a AS contrast, {direction} AS or_direction, label,
+SELECT saps, level_b || ' / ' || level_a AS contrast, {direction} AS or_direction, {label} AS label,
   {r(f'exp({center})', 'odds_ratio')}, {r(f'exp({center} - 1.96 * {error})', 'lower')},
   {r(f'exp({center} + 1.96 * {error})', 'upper')}, {r('p_value', 'p_value')}
 FROM pairs JOIN tukey USING (saps, contrast) JOIN lv ON lv.level = level_b WHERE level_a = '2000'"""
@@ -143,7 +145,8 @@ REPORT_TEXT = "regexp_replace(printf('%.3f', {0}), '\\.?0+$', '')"
 
 
 def text3(expression: str) -> str:
-    return REPORT_TEXT.format(f"CAST(round_even({expression}, 3) AS DOUBLE)")
+    text = REPORT_TEXT.format(f"CAST(round_even({expression}, 3) AS DOUBLE)")
+    return f"coalesce({text}, 'NA')"
 
 
 REPORT_SQL = f"""WITH {CLOSED_PAIRS}, {TUKEY}
@@ -156,6 +159,61 @@ SELECT adm_year AS level, CAST(sum(death) AS BIGINT) AS observed, CAST(sum(death
   CAST(sum(saps * death) AS DOUBLE) AS observed_saps, CAST(sum(saps * death) AS DOUBLE) AS fitted_saps
 FROM adm GROUP BY adm_year"""
 
+# The subgroups in one table, with the model as part of the level; contrasts are formed within a model.
+SUBGROUP_ROWS = "sub AS (" + " UNION ALL ".join(
+    f"SELECT '{name}|' || adm_year AS own_level, saps, death FROM adm WHERE {rule}" for name, rule in SUBGROUP_RULES
+) + ")"
+SUBGROUP_SQL = f"""WITH RECURSIVE {ADM}, {LEVELS}, {SUBGROUP_ROWS}, {fixed('sub', 'own_level')},
+means AS (
+  SELECT split_part(e.level, '|', 1) AS model, CAST(s.saps AS INT) AS score, split_part(e.level, '|', 1) || '|' || s.saps AS saps,
+    lv.level, idx, a + c * s.saps AS eta, v_aa + 2 * v_ac * s.saps + v_cc * s.saps * s.saps AS v
+  FROM est e JOIN lv ON lv.level = split_part(e.level, '|', 2) CROSS JOIN {CONTRAST_SCORES} s(saps)),
+{PAIRS}, {TUKEY}
+SELECT split_part(saps, '|', 1) AS model, CAST(split_part(saps, '|', 2) AS INT) AS saps, contrast,
+  level_b || ' / ' || level_a AS or_direction, {r('exp(-log_or)', 'odds_ratio')},
+  {r('exp(-log_or - 1.96 * se_log)', 'lower')}, {r('exp(-log_or + 1.96 * se_log)', 'upper')}, {r('p_value', 'p_value')}
+FROM pairs JOIN tukey USING (saps, contrast) WHERE level_b = '2001'"""
+
+# Common slope: Newton steps with the intercepts eliminated.
+ADDITIVE = """pooled AS (
+  SELECT adm_year AS level, CAST(saps AS DOUBLE) AS saps, (saps - 50) / 30.0 AS s, CAST(count(*) AS DOUBLE) AS n,
+    CAST(sum(death) AS DOUBLE) AS k
+  FROM adm GROUP BY ALL),
+steps AS (
+  SELECT 0 AS i, level, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS c FROM (SELECT DISTINCT level FROM pooled)
+  UNION ALL
+  SELECT i + 1, level, a + (r0 - w1 * dc) / w0, c + dc
+  FROM (
+    SELECT *, sum(r1 - w1 * r0 / w0) OVER (PARTITION BY i) / sum(w2 - w1 * w1 / w0) OVER (PARTITION BY i) AS dc
+    FROM (
+      SELECT i, level, a, c, sum(n * m * (1 - m)) AS w0, sum(n * m * (1 - m) * s) AS w1,
+        sum(n * m * (1 - m) * s * s) AS w2, sum(k - n * m) AS r0, sum((k - n * m) * s) AS r1
+      FROM (SELECT steps.*, s, n, k, 1 / (1 + exp(-(a + c * s))) AS m FROM steps JOIN pooled USING (level) WHERE i < 12)
+      GROUP BY i, level, a, c))),
+common AS (
+  SELECT level, a, c, sum(n * m * (1 - m)) AS w0, sum(n * m * (1 - m) * s) AS w1, sum(n * m * (1 - m) * s * s) AS w2,
+    sum(k * ln(m) + (n - k) * ln(1 - m)) AS ll
+  FROM (SELECT steps.*, s, n, k, 1 / (1 + exp(-(a + c * s))) AS m FROM steps JOIN pooled USING (level) WHERE i = 12)
+  GROUP BY level, a, c)"""
+COMPARE_SQL = f"""WITH RECURSIVE {ADM}, {LEVELS}, {fixed('adm', 'adm_year')},
+one AS (SELECT CAST(2 * count(*) AS INT) AS npar, sum(ll) AS ll FROM est),
+{ADDITIVE.replace('pooled', 'pooled2').replace('steps', 'steps2')},
+two AS (SELECT CAST(count(*) + 1 AS INT) AS npar, sum(ll) AS ll FROM common),
+test AS (SELECT 2 * (one.ll - two.ll) AS x, one.npar - two.npar AS df FROM one, two)
+SELECT 'additive' AS model, npar, {r('-2 * ll', 'deviance', 4)}, CAST(NULL AS DOUBLE) AS chisq, CAST(NULL AS INT) AS df,
+  CAST(NULL AS DOUBLE) AS p_value FROM two
+UNION ALL
+SELECT 'interaction', npar, {r('-2 * ll', 'deviance', 4)}, {r('x', 'chisq', 4)}, CAST(df AS INT),
+  {r('exp(-x / 2) * list_sum([power(x / 2, i) / gamma(i + 1) FOR i IN range(0, df // 2)])', 'p_value', 4)} FROM one, test"""
+ADDITIVE_OR_SQL = f"""WITH RECURSIVE {ADM}, {LEVELS}, {ADDITIVE},
+pair AS (
+  SELECT s.saps, g.level || ' / ' || h.level AS contrast, h.level || ' / ' || g.level AS or_direction, h.a - g.a AS log_or,
+    sqrt(1 / g.w0 + 1 / h.w0 + power(g.w1 / g.w0 - h.w1 / h.w0, 2) / (SELECT sum(w2 - w1 * w1 / w0) FROM common)) AS se
+  FROM common g JOIN common h ON g.level < h.level AND h.level = '2001' CROSS JOIN {CONTRAST_SCORES} s(saps))
+SELECT CAST(saps AS INT) AS saps, contrast, or_direction, {r('exp(log_or)', 'odds_ratio')},
+  {r('exp(log_or - 1.96 * se)', 'lower')}, {r('exp(log_or + 1.96 * se)', 'upper')},
+  {r(f"2 * (0.5 - {half('least(abs(log_or / se), 12)')})", 'p_value')} FROM pair"""
+
 COUNTS = "count(*) AS n, CAST(sum(death) AS BIGINT) AS k"
 
 ORACLES = {
@@ -170,6 +228,8 @@ ORACLES = {
 FROM (VALUES ('eSurgery'), ('Medical'), ('uSurgery')) l(level) LEFT JOIN adm ON adm.adm_type = l.level GROUP BY 1""",
     "used_levels": f"""WITH {ADM} SELECT DISTINCT adm_year AS level,
   CAST(dense_rank() OVER (ORDER BY adm_year) AS INT) AS idx FROM adm""",
+    "used_units": f"""WITH {ADM} SELECT unit_code AS level, CAST(row_number() OVER (ORDER BY unit_code) AS INT) AS idx
+FROM (SELECT DISTINCT unit_code FROM adm)""",
     "dropped_levels": f"""WITH {ADM}, {phased()}, {PERIOD_LEVELS}
 SELECT level, CAST(row_number() OVER (ORDER BY idx) AS INT) AS idx FROM lv""",
     "factor_levels": f"""WITH {ADM} SELECT CASE WHEN adm_year IN ('2000', '2001') THEN adm_year END AS adm_year,
@@ -178,13 +238,17 @@ SELECT level, CAST(row_number() OVER (ORDER BY idx) AS INT) AS idx FROM lv""",
 FROM adm LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""",
     "bind_position": """SELECT a.o_orderkey, a.o_totalprice, b.d AS adm_date
 FROM (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) AS pos FROM orders) a
-JOIN (SELECT CAST(o_orderdate AS DATE) AS d, row_number() OVER (ORDER BY o_orderkey) AS pos FROM orders) b USING (pos)""",
+JOIN (SELECT CAST(o_orderdate AS DATE) AS d, row_number() OVER (ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS pos
+  FROM orders) b USING (pos)""",
     "extract": f"""WITH {ADM} SELECT adm_year, {COUNTS}, min(adm_date) AS first_date, max(adm_date) AS last_date,
   CAST(sum(saps) AS BIGINT) AS saps_total FROM adm GROUP BY adm_year""",
     "week_blocks": f"""WITH {ADM} SELECT adm_date, CAST((dayofyear(adm_date) - 1) // 7 + 1 AS INT) AS week, count(*) AS n
 FROM adm GROUP BY adm_date""",
     "period": f"WITH {ADM}, {phased()} SELECT period, {COUNTS} FROM phased GROUP BY period",
     "period_gap_closed": f"WITH {ADM}, {phased('pweek >= 25')} SELECT period, {COUNTS} FROM phased GROUP BY period",
+    "season_chain": f"""WITH {ADM.replace('l_shipdate AS DATE', 'o_orderdate AS DATE').replace(
+        'FROM lineitem', 'FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey')}, {phased()}
+SELECT period, {COUNTS} FROM phased GROUP BY period""",
     "period_cells": f"""WITH {ADM}, {phased()} SELECT unit_code AS unit, period, saps, {COUNTS}
 FROM phased WHERE period IS NOT NULL GROUP BY 1, 2, 3""",
     "reference_grid": f"""WITH {ADM}, {LEVELS} SELECT level, idx, CAST(s AS INT) AS saps
@@ -196,7 +260,9 @@ FROM lv CROSS JOIN {CONTRAST_SCORES} t(s)""",
     "closed_contrasts_reversed": f"""WITH {CLOSED_PAIRS} SELECT saps, level_b || ' / ' || level_a AS contrast,
   {r('-log_or', 'log_or')}, {r('exp(-log_or)', 'odds_ratio')}, {r('exp(-log_or) * se_log', 'se')} FROM pairs""",
     "bonferroni": f"""WITH {CLOSED_PAIRS} SELECT saps, contrast, {r('log_or / se_log', 'z_ratio')},
-  {r(f"least(1.0, 2 * (0.5 - {half('abs(log_or / se_log)')}) * family * (family - 1) / 2)", 'p_value')} FROM pairs""",
+  CASE WHEN log_or IS NOT NULL THEN
+    {r(f"least(1.0, 2 * (0.5 - {half('abs(log_or / se_log)')}) * family * (family - 1) / 2)", 'x').removesuffix(' AS x')}
+  END AS p_value FROM pairs""",
     "tukey": f"""WITH {CLOSED_PAIRS}, {TUKEY} SELECT saps, contrast, {r('log_or / se_log', 'z_ratio')},
   {r('p_value', 'p_value')} FROM pairs JOIN tukey USING (saps, contrast)""",
     "vs_reference": f"""WITH {CLOSED_PAIRS} SELECT saps, contrast, {r('exp(log_or)', 'odds_ratio')}
@@ -225,21 +291,7 @@ terms AS (
 SELECT CAST(idx AS INT) AS idx, term, {r('estimate', 'estimate', 5)}, {r('std_error', 'std_error', 5)},
   {r('estimate / std_error', 'z_value', 5)},
   {r(f"2 * (0.5 - {half('least(abs(estimate / std_error), 12)')})", 'p_value', 5)} FROM terms""",
-    "fixed_additive": f"""WITH RECURSIVE {ADM},
-pooled AS (
-  SELECT adm_year AS level, (saps - 50) / 30.0 AS s, CAST(count(*) AS DOUBLE) AS n, CAST(sum(death) AS DOUBLE) AS k
-  FROM adm GROUP BY ALL),
-steps AS (
-  SELECT 0 AS i, level, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS c FROM (SELECT DISTINCT level FROM pooled)
-  UNION ALL
-  SELECT i + 1, level, a + (r0 - w1 * dc) / w0, c + dc
-  FROM (
-    SELECT *, sum(r1 - w1 * r0 / w0) OVER (PARTITION BY i) / sum(w2 - w1 * w1 / w0) OVER (PARTITION BY i) AS dc
-    FROM (
-      SELECT i, level, a, c, sum(n * m * (1 - m)) AS w0, sum(n * m * (1 - m) * s) AS w1,
-        sum(n * m * (1 - m) * s * s) AS w2, sum(k - n * m) AS r0, sum((k - n * m) * s) AS r1
-      FROM (SELECT steps.*, s, n, k, 1 / (1 + exp(-(a + c * s))) AS m FROM steps JOIN pooled USING (level) WHERE i < 12)
-      GROUP BY i, level, a, c)))
+    "fixed_additive": f"""WITH RECURSIVE {ADM}, {ADDITIVE}
 SELECT level, {r('a - c * 50 / 30.0', 'a')}, {r('c / 30.0', 'c')} FROM steps WHERE i = 12""",
     "fixed_stats": f"""WITH RECURSIVE {FIXED_YEARS},
 one AS (
@@ -254,6 +306,9 @@ SELECT {CURVE_SQL} FROM means WHERE level IN ('1995', '1999', '2000', '2001')"""
     "fixed_marginal_means": f"WITH RECURSIVE {FIXED_YEARS}, {at_scores(CONTRAST_SCORES)} {MEANS_SQL}",
     "fixed_year_or": f"""WITH RECURSIVE {FIXED_YEARS}, {at_scores(CONTRAST_SCORES)}, {PAIRS}, {TUKEY}
 {or_sql('se_log')}""",
+    "fixed_subgroup_or": SUBGROUP_SQL,
+    "fixed_compare": COMPARE_SQL,
+    "fixed_additive_or": ADDITIVE_OR_SQL,
     "fixed_season_or": season_sql(compat=False),
     "fixed_season_or_compat": season_sql(compat=True),
 }

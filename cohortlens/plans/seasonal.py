@@ -15,19 +15,22 @@ from cohortlens.operators.mixed import FitSet, fit_mixed_logit
 from cohortlens.operators.season import period_levels, season_cohort
 from cohortlens.sources.admissions import EXTRACT_COLUMNS, write_extract
 
-# Axis label per phase; fixed values.
-PHASE_LABELS = {
-    "before": "Baseline/2019",
-    "peak1": "First Peak/2019",
-    "plateau": "Plateau/2019",
-    "peak2": "Second Peak/2019",
+# Axis name per phase; fixed values.
+PHASE_NAMES = {
+    "before": "Baseline",
+    "peak1": "First Peak",
+    "plateau": "Plateau",
+    "peak2": "Second Peak",
 }
 
 
-def season_extract(admissions: DataFrame, dates: DataFrame, key: str = "admission_id", path: str | None = None) -> DataFrame:
+def season_extract(
+    admissions: DataFrame, dates: DataFrame, key: str = "admission_id", path: str | None = None,
+    date: str = "unit_admission_date", one_to_one: bool = True,
+) -> DataFrame:
     """The columns of the seasonal analysis with the admission date bound by key; saved for all years if a path is given."""
     narrow = admissions.select(key, "saps", "death", "unit_code", "adm_year")
-    extract = attach_dates(narrow, dates, key).select(EXTRACT_COLUMNS)
+    extract = attach_dates(narrow, dates, key, date, one_to_one=one_to_one).select(EXTRACT_COLUMNS)
     if path:
         write_extract(extract, path)
     return extract
@@ -44,16 +47,19 @@ def fit_season(
 
 
 def season_or(
-    fit: FitSet, previous_year: str, compat: bool = False, scores: Sequence[float] = tuple(est.CONTRAST_SCORES)
+    fit: FitSet, previous_year: str, compat: bool = False, scores: Sequence[float] = tuple(est.CONTRAST_SCORES),
+    allow_unfinished: bool = False,
 ) -> DataFrame:
     """Odds ratio of every phase against the year before, with its axis label.
 
-    The contrasts already read phase / year. By default they stay that way, which is what the labels say. ``compat``
-    inverts them once more and uses the odds-ratio-scale error in the interval, as the original table did.
+    The contrasts already read phase / year. By default they stay that way. ``compat`` inverts them once more and uses the
+    odds-ratio-scale error in the interval, as the original table did. The label reads as ``or_direction`` does.
     """
-    coef, cov = level_estimates(fit)
+    coef, cov = level_estimates(fit, allow_unfinished)
     means = est.linear_predictor(coef, cov, scores)
     adjusted = est.adjust(est.contrasts(means, cov, reverse=True), "tukey")
     kept = est.vs_reference(adjusted, previous_year, side="either")
     table = est.or_table(kept, invert=compat, se_scale="ratio" if compat else "log")
-    return relabel(table.withColumn("phase", F.col("level_a")), "phase", PHASE_LABELS).drop("phase")
+    named = relabel(relabel(table, "level_a", PHASE_NAMES, "name_a"), "level_b", PHASE_NAMES, "name_b")
+    sides = [F.coalesce("name_a", "level_a"), F.coalesce("name_b", "level_b")]
+    return named.withColumn("label", F.concat_ws("/", *(reversed(sides) if compat else sides))).drop("name_a", "name_b")

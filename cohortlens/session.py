@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import pathlib
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -53,6 +55,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR_KEY} to a folder that every executor can reach")
         named = tempfile.mkdtemp(prefix="cohortlens-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     context.setCheckpointDir(named)
     return context.getCheckpointDir()
 

@@ -29,7 +29,7 @@ def read_admissions(
     spark: SparkSession,
     path: str,
     fmt: str = "parquet",
-    schema: T.StructType = ADMISSIONS_SCHEMA,
+    schema: T.StructType | str = ADMISSIONS_SCHEMA,
     **options,
 ) -> DataFrame:
     """Read a table with a declared schema; no inference pass, so only needed columns and row groups are scanned."""
@@ -42,9 +42,10 @@ def read_admissions(
 def write_extract(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Save the seasonal extract, all years, one folder per year so that a later year filter prunes folders.
 
-    Rows stay in their tasks (no shuffle); a year that holds most rows is therefore written by many tasks.
+    Rows are rebalanced by year first: adaptive execution splits a year that holds most rows over many tasks and merges
+    small ones, so the number of files follows the size of the data instead of tasks times years.
     """
-    df.select(EXTRACT_COLUMNS).write.mode(mode).partitionBy("adm_year").parquet(path)
+    df.select(EXTRACT_COLUMNS).hint("rebalance", "adm_year").write.mode(mode).partitionBy("adm_year").parquet(path)
 
 
 def read_extract(spark: SparkSession, path: str) -> DataFrame:
@@ -71,7 +72,7 @@ def write_report(report: DataFrame, path: str, fmt: str = "csv", mode: str = "er
     writer.format(fmt).save(path)
 
 
-def shown(df: DataFrame, rows: int = 50) -> DataFrame:
-    """Print a result and pass it on."""
-    df.show(rows, truncate=False)
+def shown(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Print a result, all of it unless a number of rows is given, and pass it on."""
+    df.show(df.count() if rows is None else rows, truncate=False)
     return df

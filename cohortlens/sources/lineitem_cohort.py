@@ -8,13 +8,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.sources.admissions import read_admissions
+
+LINEITEM_SCHEMA = (
+    "l_orderkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+)
+
 LAST_YEAR = "2001"
 PREVIOUS_YEAR = "2000"
 
 
 def lineitem_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as admissions, with its order number as join key and ship date as admission date."""
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    line = read_admissions(spark, f"{sf_dir}/lineitem.parquet", schema=LINEITEM_SCHEMA)
     flag = lambda condition: condition.cast("int").cast("string")
     return line.select(
         F.col("l_orderkey"),

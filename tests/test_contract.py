@@ -19,7 +19,7 @@ def engine(sf_dir):
     return connection
 
 
-@pytest.mark.parametrize("name", [name for name in contract.queries() if name not in MIXED])
+@pytest.mark.parametrize("name", [name for name in contract.catalog.QUERIES if name not in MIXED])
 def test_query_equals_sql(spark, sf_dir, engine, name):
     frame = contract.queries()[name](spark, sf_dir)
     columns = sorted(frame.columns)

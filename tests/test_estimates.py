@@ -56,12 +56,20 @@ def test_filter_after_adjustment_keeps_the_family(spark):
     assert {r.contrast for r in middle} == {"L1 / L3", "L2 / L3", "L3 / L4", "L3 / L5"}
 
 
-def test_level_without_deaths_has_no_estimate(spark):
+def test_level_without_deaths_has_no_estimate_but_counts_in_the_family(spark):
     counts = spark.createDataFrame(
         [("m", 1, "A", 1, 10, 0), ("m", 1, "B", 2, 10, 5), ("m", 1, "C", 3, 10, 10)],
         "model string, saps int, level string, idx int, n bigint, k bigint",
     )
-    assert [row.level for row in est.closed_form_means(counts).collect()] == ["B"]
+    means = est.closed_form_means(counts)
+    assert {row.level: row.eta for row in means.collect()} == {"A": None, "B": 0.0, "C": None}
+    for method in ("none", "bonferroni", "tukey"):
+        pairs = est.adjust(est.contrasts(means), method).collect()
+        assert len(pairs) == 3 and all(row.family == 3 and row.odds_ratio is None and row.p_value is None for row in pairs)
+    known = counts.unionByName(counts.where("level = 'B'").selectExpr("model", "saps", "'D' AS level", "4 AS idx", "n", "k - 2 AS k"))
+    row = est.adjust(est.contrasts(est.closed_form_means(known)), "bonferroni").where("contrast = 'B / D'").first()
+    plain = est.adjust(est.contrasts(est.closed_form_means(known)), "none").where("contrast = 'B / D'").first()
+    assert row.p_value == pytest.approx(min(1, 6 * plain.p_value))
 
 
 def test_covariances_enter_predictions_and_contrasts(spark):

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import dense
+from cohortlens.operators import estimates as est
 from cohortlens.operators import fit_tables, mixed
 from cohortlens.operators.cells import cells
 from cohortlens.operators.unit_algebra import Design, Search, unit_contributions, unpack, updated_effects
@@ -258,20 +259,49 @@ def test_level_without_deaths_is_reported_as_not_converged(spark, small):
     """Its log odds run off to minus infinity, as in any logistic fit."""
     unit, level, saps, y = small
     fit = mixed.fit_mixed_logit(cells(records(spark, unit, level, saps, np.where(level == 1, 0, y))), random="none")
-    assert not fit.models["model"].converged and fit.models["model"].level_coef[1] < -20
+    assert fit.models["model"].level_coef[1] < -8 and fit.models["model"].runaway == (fit.models["model"].levels[1],)
+    assert fit_tables.fit_stats(fit).first().runaway == [fit.models["model"].levels[1]]
+    # the level stays in the tables, without an estimate
+    coef, cov = fit_tables.level_estimates(fit)
+    assert [row.a is None for row in coef.orderBy("idx").collect()] == [False, True, False]
+    pairs = est.adjust(est.contrasts(est.linear_predictor(coef, cov, [50]), cov)).collect()
+    assert len(pairs) == 3 and {row.family for row in pairs} == {3}
+    assert sum(row.p_value is None for row in pairs) == 2
 
 
 def test_pass_limit_is_reported(spark, small):
     fit = mixed.fit_mixed_logit(cells(records(spark, *small)), max_passes=2)
     assert not fit.models["model"].converged and fit.models["model"].passes == 2
     assert not fit_tables.fit_stats(fit).collect()[0].converged
+    with pytest.raises(ValueError, match="not converged"):
+        fit_tables.level_estimates(fit)
+    assert fit_tables.level_estimates(fit, allow_unfinished=True)[0].count() == len(fit.models["model"].levels)
+
+
+def test_models_are_fitted_in_groups_within_the_bound(spark, small):
+    """Seven copies of a model under a bound that holds two of them: the same results."""
+    counted = cells(records(spark, *small))
+    whole = mixed.fit_mixed_logit(counted, random="none").models["model"]
+    size = mixed.algebra_size(whole.design)
+    many = mixed.fit_mixed_logit(mixed.stack_models(counted, list("abcdefg")), random="none", max_algebra=max(2 * size, 2200))
+    assert set(many.models) == set("abcdefg")
+    for model in many.models.values():
+        assert model.level_coef == pytest.approx(whole.level_coef)
+    assert many.unit_effects.select("model").distinct().count() == 7
+    with pytest.raises(ValueError, match="max_algebra"):
+        mixed.fit_mixed_logit(counted, random="level", max_algebra=mixed.algebra_size(
+            mixed.Design("interaction", "level", whole.design.levels)) - 1)
 
 
 def test_comparison_of_fits(spark):
     stats = spark.createDataFrame(
-        [("m1", 21, 1000.0, 1100.0, -480.0, 960.0), ("m3", 75, 950.0, 1200.0, -440.0, 880.0)],
-        "model string, npar int, aic double, bic double, log_lik double, deviance double",
+        [("m1", 21, 500, True, 1000.0, 1100.0, -480.0, 960.0), ("m3", 75, 500, True, 950.0, 1200.0, -440.0, 880.0)],
+        "model string, npar int, n_obs bigint, converged boolean, aic double, bic double, log_lik double, deviance double",
     )
+    with pytest.raises(ValueError, match="different rows"):
+        fit_tables.compare_fits(stats.withColumn("n_obs", F.col("npar")))
+    with pytest.raises(ValueError, match="not converged: m3"):
+        fit_tables.compare_fits(stats.withColumn("converged", F.col("npar") < 50))
     first, second = fit_tables.compare_fits(stats).orderBy("npar").collect()
     assert first.chisq is None and first.p_value is None
     assert second.chisq == 80.0 and second.df == 54

@@ -82,7 +82,8 @@ def test_season_from_two_tables(spark, sf_dir, tmp_path):
     assert len(table) == 36 and set(table) == set(old)
     for key, row in table.items():
         assert row.or_direction == f"{key[1]} / {PREVIOUS_YEAR}" and row.contrast == row.or_direction
-        assert row.label == seasonal.PHASE_LABELS[key[1]]
+        assert row.label == f"{seasonal.PHASE_NAMES[key[1]]}/{PREVIOUS_YEAR}"
+        assert old[key].label == f"{PREVIOUS_YEAR}/{seasonal.PHASE_NAMES[key[1]]}"
         assert old[key].or_direction == f"{PREVIOUS_YEAR} / {key[1]}" and old[key].contrast == row.contrast
         assert old[key].odds_ratio == pytest.approx(1 / row.odds_ratio)
         # the ratio-scale error is that of the ratio before inversion
