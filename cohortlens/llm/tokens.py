@@ -23,7 +23,7 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 # Bytes between words where only letters and digits count (bytes of other scripts do).
 PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 # Texts are handled in slices of about this many bytes, whatever the size of the Arrow batch; a longer text is one slice.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
