@@ -5,7 +5,8 @@ are shared by all thresholds; x holds which hashed words a text has. The expecte
 P(grade >= k) over k = 1..K.
 
 Fitting uses at most ``max_rows`` labelled documents, chosen by a hash of their id; equal texts count once. The penalty is
-L1, so that all but the telling words have weight zero and long texts don't add up noise. Scoring reads whole texts of all
+L1, so that all but the telling words have weight zero and long texts don't add up noise, and weights are not negative, so
+that more text never hides a telling word. Scoring reads whole texts of all
 documents, in Arrow batches with one broadcast vector of fixed length.
 
 Defined results: a null or empty text has no features, so its grade comes from the thresholds alone, and it is never
@@ -15,6 +16,7 @@ of both kinds nothing is rejected.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.arrow import with_arrow_columns
+from cohortlens.llm.shared import stored
 from cohortlens.llm.tokens import PUNCTUATION, Words, mix, slices, span_hashes
 
 MAX_ROWS = 20000
 BITS = 19
+PENALTY = 0.002
 # A word counts as a whole and by its first bytes, so that inflected and compounded forms share a feature.
 STEM_BYTES = (4, 5, 6, 7)
 OUTPUT = "expected_severity double, severity int, p_toxic double, rejected boolean"
@@ -75,7 +79,7 @@ class SeverityModel:
 
 
 def fit_ordinal(
-    feature: np.ndarray, first: np.ndarray, grade: np.ndarray, bits: int = BITS, penalty: float = 0.002, steps: int = 150
+    feature: np.ndarray, first: np.ndarray, grade: np.ndarray, bits: int = BITS, penalty: float = PENALTY, steps: int = 150
 ) -> SeverityModel:
     """Penalized likelihood by proximal steps whose size adapts per weight; thresholds stay ordered by construction."""
     rows, top = len(grade), int(grade.max()) if len(grade) else 0
@@ -95,9 +99,9 @@ def fit_ordinal(
         by_threshold = [(d_lower[grade == k + 1].sum() - d_upper[grade == k].sum()) / rows for k in range(top)]
         return np.bincount(feature, weights=each, minlength=len(w)), np.array(by_threshold)
 
-    # words that hardly pull at the start stay at zero; the others are numbered afresh
+    # words that hardly pull upwards at the start stay at zero; the others are numbered afresh
     start, _ = slopes(np.zeros(1 << bits), theta, feature, first)
-    alive = np.flatnonzero(np.abs(start) > penalty / 4)
+    alive = np.flatnonzero(start < -penalty / 4)
     number = np.full(1 << bits, -1)
     number[alive] = np.arange(len(alive))
     row = np.repeat(np.arange(rows), np.diff(first))
@@ -105,17 +109,16 @@ def fit_ordinal(
     feature, row = number[feature[held]], row[held]
     first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))])
     w = np.zeros(len(alive))
-    # the second pass takes the shrinking back for the words that the first one chose
-    for shrink in (penalty, penalty / 20):
-        chosen = (w != 0) | (shrink == penalty)
+    # the second pass takes most of the shrinking back for the words that the first one chose
+    for shrink, passes in ((penalty, steps), (penalty / 20, 3 * steps)):
+        chosen = (w > 0) | (shrink == penalty)
         square_w, square_t = np.full(len(alive), 1e-10), np.full(top, 1e-10)
-        for _ in range(steps):
+        for _ in range(passes):
             g, g_theta = slopes(w, theta, feature, first)
             square_w += g * g
             square_t += g_theta * g_theta
             size = 0.5 / np.sqrt(square_w)
-            w = w - size * g
-            w = np.sign(w) * np.maximum(np.abs(w) - size * shrink, 0) * chosen
+            w = np.maximum(w - size * (g + shrink), 0) * chosen
             theta = np.maximum.accumulate(theta - 0.2 * g_theta / np.sqrt(square_t))
     weights = np.zeros(1 << bits, np.float32)
     weights[alive] = w
@@ -161,23 +164,43 @@ def fit_severity(
     docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: int = BITS, bands: int = 3
 ) -> SeverityModel:
     """Fit on ``docs`` (``doc_id, text``) with ``labels`` (``doc_id, toxic``)."""
-    sample = with_arrow_columns(
+    featured = with_arrow_columns(
         labelled_sample(docs, labels.select(F.col("doc_id"), F.col("toxic").cast("int")), max_rows)
         .withColumn("text_hash", F.xxhash64("text")),
         "text", "features array<int>", lambda texts: [_lists(*word_features(texts, bits))],
-    ).select("doc_id", "toxic", "text_hash", "features")
-    rows = sample.toPandas().sort_values(["text_hash", "doc_id"]).drop_duplicates("text_hash")
-    if not len(rows):
+    )
+    sample = stored(
+        featured.groupBy("text_hash").agg(F.max(F.col("toxic") > 0).cast("int").alias("toxic"), F.first("features").alias("features")),
+        "toxicity-sample",
+    )
+    rows, bad = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < bad < rows:
         return SeverityModel(np.zeros(1 << bits, np.float32), np.full(1, 40.0), bits, 1.0)
-    feature = np.concatenate([np.asarray(x, np.int64) for x in rows["features"]])
-    first = np.concatenate([[0], np.cumsum([len(x) for x in rows["features"]])]).astype(np.int64)
-    grade = severity_grades(rows["toxic"].to_numpy(), feature, first, bits, bands)
+    # only words that are likelier in toxic texts can get a weight; the others need not leave the executors
+    pull = (F.col("bad") - F.lit(bad / rows) * F.col("n")) / rows
+    alive = (
+        sample.select(F.explode("features").alias("f"), "toxic").groupBy("f")
+        .agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n")).where(pull > PENALTY / 4).select("f").toArrow()
+    )
+    alive = np.sort(alive.column(0).to_numpy())
+
+    def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            values = np.asarray(lists.flatten())
+            keep = np.isin(values, alive)
+            ends = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(values[keep], ends)], ["text_hash", "toxic", "features"])
+
+    # bounded by max_rows and the words left
+    table = sample.select("text_hash", "toxic", "features").mapInArrow(telling, "text_hash bigint, toxic int, features array<int>").toArrow()
+    table = table.sort_by("text_hash").combine_chunks()
+    lists = table.column("features").combine_chunks()
+    feature = np.asarray(lists.flatten(), np.int64)
+    first = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))]).astype(np.int64)
+    grade = severity_grades(table.column("toxic").to_numpy(), feature, first, bits, bands)
     model = fit_ordinal(feature, first, grade, bits)
-    if (grade > 0).any() and (grade == 0).any():
-        score = _sums(model.weights[feature], first)
-        model.cut = calibrated_cut(_logistic(score - model.thresholds[0]), grade > 0)
-    else:
-        model.cut = 1.0
+    model.cut = calibrated_cut(_logistic(_sums(model.weights[feature], first) - model.thresholds[0]), grade > 0)
     return model
 
 
