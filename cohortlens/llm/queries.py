@@ -13,7 +13,7 @@ from cohortlens.llm.license_scan import license_matches
 from cohortlens.llm.line_dedup import dedup_lines
 from cohortlens.llm.merkle import with_edits
 from cohortlens.llm.ngram_jaccard import ngram_classes
-from cohortlens.llm.sentencepieces import with_decoded, with_pieces
+from cohortlens.llm.sentencepieces import with_round_trip
 from cohortlens.llm.suffix_tree import fit_suffix_tree, score_texts
 from cohortlens.llm.shared import crc_remainder
 from cohortlens.llm.warc import index_archive, read_archive, write_archive
@@ -85,9 +85,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and whether decoding them gives the text again."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return with_decoded(with_pieces(docs)).select(
-        "doc_id", "n_tokens", "token_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip")
-    )
+    return with_round_trip(docs).select("doc_id", "n_tokens", "token_ids", "round_trip")
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

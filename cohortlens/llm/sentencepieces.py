@@ -8,7 +8,7 @@ common prefix are kept, and only those of the new characters are computed.
 The forward state of a prefix is its best last piece. In a unigram model that is the piece with the largest sum of scores.
 A BPE model doesn't maximize a sum; there the encoding of a prefix ends in the one piece t for which the encoding of the
 rest ends in a piece that stays apart from t when the two are merged on their own, so the state is found by the same
-forward pass with that test in place of the sum. Both give the ids of the model's own library. Runs of several marks,
+forward pass with that test in place of the sum. A worker remembers a bounded number of words and tests. Both give the ids of the model's own library. Runs of several marks,
 whose pieces have equal scores, are merged directly.
 
 Decoding puts the pieces' bytes together again. Characters outside the vocabulary are written as byte pieces, and so is the
@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cohortlens.llm.arrow import with_arrow_columns
-from cohortlens.llm.tokens import EXACT, SLICE_BYTES, buffers, span_hashes
+from cohortlens.llm.tokens import EXACT, SLICE_BYTES, slices, span_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 # stands for a mark that is in the text itself; can't occur in valid UTF-8
 _LITERAL_MARK = "\udc81"
 UNKNOWN_PENALTY = 10.0
+# Distinct words are gathered over about this much text at a time.
+ENCODE_BYTES = 4 << 20
 
 
 class PieceModel:
@@ -70,10 +72,11 @@ class PieceModel:
         self.longest = max(map(len, self.ids), default=1)
         self.unknown = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
         self._apart: dict[tuple[str, str], bool] = {}
-        self._whole: dict[str, bool] = {}
+        self._spines: dict[str, tuple[list, list] | None] = {}
+        self._words: dict[str, list[int]] = {}
 
-    def merge(self, text: str) -> list[str]:
-        """BPE pieces of a text by merging the best pair, the leftmost of equal ones."""
+    def merge(self, text: str, log: list | None = None) -> list[str]:
+        """BPE pieces of a text by merging the best pair, the leftmost of equal ones. ``log`` gets the merges."""
         parts = list(text)
         n = len(parts)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -90,6 +93,8 @@ class PieceModel:
             _, i, j, joined = heapq.heappop(heap)
             if not parts[i] or after[i] != j or parts[i] + parts[j] != joined:
                 continue
+            if log is not None:
+                log.append((parts[i], parts[j]))
             parts[i], parts[j] = joined, ""
             after[i] = after[j]
             if after[j] < n:
@@ -99,21 +104,73 @@ class PieceModel:
                 offer(before[i])
         return [p for p in parts if p]
 
+    def spines(self, piece: str) -> tuple[list, list] | None:
+        """How a piece comes about by merging: the parts at its left edge and those at its right edge, from the character to
+        the whole, each with the score of the merge that ends it (none for the whole). None if merging yields no such piece."""
+        if piece not in self._spines:
+            log: list[tuple[str, str]] = []
+            if len(piece) > 1 and (piece not in self.ids or self.merge(piece, log) != [piece]):
+                self._spines[piece] = None
+            else:
+                split = {a + b: (a, b) for a, b in log}
+                edges = []
+                for side in (0, 1):
+                    chain, part, end = [], piece, None
+                    while True:
+                        chain.append((part, end))
+                        if part not in split:
+                            break
+                        end = self.scores[part]
+                        part = split[part][side]
+                    edges.append(chain[::-1])
+                self._spines[piece] = (edges[0], edges[1])
+        return self._spines[piece]
+
     def apart(self, left: str, right: str) -> bool:
-        """Whether two pieces next to each other stay as they are."""
-        known = self._apart.get((left, right))
-        if known is None:
-            known = self._apart[left, right] = self.merge(left + right) == [left, right]
-        return known
+        """Whether two pieces next to each other stay as they are when merged from characters.
 
-    def reachable(self, piece: str) -> bool:
-        known = self._whole.get(piece)
-        if known is None:
-            known = self._whole[piece] = len(piece) == 1 or (piece in self.ids and self.merge(piece) == [piece])
-        return known
+        The parts that meet at the border at any time are one of the left piece's right edge and one of the right piece's left
+        edge. They merge across the border if that merge is better than the one that ends the left part, and no worse than the
+        one that ends the right part (of equal merges the leftmost comes first).
+        """
+        known = self._apart.get((left, right))
+        if known is not None:
+            return known
+        a, b = self.spines(left)[1], self.spines(right)[0]
+        i = j = 0
+        fits = True
+        while True:
+            x, x_end = a[i]
+            y, y_end = b[j]
+            own = self.scores.get(x + y)
+            if own is not None and (x_end is None or own > x_end) and (y_end is None or own >= y_end):
+                fits = False
+                break
+            if x_end is None and y_end is None:
+                break
+            # the better merge comes first, and the left one of equal ones
+            if y_end is None or (x_end is not None and x_end >= y_end):
+                i += 1
+            else:
+                j += 1
+        if len(self._apart) >= 500_000:
+            self._apart.clear()
+        self._apart[left, right] = fits
+        return fits
+
+    def encode_cached(self, words: list[str]) -> list[list[int]]:
+        """Ids of distinct marked words; words of earlier calls are looked up, the others walked in sorted order."""
+        cache = self._words
+        if len(cache) > 200_000:
+            cache.clear()
+        new = sorted(w for w in words if w not in cache)
+        found = dict(zip(new, self.encode_words(new)))
+        out = [cache[w] if w in cache else found[w] for w in words]
+        cache.update((w, ids) for w, ids in found.items() if len(w) <= 32)
+        return out
 
     def encode_words(self, words: Iterable[str]) -> list[list[int]]:
-        """Ids of sorted distinct marked words."""
+        """Ids of sorted distinct marked words, by one depth-first pass over their trie."""
         out = []
         last, score = [""], [0.0]  # per prefix length: its last piece, its score
         previous = ""
@@ -152,10 +209,12 @@ class PieceModel:
         score.append(best)
 
     def _extend_bpe(self, word: str, end: int, last: list[str], score: list[float]) -> None:
-        apart = self._apart
-        for start in range(max(0, end - self.longest), end):
+        apart, spines = self._apart, self._spines
+        for start in range(end - 1, max(0, end - self.longest) - 1, -1):
             piece = word[start:end]
-            if (start < end - 1 and piece not in self.ids) or not self.reachable(piece):
+            if start < end - 1 and piece not in self.ids:
+                continue
+            if (spines[piece] if piece in spines else self.spines(piece)) is None:
                 continue
             if start:
                 fits = apart.get((last[start], piece))
@@ -204,7 +263,16 @@ def _marked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def encode(model: PieceModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, and the first of each (one entry more than texts)."""
-    data, offsets = _marked(*buffers(texts))
+    ids, counts = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for _, _, data, offsets in slices(texts, ENCODE_BYTES):
+        own, first = _encode_slice(model, data, offsets)
+        ids.append(own)
+        counts.append(np.diff(first))
+    return np.concatenate(ids), np.cumsum(np.concatenate(counts))
+
+
+def _encode_slice(model: PieceModel, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    data, offsets = _marked(data, offsets)
     space = data == 32
     opens = space.copy()
     opens[1:] &= ~space[:-1]
@@ -225,14 +293,11 @@ def encode(model: PieceModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         for a, b in zip(start[example].tolist(), end[example].tolist())
     ]
     del raw
-    order = sorted(range(len(words)), key=words.__getitem__)
-    ids = model.encode_words(words[i] for i in order)
-    place = np.empty(len(words), np.int64)
-    place[order] = np.arange(len(words))
+    ids = model.encode_cached(words)
     counts = np.array([len(x) for x in ids], np.int64)
     first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
     flat = np.fromiter((i for x in ids for i in x), np.int32, count=first[-1])
-    at = place[which]
+    at = which
     total = np.concatenate([[0], np.cumsum(counts[at])])
     words_before = np.searchsorted(start, offsets)
     return flat[_ragged(first[at], counts[at])], total[words_before].astype(np.int64)
@@ -265,6 +330,33 @@ def with_pieces(docs: DataFrame, text_col: str = "text", model_file: str = MODEL
     return with_arrow_columns(docs, text_col, "token_ids array<int>, n_tokens int", compute)
 
 
+def with_round_trip(docs: DataFrame, text_col: str = "text", model_file: str = MODEL) -> DataFrame:
+    """The documents with ``token_ids``, ``n_tokens`` and ``round_trip``: whether the ids decode to the very bytes of the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(PieceModel(model_file))
+
+    def compute(texts: pa.Array) -> list[pa.Array]:
+        model, same, ids, counts = shared.value, [np.zeros(0, bool)], [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        for _, _, data, offsets in slices(texts, ENCODE_BYTES):
+            own, first = _encode_slice(model, data, offsets)
+            back, ends = decode(model, own, first)
+            if len(back) == len(data) and (ends == offsets).all():
+                wrong = np.concatenate([[0], np.cumsum(back != data)])
+                same.append(wrong[offsets[1:]] == wrong[offsets[:-1]])
+            else:
+                same.append(np.array([
+                    np.array_equal(back[a:b], data[c:d]) for a, b, c, d in zip(ends[:-1], ends[1:], offsets[:-1], offsets[1:])
+                ]))
+            ids.append(own)
+            counts.append(np.diff(first))
+        flat, first = np.concatenate(ids), np.cumsum(np.concatenate(counts))
+        null = np.asarray(texts.is_null())
+        return [
+            _id_lists(flat, first, texts), pa.array(np.diff(first).astype(np.int32), mask=null), pa.array(np.concatenate(same)),
+        ]
+
+    return with_arrow_columns(docs, text_col, "token_ids array<int>, n_tokens int, round_trip boolean", compute)
+
+
 def _id_lists(ids: np.ndarray, first: np.ndarray, texts: pa.Array) -> pa.Array:
     null = np.append(np.asarray(texts.is_null()), False)
     offsets = pa.array(first.astype(np.int32), mask=null) if null.any() else pa.array(first.astype(np.int32))

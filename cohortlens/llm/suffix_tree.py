@@ -210,7 +210,7 @@ def fit_suffix_tree(
     tree = SuffixTree(tokens, distinct, h, c, symbols, [], [], [], [])
     min_count = max(2, int(np.ceil(tokens * entry_share)))
     for d in range(1, depth + 1):
-        parents = tree.contexts[-1] if d > 1 else None
+        parents = tree.contexts[-1] if d > 1 and tokens else None
         if tokens and (parents is None or len(parents)):
             counted = stored(_context_counts(texts, tree, d, parents), "tree-contexts")
             _grow(tree, counted, min_count, min_gain, smoothing)
