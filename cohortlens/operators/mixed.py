@@ -292,6 +292,7 @@ def fit_mixed_logit(
     tol: float = 1e-8,
     max_passes: int = 100,
     max_algebra: int = MAX_ALGEBRA,
+    variance: float | None = None,
 ) -> FitSet:
     """Fit several models in one loop.
 
@@ -305,6 +306,8 @@ def fit_mixed_logit(
 
     The totals of a pass hold about levels^4 / 4 numbers for a model with a vector of level effects. Models are fitted in
     groups whose totals stay within ``max_algebra`` numbers; a single model beyond it is refused.
+
+    With ``variance`` the unit effects are taken as independent with that variance and only the rest is fitted.
     """
     spark = cells.sparkSession
     checkpoint_dir(spark)
@@ -354,7 +357,7 @@ def fit_mixed_logit(
         own = coded if len(group) == len(plans) else coded.where(F.col("model").isin(group))
         made, own, effects = _fit_group(
             spark, own, {name: plans[name] for name in group}, odds, level_names, n_obs,
-            sum(row["cells"] for row in margins if row["model"] in group), center, spread, tol, max_passes, runaway,
+            sum(row["cells"] for row in margins if row["model"] in group), center, spread, tol, max_passes, runaway, variance,
         )
         models |= made
         final_cells.append(own.select("model", "unit", "node", "lev", "s", "saps", "n", "k"))
@@ -385,7 +388,7 @@ def _groups(plans: Mapping[str, Design], max_algebra: int) -> list[list[str]]:
 
 
 def _fit_group(
-    spark, coded, plans, odds, level_names, n_obs, n_cells, center, spread, tol, max_passes, runaway
+    spark, coded, plans, odds, level_names, n_obs, n_cells, center, spread, tol, max_passes, runaway, variance
 ) -> tuple[dict[str, ModelFit], DataFrame, DataFrame]:
     """Fit some models together: their results, the cells with nodes, the unit effects."""
     names = list(plans)
@@ -400,7 +403,7 @@ def _fit_group(
     largest = max(row["largest"] for row in sizes)
 
     mixed = {name: design for name, design in plans.items() if design.random != "none"}
-    searches = {name: Search(design, simple[name]["beta"], tol) for name, design in mixed.items()}
+    searches = {name: Search(design, simple[name]["beta"], tol, variance) for name, design in mixed.items()}
     # models without unit effects take part in the table of unit effects with their fixed part only
     effects = _start_effects(spark, coded, per_unit, plans, simple, len(level_names))
     finished = [effects.where(F.col("model").isin([n for n in names if n not in mixed]))]

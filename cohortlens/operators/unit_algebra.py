@@ -216,7 +216,7 @@ class Search:
     POLISHED = 1e-20
     MAX_HALVINGS = 12
 
-    def __init__(self, design: Design, beta: np.ndarray, tol: float):
+    def __init__(self, design: Design, beta: np.ndarray, tol: float, variance: float | None = None):
         q = design.n_random
         self.design, self.tol = design, tol
         self.beta, self.factor = np.asarray(beta, float), np.sqrt(self.FIRST_VARIANCE) * np.eye(q)
@@ -224,6 +224,9 @@ class Search:
         self.phase, self.converged, self.passes = "start", False, 0
         self.trail, self.before, self.halvings = None, np.inf, 0
         self.parts = None
+        if variance is not None:
+            # the covariance is given: only fixed and unit effects are left to solve for
+            self.factor, self.phase = np.sqrt(variance) * np.eye(q), "polish"
 
     # the criterion at the point the pending Newton step would reach
     def _criterion(self, parts, move) -> float:

@@ -402,6 +402,37 @@ def fit_mixed_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fitted_totals(fit).drop("model"), 4)
 
 
+GIVEN_VARIANCE = 0.25
+
+
+def _given_fit(spark: SparkSession, sf_dir: str) -> FitSet:
+    return fit_mixed_logit(count_cells(lineitem_admissions(spark, sf_dir)), variance=GIVEN_VARIANCE)
+
+
+@query
+def given_cov_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients and errors of the mixed model at a given variance of independent unit effects."""
+    coef, cov = fit_tables.level_estimates(_given_fit(spark, sf_dir))
+    own = cov.where("idx_a = idx_b").withColumnRenamed("idx_a", "idx")
+    return rounded(coef.join(own, ["model", "idx"]).select("level", "a", "c", "v_aa", "v_ac", "v_cc"))
+
+
+@query
+def given_cov_unit_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log odds of every unit and level at a score of 60, its unit effect included."""
+    fit = _given_fit(spark, sf_dir)
+    names = level_table(spark, fit.level_names).select("level", (F.col("idx") - 1).alias("lev"))
+    seen = fit.cells.select("node", "unit", "lev").distinct().join(fit.unit_effects.select("node", "off", "slope"), "node")
+    eta = F.get("off", F.col("lev")) + F.get("slope", F.col("lev")) * ((60 - fit.center) / fit.spread)
+    return rounded(seen.join(names, "lev").select("unit", "level", eta.alias("log_odds")))
+
+
+@query
+def given_cov_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Laplace log-likelihood at the given variance."""
+    return rounded(fit_tables.fit_stats(_given_fit(spark, sf_dir)).select("n_obs", "n_units", "log_lik"), 4)
+
+
 @query
 def fit_coef(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fit_tables.coef_table(fit_year_models(lineitem_admissions(spark, sf_dir))), 5)

@@ -214,6 +214,36 @@ SELECT CAST(saps AS INT) AS saps, contrast, or_direction, {r('exp(log_or)', 'odd
   {r('exp(log_or - 1.96 * se)', 'lower')}, {r('exp(log_or + 1.96 * se)', 'upper')},
   {r(f"2 * (0.5 - {half('least(abs(log_or / se), 12)')})", 'p_value')} FROM pair"""
 
+# Independent unit effects of a given variance: every unit and level has one scalar effect, eliminated from the two equations
+# of its level; sixteen Newton steps.
+GIVEN = f"""{ADM}, cell AS (
+  SELECT unit_code AS unit, adm_year AS level, CAST(saps AS DOUBLE) AS saps, (saps - 50) / 30.0 AS s,
+    CAST(count(*) AS DOUBLE) AS n, CAST(sum(death) AS DOUBLE) AS k
+  FROM adm GROUP BY ALL),
+steps AS (
+  SELECT 0 AS i, unit, level, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS c, CAST(0 AS DOUBLE) AS b
+  FROM (SELECT DISTINCT unit, level FROM cell)
+  UNION ALL
+  SELECT i + 1, unit, level, a + d0, c + d1, b + (r0 - 4 * b - w0 * d0 - w1 * d1) / (w0 + 4)
+  FROM (
+    SELECT *, (a11 * u0 - a01 * u1) / (a00 * a11 - a01 * a01) AS d0, (a00 * u1 - a01 * u0) / (a00 * a11 - a01 * a01) AS d1
+    FROM (
+      SELECT *, sum(w0 - w0 * w0 / (w0 + 4)) OVER l AS a00, sum(w1 - w0 * w1 / (w0 + 4)) OVER l AS a01,
+        sum(w2 - w1 * w1 / (w0 + 4)) OVER l AS a11, sum(r0 - w0 * (r0 - 4 * b) / (w0 + 4)) OVER l AS u0,
+        sum(r1 - w1 * (r0 - 4 * b) / (w0 + 4)) OVER l AS u1
+      FROM (
+        SELECT i, unit, level, a, c, b, sum(n * m * (1 - m)) AS w0, sum(n * m * (1 - m) * s) AS w1,
+          sum(n * m * (1 - m) * s * s) AS w2, sum(k - n * m) AS r0, sum((k - n * m) * s) AS r1
+        FROM (
+          SELECT steps.*, s, n, k, 1 / (1 + exp(-(a + b + c * s))) AS m FROM steps JOIN cell USING (unit, level) WHERE i < 16)
+        GROUP BY i, unit, level, a, c, b)
+      WINDOW l AS (PARTITION BY i, level)))),
+final AS (
+  SELECT unit, level, a - c * 50 / 30.0 AS a, c / 30.0 AS c, b, sum(n * m * (1 - m)) AS w0,
+    sum(n * m * (1 - m) * saps) AS w1, sum(n * m * (1 - m) * saps * saps) AS w2, sum(k * ln(m) + (n - k) * ln(1 - m)) AS ll
+  FROM (SELECT steps.*, saps, n, k, 1 / (1 + exp(-(a + b + c * s))) AS m FROM steps JOIN cell USING (unit, level) WHERE i = 16)
+  GROUP BY unit, level, a, c, b)"""
+
 COUNTS = "count(*) AS n, CAST(sum(death) AS BIGINT) AS k"
 
 ORACLES = {
@@ -277,6 +307,16 @@ FROM pairs WHERE level_a = '2000' OR level_b = '2000'""",
 FROM pairs WHERE level_b = '2001'""",
     "fit_fixed_score": SCORE_SQL,
     "fit_mixed_score": SCORE_SQL,
+    "given_cov_levels": f"""WITH RECURSIVE {GIVEN},
+info AS (
+  SELECT level, a, c, sum(w0 - w0 * w0 / (w0 + 4)) AS p, sum(w1 - w0 * w1 / (w0 + 4)) AS q, sum(w2 - w1 * w1 / (w0 + 4)) AS t
+  FROM final GROUP BY level, a, c)
+SELECT level, {r('a', 'a')}, {r('c', 'c')}, {r('t / (p * t - q * q)', 'v_aa')}, {r('-q / (p * t - q * q)', 'v_ac')},
+  {r('p / (p * t - q * q)', 'v_cc')} FROM info""",
+    "given_cov_unit_effects": f"""WITH RECURSIVE {GIVEN} SELECT unit, level, {r('a + b + 60 * c', 'log_odds')} FROM final""",
+    "given_cov_stats": f"""WITH RECURSIVE {GIVEN}
+SELECT (SELECT count(*) FROM adm) AS n_obs, count(DISTINCT unit) AS n_units,
+  {r('sum(ll) - 0.5 * sum(4 * b * b) - 0.5 * sum(ln(1 + 0.25 * w0))', 'log_lik', 4)} FROM final""",
     "fixed_levels": f"""WITH RECURSIVE {FIXED_YEARS}
 SELECT level, {r('a', 'a')}, {r('c', 'c')}, {r('v_aa', 'v_aa')}, {r('v_ac', 'v_ac')}, {r('v_cc', 'v_cc')} FROM est""",
     "fixed_coef": f"""WITH RECURSIVE {FIXED_YEARS}, base AS (SELECT est.* FROM est JOIN lv USING (level) WHERE idx = 1),
