@@ -208,7 +208,7 @@ def _matches_of_part(docs: DataFrame, index: ItemIndex, similarity: float) -> Da
         for batch in batches:
             ids = batch.column(0)
             rows = []
-            for lo, _, data, offsets in slices(batch.column(1), 8 << 20):
+            for lo, _, data, offsets in slices(batch.column(1)):
                 rows += [(lo + r, *rest) for r, *rest in shared.value.matches(data, offsets, similarity)]
             columns = list(zip(*rows)) or [()] * 7
             kinds = [pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
@@ -262,7 +262,7 @@ def drop_contaminated(
 
         def leaky(texts: pa.Array, shared=shared) -> list[pa.Array]:
             out = np.zeros(len(texts), bool)
-            for lo, _, data, offsets in slices(texts, 8 << 20):
+            for lo, _, data, offsets in slices(texts):
                 for match in shared.value.matches(data, offsets, similarity):
                     out[lo + match[0]] = True
             return [pa.array(out)]

@@ -36,7 +36,7 @@ MARK = "▁"
 _LITERAL_MARK = "\udc81"
 UNKNOWN_PENALTY = 10.0
 # Distinct words are gathered over about this much text at a time.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 2 << 20
 
 
 class PieceModel:
@@ -153,7 +153,7 @@ class PieceModel:
                 i += 1
             else:
                 j += 1
-        if len(self._apart) >= 500_000:
+        if len(self._apart) >= 250_000:
             self._apart.clear()
         self._apart[left, right] = fits
         return fits
@@ -161,7 +161,7 @@ class PieceModel:
     def encode_cached(self, words: list[str]) -> list[list[int]]:
         """Ids of distinct marked words; words of earlier calls are looked up, the others walked in sorted order."""
         cache = self._words
-        if len(cache) > 200_000:
+        if len(cache) > 100_000:
             cache.clear()
         new = sorted(w for w in words if w not in cache)
         found = dict(zip(new, self.encode_words(new)))
