@@ -21,7 +21,9 @@ size is that of the vocabulary.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable
+from array import array
+from collections.abc import Iterable, Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -72,8 +74,10 @@ class PieceModel:
         self.longest = max(map(len, self.ids), default=1)
         self.unknown = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
         self._apart: dict[tuple[str, str], bool] = {}
-        self._spines: dict[str, tuple[list, list] | None] = {}
-        self._words: dict[str, list[int]] = {}
+        self._spines: dict[str, tuple[list, list]] = {}
+        self._words: dict[str, bytes] = {}
+        # pieces that merging can yield
+        self.whole = {p for p in self.ids if self.merge(p) == [p]} if self.bpe else set(self.ids)
 
     def merge(self, text: str, log: list | None = None) -> list[str]:
         """BPE pieces of a text by merging the best pair, the leftmost of equal ones. ``log`` gets the merges."""
@@ -104,26 +108,24 @@ class PieceModel:
                 offer(before[i])
         return [p for p in parts if p]
 
-    def spines(self, piece: str) -> tuple[list, list] | None:
+    def spines(self, piece: str) -> tuple[list, list]:
         """How a piece comes about by merging: the parts at its left edge and those at its right edge, from the character to
-        the whole, each with the score of the merge that ends it (none for the whole). None if merging yields no such piece."""
+        the whole, each with the score of the merge that ends it (none for the whole)."""
         if piece not in self._spines:
             log: list[tuple[str, str]] = []
-            if len(piece) > 1 and (piece not in self.ids or self.merge(piece, log) != [piece]):
-                self._spines[piece] = None
-            else:
-                split = {a + b: (a, b) for a, b in log}
-                edges = []
-                for side in (0, 1):
-                    chain, part, end = [], piece, None
-                    while True:
-                        chain.append((part, end))
-                        if part not in split:
-                            break
-                        end = self.scores[part]
-                        part = split[part][side]
-                    edges.append(chain[::-1])
-                self._spines[piece] = (edges[0], edges[1])
+            self.merge(piece, log)
+            split = {a + b: (a, b) for a, b in log}
+            edges = []
+            for side in (0, 1):
+                chain, part, end = [], piece, None
+                while True:
+                    chain.append((part, end))
+                    if part not in split:
+                        break
+                    end = self.scores[part]
+                    part = split[part][side]
+                edges.append(chain[::-1])
+            self._spines[piece] = (edges[0], edges[1])
         return self._spines[piece]
 
     def apart(self, left: str, right: str) -> bool:
@@ -158,74 +160,75 @@ class PieceModel:
         self._apart[left, right] = fits
         return fits
 
-    def encode_cached(self, words: list[str]) -> list[list[int]]:
-        """Ids of distinct marked words; words of earlier calls are looked up, the others walked in sorted order."""
+    def encode_cached(self, words: list[str]) -> list[bytes]:
+        """Packed ids of distinct marked words; words of earlier calls are looked up, the others walked in sorted order."""
         cache = self._words
-        if len(cache) > 100_000:
+        if len(cache) > 300_000:
             cache.clear()
         new = sorted(w for w in words if w not in cache)
-        found = dict(zip(new, self.encode_words(new)))
+        found = {w: array("I", ids).tobytes() for w, ids in zip(new, self.encode_words(new))}
         out = [cache[w] if w in cache else found[w] for w in words]
         cache.update((w, ids) for w, ids in found.items() if len(w) <= 32)
         return out
 
-    def encode_words(self, words: Iterable[str]) -> list[list[int]]:
+    def encode_words(self, words: Iterable[str]) -> Iterator[list[int]]:
         """Ids of sorted distinct marked words, by one depth-first pass over their trie."""
-        out = []
         last, score = [""], [0.0]  # per prefix length: its last piece, its score
         previous = ""
+        extend = self._extend_bpe if self.bpe else self._extend_unigram
         for word in words:
             if self.bpe and word.startswith(MARK + MARK):
-                out.append(self._numbers(self.merge(word)))
+                yield self._numbers(self.merge(word))
                 continue
-            common, most = 0, min(len(word), len(previous))
-            while common < most and word[common] == previous[common]:
-                common += 1
+            common = len(commonprefix((word, previous)))
             del last[common + 1 :], score[common + 1 :]
-            extend = self._extend_bpe if self.bpe else self._extend_unigram
-            for end in range(common + 1, len(word) + 1):
-                extend(word, end, last, score)
+            extend(word, common, last, score)
             previous = word
             pieces, end = [], len(word)
             while end:
-                pieces.append(last[end])
-                end -= len(last[end])
-            out.append(self._numbers(reversed(pieces)))
-        return out
-
-    def _extend_unigram(self, word: str, end: int, last: list[str], score: list[float]) -> None:
-        best, chosen = None, word[end - 1]
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            own = self.scores.get(piece)
-            if own is None:
-                if start < end - 1:
-                    continue
-                own = self.unknown
-            total = score[start] + own
-            if best is None or total > best:
-                best, chosen = total, piece
-        last.append(chosen)
-        score.append(best)
-
-    def _extend_bpe(self, word: str, end: int, last: list[str], score: list[float]) -> None:
-        apart, spines = self._apart, self._spines
-        for start in range(end - 1, max(0, end - self.longest) - 1, -1):
-            piece = word[start:end]
-            if start < end - 1 and piece not in self.ids:
-                continue
-            if (spines[piece] if piece in spines else self.spines(piece)) is None:
-                continue
-            if start:
-                fits = apart.get((last[start], piece))
-                if fits is None:
-                    fits = self.apart(last[start], piece)
-                if not fits:
-                    continue
+                piece = last[end]
+                pieces.append(piece)
+                end -= len(piece)
+            pieces.reverse()
+            yield self._numbers(pieces)
+
+    def _extend_unigram(self, word: str, done: int, last: list[str], score: list[float]) -> None:
+        """Forward states of the characters behind the first ``done``: the best sum of scores."""
+        for end in range(done + 1, len(word) + 1):
+            best, chosen = None, word[end - 1]
+            for start in range(max(0, end - self.longest), end):
+                piece = word[start:end]
+                own = self.scores.get(piece)
+                if own is None:
+                    if start < end - 1:
+                        continue
+                    own = self.unknown
+                total = score[start] + own
+                if best is None or total > best:
+                    best, chosen = total, piece
+            last.append(chosen)
+            score.append(best)
+
+    def _extend_bpe(self, word: str, done: int, last: list[str], score: list[float]) -> None:
+        """Forward states of the characters behind the first ``done``: the piece that stays apart from the one before it."""
+        known, apart, longest = self.whole, self._apart, self.longest
+        for end in range(done + 1, len(word) + 1):
+            start = end - 1
+            piece = word[start]
+            stop = end - longest if end > longest else 0
+            while start:
+                left = last[start]
+                fits = apart.get((left, piece))
+                if fits or (fits is None and self.apart(left, piece)):
+                    break
+                # the next longer piece that ends here
+                start -= 1
+                while start >= stop and (piece := word[start:end]) not in known:
+                    start -= 1
+                if start < stop:
+                    raise AssertionError(f"no encoding of {word[:end]!r}")
             last.append(piece)
-            score.append(score[start] + self.scores.get(piece, self.unknown))
-            return
-        raise AssertionError(f"no encoding of {word[:end]!r}")
+            score.append(0.0)
 
     def _numbers(self, pieces: Iterable[str]) -> list[int]:
         out = []
@@ -294,9 +297,9 @@ def _encode_slice(model: PieceModel, data: np.ndarray, offsets: np.ndarray) -> t
     ]
     del raw
     ids = model.encode_cached(words)
-    counts = np.array([len(x) for x in ids], np.int64)
+    counts = np.array([len(x) // 4 for x in ids], np.int64)
     first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-    flat = np.fromiter((i for x in ids for i in x), np.int32, count=first[-1])
+    flat = np.frombuffer(b"".join(ids), np.int32)
     at = which
     total = np.concatenate([[0], np.cumsum(counts[at])])
     words_before = np.searchsorted(start, offsets)
