@@ -59,8 +59,18 @@ def test_round_trip(model):
 
 def test_states_of_common_prefixes_are_kept(model):
     words = sorted({"▁" + w for t in texts(4, 300) for w in t.split()})
-    one_by_one = [model.encode_words([w])[0] for w in words]
-    assert model.encode_words(words) == one_by_one
+    one_by_one = [next(iter(model.encode_words([w]))) for w in words]
+    assert list(model.encode_words(words)) == one_by_one
+
+
+def test_pieces_that_stay_apart(model):
+    """The test along the edges of two pieces against merging their characters."""
+    random.seed(8)
+    pieces = [p for p in sorted(model.whole) if not p.startswith("▁▁")]
+    for _ in range(20_000):
+        a, b = random.choice(pieces), random.choice(pieces).lstrip("▁")
+        if b in model.whole or len(b) == 1:
+            assert model.apart(a, b) == (model.merge(a + b) == [a, b])
 
 
 def test_awkward_rows(awkward, nothing):
