@@ -108,18 +108,20 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     })
     follow = stored(next_keys(own.select("doc_id", "th", "n").distinct()), "merkle-next").select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("key"), "th", F.floor(F.col("n") / 3).alias("take"),
-        F.coalesce(F.col("next_id").cast("string"), F.lit("-")).alias("next_key"), "next_th",
+        F.coalesce(F.col("next_id").cast("string"), F.lit("-")).alias("next_key"), "next_th", "next_id",
     )
-    # each text is moved once to its key; from there its beginning goes to the document before it
+    # Each text is moved once to its key; from there its beginning goes to the document before it. Both branches use the same
+    # columns of it, else the planner would prune them differently and move the texts twice.
     placed = own.repartition("key", "th")
     ahead = follow.select(
-        F.col("next_key").alias("key"), F.col("next_th").alias("th"), F.col("key").alias("to_key"), F.col("th").alias("to_th"), "take"
+        F.col("next_key").alias("key"), F.col("next_th").alias("th"), F.col("key").alias("to_key"), F.col("th").alias("to_th"),
+        "take", "next_id",
     )
     sent = (
-        placed.dropDuplicates(["key", "th"]).select("key", "th", "text").join(ahead, ["key", "th"])
-        .select("to_key", "to_th", "take", "text", paragraphs(F.col("text")).alias("paras"))
+        placed.dropDuplicates(["key", "th"]).join(ahead, ["key", "th"])
+        .select("to_key", "to_th", "take", "n", "doc_id", "next_id", "text", paragraphs(F.col("text")).alias("paras"))
         .select(
-            F.col("to_key").alias("key"), F.col("to_th").alias("th"), F.expr("substring(text, 1, int(take))").alias("filling"),
+            F.col("to_key").alias("key"), F.col("to_th").alias("th"), F.expr("CASE WHEN doc_id <=> next_id THEN substring(text, 1, int(least(take, n))) END").alias("filling"),
             piece_hashes(F.col("paras")).alias("next_pieces"), "take",
         )
     )
