@@ -199,8 +199,12 @@ def fit_languages(
 ) -> LanguageModel | None:
     """Fit on ``docs`` (``doc_id, lang, text``); None where no text has a language."""
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    labelled = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang")
+    # a language with far more documents is thinned by the hash first, so that few rows meet in the ranking
+    counts = labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
+    place = F.pmod(F.xxhash64(F.lit(1), F.col("doc_id")), F.lit(1 << 30)) / (1 << 30)
     chosen = (
-        docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang")
+        labelled.join(counts, F.col("lang") == F.col("_lang")).where(place * F.col("_n") < 2 * max_docs).select("doc_id", "lang")
         .withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= max_docs)
     )
     # bounded by max_docs per language
