@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +14,16 @@ from pyspark.sql import types as T
 from cohortlens.llm.shared import ship_package
 
 
+def release_memory() -> None:
+    """Give memory that the last batch no longer needs back to the system: workers stay alive between stages, next to the
+    executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def with_arrow_columns(
     df: DataFrame, text_col: str, added: str, compute: Callable[[pa.Array], list[pa.Array]], cast: str | None = "string"
 ) -> DataFrame:
@@ -32,5 +44,7 @@ def with_arrow_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *compute(batch.column(place))], names)
+            del batch
+            release_memory()
 
     return frame.mapInArrow(run, T.StructType(kept + fields.fields))

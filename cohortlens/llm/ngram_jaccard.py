@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.arrow import with_arrow_columns
+from cohortlens.llm.arrow import release_memory, with_arrow_columns
 from cohortlens.llm.components import connected_components
 from cohortlens.llm.idfilter import perhaps_with, without
 from cohortlens.llm.shared import own_columns, ship_package, stored
@@ -247,6 +247,8 @@ def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             differ = np.array([parts_that_differ(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(3), batch.column(4))], np.int64)
             keep = pa.array((100 + percent) * differ <= (100 - percent) * total)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            del batch
+            release_memory()
 
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -263,6 +265,8 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
             inter, union = overlap(batch.column(2), batch.column(3))
             keep = pa.array(100 * inter >= percent * union)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            del batch
+            release_memory()
 
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
 

@@ -163,7 +163,7 @@ class PieceModel:
     def encode_cached(self, words: list[str]) -> list[bytes]:
         """Packed ids of distinct marked words; words of earlier calls are looked up, the others walked in sorted order."""
         cache = self._words
-        if len(cache) > 300_000:
+        if len(cache) > 150_000:
             cache.clear()
         new = sorted(w for w in words if w not in cache)
         found = {w: array("I", ids).tobytes() for w, ids in zip(new, self.encode_words(new))}
