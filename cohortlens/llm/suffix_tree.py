@@ -6,13 +6,17 @@ distribution counts the next tokens it was seen with and leaves the rest to its
     P_s(w) = (c(s, w) + (c(s) - listed(s) + smoothing) * P_parent(w)) / (c(s) + smoothing)
 
 where listed(s) is the sum of the counts that the state keeps; this sums to one. A context becomes a state if its divergence
-from the parent, weighted by its count, reaches ``min_gain`` nats, and its parent is one. A token is scored by the longest
-state that ends before it; the start of a text counts as a word of contexts.
+from the parent, weighted by its count, reaches ``min_gain`` nats, and its parent is one. A state keeps the next tokens seen
+at least ``min_count`` times behind it, whatever the size of the input. Contexts get longer as long as states pass the test. A
+token is scored by the longest state that ends before it; the start of a text counts as a word of contexts.
 
-Counts are gathered over all training tokens. What the model may hold follows from shares of the training tokens, not from
-the size of the input: contexts and next tokens of states have words with at least ``symbol_share`` of all tokens, so there
-are at most 1 / symbol_share of them, and a count that a state keeps is at least ``entry_share`` of all tokens. Only tokens
-above ``dictionary_share`` have their root probability broadcast; the others are joined to the count table by shuffle.
+Counts are gathered over all training tokens and all words. States and their entries are tables, found by 64-bit hashes of
+their words: the hash of n + 1 tokens is that of the two runs of n tokens in it. Broadcast are only structures of fixed size: a
+bit filter that keeps most other contexts out of the shuffles, and the ``head_keys`` most frequent states and entries; the
+others are joined, as are the root counts of words below ``dictionary_share``. Neither changes any result.
+
+The score is a sum over the depths: a state adds log10 of the share it leaves to its parent, and the next tokens that it keeps
+add what is between that and their own probability.
 
 Defined results: a null or empty text is the end token alone; rows that share an id are scored one by one; a null id is
 neither training nor held out (null) but scored; without training texts every base probability is one.
@@ -20,8 +24,13 @@ neither training nor held out (null) but scored; without training texts every ba
 
 from __future__ import annotations
 
+import gc
+import time
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +38,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.shared import ship_package, stored
-from cohortlens.llm.tokens import Words, slices
+from cohortlens.llm.tokens import Words, mix, slices
 
-DEPTH = 2
-SYMBOL_SHARE, ENTRY_SHARE, DICTIONARY_SHARE = 1e-4, 1e-6, 5e-7
+MIN_COUNT = 2
+DICTIONARY_SHARE = 5e-7
+HEAD_KEYS, FILTER_BITS = 1 << 20, 1 << 28
+# Pairs that a worker counts at once.
+PAIRS = 1 << 21
 MIN_GAIN = 10.0
 SMOOTHING = 20.0
 # Fixed hashes of the end token and of the start, which is never a next token.
 END, START = np.uint64(0x0E0D0E0D0E0D0E0D), np.uint64(0x57A2757A2757A275)
+# The key of a state is its hash with these bits flipped, so that it differs from the entry of the same words.
+STATE = 0x1B873593CC9E2D51
+_OLDER, _NEWER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,63 +74,131 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
+def _joined(older: np.ndarray, newer: np.ndarray) -> np.ndarray:
+    """Hash of n + 1 tokens from those of the first n and the last n."""
+    return mix(older * _OLDER + newer * _NEWER)
+
+
+def _in_bits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys & np.uint64(FILTER_BITS - 1)
+    return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+
+
+def _bits_of(keys: DataFrame) -> np.ndarray:
+    """Bit filter of the keys (the only column)."""
+    place = F.pmod(F.col(keys.columns[0]), F.lit(FILTER_BITS)) + 1
+    buckets = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")
+    ).toArrow()
+    out = np.zeros(FILTER_BITS >> 3, np.uint8)
+    for bucket, bits in zip(buckets.column("bucket").to_pylist(), buckets.column("bits")):
+        part = np.frombuffer(bits.as_buffer(), np.uint8)
+        out[(bucket - 1) * 4096 : (bucket - 1) * 4096 + len(part)] = part
+    return out
+
+
 @dataclass
 class SuffixTree:
-    """Symbols are numbered by their place in ``symbols``; the number behind the last is the start. A context of depth d
-    is the number that its symbols are the digits of, oldest first, in base ``len(symbols) + 1``."""
-
     tokens: int
     distinct: int
     dictionary: np.ndarray  # sorted hashes of the frequent tokens
     counts: np.ndarray
-    symbols: np.ndarray  # sorted hashes
-    contexts: list[np.ndarray]  # per depth: sorted contexts that are states
-    escape: list[np.ndarray]  # per depth: log10 of the share left to the parent
-    entries: list[np.ndarray]  # per depth: sorted context * base + next symbol
-    entry_log: list[np.ndarray]  # per depth: log10 P
+    bits: np.ndarray  # filter of the keys of all states and entries
+    head: np.ndarray  # sorted keys of the frequent ones
+    head_value: np.ndarray
+    states: list[DataFrame]  # per depth: ctx, pctx, escape, whole
+    entries: list[DataFrame]  # per depth: entry, ctx, log, value, c
+
+    def __getstate__(self) -> dict:
+        """What a worker needs: no tables, only how many."""
+        return self.__dict__ | {"states": [None] * len(self.states), "entries": []}
+
+    def model(self) -> DataFrame | None:
+        """``key, v, c`` of all states and entries."""
+        parts = [s.select(_state_key("ctx").alias("key"), F.col("escape").alias("v"), F.col("whole").alias("c")) for s in self.states]
+        parts += [e.select(F.col("entry").alias("key"), F.col("value").alias("v"), "c") for e in self.entries]
+        return reduce(DataFrame.unionAll, parts) if parts else None
+
+    @cached_property
+    def _numbered(self) -> tuple[int, list[np.ndarray]]:
+        tables = [[(r["ctx"], r["pctx"]) for r in s.select("ctx", "pctx").collect()] for s in self.states]
+        base = 1 + max((max(Counter(p for _, p in t).values(), default=0) for t in tables), default=0)
+        number, out = {0: 0}, []
+        for d, table in enumerate(tables):
+            seen, own = Counter(), {}
+            for ctx, parent in sorted(table):
+                own[ctx] = number[parent] + seen[parent] * base**d
+                seen[parent] += 1
+            number = own
+            out.append(np.array(sorted(own.values()), object))
+        return base, out
+
+    @property
+    def contexts(self) -> list[np.ndarray]:
+        """Per depth the states of a small model, numbered: modulo ``base`` to the power of the depth before, their parent's."""
+        return self._numbered[1]
 
     @property
     def base(self) -> int:
-        return len(self.symbols) + 1
+        return self._numbered[0]
 
     def root_log(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.tokens + self.distinct + 1))
 
-    def coded(self, tokens: np.ndarray, first: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Symbol of every token (-1: none), and the context of ``depth`` words in front of it (-1: none)."""
-        distinct, which = np.unique(tokens, return_inverse=True)
-        symbol = _find(self.symbols, distinct)[which]
-        # a start in front of every text
+    def walk(self, tokens: np.ndarray, first: np.ndarray):
+        """Per depth, from 1 on: the tokens (their places) whose context of one word less may be a state, the hashes of the
+        context and of the context with the token, of the token with the context of one word less, and whether that may be an entry."""
         rows = len(first) - 1
-        line = np.full(len(tokens) + rows, self.base - 1)
-        at = np.arange(len(tokens)) + np.repeat(np.arange(rows), np.diff(first)) + 1
-        line[at] = symbol
-        row_start = np.repeat(first[:-1] + np.arange(rows), np.diff(first))
-        context = np.zeros(len(tokens), np.int64)
-        for back in range(depth, 0, -1):
-            place = at - back
-            digit = np.where(place >= row_start, line[np.maximum(place, 0)], -1)
-            context = np.where((context >= 0) & (digit >= 0), context * self.base + digit, -1)
-        return symbol, context
+        length = np.diff(first)
+        # a start in front of every text
+        run = np.full(len(tokens) + rows, START, np.uint64)
+        at = np.arange(len(tokens)) + np.repeat(np.arange(rows), length) + 1
+        run[at] = tokens
+        behind = np.arange(len(tokens)) - np.repeat(first[:-1], length) + 1
+        own, listed, d = np.arange(len(tokens)), np.ones(len(tokens), bool), 1
+        while len(own):
+            longer = run.copy()
+            longer[1:] = _joined(run[:-1], run[1:])
+            place = at[own]
+            context, entry = run[place - 1], longer[place]
+            yield own, context, entry, run[place], listed
+            alive = _in_bits(self.bits, context ^ np.uint64(STATE)) & (behind[own] > d)
+            own, listed = own[alive], _in_bits(self.bits, entry[alive])
+            run, d = longer, d + 1
 
     def score(self, tokens: np.ndarray, first: np.ndarray):
-        """Per token: its count (-1: not in the dictionary), and log10 P without the root's part where that is missing."""
+        """Per token: its count (-1: not in the dictionary), and log10 P without what has to be looked up: the root's part of
+        words that aren't in the dictionary, and states and entries beyond the head."""
+        count, root, value, _, _ = self.parts(tokens, first)
+        return count, root, value
+
+    def parts(self, tokens: np.ndarray, first: np.ndarray):
+        """``score``, and the tokens with keys that are still to be looked up."""
         distinct, which = np.unique(tokens, return_inverse=True)
         place = _find(self.dictionary, distinct)
         known = np.where(place >= 0, self.counts[np.maximum(place, 0)] if len(self.counts) else 0, -1)
         count = known[which]
         value = np.where(count >= 0, self.root_log(np.maximum(known, 0))[which], 0.0)
         root = value.copy()
-        for d in range(len(self.contexts)):
-            symbol, context = self.coded(tokens, first, d + 1)
-            state = np.where(context >= 0, _find(self.contexts[d], context), -1)
-            inside = np.flatnonzero(state >= 0)
-            entry = _find(self.entries[d], np.where(symbol[inside] >= 0, context[inside] * self.base + symbol[inside], -1))
-            value[inside] = np.where(
-                entry >= 0, self.entry_log[d][np.maximum(entry, 0)] if len(self.entry_log[d]) else 0.0,
-                value[inside] + self.escape[d][state[inside]],
-            )
-        return count, root, value
+        token, key = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for d, (own, context, entry, _, _) in enumerate(self.walk(tokens, first)):
+            if d == len(self.states):
+                break
+            state = context ^ np.uint64(STATE)
+            inside = _in_bits(self.bits, state)
+            own, state, entry = own[inside], state[inside], entry[inside]
+            listed = _in_bits(self.bits, entry)
+            for places, keys in ((own, state), (own[listed], entry[listed])):
+                found = _find(self.head, keys)
+                held = found >= 0
+                value[places[held]] += self.head_value[found[held]]
+                token.append(places[~held])
+                key.append(keys[~held])
+        return count, root, value, np.concatenate(token), np.concatenate(key)
+
+
+def _state_key(column: str):
+    return F.col(column).bitwiseXOR(F.lit(STATE).cast("bigint"))
 
 
 def _word_counts(train: DataFrame) -> DataFrame:
@@ -133,70 +216,116 @@ def _word_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _context_counts(train: DataFrame, tree: SuffixTree, depth: int, parents: np.ndarray | None) -> DataFrame:
-    """``context, next, c``: contexts of ``depth`` symbols whose parent is in ``parents``; ``next`` is -1 for the tokens that
-    are no symbols."""
-    shared = train.sparkSession.sparkContext.broadcast((tree, parents))
+def _context_counts(train: DataFrame, tree: SuffixTree, depth: int, repeated: np.ndarray | None, min_count: int) -> DataFrame:
+    """``ctx, pentry, c`` of contexts of ``depth`` words whose parent may be a state and which are seen with a next token
+    at least ``min_count`` times; ``pentry`` is the token with the parent. From depth 3 on there is a row without ``pentry`` for the count of the context itself. ``repeated`` is a filter of contexts worth counting."""
+    shared = train.sparkSession.sparkContext.broadcast((tree, repeated))
+
+    def counted(parts: list) -> pa.RecordBatch:
+        context, parent, total = (np.concatenate(x) for x in zip(*parts))
+        _, at, c = np.unique(np.where(total, context ^ np.uint64(STATE), _joined(context, parent)), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([
+            pa.array(context[at].view(np.int64)), pa.array(parent[at].view(np.int64), mask=total[at]), pa.array(c)
+        ], ["ctx", "pentry", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, parents = shared.value
+        tree, repeated = shared.value
+        parts, held = [], 0
         for batch in batches:
-            pairs = [np.zeros(0, np.int64)]
             for _, _, data, offsets in slices(batch.column(0)):
-                tokens, first = _tokens(data, offsets)
-                symbol, context = tree.coded(tokens, first, depth)
-                keep = context >= 0
-                if parents is not None:
-                    keep &= _find(parents, context % tree.base ** (depth - 1)) >= 0
-                pairs.append(context[keep] * (tree.base + 1) + symbol[keep] + 1)
-            pair, c = np.unique(np.concatenate(pairs), return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pair // (tree.base + 1)), pa.array(pair % (tree.base + 1) - 1), pa.array(c)], ["context", "next", "c"]
-            )
-
-    return train.mapInArrow(run, "context bigint, next bigint, c bigint").groupBy("context", "next").agg(F.sum("c").alias("c"))
-
-
-def _grow(tree: SuffixTree, counted: DataFrame, min_count: int, min_gain: float, smoothing: float) -> None:
-    """Add the states of the next depth to the tree."""
-    depth = len(tree.contexts) + 1
-    sums = counted.groupBy("context").agg(F.sum("c").alias("total"))
-    # bounded by 1 / entry_share
-    kept = counted.where((F.col("next") >= 0) & (F.col("c") >= min_count)).join(sums, "context").toArrow()
-    context, nxt, c, total = (kept.column(k).to_numpy().astype(np.int64) for k in ("context", "next", "c", "total"))
-    order = np.lexsort((nxt, context))
-    context, nxt, c, total = context[order], nxt[order], c[order].astype(float), total[order].astype(float)
-    states, start, where = np.unique(context, return_index=True, return_inverse=True)
-    # the parent's log10 P of every entry
-    frequency = tree.counts[_find(tree.dictionary, tree.symbols)] if len(tree.symbols) else tree.counts[:0]
-    parent = tree.root_log(frequency[nxt]) if len(nxt) else np.zeros(0)
-    for d in range(depth - 1):
-        short = context % tree.base ** (d + 1)
-        state = _find(tree.contexts[d], short)
-        entry = _find(tree.entries[d], short * tree.base + nxt)
-        explicit = tree.entry_log[d][np.maximum(entry, 0)] if len(tree.entry_log[d]) else np.zeros(len(nxt))
-        left = tree.escape[d][np.maximum(state, 0)] if len(tree.escape[d]) else np.zeros(len(nxt))
-        parent = np.where(state < 0, parent, np.where(entry >= 0, explicit, parent + left))
-    listed = np.bincount(where, weights=c, minlength=len(states))
-    whole = total[start] if len(start) else np.zeros(0)
-    share = (whole - listed + smoothing) / (whole + smoothing)
-    own = np.log10(c / (whole[where] + smoothing) + share[where] * 10**parent) if len(c) else np.zeros(0)
-    gain = np.bincount(where, weights=c * (own - parent), minlength=len(states)) + (whole - listed) * np.log10(share)
-    good = gain * np.log(10) >= min_gain
-    if depth > 1 and len(states):
-        good &= _find(tree.contexts[depth - 2], states % tree.base ** (depth - 1)) >= 0
-    tree.contexts.append(states[good])
-    tree.escape.append(np.log10(share[good]))
-    inside = good[where] if len(where) else np.zeros(0, bool)
-    tree.entries.append(context[inside] * tree.base + nxt[inside])
-    tree.entry_log.append(own[inside])
+                level = next(islice(tree.walk(*_tokens(data, offsets)), depth - 1, None), None)
+                if level is None:
+                    continue
+                _, context, _, parent, listed = level
+                keep = listed if repeated is None else listed & _in_bits(repeated, context)
+                parts.append((context[keep], parent[keep], np.zeros(keep.sum(), bool)))
+                if depth > 2:
+                    parts.append((context, parent, np.ones(len(context), bool)))
+                held += sum(len(p[0]) for p in parts[-1 - (depth > 2) :])
+                if held >= PAIRS:
+                    yield counted(parts)
+                    parts, held = [], 0
+        if parts:
+            yield counted(parts)
+
+    sums = train.mapInArrow(run, "ctx bigint, pentry bigint, c bigint").groupBy("ctx", "pentry").agg(F.sum("c").alias("c"))
+    return sums.where(F.col("c") >= min_count)
+
+
+def _with_entry(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``entry`` in place of ``pentry``."""
+    columns = ["entry" if k == "pentry" else k for k in pairs.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, parent = (batch.column(k).to_numpy().view(np.uint64) for k in ("ctx", "pentry"))
+            entry = pa.array(_joined(context, parent).view(np.int64))
+            yield pa.RecordBatch.from_arrays([entry if k == "entry" else batch.column(k) for k in columns], columns)
+
+    kinds = dict(pairs.dtypes) | {"entry": "bigint"}
+    return pairs.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in columns))
+
+
+def _release(spark) -> None:
+    """Let Spark remove the shuffle files of tables that are written: it does so when its driver collects garbage, at the second time."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def _grow(tree: SuffixTree, counted: DataFrame, totals: DataFrame, parents: DataFrame, min_gain: float, smoothing: float) -> bool:
+    """Add the states of the next depth to the tree; whether there are any. ``totals``: ``ctx, whole``; ``parents``: ``pentry,
+    pctx, plog``, the parent's log10 P of the entries it keeps. A token kept by a state is kept by its parent, too."""
+    pairs = counted.where("pentry is not null")
+    whole, listed, c = F.col("whole"), F.col("listed"), F.col("c")
+    sums = pairs.groupBy("ctx").agg(F.sum("c").alias("listed")).join(totals, "ctx").select(
+        "ctx", "whole", "listed", F.log10((whole - listed + smoothing) / (whole + smoothing)).alias("escape")
+    )
+    own = F.log10(c / (whole + smoothing) + F.pow(F.lit(10.0), F.col("escape") + F.col("plog")))
+    joined = pairs.join(parents, "pentry").join(sums, "ctx").select("ctx", "pentry", "pctx", "c", "plog", "escape", "whole", "listed", own.alias("log"))
+    all_entries = stored(joined, "tree-entries")
+    _release(counted.sparkSession)
+    gain = F.sum(c * (F.col("log") - F.col("plog"))) + F.first((whole - listed) * F.col("escape"))
+    states = all_entries.groupBy("ctx").agg(
+        F.first("pctx").alias("pctx"), F.first("escape").alias("escape"), F.first("whole").alias("whole"), gain.alias("gain")
+    ).where(F.col("gain") * float(np.log(10)) >= min_gain).drop("gain")
+    states = stored(states, "tree-states")
+    if states.isEmpty():
+        return False
+    value = (F.col("log") - F.col("plog") - F.col("escape")).alias("value")
+    kept = _with_entry(all_entries.select("pentry", "ctx", "log", value, "c").join(states.select("ctx"), "ctx", "left_semi"))
+    tree.states.append(states)
+    tree.entries.append(stored(kept, "tree-kept"))
+    tree.bits |= _bits_of(states.select(_state_key("ctx").alias("key")).unionAll(tree.entries[-1].select("entry")))
+    return True
+
+
+def _set_head(tree: SuffixTree, most: int) -> None:
+    """Take the most frequent keys, at most ``most``, whose counts are above a common bound."""
+    model = tree.model()
+    if model is None:
+        return
+    band = F.floor(F.log2("c") * 8)
+    low = None
+    for row in sorted(model.groupBy(band.alias("band")).count().collect(), reverse=True):
+        most -= row["count"]
+        if most < 0:
+            break
+        low = row["band"]
+    if low is not None:
+        rows = model.where(band >= low).select("key", "v").toArrow()
+        key, value = rows.column("key").to_numpy().astype(np.int64).view(np.uint64), rows.column("v").to_numpy()
+        order = np.argsort(key)
+        tree.head, tree.head_value = key[order], value[order]
 
 
 def fit_suffix_tree(
-    train: DataFrame, depth: int = DEPTH, symbol_share: float = SYMBOL_SHARE, entry_share: float = ENTRY_SHARE,
-    dictionary_share: float = DICTIONARY_SHARE, min_gain: float = MIN_GAIN, smoothing: float = SMOOTHING,
+    train: DataFrame, depth: int | None = None, min_count: int = MIN_COUNT, dictionary_share: float = DICTIONARY_SHARE,
+    min_gain: float = MIN_GAIN, smoothing: float = SMOOTHING, head_keys: int = HEAD_KEYS,
 ) -> tuple[SuffixTree, DataFrame]:
-    """The tree, and the counts ``h, c`` of all training tokens, from a table with a ``text`` column."""
+    """The tree, and the counts ``h, c`` of all training tokens, from a table with a ``text`` column. With a ``depth`` no context
+    is longer."""
     texts = train.select(F.col("text").cast("string"))
     counts = stored(_word_counts(texts), "tree-words")
     tokens, distinct = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
@@ -205,15 +334,31 @@ def fit_suffix_tree(
     frequent = counts.where(F.col("c") >= max(1, int(np.ceil(tokens * dictionary_share)))).toArrow()
     h, c = frequent.column("h").to_numpy().astype(np.int64).view(np.uint64), frequent.column("c").to_numpy().astype(np.int64)
     order = np.argsort(h)
-    h, c = h[order], c[order]
-    symbols = h[c >= max(1, int(np.ceil(tokens * symbol_share)))]
-    tree = SuffixTree(tokens, distinct, h, c, symbols, [], [], [], [])
-    min_count = max(2, int(np.ceil(tokens * entry_share)))
-    for d in range(1, depth + 1):
-        parents = tree.contexts[-1] if d > 1 and tokens else None
-        if tokens and (parents is None or len(parents)):
-            counted = stored(_context_counts(texts, tree, d, parents), "tree-contexts")
-            _grow(tree, counted, min_count, min_gain, smoothing)
+    bits = np.zeros(FILTER_BITS >> 3, np.uint8)
+    tree = SuffixTree(tokens, distinct, h[order], c[order], bits, np.zeros(0, np.uint64), np.zeros(0), [], [])
+    # every word has a next token, and every text a start and an end
+    signed = lambda x: F.lit(int(x.astype(np.int64))).cast("bigint")
+    totals = counts.select(F.when(F.col("h") == signed(END), signed(START)).otherwise(F.col("h")).alias("ctx"), F.col("c").alias("whole"))
+    parents = counts.select(
+        F.col("h").alias("pentry"), F.lit(0).cast("bigint").alias("pctx"),
+        F.log10((F.col("c") + 1) / F.lit(float(tokens + distinct + 1))).alias("plog"),
+    )
+    repeated = None
+    while tokens and (depth is None or len(tree.states) < depth):
+        d = len(tree.states) + 1
+        counted = stored(_context_counts(texts, tree, d, repeated, min_count), "tree-contexts")
+        _release(train.sparkSession)
+        if d > 2:
+            totals = counted.where("pentry is null").select("ctx", F.col("c").alias("whole"))
+        if not _grow(tree, counted, totals, parents, min_gain, smoothing):
+            break
+        parents = tree.entries[-1].select(F.col("entry").alias("pentry"), F.col("ctx").alias("pctx"), F.col("log").alias("plog"))
+        # all pairs of words were counted: a longer context that isn't among them has too few next tokens
+        repeated = _bits_of(_with_entry(counted.select("ctx", "pentry")).select("entry")) if d == 1 else None
+        if d == 1:
+            totals = _with_entry(counted).select(F.col("entry").alias("ctx"), F.col("c").alias("whole"))
+        _release(train.sparkSession)
+    _set_head(tree, head_keys)
     return tree, counts
 
 
@@ -232,7 +377,7 @@ def score_texts(docs: DataFrame, tree: SuffixTree, counts: DataFrame, id_col: st
             number = batch.column(0).to_numpy()
             for lo, hi, data, offsets in slices(batch.column(2)):
                 tokens, first = _tokens(data, offsets)
-                count, root, value = tree.score(tokens, first)
+                count, root, value, token, key = tree.parts(tokens, first)
                 run_of = lambda x: (s := np.concatenate([[0], np.cumsum(x)]))[first[1:]] - s[first[:-1]]
                 own = number[lo:hi]
                 # a key that meets no word: the row's own sums travel with the words that are still to be looked up
@@ -242,14 +387,17 @@ def score_texts(docs: DataFrame, tree: SuffixTree, counts: DataFrame, id_col: st
                     pa.array(run_of(root)), pa.array(run_of(value)),
                 ], names)
                 rare = np.flatnonzero(count < 0)
-                if len(rare):
-                    row = np.repeat(np.arange(hi - lo), np.diff(first))[rare]
-                    h = tokens[rare]
+                rows_of = np.repeat(np.arange(hi - lo), np.diff(first))
+                # words to be looked up, and with times below zero states and entries
+                for sign, place, h in ((1, rare, tokens[rare]), (-1, token, key)):
+                    if not len(h):
+                        continue
+                    row = rows_of[place]
                     order = np.lexsort((h, row))
                     row, h = row[order], h[order]
                     new = np.ones(len(h), bool)
                     new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
-                    times = np.diff(np.append(np.flatnonzero(new), len(h)))
+                    times = sign * np.diff(np.append(np.flatnonzero(new), len(h)))
                     k = len(times)
                     yield pa.RecordBatch.from_arrays([
                         pa.array(own[row[new]]), pa.array(h[new].view(np.int64)), pa.array(times.astype(np.int32)),
@@ -259,16 +407,19 @@ def score_texts(docs: DataFrame, tree: SuffixTree, counts: DataFrame, id_col: st
     sums = rows.mapInArrow(
         run, "row bigint, h bigint, times int, doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
     )
-    looked_up = sums.join(counts, "h", "left")
+    table, model = counts.select("h", "c", F.lit(None).cast("double").alias("v")), tree.model()
+    if model is not None:
+        table = table.unionAll(model.select("key", F.lit(None).cast("bigint"), "v"))
+    looked_up = sums.join(table, "h", "left")
     times, c = F.col("times"), F.coalesce("c", F.lit(0))
     rest = F.when(times > 0, times * F.log10((c + 1) / F.lit(float(tree.tokens + tree.distinct + 1))))
     per_row = looked_up.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("known"),
         F.sum(F.when((times > 0) & (c > 0), times)).alias("more"), F.sum(rest).alias("rest"),
-        F.max("base_score").alias("base"), F.max("score").alias("value"),
+        F.max("base_score").alias("base"), F.max("score").alias("value"), F.sum(F.when(times < 0, -times * F.col("v"))).alias("longer"),
     )
     rest = F.coalesce("rest", F.lit(0.0))
     return per_row.select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        (F.col("base") + rest).alias("base_score"), (F.col("value") + rest).alias("score"),
+        (F.col("base") + rest).alias("base_score"), (F.col("value") + rest + F.coalesce("longer", F.lit(0.0))).alias("score"),
     )

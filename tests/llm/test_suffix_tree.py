@@ -98,3 +98,69 @@ def test_awkward_rows(awkward, nothing):
     assert all(r["base_score"] == 0 and r["n_known"] == 0 for r in score_texts(awkward, empty, no_counts).collect())
     assert score_texts(nothing, tree, counts).count() == 0
     assert END in tree.dictionary
+
+
+def brute_force(rows, held_out, min_gain=10.0, smoothing=20.0):
+    """log10 of held-out texts by the definition, over contexts of any length."""
+    texts = [[0, *words(t)] for t in rows]
+    seen = collections.defaultdict(collections.Counter)
+    unigrams = collections.Counter(w for t in texts for w in t[1:])
+    for t in texts:
+        for i in range(1, len(t)):
+            for d in range(1, min(i, 12) + 1):
+                seen[tuple(t[i - d : i])][t[i]] += 1
+    bottom = sum(unigrams.values()) + len(unigrams) + 1
+    states = {}
+
+    def prob(s, w):
+        if not s:
+            return (unigrams[w] + 1) / bottom
+        kept, whole, share = states[s]
+        return (kept[w] / (whole + smoothing) if w in kept else 0) + (share * prob(s[1:], w))
+
+    depth, deepest = 1, 0
+    while depth == 1 or depth == deepest + 1:
+        for s, following in seen.items():
+            kept = {w: c for w, c in following.items() if c > 1}
+            if len(s) == depth and kept and (depth == 1 or s[1:] in states):
+                whole = following.total()
+                share = (whole - sum(kept.values()) + smoothing) / (whole + smoothing)
+                own = lambda w: kept[w] / (whole + smoothing) + share * prob(s[1:], w)  # noqa: B023, E731
+                gain = sum(c * math.log(own(w) / prob(s[1:], w)) for w, c in kept.items())
+                if gain + (whole - sum(kept.values())) * math.log(share) >= min_gain:
+                    states[s], deepest = (kept, whole, share), depth
+        depth += 1
+
+    def score(text):
+        t, total = [0, *words(text)], 0.0
+        for i in range(1, len(t)):
+            d = 0
+            while d < i and tuple(t[i - d - 1 : i]) in states:
+                d += 1
+            total += math.log10(prob(tuple(t[i - d : i]), t[i]))
+        return total
+
+    return deepest, [score(t) for t in held_out], len(states)
+
+
+def test_rare_words_and_long_contexts_against_brute_force(docs_of):
+    random.seed(4)
+    rows = []
+    for _ in range(300):
+        text = random.choices("abcdef", k=3)
+        for _ in range(80):
+            # what comes next depends on the last word, the last two or the last three
+            last = text[-random.choice((1, 2, 3)) :]
+            text.append("abcdef"[zlib.crc32(" ".join(last).encode()) % 6])
+        rows.append(" ".join(text))
+    # words far below 1e-4 of all tokens
+    rows += ["rare pair of words"] * 2
+    held = ["a rare pair of words", "a b c d e f a b c", "rare pair never of words", *rows[:20]]
+    deepest, expected, n_states = brute_force(rows, held)
+    assert deepest >= 3
+    docs = docs_of(list(enumerate(rows)))
+    for head in (1 << 20, 3):
+        tree, counts = fit_suffix_tree(docs, head_keys=head)
+        assert len(tree.states) == deepest and sum(s.count() for s in tree.states) == n_states
+        out = score_texts(docs_of(list(enumerate(held))), tree, counts).collect()
+        assert [r["score"] for r in sorted(out, key=lambda r: r["doc_id"])] == pytest.approx(expected)
