@@ -17,7 +17,7 @@ def _place(id_column: Column) -> Column:
     return F.pmod(F.xxhash64(id_column), F.lit(FILTER_BITS))
 
 
-def _marked(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+def marked(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """``df`` with ``_hit``: whether the filter of the ids (their only column) has the row's id."""
     name = ids.columns[0]
     bits = ids.select(_place(F.col(name).cast("bigint")).alias("p")).distinct().groupBy(
@@ -33,14 +33,14 @@ def _marked(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
 
 def perhaps_with(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """The rows with an id of the set, and a few others."""
-    return _marked(df, id_col, ids).where("_hit").drop("_hit")
+    return marked(df, id_col, ids).where("_hit").drop("_hit")
 
 
 def without(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """The rows without an id of the set, exactly; only rows that the filter lets through are shuffled to be looked up."""
     name = ids.columns[0]
-    marked = _marked(df, id_col, ids)
+    found = marked(df, id_col, ids)
     known = ids.select(F.col(name).cast("bigint").alias("_known")).distinct()
-    sure = marked.where("NOT _hit").drop("_hit")
-    rest = marked.where("_hit").drop("_hit")
+    sure = found.where("NOT _hit").drop("_hit")
+    rest = found.where("_hit").drop("_hit")
     return sure.unionByName(rest.join(known, rest[id_col].cast("bigint") == F.col("_known"), "left_anti"))

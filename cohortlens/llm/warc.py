@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.idfilter import without
+from cohortlens.llm.idfilter import marked
 from cohortlens.llm.shared import scratch_path, ship_package, stored
 
 # Fixed values of the format.
@@ -123,13 +123,15 @@ def write_archive(
     revisits = stored(
         thin.join(kept, ["digest", "bytes"]).where("NOT (page_id <=> refers_to)"), "warc-revisits"
     )
-    # the payloads of revisits aren't written, so that only records of responses are looked up by id
-    responses = without(own.where("page_id is not null"), "page_id", revisits.select("page_id").where("page_id is not null"))
-    nameless = own.where("page_id is null").join(
-        revisits.where("page_id is null").select("digest", "bytes").distinct(), ["digest", "bytes"], "left_anti"
-    ).select(own.columns)
+    # The payloads of revisits aren't written, so that only records with an id of revisits are looked up; an id may have other
+    # payloads, which stay.
+    named = marked(own.where("page_id is not null"), "page_id", revisits.select("page_id").where("page_id is not null"))
+    sure = named.where("NOT _hit").drop("_hit")
+    asked = named.where("_hit").drop("_hit").unionByName(own.where("page_id is null"))
+    known = revisits.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), F.col("bytes").alias("_bytes")).distinct()
+    responses = sure.unionByName(asked.join(known, F.expr("page_id <=> _id AND digest = _digest AND bytes = _bytes"), "left_anti"))
     records = (
-        responses.unionByName(nameless).select(_record("response", captured).alias("value"))
+        responses.select(_record("response", captured).alias("value"))
         .unionAll(revisits.select(_record("revisit", captured).alias("value")))
     )
     records.write.option("lineSep", END_OF_RECORD).option("maxRecordsPerFile", records_per_file).text(path)

@@ -100,3 +100,13 @@ def test_empty_table(spark):
     archive = index_archive(spark, write_archive(empty))
     assert read_archive(spark, archive).count() == 0
     assert lookup(spark, archive, spark.createDataFrame([("http://a/",)], "url string")).count() == 0
+
+
+def test_an_id_with_two_payloads_loses_none(spark):
+    # the first payload of 5 is a revisit of 9, its second one stays a response; so do both of an id that is null
+    rows = [(5, "http://a/1", "A"), (5, "http://a/2", "B"), (9, "http://a/3", "A"), (3, "http://a/4", "B"), (None, "http://a/5", "A"), (None, "http://a/6", "C")]
+    rows = [(*r, "d", 1) for r in rows]
+    records = read_archive(spark, index_archive(spark, write_archive(spark.createDataFrame(rows, PAGES))), with_payload=True).collect()
+    mine = [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in records]
+    assert sorted(mine, key=str) == expected(rows)
+    assert sorted((str(r["page_id"]), r["payload"]) for r in records if r["record_type"] == "response") == [("5", "B"), ("9", "A"), ("None", "C")]
