@@ -6,7 +6,8 @@ the digest of its paragraphs' digests, and the root that of the sections'. Equal
 different roots; where roots differ, equal section digests are passed over and the differing paragraphs tell where the edit is.
 
 Below the paragraphs, a text is cut in pieces of some 40 characters that end at a word's end and are compared by their 64-bit
-hashes. The likeness of two texts is the number of distinct pieces in common over that of the text with more of them.
+hashes. The likeness of two texts is the number of pieces in common over that of the text with more of them: of distinct pieces
+(``near_*``, as the contract's SQL counts them), or of all pieces with a repeated one as often as it comes (``kept_*``).
 
 Defined results: null counts as empty; two empty texts have likeness 1, an empty and another text 0. The next document of
 ``with_edits`` is taken in descending id; rows with equal ids follow each other by a hash of their texts, rows that are equal
@@ -46,8 +47,29 @@ def root_digest(sections: Column) -> Column:
 
 def piece_hashes(paras: Column) -> Column:
     """Distinct hashes of the pieces of all paragraphs."""
+    return F.array_distinct(all_piece_hashes(paras))
+
+
+def all_piece_hashes(paras: Column) -> Column:
     cut = F.flatten(F.transform(paras, lambda p: F.regexp_extract_all(p, F.lit(PIECE), F.lit(0))))
-    return F.array_distinct(F.transform(cut, lambda piece: F.xxhash64(piece)))
+    return F.transform(cut, lambda piece: F.xxhash64(piece))
+
+
+def occurrences(values: Column) -> Column:
+    """The hashes with the number of their occurrence within, so that a repeated one is in as often as it comes."""
+    bound = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
+
+    def numbered(ordered: Column, starts: Column) -> Column:
+        end = lambda j: F.coalesce(F.get(starts, j + 1), F.size(ordered))
+        return F.flatten(F.transform(starts, lambda start, j: F.transform(
+            F.sequence(start, end(j) - 1), lambda i: F.xxhash64(F.get(ordered, i), i - start)
+        )))
+
+    def of_sorted(ordered: Column) -> Column:
+        starts = F.transform(ordered, lambda x, i: F.when(~x.eqNullSafe(F.get(ordered, i - 1)), i))
+        return bound(F.array_compact(starts), lambda found: numbered(ordered, found))
+
+    return bound(F.array_sort(values), of_sorted)
 
 
 def likeness(pieces_a: Column, pieces_b: Column) -> Column:
@@ -97,7 +119,7 @@ def next_keys(keys: DataFrame) -> DataFrame:
 
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_chars, edited`` (the last third of the text replaced by as many first characters of the
-    next document, or all of it), the fingerprints of both, ``near_edited``, ``near_next`` and ``edited_at`` (the paragraphs
+    next document, or all of it), the fingerprints of both, ``near_edited``, ``near_next``, ``kept_edited``, ``kept_next`` and ``edited_at`` (the paragraphs
     of the edited text that are new)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"))
@@ -122,16 +144,19 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .select("to_key", "to_th", "take", "n", "doc_id", "next_id", "text", paragraphs(F.col("text")).alias("paras"))
         .select(
             F.col("to_key").alias("key"), F.col("to_th").alias("th"), F.expr("CASE WHEN doc_id <=> next_id THEN substring(text, 1, int(least(take, n))) END").alias("filling"),
-            piece_hashes(F.col("paras")).alias("next_pieces"), "take",
+            piece_hashes(F.col("paras")).alias("next_pieces"), occurrences(all_piece_hashes(F.col("paras"))).alias("next_counted"), "take",
         )
     )
     both = placed.join(sent, ["key", "th"])
     edited = both.withColumn("edited", F.expr("concat(substring(text, 1, int(n - take)), filling)")).drop("filling")
     trees = with_tree(with_tree(edited), "edited", "edited_")
+    counted = lambda column: occurrences(all_piece_hashes(paragraphs(F.col(column))))
     return trees.select(
         "doc_id", F.col("n").alias("n_chars"), "edited", "fingerprint", "edited_fingerprint",
         likeness(F.col("pieces"), F.col("edited_pieces")).alias("near_edited"),
         likeness(F.col("pieces"), F.col("next_pieces")).alias("near_next"),
+        likeness(counted("text"), counted("edited")).alias("kept_edited"),
+        likeness(counted("text"), F.col("next_counted")).alias("kept_next"),
         differing_paragraphs(
             F.col("paragraphs"), F.col("sections"), F.col("edited_paragraphs"), F.col("edited_sections")
         ).alias("edited_at"),

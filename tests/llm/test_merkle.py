@@ -67,3 +67,15 @@ def test_awkward_rows(awkward, nothing, docs_of):
 def test_no_python_in_the_plan(docs_of):
     plan = with_edits(docs_of([(1, "a"), (2, "b")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_repeated_pieces_count_as_often_as_they_come(docs_of):
+    passage = "a passage of the text that comes again and again all over\n"
+    other = "".join(f"line {i} is nowhere else in any of these two texts here\n" for i in range(200))
+    out = {r["doc_id"]: r for r in with_edits(docs_of([(2, passage * 300), (1, other)])).collect()}
+    assert out[2]["near_edited"] < 0.05 and 0.6 < out[2]["kept_edited"] < 0.7
+    assert out[2]["kept_next"] == 0
+    out = {r["doc_id"]: r for r in with_edits(docs_of([(2, passage * 1000), (1, passage), (0, "x")])).collect()}
+    assert out[2]["near_next"] == 1 and out[2]["kept_next"] < 0.01
+    same = {r["doc_id"]: r for r in with_edits(docs_of([(2, passage * 3), (1, passage * 3), (0, "")])).collect()}
+    assert same[2]["kept_next"] == 1 and same[0]["kept_next"] == 0
