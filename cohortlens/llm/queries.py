@@ -1,13 +1,16 @@
-"""The registered queries of the ten operators, one per operator, over whole tables, and the SQL that checks them."""
+"""The registered queries of the operators, one per operator, over whole tables, and the SQL that checks them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.llm import byte_bpe
 from cohortlens.llm.decontaminate import benchmark_matches
+from cohortlens.llm.importance import resample
 from cohortlens.llm.language_id import fit_languages, with_languages
 from cohortlens.llm.license_scan import license_matches
 from cohortlens.llm.line_dedup import dedup_lines
@@ -18,6 +21,7 @@ from cohortlens.llm.suffix_tree import fit_suffix_tree, score_texts
 from cohortlens.llm.shared import crc_remainder
 from cohortlens.llm.warc import index_archive, read_archive, write_archive
 from cohortlens.llm.toxicity import fit_severity, with_severity
+from cohortlens.llm.vector_codes import with_codes, with_group_error
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +97,30 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_classes(_table(spark, sf_dir, "documents"), shingle=3, percent=90)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all documents towards the benchmark, and the ranks of the twentieth that is drawn."""
+    drawn = resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every whole text and of the bytes they decode to."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.with_round_trip(docs, ranks, public_tokenizers.PATTERN).select(
+        "doc_id", "n_tokens", F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all usable vectors, their errors, and the digest of the codebooks."""
+    coded, books = with_codes(_table(spark, sf_dir, "embeddings"))
+    return with_group_error(coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -104,8 +132,58 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_importance": op11_importance,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+
+def _nibble_crcs() -> str:
+    """The CRC register after four bits, for each value of them."""
+    table = []
+    for value in range(16):
+        for _ in range(4):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    return str(table)
+
+
+def _codebook_sql(rounds: int = 6, parts: int = 8, entries: int = 16) -> str:
+    """One pair of steps per round: nearest entries, then floors of means; unused entries stay."""
+    nearest = """a{i} AS MATERIALIZED (
+  SELECT vec_id, label, part, c, min(struct_pack(d := d, e := e)) AS best FROM (
+    SELECT p.vec_id, p.label, p.part, p.c, b.e,
+      list_sum(list_transform(list_zip(p.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM p JOIN b{i} b USING (part))
+  GROUP BY ALL)"""
+    means = """b{j} AS MATERIALIZED (
+  SELECT b.part, b.e, coalesce(m.c, b.c) AS c FROM b{i} b LEFT JOIN (
+    SELECT part, e, list(floor_mean ORDER BY pos) AS c FROM (
+      SELECT part, best.e AS e, pos, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS floor_mean
+      FROM (SELECT part, best, unnest(c) AS x, unnest(range(len(c))) AS pos FROM a{i}) GROUP BY ALL)
+    GROUP BY ALL) m ON m.part = b.part AND m.e = b.e)"""
+    steps = [step.format(i=i, j=i + 1) for i in range(rounds) for step in (nearest, means)]
+    steps.append(nearest.format(i=rounds))
+    return f"""
+WITH k AS (
+  SELECT vec_id, label, [floor(x::DOUBLE * 4096)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS MATERIALIZED (
+  SELECT vec_id, label, part, v[part * len(v) // {parts} + 1 : (part + 1) * len(v) // {parts}] AS c FROM k, range({parts}) r(part)),
+b0 AS MATERIALIZED (
+  SELECT part, e, c FROM (SELECT part, c, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e FROM p)
+  WHERE e < {entries}),
+{", ".join(steps)},
+coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error
+  FROM a{rounds} GROUP BY vec_id, label),
+books AS (
+  SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, e, pos)) AS codebooks_sha256
+  FROM (SELECT part, e, unnest(c) AS x, unnest(range(len(c))) AS pos FROM b{rounds}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, books
+"""
+
+
 ORACLES: dict[str, str] = {
     "op2_warc": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
@@ -187,4 +265,37 @@ SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(c.rep, d.doc_i
        coalesce(p.component_id, d.doc_id) AS component_id
 FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN classes c USING (n, h) LEFT JOIN parts p ON p.node = c.rep
 """,
+    "op11_importance": rf"""
+WITH texts AS (
+  SELECT kind, id, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT 'd' AS kind, doc_id AS id, coalesce(text, '') AS t FROM documents
+        UNION ALL SELECT 'b', item_id, coalesce(text, '') FROM benchmark)),
+runs AS MATERIALIZED (
+  SELECT kind, id, array_to_string(w[i : i + n - 1], ' ') AS f
+  FROM (SELECT kind, id, w, unnest(range(1, len(w) + 1)) AS i FROM texts), range(1, 4) r(n) WHERE i + n - 1 <= len(w)),
+hexed AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM runs)),
+crcs AS MATERIALIZED (
+  SELECT f, xor(list_reduce(list_transform(range(len(h)), lambda i: (instr('0123456789ABCDEF', substr(h, xor(i, 1) + 1, 1)) - 1)::BIGINT),
+    lambda c, b: xor(c >> 4, {_nibble_crcs()}[(xor(c, b) & 15) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket FROM hexed),
+spread AS MATERIALIZED (SELECT kind, id, bucket FROM runs JOIN crcs USING (f)),
+counts AS (
+  SELECT b AS bucket, count(*) FILTER (WHERE kind = 'd') AS s, count(*) FILTER (WHERE kind = 'b') AS t
+  FROM range(10000) r(b) LEFT JOIN spread ON bucket = b GROUP BY b),
+gains AS MATERIALIZED (
+  SELECT bucket, floor(1000 * ln((t + 1.0::DOUBLE) * (sum(s) OVER () + 10000)::DOUBLE
+    / ((s + 1.0::DOUBLE) * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM counts),
+weights AS (SELECT id, sum(gain)::BIGINT AS weight FROM spread JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY id),
+scored AS (
+  SELECT id AS doc_id, len(w) AS n, greatest(len(w), 0) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0) AS n_features,
+    coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+      (('0x' || substr(sha256('42:' || id), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT AS score
+  FROM texts LEFT JOIN weights USING (id) WHERE kind = 'd'),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (WHERE n >= 20) OVER () AS longs
+  FROM scored)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score,
+  CASE WHEN n >= 20 AND place <= 5 * longs // 100 THEN place END::BIGINT AS rank FROM ranked
+""",
+    "op13_vector_codes": _codebook_sql(),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.session import scratch_path, ship_package
 
-__all__ = ["crc_remainder", "own_columns", "scratch_path", "ship_package", "stored"]
+__all__ = ["crc_remainder", "discarded", "own_columns", "scratch_path", "ship_package", "stored"]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -25,3 +25,10 @@ def own_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def crc_remainder(id_column: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``."""
     return F.crc32(id_column.cast("string").cast("binary")) % modulus
+
+
+def discarded(spark: SparkSession, path: str | None) -> None:
+    """Remove a table of this package's own that was written to the shared folder and has served its purpose."""
+    if path:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
