@@ -83,3 +83,22 @@ def chi_square_upper(x: Column, df: Column) -> Column:
     odd_sum = F.exp(-half) * F.sqrt(2 * x / math.pi) * _nested(terms - 1, lambda acc, i: 1 + half / (i + 0.5) * acc)
     odd = 2 * normal_upper(F.sqrt(x)) + F.when(terms >= 1, odd_sum).otherwise(0.0)
     return F.when(x <= 0, F.lit(1.0)).when(df % 2 == 0, even).otherwise(odd)
+
+
+def mixture_upper(x: Column, free: Column, edges: Column, most_edges: int) -> Column:
+    """Upper tail of the mixture of chi-squares that holds on the edge of the space of variances.
+
+    ``free`` parameters are free on both sides of their values under the smaller model, ``edges`` (at most ``most_edges``)
+    are variances that are zero there and cannot be negative: each of those counts with probability one half. Chi-square
+    with no degrees of freedom is a point at zero.
+    """
+    total = F.lit(0.0)
+    for j in range(most_edges + 1):
+        # binomial weight, zero beyond the number of edges
+        ways = F.lit(1.0)
+        for i in range(j):
+            ways = ways * (edges - i) / (i + 1)
+        df = free + j
+        tail = F.when(df == 0, F.when(x > 0, F.lit(0.0)).otherwise(1.0)).otherwise(chi_square_upper(x, F.greatest(df, F.lit(1))))
+        total = total + F.when(edges >= j, ways * F.pow(F.lit(2.0), -edges) * tail).otherwise(0.0)
+    return total

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.session import checkpoint_dir, small_table
+from cohortlens.operators.ranking import numbered, numbered_with_total
+from cohortlens.session import small_table
 
 # Subgroup name -> (column, value); fixed values.
 SUBGROUPS = {
@@ -32,16 +33,15 @@ def level_table(spark: SparkSession, levels: Sequence[str]) -> DataFrame:
 def used_levels(df: DataFrame, column: str, order: Sequence[str] | None = None) -> DataFrame:
     """``level, idx`` of the levels that occur in the data, in the given order or else sorted as text, numbered from 1.
 
-    ``distinct`` combines map-side, so every task ships each level once; nothing is collected. The numbering is a window
-    over the levels alone.
+    ``distinct`` combines map-side, so every task ships each level once; nothing is collected. The levels are numbered by
+    range partitions with offsets, so that a factor may have as many levels as a large table has units. With a given order
+    there are at most as many as it names.
     """
     found = df.select(F.col(column).cast("string").alias("level")).where("level is not null").distinct()
     if order is None:
-        numbered = Window.orderBy("level")
-    else:
-        found = level_table(df.sparkSession, order).join(found, "level", "left_semi")
-        numbered = Window.orderBy("idx")
-    return found.select("level", F.row_number().over(numbered).alias("idx"))
+        return numbered(found, ["level"], "idx").withColumn("idx", F.col("idx").cast("int"))
+    kept = level_table(df.sparkSession, order).join(found, "level", "left_semi")
+    return kept.select("level", F.row_number().over(Window.orderBy("idx")).alias("idx"))
 
 
 def as_factor(df: DataFrame, column: str, levels: DataFrame) -> DataFrame:
@@ -90,12 +90,6 @@ def subgroup(df: DataFrame, column: str, value: str) -> DataFrame:
     return df.where(F.col(column) == value)
 
 
-def _require_unique(df: DataFrame, keys: Sequence[str], what: str) -> None:
-    repeated = df.where(F.col(keys[0]).isNotNull()).groupBy(*keys).count().where("count > 1")
-    if repeated.limit(1).count():
-        raise ValueError(f"{what}: {', '.join(keys)} is not unique")
-
-
 def attach_dates(
     admissions: DataFrame,
     dates: DataFrame,
@@ -129,42 +123,18 @@ def _failed(message: str) -> Column:
     return F.raise_error(F.lit(message)).cast("date")
 
 
-def _positions(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, int]:
-    """Rows with their 0-based position under a total order, and their number; no single-task window.
-
-    A range-partitioned sort puts row r of partition p at offset(p) + r. The sorted rows are checkpointed first, so that
-    counting and numbering see the same partitions even after an executor is lost.
-    """
-    _require_unique(df, list(order), "order")
-    checkpoint_dir(df.sparkSession)
-    placed = (
-        df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_id", 33).cast("int"))
-        .withColumn("_row", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("_id").checkpoint()
-    )
-    # one row per partition
-    sizes = {row["_part"]: row["n"] for row in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    starts, total = [], 0
-    for part in sorted(sizes):
-        starts.append((part, total))
-        total += sizes[part]
-    offsets = small_table(df.sparkSession, starts, "_part int, _start bigint")
-    numbered = placed.join(F.broadcast(offsets), "_part").withColumn("_pos", F.col("_start") + F.col("_row"))
-    return numbered.drop("_part", "_row", "_start"), total
-
-
 def bind_by_position(
     left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str], column: str, name: str
 ) -> DataFrame:
     """Bind a column of ``right`` to ``left`` row by row, for tables that share an order but no key.
 
-    Rows of a Spark table have no position of their own, so an order has to be stated for each side and has to be total.
-    The tables must have equally many rows.
+    An order has to be stated for each side and has to be total; for tables whose files lie in the right order,
+    ``bind_file_position`` needs neither. The tables must have equally many rows. Each side is exchanged twice, for the sort
+    and by position; that no two rows are equal in the order is checked on the sorted rows.
     """
     needed = list(dict.fromkeys([*right_order, column]))
-    other, rows_right = _positions(right.select(needed), right_order)
-    mine, rows_left = _positions(left, left_order)
+    other, rows_right = numbered_with_total(right.select(needed), right_order, "_pos", "order")
+    mine, rows_left = numbered_with_total(left, left_order, "_pos", "order")
     if rows_left != rows_right:
         raise ValueError(f"tables differ in length: {rows_left} and {rows_right} rows")
     return mine.join(other.select("_pos", F.col(column).alias(name)), "_pos").drop("_pos")

@@ -65,6 +65,9 @@ class ModelFit:
     passes: int
     converged: bool
     runaway: tuple[str, ...] = ()   # levels without deaths or survivors, whose log odds have no finite estimate
+    given: bool = False             # whether the covariance was given rather than searched for
+    slope: float | None = None      # derivative of the log-likelihood in the logarithm of a common variance
+    fisher: np.ndarray | None = None   # information of the log-likelihood in the covariance's lower triangle
 
     @property
     def n_par(self) -> int:
@@ -84,6 +87,17 @@ class FitSet:
     spread: float
 
 
+def require_finished(fit: FitSet, allow_unfinished: bool = False) -> None:
+    """Refuse fits that stopped before their equations were solved.
+
+    A level without deaths or survivors moves on for ever, but its information vanishes and the other equations get solved
+    all the same, so such a level is no excuse.
+    """
+    unfinished = [name for name, model in fit.models.items() if not model.converged]
+    if unfinished and not allow_unfinished:
+        raise ValueError(f"not converged: {', '.join(unfinished)}")
+
+
 def stack_models(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """The same cells for several models that are fitted together."""
     return df.withColumn("model", F.explode(F.array(*[F.lit(name) for name in names])))
@@ -231,7 +245,7 @@ def total_contributions(
 
 
 def fit_fixed(
-    pooled: DataFrame, designs: Mapping[str, Design], tol: float = 1e-20, max_passes: int = 40,
+    pooled: DataFrame, designs: Mapping[str, Design], tol: float = 1e-20, max_passes: int = 100,
     odds: Mapping[tuple[str, int], float] | None = None,
 ) -> dict[str, dict]:
     """Logistic fits without unit effects, by Newton steps; every pass is one aggregation to model x level rows. They start
@@ -292,7 +306,8 @@ def fit_mixed_logit(
     tol: float = 1e-8,
     max_passes: int = 100,
     max_algebra: int = MAX_ALGEBRA,
-    variance: float | None = None,
+    variance: float | Mapping[str, float] | None = None,
+    covariance: np.ndarray | Mapping[str, np.ndarray] | None = None,
 ) -> FitSet:
     """Fit several models in one loop.
 
@@ -307,8 +322,13 @@ def fit_mixed_logit(
     The totals of a pass hold about levels^4 / 4 numbers for a model with a vector of level effects. Models are fitted in
     groups whose totals stay within ``max_algebra`` numbers; a single model beyond it is refused.
 
-    With ``variance`` the unit effects are taken as independent with that variance and only the rest is fitted.
+    With ``variance`` the unit effects are taken as independent with that variance, with ``covariance`` (rows and columns in
+    the order of the levels; one by one for ``intercept``) as jointly normal with that covariance, which may be singular,
+    and only the rest is fitted. Either is one value for all models or one by model name; models that a mapping leaves out
+    search for theirs in the same loop.
     """
+    if variance is not None and covariance is not None:
+        raise ValueError("give a variance or a covariance, not both")
     spark = cells.sparkSession
     checkpoint_dir(spark)
     ship_package(spark)
@@ -352,12 +372,13 @@ def fit_mixed_logit(
         name: tuple(row["level"] for row in margins if row["model"] == name and row["k"] in (0, row["n"])) for name in names
     }
     odds = {(row["model"], place[row["level"]]): (row["k"] + 0.5) / (row["n"] - row["k"] + 0.5) for row in margins}
+    given = {name: _given_factor(name, design, len(level_names), variance, covariance) for name, design in plans.items()}
     models, final_cells, final_effects = {}, [], []
     for group in _groups(plans, max_algebra):
         own = coded if len(group) == len(plans) else coded.where(F.col("model").isin(group))
         made, own, effects = _fit_group(
             spark, own, {name: plans[name] for name in group}, odds, level_names, n_obs,
-            sum(row["cells"] for row in margins if row["model"] in group), center, spread, tol, max_passes, runaway, variance,
+            sum(row["cells"] for row in margins if row["model"] in group), center, spread, tol, max_passes, runaway, given,
         )
         models |= made
         final_cells.append(own.select("model", "unit", "node", "lev", "s", "saps", "n", "k"))
@@ -368,6 +389,30 @@ def fit_mixed_logit(
     )
 
 
+def _given_factor(name: str, design: Design, n_levels: int, variance, covariance) -> np.ndarray | None:
+    """Any factor of the covariance given for a model, or None where it is to be searched for."""
+    q = design.n_random
+    value = variance.get(name) if isinstance(variance, Mapping) else variance
+    if value is not None:
+        if not value >= 0:
+            raise ValueError(f"{name}: a variance cannot be {value}")
+        return math.sqrt(value) * np.eye(q)
+    matrix = covariance.get(name) if isinstance(covariance, Mapping) else covariance
+    if matrix is None or q == 0:
+        return None
+    matrix = np.asarray(matrix, float)
+    size = n_levels if design.random == "level" else 1
+    if matrix.shape != (size, size) or not np.allclose(matrix, matrix.T):
+        raise ValueError(f"{name}: the covariance must be symmetric, {size} x {size}")
+    if design.random == "level":
+        # levels without cells in this model take no part
+        matrix = matrix[np.ix_(design.levels, design.levels)]
+    values, vectors = np.linalg.eigh(matrix)
+    if values.min() < -1e-10 * max(1.0, values.max()):
+        raise ValueError(f"{name}: the covariance has a negative direction")
+    return vectors * np.sqrt(np.maximum(values, 0.0))
+
+
 def algebra_size(design: Design) -> int:
     return sum(int(np.prod(shape)) for shape in contribution_shapes(design).values())
 
@@ -388,7 +433,7 @@ def _groups(plans: Mapping[str, Design], max_algebra: int) -> list[list[str]]:
 
 
 def _fit_group(
-    spark, coded, plans, odds, level_names, n_obs, n_cells, center, spread, tol, max_passes, runaway, variance
+    spark, coded, plans, odds, level_names, n_obs, n_cells, center, spread, tol, max_passes, runaway, given
 ) -> tuple[dict[str, ModelFit], DataFrame, DataFrame]:
     """Fit some models together: their results, the cells with nodes, the unit effects."""
     names = list(plans)
@@ -403,7 +448,7 @@ def _fit_group(
     largest = max(row["largest"] for row in sizes)
 
     mixed = {name: design for name, design in plans.items() if design.random != "none"}
-    searches = {name: Search(design, simple[name]["beta"], tol, variance) for name, design in mixed.items()}
+    searches = {name: Search(design, simple[name]["beta"], tol, given[name]) for name, design in mixed.items()}
     # models without unit effects take part in the table of unit effects with their fixed part only
     effects = _start_effects(spark, coded, per_unit, plans, simple, len(level_names))
     finished = [effects.where(F.col("model").isin([n for n in names if n not in mixed]))]
@@ -420,12 +465,14 @@ def _fit_group(
             fit = simple[name]
             beta, info, log_lik = fit["beta"], fit["info"], fit["ll"]
             covariance, passes, converged = np.zeros((0, 0)), fit["passes"], fit["converged"]
+            slope = fisher = None
         else:
             parts = search.parts
             beta, info = search.beta, (parts["info"] + parts["info"].T) / 2
             log_lik = -0.5 * (-2 * parts["ll"] + parts["penalty"] + parts["logdet"])
             covariance = search.factor @ search.factor.T
             passes, converged = search.passes, search.converged
+            slope, fisher = search.log_variance_slope(), search.variance_information()
         g = len(design.levels)
         back = np.eye(2 * g)                  # from the centred and scaled score to the original one
         back[:g, g:] = -np.eye(g) * center / spread
@@ -434,7 +481,7 @@ def _fit_group(
         models[name] = ModelFit(
             name, design, [level_names[i] for i in design.levels], to_level @ beta,
             to_level @ Search._solve(info, np.eye(design.n_fixed)) @ to_level.T, covariance, float(log_lik),
-            int(n_obs[name]), int(n_units[name]), passes, converged, runaway[name],
+            int(n_obs[name]), int(n_units[name]), passes, converged, runaway[name], given[name] is not None, slope, fisher,
         )
     return models, coded, finished[0] if len(finished) == 1 else finished[0].unionByName(finished[1])
 
@@ -532,12 +579,22 @@ def _run_search(coded, effects, designs, searches, n_levels, n_cells, largest, n
     return result
 
 
-def fitted_totals(fit: FitSet) -> DataFrame:
-    """Observed and fitted deaths per model and level, plain and weighted by score, unit effects included."""
-    names = level_table(fit.spark, fit.level_names).select("level", (F.col("idx") - 1).alias("lev"))
+def with_linear_predictor(fit: FitSet) -> DataFrame:
+    """The cells of every model with ``eta``, the fitted log odds, unit effects included.
+
+    Cells and effects are joined by the hash of model and unit. Effects are one row per unit, and adaptive execution splits
+    a unit that holds very many cells.
+    """
     eta = F.get("off", F.col("lev")) + F.get("slope", F.col("lev")) * F.col("s")
     effects = fit.unit_effects.select("node", "off", "slope")
-    joined = fit.cells.join(effects, "node").withColumn("fit", F.col("n") / (1 + F.exp(-eta)))
+    return fit.cells.join(effects, "node").select("model", "unit", "lev", "saps", "n", "k", eta.alias("eta"))
+
+
+def fitted_totals(fit: FitSet, allow_unfinished: bool = False) -> DataFrame:
+    """Observed and fitted deaths per model and level, plain and weighted by score, unit effects included."""
+    require_finished(fit, allow_unfinished)
+    names = level_table(fit.spark, fit.level_names).select("level", (F.col("idx") - 1).alias("lev"))
+    joined = with_linear_predictor(fit).withColumn("fit", F.col("n") / (1 + F.exp(-F.col("eta"))))
     return joined.groupBy("model", "lev").agg(
         F.sum("k").alias("observed"), F.sum("fit").alias("fitted"),
         F.sum(F.col("saps") * F.col("k")).alias("observed_saps"), F.sum(F.col("saps") * F.col("fit")).alias("fitted_saps"),

@@ -216,7 +216,7 @@ class Search:
     POLISHED = 1e-20
     MAX_HALVINGS = 12
 
-    def __init__(self, design: Design, beta: np.ndarray, tol: float, variance: float | None = None):
+    def __init__(self, design: Design, beta: np.ndarray, tol: float, given: np.ndarray | None = None):
         q = design.n_random
         self.design, self.tol = design, tol
         self.beta, self.factor = np.asarray(beta, float), np.sqrt(self.FIRST_VARIANCE) * np.eye(q)
@@ -224,9 +224,9 @@ class Search:
         self.phase, self.converged, self.passes = "start", False, 0
         self.trail, self.before, self.halvings = None, np.inf, 0
         self.parts = None
-        if variance is not None:
+        if given is not None:
             # the covariance is given: only fixed and unit effects are left to solve for
-            self.factor, self.phase = np.sqrt(variance) * np.eye(q), "polish"
+            self.factor, self.phase = np.asarray(given, float), "polish"
 
     # the criterion at the point the pending Newton step would reach
     def _criterion(self, parts, move) -> float:
@@ -273,6 +273,17 @@ class Search:
         bend = (vectors * np.maximum(values, 0)) @ vectors.T
         return gradient, jac.T @ parts["fisher"] @ jac + 2 * np.kron(bend, np.eye(q))
 
+    def log_variance_slope(self) -> float:
+        """Derivative of the log-likelihood when all of the covariance grows in proportion, by the logarithm of the factor
+        of growth. At a solution only."""
+        gradient, _ = self._covariance_model(self.parts, (self.parts["info"] + self.parts["info"].T) / 2)
+        # the factor grows half as fast as the covariance, and the criterion is minus twice the log-likelihood
+        return float(-0.25 * gradient @ self.factor.ravel())
+
+    def variance_information(self) -> np.ndarray:
+        """Fisher information of the log-likelihood in the lower triangle of the covariance; the criterion's is twice that."""
+        return self.parts["fisher"] / 2
+
     def _covariance_step(self) -> np.ndarray:
         q = self.design.n_random
         gradient, curvature = self.best["gradient"], self.best["curvature"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,18 +16,21 @@ from cohortlens.operators.cohort import (
     as_factor, attach_dates as bind_dates, bind_by_position, freq, level_table, relabel as add_labels,
     used_levels as find_levels,
 )
-from cohortlens.operators.mixed import FitSet, fit_mixed_logit, fitted_totals
+from cohortlens.operators.mixed import FitSet, fit_mixed_logit, fitted_totals, require_finished
+from cohortlens.operators.profile import search_profile
 from cohortlens.operators.report import or_report as make_report
 from cohortlens.operators.report import percent_curve
+from cohortlens.operators.residuals import residual_quantiles
 from cohortlens.operators.season import period_levels, season_cohort
 from cohortlens.plans.closed_form import closed_form
 from cohortlens.plans.seasonal import fit_season, season_extract, season_or as make_season_or
 from cohortlens.plans.subgroups import subgroup_or as make_subgroup_or
 from cohortlens.plans.year_effect import compare_with_last, fit_year_models
-from cohortlens.session import scratch_path
+from cohortlens.session import checkpoint_dir, scratch_path, small_table
 from cohortlens.sources.admissions import read_admissions as read_table
 from cohortlens.sources.admissions import read_extract, write_extract, write_report
-from cohortlens.sources.lineitem_cohort import LAST_YEAR, PREVIOUS_YEAR, lineitem_admissions
+from cohortlens.sources.lineitem_cohort import LAST_YEAR, PREVIOUS_YEAR, lineitem_admissions, varied_admissions
+from cohortlens.sources.positions import bind_file_position as bind_files
 
 QUERIES = {}
 TIE_BREAK = 1 + 1e-12
@@ -135,6 +139,17 @@ def bind_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def bind_file_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same binding of tables that were saved in order, by the places of their rows in the files."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    left, right = scratch_path(spark, "orders"), scratch_path(spark, "dates")
+    orders.select("o_orderkey", "o_totalprice").orderBy("o_orderkey").write.parquet(left)
+    dates = orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    dates.orderBy("d", "o_orderkey").select("d").write.parquet(right)
+    return bind_files(spark, left, right, "d", "adm_date")
+
+
 @query
 def extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seasonal extract of all years, written by year, read back and counted."""
@@ -392,6 +407,18 @@ def fixed_additive_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ors.select("saps", "contrast", "or_direction", "odds_ratio", "lower", "upper", "p_value"))
 
 
+@query
+def fit_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minimum, quartiles and maximum of the scaled residuals of all records, without unit effects."""
+    return rounded(residual_quantiles(_fixed_fit(spark, sf_dir)).drop("model"))
+
+
+@query
+def fixed_effect_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlations of the fixed effects in baseline coding, without unit effects."""
+    return rounded(fit_tables.effect_correlations(_fixed_fit(spark, sf_dir)).drop("model"))
+
+
 # Mixed fits ---------------------------------------------------------------------------------------------------------
 
 
@@ -433,6 +460,111 @@ def given_cov_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fit_tables.fit_stats(_given_fit(spark, sf_dir)).select("n_obs", "n_units", "log_lik"), 4)
 
 
+def _joint_levels(fit: FitSet) -> DataFrame:
+    """Estimates of every level with their covariances with those of every level."""
+    coef, cov = fit_tables.level_estimates(fit)
+    names = coef.select("model", F.col("idx").alias("idx_b"), F.col("level").alias("other"))
+    pairs = cov.withColumnRenamed("idx_a", "idx").join(names, ["model", "idx_b"])
+    return rounded(coef.join(pairs, ["model", "idx"]).select("level", "other", "a", "c", "v_aa", "v_ac", "v_ca", "v_cc"), 9)
+
+
+@query
+def given_intercept_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients and all covariances of the model with one effect per unit, shared by its levels, at a given variance."""
+    counted = count_cells(lineitem_admissions(spark, sf_dir))
+    return _joint_levels(fit_mixed_logit(counted, random="intercept", variance=GIVEN_VARIANCE))
+
+
+@query
+def given_additive_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients and errors of the model with one slope for all levels, at a given variance of unit effects."""
+    fit = fit_mixed_logit(count_cells(lineitem_admissions(spark, sf_dir)), fixed="additive", variance=GIVEN_VARIANCE)
+    return _joint_levels(fit)
+
+
+# variance of the unit effects per subgroup
+SUBGROUP_VARIANCES = {"surg": 0.1, "med": 0.25, "ecog0": 0.5, "ecog1": 0.05, "ecog2": 0.2, "infection": 0.4, "mv": 0.8}
+
+
+@query
+def given_cov_subgroup_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subgroup tables with unit effects of a variance of their own per subgroup, from one fit."""
+    ors = make_subgroup_or(lineitem_admissions(spark, sf_dir), LAST_YEAR, variance=SUBGROUP_VARIANCES)
+    return rounded(ors.select("model", "saps", "contrast", "or_direction", "odds_ratio", "lower", "upper", "p_value"))
+
+
+@query
+def given_cov_season_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seasonal table with unit effects of a given variance."""
+    fit = fit_season(lineitem_admissions(spark, sf_dir), LAST_YEAR, PREVIOUS_YEAR, variance=GIVEN_VARIANCE)
+    ors = make_season_or(fit, PREVIOUS_YEAR)
+    return rounded(ors.select("saps", "contrast", "or_direction", "label", "odds_ratio", "lower", "upper", "p_value"))
+
+
+VARCOMP_YEARS = ["1999", PREVIOUS_YEAR, LAST_YEAR]
+# covariance of the unit effects of three years
+GIVEN_COVARIANCE = ((0.30, 0.12, 0.05), (0.12, 0.40, 0.10), (0.05, 0.10, 0.25))
+
+
+@query
+def given_varcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variance components of three years in baseline coding, with their errors, at a given covariance that is not diagonal."""
+    fit = fit_mixed_logit(
+        count_cells(varied_admissions(spark, sf_dir)), levels=VARCOMP_YEARS, covariance=np.array(GIVEN_COVARIANCE)
+    )
+    return rounded(fit_tables.varcomp_table(fit).drop("model", "grp"))
+
+
+@query
+def given_covariance_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients and all covariances of that fit, whose levels are coupled by the covariance of the unit effects."""
+    fit = fit_mixed_logit(
+        count_cells(varied_admissions(spark, sf_dir)), levels=VARCOMP_YEARS, covariance=np.array(GIVEN_COVARIANCE)
+    )
+    return _joint_levels(fit)
+
+
+@query
+def given_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One effect per unit against a vector of them, both at given variances, with the plain and the boundary test."""
+    fit = fit_mixed_logit(
+        count_cells(varied_admissions(spark, sf_dir)),
+        designs={"m1": ("interaction", "intercept"), "m3": ("interaction", "level")}, variance=COMPARED_VARIANCES,
+    )
+    compared = fit_tables.compare_fits(fit_tables.fit_stats(fit))
+    return rounded(compared.select("model", "npar", "deviance", "chisq", "df", "p_value", "p_boundary"), 4)
+
+
+# an intercept held near zero leaves the vector something to explain
+COMPARED_VARIANCES = {"m1": 1e-4, "m3": 1e-3}
+
+
+@query
+def one_level_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One level, one effect per unit: the variance found by the search and by the profile of the criterion, with the
+    estimates there."""
+    records = varied_admissions(spark, sf_dir).withColumn("adm_year", F.lit("all"))
+    checkpoint_dir(spark)
+    counted = count_cells(records).checkpoint()
+    searched = fit_mixed_logit(counted, random="intercept", tol=1e-13)
+    require_finished(searched)
+    profiled = search_profile(counted)
+    if not profiled.enclosed:
+        raise ValueError("the profile did not enclose the optimum")
+    found = searched.models["model"]
+    rows = [
+        (how, float(v), float(m.level_coef[0]), float(m.level_coef[1]), float(m.log_lik), m.n_obs, m.n_units)
+        for how, v, m in (("search", found.covariance[0, 0], found), ("profile", profiled.variance, profiled.best))
+    ]
+    table = small_table(
+        spark, rows, "method string, variance double, a double, c double, log_lik double, n_obs bigint, n_units bigint"
+    )
+    return table.select("method", "n_obs", "n_units", *(
+        (F.round(F.col(name) * TIE_BREAK, digits) + 0.0).alias(name)
+        for name, digits in (("variance", 4), ("a", 5), ("c", 6), ("log_lik", 4))
+    ))
+
+
 @query
 def fit_coef(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fit_tables.coef_table(fit_year_models(lineitem_admissions(spark, sf_dir))), 5)

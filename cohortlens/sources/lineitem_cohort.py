@@ -35,3 +35,14 @@ def lineitem_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
         flag(F.col("l_discount") >= 0.05).alias("mv"),
         F.col("l_shipdate").cast("date").alias("adm_date"),
     )
+
+
+def varied_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same admissions with an outcome that differs between units, so that the variance of unit effects is not zero: in
+    units of the first kind all but the first two lines of an order count as deaths, in the next all but three, and so on."""
+    line = read_admissions(spark, f"{sf_dir}/lineitem.parquet", schema=LINEITEM_SCHEMA)
+    died = (F.col("l_returnflag") == "R") | (F.col("l_linenumber") > 2 + F.col("l_suppkey") % 5)
+    return line.select(
+        F.col("l_suppkey").cast("string").alias("unit_code"), (F.col("l_quantity") * 2).cast("int").alias("saps"),
+        died.cast("int").alias("death"), F.year("l_shipdate").cast("string").alias("adm_year"),
+    )
