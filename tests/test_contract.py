@@ -38,7 +38,7 @@ def test_query_equals_sql(spark, sf_dir, engine, name):
 
 def test_every_sql_text_belongs_to_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(contract.queries()) - set(contract.oracle_sql()) == MIXED - {"fit_mixed_score"}
+    assert set(contract.catalog.QUERIES) - set(contract.oracle.ORACLES) == MIXED - {"fit_mixed_score"}
 
 
 def test_entry(spark):
