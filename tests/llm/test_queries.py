@@ -5,7 +5,7 @@ import pytest
 
 from cohortlens.llm import queries
 
-TABLES = ["documents", "pages", "benchmark", "labels"]
+TABLES = ["documents", "pages", "benchmark", "labels", "embeddings"]
 
 
 @pytest.fixture(scope="module")
@@ -31,4 +31,11 @@ def test_query_equals_sql(spark, sf_dir, engine, name):
 
 
 def test_there_is_a_query_per_operator():
-    assert [name.split("_")[0] for name in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
+
+
+def test_every_other_query_has_no_sql():
+    assert set(queries.QUERIES) - set(queries.ORACLES) == {
+        "op1_decontamination", "op3_toxicity", "op6_licenses", "op7_suffix_tree", "op8_language_id", "op9_sentencepiece",
+        "op12_byte_bpe",
+    }
