@@ -209,8 +209,9 @@ def encoded(texts: pa.Array, path: str, pattern: str, leaf: int = LEAF) -> tuple
 
 def decoded(ids: np.ndarray, starts: np.ndarray, path: str) -> pa.Array:
     """Bytes of lists of ids. The tokens' bytes lie one behind another, so that those of a list are one range of them."""
-    taken = _token_bytes(path).take(pa.array(ids))
-    if taken.null_count:
+    table = _token_bytes(path)
+    known = len(ids) == 0 or (ids.min() >= 0 and ids.max() < len(table))
+    if not known or (taken := table.take(pa.array(ids))).null_count:
         raise ValueError("an id that the vocabulary does not have")
     _, offsets, data = taken.buffers()
     at = np.frombuffer(offsets, dtype=np.int64)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int64)

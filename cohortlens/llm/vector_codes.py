@@ -277,9 +277,11 @@ def with_codes(
     kept_names = [c for c in df.columns if c not in ("code", "error")]
     renamed = [f"kept_{i}" for i in range(len(kept_names))]
     # columns travel under names of their own, so that none can clash
-    rows = df.where(_complete(F.col(f"`{vector_col}`"))).select(
+    given = F.col(f"`{vector_col}`")
+    # the test again, because filters may be evaluated in any order
+    rows = df.where(_complete(given)).select(
         *[F.col(f"`{c}`").alias(n) for c, n in zip(kept_names, renamed)],
-        whole_numbers(F.col(f"`{vector_col}`"), scale).alias("vector"), F.col(f"`{id_col}`").alias("start_id"),
+        F.when(_complete(given), whole_numbers(given, scale)).alias("vector"), F.col(f"`{id_col}`").alias("start_id"),
     )
     fits = (F.size("vector") > 0) & (F.size("vector") % parts == 0)
     first = rows.where(fits & F.col("start_id").isNotNull()).orderBy("start_id", "vector").select("vector")
