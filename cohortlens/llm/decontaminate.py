@@ -13,8 +13,18 @@ no fingerprint.
 The index of the items is broadcast if the benchmark has at most ``index_words`` words; a larger benchmark is split by a
 hash of the item into parts of that size, each of which makes a pass over the documents. Documents are never shuffled.
 
-Defined results: null or empty texts match nothing, items without words are not looked for; equal items match alike; rows
-that share an id are looked at one by one and reported once per item with the best window.
+Only places next to shingles of some item are looked at: a window with enough of them holds so many in a row of the list of
+such shingles within its length, which is tested on that list, not on all words.
+
+With ``radius`` 64 every window with enough shingles of items is compared with every item of its length and nothing can be
+missed; a smaller radius trades that for time. Texts at exactly the threshold differ in some 10 bits, with a deviation of 3:
+at the default of 20 about 1 in 5,000 of them is missed, and none that is clearly more alike (tested).
+
+Defined results: null or empty texts match nothing, items without words are not looked for, nor are items without an id;
+equal items match alike, and so do different texts under one ``item_id``, of which the better match is reported. Rows that
+share an id are looked at one by one and reported once per item with the best window; rows without an id are documents of
+their own and are reported one by one with a null id. Other columns are not read by ``benchmark_matches`` and pass through
+``drop_contaminated``, which only needs ``_leaky`` for itself. Very long texts are handled whole, in slices of windows.
 """
 
 from __future__ import annotations
@@ -36,6 +46,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 # Texts at the threshold differ in some 10 of 64 bits, with a deviation of 3.
 RADIUS, BLOCKS = 20, 8
 INDEX_WORDS = 2_000_000
+BITS_AT_ONCE = 200_000   # shingles whose bits are spread out at once
 MATCH = "item_id bigint, similarity double, hamming int, start_word int, n_words int, passage string"
 
 
@@ -86,8 +97,7 @@ class ItemIndex:
         self.first = np.concatenate([[0], np.cumsum(self.n_grams)]).astype(np.int64)
         grams = np.concatenate([np.zeros(0, np.uint64), *lists])
         self.ranked = _ranked(np.repeat(np.arange(len(lists)), self.n_grams), grams)
-        sums = _bit_sums(mix(grams))
-        self.prints = _pack(sums[self.first[1:]] - sums[self.first[:-1]], self.n_grams) if len(lists) else grams
+        self.prints = self._prints(grams, self.first)
         self.known = np.unique(grams)
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(self.known & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
@@ -102,6 +112,18 @@ class ItemIndex:
         flips = range(radius // blocks + 1)
         self.masks = [sum(1 << i for i in on) for k in flips for on in combinations(range(self.width), k)]
 
+    @staticmethod
+    def _prints(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Fingerprints of consecutive runs of shingles, some runs at a time."""
+        out, row, rows = np.zeros(len(first) - 1, np.uint64), 0, len(first) - 1
+        while row < rows:
+            end = max(row + 1, int(np.searchsorted(first, first[row] + BITS_AT_ONCE, "right")) - 1)
+            sums = _bit_sums(mix(grams[first[row] : first[end]]))
+            at = first[row : end + 1] - first[row]
+            out[row:end] = _pack(sums[at[1:]] - sums[at[:-1]], np.diff(at))
+            row = end
+        return out
+
     def _block(self, prints: np.ndarray, b: int) -> np.ndarray:
         return ((prints >> np.uint64(b * self.width)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
 
@@ -144,21 +166,14 @@ class ItemIndex:
             sizes = self.sizes[self.sizes == length] if length < self.size else self.sizes[self.sizes >= length]
             grams, whole = shingles(hashes, words.first, length)
             hit = self.hits(grams) & whole
-            run = np.concatenate([[0], np.cumsum(hit)])
             hit_at = np.flatnonzero(hit)
-            if not len(hit_at):
-                continue
             for w in sizes:
                 m = w - length + 1
-                # the first shingle of such a window lies less than m before a hit
-                may = np.zeros(len(hashes) + 1, np.int32)
-                np.add.at(may, np.maximum(hit_at - m + 1, 0), 1)
-                np.add.at(may, hit_at + 1, -1)
-                p = np.flatnonzero(np.cumsum(may[:-1]) > 0)
+                p = self._places(hit_at, int(m), similarity)
                 p = p[p + w <= last[p]]
-                p = p[run[p + m] - run[p] >= similarity * m]
-                if len(p):
-                    found.append(self._verify(p, int(w), int(m), grams, similarity))
+                # windows in slices, so that a very long text costs no more memory
+                step = max(1, BITS_AT_ONCE // int(m))
+                found += [self._verify(p[lo : lo + step], int(w), int(m), grams, similarity) for lo in range(0, len(p), step)]
         found = [f for f in found if len(f[0])]
         if not found:
             return
@@ -172,11 +187,26 @@ class ItemIndex:
             text = data[words.start[p[i]] : words.end[p[i] + n - 1]].tobytes().decode("utf-8", "replace")
             yield int(row[i]), int(self.ids[item[i]]), float(sim[i]), int(distance[i]), int(p[i] - words.first[row[i]]), n, text
 
+    @staticmethod
+    def _places(hit_at: np.ndarray, m: int, similarity: float) -> np.ndarray:
+        """First shingles of the windows of m shingles that hold enough of the given ones (by place, ascending)."""
+        enough = max(1, int(np.ceil(similarity * m)))
+        low, high = hit_at[: max(0, len(hit_at) - enough + 1)], hit_at[enough - 1 :]
+        near = high - low < m
+        # a window that holds such a run begins no later than it does, and ends no earlier
+        begin, end = np.maximum(high[near] - m + 1, 0), low[near] + 1
+        if not len(begin):
+            return begin
+        # both bounds ascend: what the run before has covered is left out
+        begin[1:] = np.maximum(begin[1:], end[:-1])
+        many = np.maximum(end - begin, 0)
+        return np.repeat(begin, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+
     def _verify(self, p: np.ndarray, w: int, m: int, grams: np.ndarray, similarity: float):
-        cover = np.zeros(len(grams) + 1, np.int32)
-        np.add.at(cover, p, 1)
-        np.add.at(cover, p + m, -1)
-        covered = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+        # all shingles of the windows, each once; p ascends
+        begin = np.maximum(p, np.concatenate([p[:1], p[:-1] + m]))
+        many = np.maximum(p + m - begin, 0)
+        covered = np.repeat(begin, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         sums = _bit_sums(mix(grams[covered]))
         at = np.searchsorted(covered, p)
         prints = _pack(sums[at + m] - sums[at], np.full(len(p), m))
@@ -212,12 +242,13 @@ def _matches_of_part(docs: DataFrame, index: ItemIndex, similarity: float) -> Da
                 rows += [(lo + r, *rest) for r, *rest in shared.value.matches(data, offsets, similarity)]
             columns = list(zip(*rows)) or [()] * 7
             kinds = [pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+            found = pa.array(columns[0], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(columns[0], pa.int64())), *[pa.array(c, t) for c, t in zip(columns[1:], kinds)]],
-                ["doc_id", "item_id", "similarity", "hamming", "start_word", "n_words", "passage"],
+                [ids.take(found), batch.column(2).take(found), *[pa.array(c, t) for c, t in zip(columns[1:], kinds)]],
+                ["doc_id", "unnamed", "item_id", "similarity", "hamming", "start_word", "n_words", "passage"],
             )
 
-    return docs.mapInArrow(run, f"doc_id bigint, {MATCH}")
+    return docs.mapInArrow(run, f"doc_id bigint, unnamed bigint, {MATCH}")
 
 
 def benchmark_matches(
@@ -227,14 +258,17 @@ def benchmark_matches(
 ) -> DataFrame:
     """``doc_id, item_id, similarity, hamming, start_word, n_words, passage``: the best window of every document and item
     that match; ``start_word`` counts from 0."""
-    own = own_columns(docs, id_col, text_col)
+    # rows without an id are told apart by their place
+    own = own_columns(docs, id_col, text_col).withColumn(
+        "unnamed", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    )
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).alias("text")).where(
         "item_id is not null and text is not null"
     )
     found = [_matches_of_part(own, index, similarity) for index in item_indexes(items, shingle, radius, blocks, index_words)]
-    best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("similarity"), "start_word", "passage")
+    best = Window.partitionBy("doc_id", "unnamed", "item_id").orderBy(F.desc("similarity"), "start_word", "passage")
     return (
-        reduce(DataFrame.unionByName, found).withColumn("_place", F.row_number().over(best)).where("_place = 1").drop("_place")
+        reduce(DataFrame.unionByName, found).withColumn("_place", F.row_number().over(best)).where("_place = 1").drop("_place", "unnamed")
     )
 
 
