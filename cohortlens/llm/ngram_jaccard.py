@@ -17,13 +17,18 @@ The boundary between light and heavy minimizes the estimated number of emitted s
 estimate and the frequent n-grams come from a bounded sample of documents; both decide about cost only, any boundary and
 any order give the same links.
 
-A list with very many members is not turned into all its pairs. First every member meets one pivot, the member with the
-fewest n-grams before the shared one (in a group of near copies: the text nearest to the common core). Then only members
-that are still in different components meet each other.
+A list is not turned into all its pairs. First every member meets one pivot, the member with the fewest n-grams before the
+shared one (in a group of near copies: the text nearest to the common core). Then only members that are still in different
+components meet each other, and only in lists of at most ``LONG_LIST`` members. What a longer list shares is a passage or a
+phrase of many documents: its n-gram moves to the end of the order, the members get their lists anew, from n-grams that are
+rarer, and so on while lists are long and their n-grams new to the end of the order. Two sets above the threshold that met in no short list
+were both members of a long one, so they are both in the next round, and they share a list in any order. Only what is left then, texts made of
+little else than such passages, is paired list by list.
 """
 
 from __future__ import annotations
 
+from copy import copy
 from math import comb
 
 import numpy as np
@@ -43,6 +48,10 @@ SAMPLE_DOCS = 5000
 SAMPLE_FREQUENT = 5
 # Light sets have at most this many subsets each, whatever the cost estimate says.
 MOST_SUBSETS = 500
+# Members up to which a list is paired; n-grams of longer lists that move to the end of the order at once (their number is the
+# bound of a broadcast; the rest is moved in the next round).
+LONG_LIST = 48
+LONG_AT_ONCE = 1 << 20
 # Least number of parts of a sketch.
 SKETCH = 256
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -133,7 +142,8 @@ def subset_hashes(grams: np.ndarray, percent: int) -> np.ndarray:
             at = np.repeat(np.arange(len(sums)), more)
             nxt = np.arange(len(at)) - np.repeat(np.cumsum(more) - more, more) + last[at] + 1
             sums, last = sums[at] - terms[nxt], nxt
-        out.append(mix(sums + np.uint64((c * int(_SALT)) % 2**64)))
+        # the last byte tells the size
+        out.append(mix(sums + np.uint64((c * int(_SALT)) % 2**64)) & ~np.uint64(255) | np.uint64(c))
     return np.concatenate(out)
 
 
@@ -143,8 +153,7 @@ class Signatures:
     ddl = "n int, h1 bigint, h2 bigint, prefix array<bigint>, subsets array<bigint>, sketch binary"
 
     def __init__(self, size: int, percent: int, plan: "Plan"):
-        self.size, self.percent, self.boundary, self.frequent = size, percent, plan.boundary, plan.frequent
-        self.plan = plan
+        self.size, self.percent, self.boundary, self.plan = size, percent, plan.boundary, plan
 
     def __call__(self, texts: pa.Array) -> list[pa.Array]:
         parts = [self._slice(data, offsets) for _, _, data, offsets in slices(texts)]
@@ -162,12 +171,7 @@ class Signatures:
         for salt in (np.uint64(1), _SALT):
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams ^ salt), dtype=np.uint64)])
             hashes.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
-        # rare n-grams first
-        if len(self.frequent) and len(grams):
-            at = np.minimum(np.searchsorted(self.frequent, grams), len(self.frequent) - 1)
-            classes = np.where(self.frequent[at] == grams, np.int16(1000), classes)
-        by_class = np.argsort(classes, kind="stable")
-        ordered = grams[by_class[np.argsort(rows[by_class].astype(np.int32), kind="stable")]]
+        ordered = self.plan.in_order(rows, grams, classes)
         place = np.arange(len(rows)) - first[rows]
         smallest = -(-self.percent * (self.boundary + 1) // 100)
         listed = (place < prefix_length(n, self.percent)[rows]) & (n[rows] >= smallest)
@@ -192,6 +196,24 @@ class Signatures:
         ]
 
 
+def list_entries(size: int, percent: int, plan: "Plan"):
+    """``n, prefix`` of a batch of texts: set sizes and the n-grams whose lists the sets enter."""
+
+    def compute(texts: pa.Array) -> list[pa.Array]:
+        parts = []
+        for _, _, data, offsets in slices(texts):
+            rows, grams, classes = distinct_ngrams(data, offsets, size, plan.word_class)
+            n = np.bincount(rows, minlength=len(offsets) - 1)
+            place = np.arange(len(rows)) - np.concatenate([[0], np.cumsum(n)])[rows]
+            listed = place < prefix_length(n, percent)[rows]
+            ordered = plan.in_order(rows, grams, classes)
+            parts.append((pa.array(n.astype(np.int32)), _lists(ordered[listed], np.bincount(rows[listed], minlength=len(n)))))
+        kinds = (pa.int32(), pa.list_(pa.int64()))
+        return [pa.chunked_array([p[i] for p in parts], type=kind).combine_chunks() for i, kind in enumerate(kinds)]
+
+    return compute
+
+
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(first), pa.array(values.view(np.int64)))
@@ -272,14 +294,31 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
 
 
 class Plan:
-    """What the sample tells: the light boundary, the frequent n-grams, and classes of words by frequency (rare: 0)."""
+    """What the sample tells: the light boundary, the frequent n-grams, and classes of words by frequency (rare: 0). And what
+    the lists tell: n-grams of long ones."""
 
     def __init__(self, boundary: int = 0, frequent: np.ndarray | None = None, words: np.ndarray | None = None, times: np.ndarray | None = None):
         none = np.zeros(0, np.uint64)
+        self.listed = none
         self.boundary, self.frequent = boundary, none if frequent is None else frequent
         self.words = none if words is None else words
         self.classes = np.zeros(0, np.int16) if times is None else np.log2(times).astype(np.int16)
 
+    def in_order(self, rows: np.ndarray, grams: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """The n-grams of each row, rare ones first: by the classes of their words, then those of long lists, then those found
+        often in the sample. Rows and n-grams come sorted."""
+        for known, behind in ((self.listed, np.int16(900)), (self.frequent, np.int16(1000))):
+            if len(known) and len(grams):
+                at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+                classes = np.where(known[at] == grams, behind, classes)
+        by_class = np.argsort(classes, kind="stable")
+        return grams[by_class[np.argsort(rows[by_class].astype(np.int32), kind="stable")]]
+
+    def with_listed(self, grams: np.ndarray) -> "Plan":
+        more = copy(self)
+        more.listed = np.unique(np.concatenate([self.listed, grams]))
+        return more
+
     def word_class(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.words):
             return np.zeros(len(hashes), np.int16)
@@ -330,10 +369,57 @@ def _plan(docs: DataFrame, size: int, percent: int, sample_docs: int) -> Plan:
 def _fits(percent: int) -> Column:
     """Length and position filter of a pair of list entries."""
     small, large = F.least("n_x", "n_y"), F.greatest("n_x", "n_y")
-    left = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
+    # a shared subset has to be as large as this pair needs; from there on a list tells how much is left to share
+    rest = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
+    left = F.when(F.col("subset"), F.col("token").bitwiseAND(F.lit(255))).otherwise(rest)
     return (100 * small >= percent * large) & ((100 + percent) * left >= percent * (F.col("n_x") + F.col("n_y")))
 
 
+def _links_of_lists(
+    entries: DataFrame, so_far: DataFrame, tested: DataFrame, sketches: DataFrame, own: DataFrame, plan: Plan, shingle: int,
+    percent: int,
+) -> DataFrame:
+    """``a, b``: links between members (``token, subset, pos, doc_id, n``) of one list that are in different components ``so_far`` and
+    were not ``tested`` before."""
+    spark = own.sparkSession
+    links = None
+    while True:
+        placed = entries.join(so_far.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
+            "component", F.coalesce("component", "doc_id")
+        )
+        lengths = placed.groupBy("token", "subset").agg(
+            F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")
+        ).where("lo != hi").select("token", "subset", "members")
+        apart = stored(placed.join(lengths, ["token", "subset"]), "jaccard-apart")
+        # all that share a subset of the size they need are linked, so such a list is never long for nothing
+        is_long = (F.col("members") > LONG_LIST) & ~F.col("subset")
+        long_lists = apart.where(is_long)
+        lengths = long_lists.select("token", "members").distinct()
+        # a broadcast of bounded size; the longest first
+        found = lengths.orderBy(F.desc("members"), "token").limit(LONG_AT_ONCE).select("token").toArrow().column("token")
+        longest = found.to_numpy().astype(np.int64).view(np.uint64)
+        fresh = longest[~np.isin(longest, plan.listed) & ~np.isin(longest, plan.frequent)]
+        paired = apart if not len(fresh) else apart.where(~is_long)
+        x = paired.select("token", "subset", F.col("pos").alias("pos_x"), F.col("doc_id").alias("a"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
+        y = paired.select("token", "subset", F.col("pos").alias("pos_y"), F.col("doc_id").alias("b"), F.col("n").alias("n_y"), F.col("component").alias("c_y"))
+        pairs = x.join(y, ["token", "subset"]).where("a > b and c_x != c_y").where(_fits(percent)).select("a", "b").distinct()
+        likely = stored(plausible(pairs.join(tested, ["a", "b"], "left_anti"), sketches, percent), "jaccard-likely")
+        more = stored(verified(likely, own, shingle, percent), "jaccard-more-links")
+        links = more if links is None else links.unionAll(more)
+        if not len(fresh):
+            return links
+        # the members of long lists once more, with these n-grams at the end of the order
+        plan = plan.with_listed(fresh)
+        shared = spark.sparkContext.broadcast(plan)
+        members = stored(long_lists.select("doc_id").distinct(), "jaccard-members")
+        texts = perhaps_with(own, "doc_id", members)
+        signed = with_arrow_columns(
+            texts, "text", "n int, prefix array<bigint>", lambda t, shared=shared: list_entries(shingle, percent, shared.value)(t)
+        ).drop("text")
+        signed = signed.join(members, "doc_id", "left_semi").where("n > 0")
+        entries = stored(signed.select(F.posexplode("prefix").alias("pos", "token"), "doc_id", "n", F.lit(False).alias("subset")), "jaccard-lists")
+
+
 def ngram_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
     sample_docs: int = SAMPLE_DOCS,
@@ -346,28 +432,29 @@ def ngram_classes(
     results. Other columns of ``docs`` are not looked at.
     """
     own = own_columns(docs, id_col, text_col)
-    plan = own.sparkSession.sparkContext.broadcast(_plan(own, shingle, percent, sample_docs))
+    made = _plan(own, shingle, percent, sample_docs)
+    plan = own.sparkSession.sparkContext.broadcast(made)
     signed = with_arrow_columns(own, "text", Signatures.ddl, lambda texts: Signatures(shingle, percent, plan.value)(texts))
     signatures = stored(signed.drop("text"), "jaccard-signatures")
     linked = signatures.where("n > 0 and doc_id is not null")
     classes = stored(linked.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     reps = linked.drop("sketch").join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "n", "doc_id"], "left_semi")
     entries = reps.select(
-        F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("rep"), "n"
+        F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("rep"), "n", F.lit(False).alias("subset")
     ).unionByName(
-        # a shared subset is proof enough, whatever its place
-        reps.select(F.lit(0).alias("pos"), F.explode("subsets").alias("token"), F.col("doc_id").alias("rep"), "n")
+        reps.select(F.lit(0).alias("pos"), F.explode("subsets").alias("token"), F.col("doc_id").alias("rep"), "n", F.lit(True).alias("subset"))
     )
     # one exchange serves the counts and the join with them
     entries = entries.repartition("token")
-    shared = entries.groupBy("token").agg(
+    shared = entries.groupBy("token", "subset").agg(
         F.count(F.lit(1)).alias("members"), F.min(F.struct("pos", "rep", "n")).alias("pivot")
     ).where("members > 1").select(
-        "token", F.col("pivot.pos").alias("pos_y"), F.col("pivot.rep").alias("b"), F.col("pivot.n").alias("n_y")
+        "token", "subset", F.col("pivot.pos").alias("pos_y"), F.col("pivot.rep").alias("b"), F.col("pivot.n").alias("n_y")
     )
     lists = stored(
-        entries.join(shared, "token").select("token", F.col("pos").alias("pos_x"), F.col("rep").alias("a"),
-                                             F.col("n").alias("n_x"), "pos_y", "b", "n_y"),
+        entries.join(shared, ["token", "subset"]).select(
+            "token", "subset", F.col("pos").alias("pos_x"), F.col("rep").alias("a"), F.col("n").alias("n_x"), "pos_y", "b", "n_y"
+        ),
         "jaccard-lists",
     )
     pairs_of = lambda df: df.where("a != b").where(_fits(percent)).select(
@@ -385,18 +472,8 @@ def ngram_classes(
         own_class.join(several.where("a != b"), "doc_id").where("rep != b").select(F.col("rep").alias("a"), "b")
     )
     so_far = connected_components(links.union(ties))
-    # members of one list that are still apart
-    apart = lists.join(so_far.withColumnRenamed("node", "a"), "a", "left").select(
-        "token", "pos_x", "a", "n_x", F.coalesce("component", "a").alias("c_x")
-    )
-    mixed = apart.groupBy("token").agg(F.min("c_x").alias("lo"), F.max("c_x").alias("hi")).where("lo != hi").select("token")
-    apart = stored(apart.join(mixed, "token", "left_semi"), "jaccard-apart")
-    others = apart.select("token", F.col("pos_x").alias("pos_y"), F.col("a").alias("b"), F.col("n_x").alias("n_y"),
-                          F.col("c_x").alias("c_y"))
-    rest = pairs_of(apart.join(others, "token").where("a > b and c_x != c_y"))
-    rest = rest.join(to_pivots, ["a", "b"], "left_anti")
-    likely = stored(plausible(rest, sketches, percent), "jaccard-likely")
-    more = stored(verified(likely, own, shingle, percent), "jaccard-more-links")
+    apart = lists.select("token", "subset", F.col("pos_x").alias("pos"), F.col("a").alias("doc_id"), F.col("n_x").alias("n"))
+    more = _links_of_lists(apart, so_far, to_pivots, sketches, own, made, shingle, percent)
     final = connected_components(so_far.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     return own_class.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"),
