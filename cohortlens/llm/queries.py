@@ -19,7 +19,7 @@ from cohortlens.llm.ngram_jaccard import ngram_classes
 from cohortlens.llm.sentencepieces import with_round_trip
 from cohortlens.llm.suffix_tree import fit_suffix_tree, score_texts
 from cohortlens.llm.shared import crc_remainder
-from cohortlens.llm.warc import index_archive, read_archive, write_archive
+from cohortlens.llm.warc import index_archive, lookup, record_urls, write_archive
 from cohortlens.llm.toxicity import fit_severity, with_severity
 from cohortlens.llm.vector_codes import with_codes, with_group_error
 
@@ -34,9 +34,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write all pages as WARC records, index them, and read them back by way of the index."""
-    archive = index_archive(spark, write_archive(_table(spark, sf_dir, "pages")))
-    return read_archive(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Write all pages as WARC records, index them, and fetch them by their URLs through the directory of the index."""
+    pages = _table(spark, sf_dir, "pages")
+    archive = index_archive(spark, write_archive(pages))
+    found = lookup(spark, archive, record_urls(pages), with_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

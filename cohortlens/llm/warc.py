@@ -138,6 +138,12 @@ def write_archive(
     return Archive(path)
 
 
+def record_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """``url``: the URLs that the records of the pages are written under; a page without one has a name from its id."""
+    page_id = F.col(id_col).cast("bigint")
+    return pages.select(_clean_url(F.col(url_col).cast("string"), page_id).alias("url"))
+
+
 def url_key(url: str) -> str:
     """Reversed host first, so that pages of a host and its subdomains sort together."""
     parts = urlsplit(url)
@@ -331,7 +337,8 @@ def lookup(spark: SparkSession, archive: Archive, urls: DataFrame, url_col: str
                 max(0, bisect.bisect_left(shared.value, key) - 1), max(1, bisect.bisect_right(shared.value, key)))]
             yield _batch(rows, "key string, slot bigint")
 
-    clean = urls.select(_clean_url(F.col(url_col), F.lit(None).cast("bigint")).alias("url")).where(F.col(url_col).isNotNull())
+    asked = urls.where(F.col(url_col).isNotNull())
+    clean = asked.select(_clean_url(F.col(url_col).cast("string"), F.lit(None).cast("bigint")).alias("url"))
     slots = clean.mapInArrow(sought, "key string, slot bigint").distinct()
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
