@@ -151,9 +151,10 @@ def calibrated_cut(p: np.ndarray, bad: np.ndarray) -> float:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     """``doc_id, text, toxic`` of at most ``max_rows`` labelled documents in the order of a hash, equal texts once.
-    ``docs`` has ``doc_id, text``."""
+    ``docs`` has ``doc_id, text``. Only labels of documents that are there count towards the bound."""
+    known = docs.where("text is not null").select("doc_id")
     chosen = (
-        labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+        labels.where("doc_id is not null and toxic is not null").join(known, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
     # bounded by max_rows, hence small enough to broadcast
