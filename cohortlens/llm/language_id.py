@@ -12,7 +12,10 @@ the calibration; their n-grams are counted by Spark. Prediction reads whole text
 up once.
 
 Defined results: null texts and texts without a letter give ``und`` with score 0 and are not accepted; so does every text if
-nothing could be learned. Null languages are not learned. Equal cross-entropies go to the first language in sorted order.
+nothing could be learned. Null languages, null texts and rows without an id are not learned from; rows that share an id are
+learned from each under its own language (the bound on documents counts ids per language). Equal cross-entropies go to the
+first language in sorted order. Every row gets a prediction, with or without an id, repeated or not; other columns pass through,
+and those with the names of the results are replaced.
 """
 
 from __future__ import annotations
@@ -198,17 +201,21 @@ def fit_languages(
     docs: DataFrame, order: int = ORDER, max_docs: int = MAX_DOCS, quantile: float = QUANTILE
 ) -> LanguageModel | None:
     """Fit on ``docs`` (``doc_id, lang, text``); None where no text has a language."""
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    labelled = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang")
-    # a language with far more documents is thinned by the hash first, so that few rows meet in the ranking
+    # rows that share an id are learned from each under its own language; choosing them takes no look at the texts
+    row = F.xxhash64("doc_id", "lang")
+    by_hash = Window.partitionBy("lang").orderBy("row")
+    labelled = docs.where("lang is not null and doc_id is not null").select("lang", row.alias("row"))
+    # a language with far more rows is thinned by the hash first, so that few rows meet in the ranking; the counts are one row
+    # per language
     counts = labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
-    place = F.pmod(F.xxhash64(F.lit(1), F.col("doc_id")), F.lit(1 << 30)) / (1 << 30)
+    place = F.pmod(F.xxhash64(F.lit(1), F.col("row")), F.lit(1 << 30)) / (1 << 30)
     chosen = (
-        labelled.join(counts, F.col("lang") == F.col("_lang")).where(place * F.col("_n") < 2 * max_docs).select("doc_id", "lang")
-        .withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= max_docs)
+        labelled.join(F.broadcast(counts), F.col("lang") == F.col("_lang")).where(place * F.col("_n") < 2 * max_docs)
+        .select("lang", "row").distinct().withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= max_docs)
     )
     # bounded by max_docs per language
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = docs.where("text is not null and lang is not null and doc_id is not null").select("lang", "text", row.alias("row"))
+    sample = texts.join(F.broadcast(chosen.select("row", "rank")), "row").drop("row")
     rows = _counted(sample.where(F.col("rank") % HELD_BACK != 0), order).toArrow()
     if not rows.num_rows:
         return None
@@ -224,8 +231,11 @@ def fit_languages(
     return model
 
 
-def with_languages(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
-    """The documents with ``lang_pred``, ``score`` (share of the best language, 0 to 1), ``cross_entropy`` and ``accepted``."""
+def with_languages(
+    docs: DataFrame, model: LanguageModel | None, text_col: str = "text", score_chars: int = SCORE_CHARS
+) -> DataFrame:
+    """The documents with ``lang_pred``, ``score`` (share of the best language, 0 to 1, by the evidence of a text of its own
+    length or ``score_chars`` characters, whichever is shorter), ``cross_entropy`` and ``accepted``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def compute(texts: pa.Array) -> list[pa.Array]:
@@ -235,7 +245,7 @@ def with_languages(docs: DataFrame, model: LanguageModel | None, text_col: str =
         entropy, letters = model.cross_entropies(texts)
         best = entropy.argmin(axis=1)
         low = entropy[np.arange(rows), best]
-        share = 1 / np.exp((low[:, None] - entropy) * np.minimum(letters, SCORE_CHARS)[:, None]).sum(axis=1)
+        share = 1 / np.exp((low[:, None] - entropy) * np.minimum(letters, score_chars)[:, None]).sum(axis=1)
         none = letters == 0
         names = pa.array([UNKNOWN if n else model.languages[k] for n, k in zip(none.tolist(), best.tolist())], pa.string())
         return [

@@ -46,7 +46,10 @@ class RuleSet:
         self.hashes = np.array(list(ids), np.uint64)[order]
         self.numbers = np.array(list(ids.values()), np.int64)[order]
         self.rules = sorted(
-            ((name, license_id, [p for s in parts for p in self.parts[s]]) for name, (license_id, parts) in rules.items()),
+            (
+                (name, license_id, numbers) for name, (license_id, parts) in rules.items()
+                if (numbers := [p for s in parts for p in self.parts[s]])
+            ),
             key=lambda rule: -len(rule[2]),
         )
 
@@ -91,6 +94,8 @@ class RuleSet:
     def known(self, data: np.ndarray, offsets: np.ndarray) -> tuple[Words, list[tuple[int, int, int, int]]]:
         """Known sentences in order: row, first word, the word behind the last, number."""
         words = Words(data, offsets, PUNCTUATION)
+        if not len(self.hashes):
+            return words, []
         h = self.word_hashes(words)
         found = set()
         for wrapped in (False, True):
