@@ -90,3 +90,63 @@ def test_filter_keeps_clean_rows_and_columns(spark, docs_of, awkward, nothing):
     assert drop_contaminated(awkward, bench).count() == awkward.count()
     assert drop_contaminated(nothing, bench).count() == 0
     assert benchmark_matches(awkward, bench.where("item_id < 0")).count() == 0
+
+
+def test_documents_without_an_id_are_kept_apart(spark, docs_of):
+    item = passages(3, 1)[0][1]
+    other = item.split()
+    other[0] = "changed"
+    docs = docs_of([(None, f"a b {item}"), (None, f"{' '.join(other)} c d"), (None, "nothing"), (7, item), (7, item)])
+    rows = benchmark_matches(docs, spark.createDataFrame([(1, item, "z"), (None, item, "z")], BENCH)).collect()
+    assert sorted((r["doc_id"] is None, r["start_word"], r["similarity"] == 1.0) for r in rows) == [
+        (False, 0, True), (True, 0, False), (True, 2, True)
+    ]
+
+
+def test_one_item_id_with_two_texts(spark, docs_of):
+    first, second = (t for _, t in passages(8, 2))
+    rows = benchmark_matches(docs_of([(1, second), (2, first + " x")]), spark.createDataFrame(
+        [(5, first, "z"), (5, second, "z")], BENCH)).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["similarity"]) for r in rows) == [(1, 5, 1.0), (2, 5, 1.0)]
+
+
+def test_places_are_the_windows_with_enough_hits():
+    rng = np.random.default_rng(1)
+    for m in (1, 3, 7, 30):
+        for share in (0.05, 0.3, 0.9):
+            hit = rng.random(300) < share
+            run = np.concatenate([[0], np.cumsum(hit)])
+            want = [p for p in range(300 - m + 1) if run[p + m] - run[p] >= 0.8 * m and run[p + m] > run[p]]
+            got = ItemIndex._places(np.flatnonzero(hit), m, 0.8)
+            assert [p for p in got.tolist() if p + m <= 300] == want
+            assert len(got) == len(set(got.tolist()))
+
+
+def test_fingerprints_do_not_depend_on_how_many_are_made_at_once(monkeypatch):
+    import cohortlens.llm.decontaminate as module
+
+    items = passages(6, 30)
+    ids, texts = [i for i, _ in items], [t for _, t in items]
+    whole = ItemIndex(ids, texts, 5, 20, 8).prints
+    monkeypatch.setattr(module, "BITS_AT_ONCE", 25)
+    assert (ItemIndex(ids, texts, 5, 20, 8).prints == whole).all()
+
+
+def test_recall_at_the_threshold(spark, docs_of):
+    """Windows between 0.8 and 0.85 alike: nearly all within the default radius, every one with a radius of 64."""
+    random.seed(9)
+    items = passages(9, 40, 60)
+    rows = []
+    for d in range(200):
+        words = items[d % 40][1].split()
+        # one change spoils up to five shingles
+        for _ in range(max(1, len(words) // 45)):
+            words[random.randrange(len(words))] = f"n{d}"
+        rows.append((d, " ".join(words)))
+    expected = {k for k, sim in brute(rows, items).items() if sim < 0.87}
+    bench = spark.createDataFrame([(*i, "z") for i in items], BENCH)
+    assert len(expected) > 20
+    for radius, least in ((20, 0.95), (64, 1.0)):
+        blocks = 8 if radius < 64 else 16
+        got = {(r["doc_id"], r["item_id"]) for r in benchmark_matches(docs_of(rows), bench, radius=radius, blocks=blocks).collect()}
+        assert len(expected & got) >= least * len(expected)

@@ -47,3 +47,34 @@ def test_awkward_rows(awkward, nothing, docs_of):
     assert with_languages(nothing, model).count() == 0
     assert fit_languages(nothing) is None
     assert {r["lang_pred"] for r in with_languages(awkward, None).collect()} == {"und"}
+
+
+def test_rows_that_share_an_id_keep_their_languages(docs_of):
+    train = docs_of([(i, "the cat and the dog " * 3, "en") for i in range(30)] + [(i, "der hund und die katze " * 3, "de") for i in range(30)])
+    model = fit_languages(train)
+    out = with_languages(docs_of([(1, "the dog and the cat"), (2, "die katze und der hund")]), model, score_chars=10).collect()
+    assert [r["lang_pred"] for r in sorted(out, key=lambda r: r["doc_id"])] == ["en", "de"]
+    assert max(r["cross_entropy"] for r in out) < 1.5
+
+
+def test_kneser_ney_by_its_definition():
+    """Trigrams of two small languages: discounted counts, then numbers of different characters in front, order by order."""
+    rng = np.random.default_rng(3)
+    texts = {"x": "".join(rng.choice(list("aab "), 400)), "y": "".join(rng.choice(list("bcc "), 300))}
+    points, langs = [], []
+    for k, name in enumerate("xy"):
+        text = "  " + texts[name]
+        grams = [[ord(c) for c in text[i : i + 3]] for i in range(len(text) - 2)]
+        points += grams
+        langs += [k] * len(grams)
+    kinds, which = np.unique(np.column_stack([langs, points]), axis=0, return_inverse=True)
+    counts = np.bincount(which.ravel())
+    model = kneser_ney(kinds[:, 1:].astype(np.uint32), kinds[:, 0], counts, ["x", "y"])
+    for history in ("ab", "  ", "bc", "zz", "ca"):
+        probabilities = np.exp(model.log_probabilities(np.array([[ord(history[0]), ord(history[1]), ord(c)] for c in "abc z"], np.uint32)))
+        # more of a language's own continuations, and never nothing for any other
+        assert (probabilities > 0).all()
+        seen = {c for a, b, c in zip("  " + texts["x"], " " + texts["x"], texts["x"]) if a + b == history}
+        if seen:
+            unseen = [probabilities[i, 0] for i, c in enumerate("abc z") if c not in seen]
+            assert all(max(probabilities[i, 0] for i, c in enumerate("abc z") if c in seen) > u for u in unseen)

@@ -69,3 +69,9 @@ def test_awkward_rows(awkward, nothing, docs_of):
     assert license_matches(awkward).count() == 0
     assert license_matches(nothing).count() == 0
     assert [r["doc_id"] for r in license_matches(docs_of([(None, "MIT License"), (1, None)])).collect()] == [None]
+
+
+def test_no_rules_match_nothing(docs_of):
+    docs = docs_of([(1, "MIT License")])
+    assert license_matches(docs, sentences={}, rules={}).count() == 0
+    assert license_matches(docs, sentences={"none": " .. "}, rules={"empty": ("X", ["none"])}).count() == 0

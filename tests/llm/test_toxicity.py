@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from cohortlens.llm.toxicity import calibrated_cut, fit_ordinal, fit_severity, keep_clean, with_severity, word_features
+from cohortlens.llm.toxicity import PENALTY, calibrated_cut, fit_ordinal, fit_severity, keep_clean, with_severity, word_features
 
 LABELS = "doc_id bigint, quality int, toxic int, text string"
 BAD = ["vile", "nasty", "awful", "rotten"]
@@ -87,3 +87,38 @@ def test_awkward_rows(spark, docs_of, awkward, nothing):
     # nothing to learn from: nothing goes
     for none in (label_frame.where("doc_id < 0"), shifted.where("toxic = 1"), shifted.where("toxic = 0")):
         assert keep_clean(mixed, none).count() == mixed.count()
+
+
+def test_labels_of_absent_documents_take_no_place(spark, docs_of):
+    rows, labels = corpus(6, 100)
+    absent = [(100_000 + i, None, i % 2, "x") for i in range(10_000)]
+    model = fit_severity(docs_of(rows).select("doc_id", "text"), spark.createDataFrame(labels + absent, LABELS), max_rows=200)
+    assert model.weights.any()
+
+
+def test_ordinal_fit_against_a_dense_one():
+    """Two thresholds and few words: the penalized likelihood is as high as any that random steps from the solution reach."""
+    rng = np.random.default_rng(8)
+    texts, grade = [], []
+    for _ in range(800):
+        k = int(rng.integers(0, 3))
+        texts.append(" ".join(["alpha"] * (rng.random() < 0.2 + 0.35 * k) + ["beta"] * (rng.random() < 0.1 + 0.2 * k) + ["gamma"]))
+        grade.append(k)
+    grade = np.array(grade)
+    feature, first = word_features(pa.array(texts))
+    model = fit_ordinal(feature, first, grade)
+    row = np.repeat(np.arange(len(grade)), np.diff(first))
+
+    def criterion(weights, thresholds):
+        score = np.bincount(row, weights[feature], len(grade))
+        tails = [np.ones(len(grade)), *(1 / (1 + np.exp(t - score)) for t in thresholds), np.zeros(len(grade))]
+        p = np.array([tails[g][i] - tails[g + 1][i] for i, g in enumerate(grade)])
+        return np.log(np.maximum(p, 1e-12)).mean() - PENALTY * weights.sum()
+
+    best = criterion(model.weights.astype(float), model.thresholds)
+    used = np.flatnonzero(model.weights)
+    assert len(used)
+    for _ in range(200):
+        weights, thresholds = model.weights.astype(float), model.thresholds + rng.normal(0, 0.1, len(model.thresholds))
+        weights[used] = np.maximum(weights[used] + rng.normal(0, 0.1, len(used)), 0)
+        assert criterion(weights, np.sort(thresholds)) < best + 2e-3

@@ -4,7 +4,7 @@ import pathlib
 
 import pytest
 
-from cohortlens.llm.warc import index_archive, lookup, read_archive, scan_records, url_key, write_archive
+from cohortlens.llm.warc import index_archive, lookup, read_archive, record_urls, scan_records, url_key, write_archive
 
 PAGES = "page_id bigint, url string, html string, digest string, bytes int"
 
@@ -110,3 +110,14 @@ def test_an_id_with_two_payloads_loses_none(spark):
     mine = [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in records]
     assert sorted(mine, key=str) == expected(rows)
     assert sorted((str(r["page_id"]), r["payload"]) for r in records if r["record_type"] == "response") == [("5", "B"), ("9", "A"), ("None", "C")]
+
+
+def test_urls_of_all_records_find_all_records_once(spark, rows, archive):
+    pages = spark.createDataFrame(rows, PAGES)
+    found = lookup(spark, archive, record_urls(pages), with_payload=False).collect()
+    mine = [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in found]
+    assert sorted(mine, key=str) == expected(rows)
+
+
+def test_null_urls_find_nothing(spark, archive):
+    assert lookup(spark, archive, spark.createDataFrame([(None,)], "url string")).count() == 0
