@@ -20,10 +20,10 @@ any order give the same links.
 A list is not turned into all its pairs. First every member meets one pivot, the member with the fewest n-grams before the
 shared one (in a group of near copies: the text nearest to the common core). Then only members that are still in different
 components meet each other, and only in lists of at most ``LONG_LIST`` members. What a longer list shares is a passage or a
-phrase of many documents: its n-gram moves to the end of the order, the members get their lists anew, from n-grams that are
-rarer, and so on while lists are long and their n-grams new to the end of the order. Two sets above the threshold that met in no short list
-were both members of a long one, so they are both in the next round, and they share a list in any order. Only what is left then, texts made of
-little else than such passages, is paired list by list.
+phrase of many documents. The members of longer lists are listed once more, in an order by how many of them have an n-gram,
+counted over all n-grams of their whole texts: passages come last, and lists are of what is rare. Two sets above the threshold
+that met in no short list were both members of a long one, so they are both in this second round, and they share a list in any
+order. What is long then, texts made of little else than such passages, is paired.
 """
 
 from __future__ import annotations
@@ -48,10 +48,10 @@ SAMPLE_DOCS = 5000
 SAMPLE_FREQUENT = 5
 # Light sets have at most this many subsets each, whatever the cost estimate says.
 MOST_SUBSETS = 500
-# Members up to which a list is paired; n-grams of longer lists that move to the end of the order at once (their number is the
-# bound of a broadcast; the rest is moved in the next round).
+# Members up to which a list is paired at once; n-grams that are ordered by their counts for the rest (the bound of a broadcast:
+# the most frequent ones, others count as rare).
 LONG_LIST = 48
-LONG_AT_ONCE = 1 << 20
+COUNTED_GRAMS = 1 << 20
 # Least number of parts of a sketch.
 SKETCH = 256
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -299,24 +299,25 @@ class Plan:
 
     def __init__(self, boundary: int = 0, frequent: np.ndarray | None = None, words: np.ndarray | None = None, times: np.ndarray | None = None):
         none = np.zeros(0, np.uint64)
-        self.listed = none
+        self.counted, self.counted_class = none, np.zeros(0, np.int16)
         self.boundary, self.frequent = boundary, none if frequent is None else frequent
         self.words = none if words is None else words
         self.classes = np.zeros(0, np.int16) if times is None else np.log2(times).astype(np.int16)
 
     def in_order(self, rows: np.ndarray, grams: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """The n-grams of each row, rare ones first: by the classes of their words, then those of long lists, then those found
-        often in the sample. Rows and n-grams come sorted."""
-        for known, behind in ((self.listed, np.int16(900)), (self.frequent, np.int16(1000))):
+        """The n-grams of each row, rare ones first: by the classes of their words, then those found often in the sample; counted
+        ones by their counts. Rows and n-grams come sorted."""
+        often = np.full(len(self.frequent), 1000, np.int16)
+        for known, behind in ((self.frequent, often), (self.counted, self.counted_class)):
             if len(known) and len(grams):
                 at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-                classes = np.where(known[at] == grams, behind, classes)
+                classes = np.where(known[at] == grams, behind[at], classes)
         by_class = np.argsort(classes, kind="stable")
         return grams[by_class[np.argsort(rows[by_class].astype(np.int32), kind="stable")]]
 
-    def with_listed(self, grams: np.ndarray) -> "Plan":
-        more = copy(self)
-        more.listed = np.unique(np.concatenate([self.listed, grams]))
+    def with_counts(self, grams: np.ndarray, counts: np.ndarray) -> "Plan":
+        more, order = copy(self), np.argsort(grams)
+        more.counted, more.counted_class = grams[order], (100 + 16 * np.log2(counts[order])).astype(np.int16)
         return more
 
     def word_class(self, hashes: np.ndarray) -> np.ndarray:
@@ -381,43 +382,54 @@ def _links_of_lists(
 ) -> DataFrame:
     """``a, b``: links between members (``token, subset, pos, doc_id, n``) of one list that are in different components ``so_far`` and
     were not ``tested`` before."""
-    spark = own.sparkSession
-    links = None
-    while True:
+    def mixed(entries: DataFrame) -> DataFrame:
         placed = entries.join(so_far.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
             "component", F.coalesce("component", "doc_id")
         )
         lengths = placed.groupBy("token", "subset").agg(
             F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")
         ).where("lo != hi").select("token", "subset", "members")
-        apart = stored(placed.join(lengths, ["token", "subset"]), "jaccard-apart")
-        # all that share a subset of the size they need are linked, so such a list is never long for nothing
-        is_long = (F.col("members") > LONG_LIST) & ~F.col("subset")
-        long_lists = apart.where(is_long)
-        lengths = long_lists.select("token", "members").distinct()
-        # a broadcast of bounded size; the longest first
-        found = lengths.orderBy(F.desc("members"), "token").limit(LONG_AT_ONCE).select("token").toArrow().column("token")
-        longest = found.to_numpy().astype(np.int64).view(np.uint64)
-        fresh = longest[~np.isin(longest, plan.listed) & ~np.isin(longest, plan.frequent)]
-        paired = apart if not len(fresh) else apart.where(~is_long)
-        x = paired.select("token", "subset", F.col("pos").alias("pos_x"), F.col("doc_id").alias("a"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
-        y = paired.select("token", "subset", F.col("pos").alias("pos_y"), F.col("doc_id").alias("b"), F.col("n").alias("n_y"), F.col("component").alias("c_y"))
-        pairs = x.join(y, ["token", "subset"]).where("a > b and c_x != c_y").where(_fits(percent)).select("a", "b").distinct()
-        likely = stored(plausible(pairs.join(tested, ["a", "b"], "left_anti"), sketches, percent), "jaccard-likely")
-        more = stored(verified(likely, own, shingle, percent), "jaccard-more-links")
-        links = more if links is None else links.unionAll(more)
-        if not len(fresh):
-            return links
-        # the members of long lists once more, with these n-grams at the end of the order
-        plan = plan.with_listed(fresh)
-        shared = spark.sparkContext.broadcast(plan)
-        members = stored(long_lists.select("doc_id").distinct(), "jaccard-members")
-        texts = perhaps_with(own, "doc_id", members)
-        signed = with_arrow_columns(
-            texts, "text", "n int, prefix array<bigint>", lambda t, shared=shared: list_entries(shingle, percent, shared.value)(t)
-        ).drop("text")
-        signed = signed.join(members, "doc_id", "left_semi").where("n > 0")
-        entries = stored(signed.select(F.posexplode("prefix").alias("pos", "token"), "doc_id", "n", F.lit(False).alias("subset")), "jaccard-lists")
+        return stored(placed.join(lengths, ["token", "subset"]), "jaccard-apart")
+
+    def linked(lists: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame]:
+        side = lambda at, node, c: lists.select(
+            "token", "subset", F.col("pos").alias(f"pos_{at}"), F.col("doc_id").alias(node), F.col("n").alias(f"n_{at}"),
+            F.col("component").alias(c),
+        )
+        met = side("x", "a", "c_x").join(side("y", "b", "c_y"), ["token", "subset"]).where("a > b and c_x != c_y")
+        pairs = met.where(_fits(percent)).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        likely = stored(plausible(pairs, sketches, percent), "jaccard-likely")
+        return likely, stored(verified(likely, own, shingle, percent), "jaccard-more-links")
+
+    apart = mixed(entries)
+    # a shared subset of the size a pair needs is a link, so such a list is never long for nothing
+    is_long = (F.col("members") > LONG_LIST) & ~F.col("subset")
+    likely, links = linked(apart.where(~is_long), tested)
+    members = stored(apart.where(is_long).select("doc_id").distinct(), "jaccard-members")
+    if members.isEmpty():
+        return links
+    texts = perhaps_with(own, "doc_id", members)
+
+    def grams_of(batches):
+        for batch in batches:
+            for _, _, data, offsets in slices(batch.column(0)):
+                grams, counts = np.unique(distinct_ngrams(data, offsets, shingle)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts)], ["g", "c"])
+            release_memory()
+
+    counted = texts.select("text").mapInArrow(grams_of, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
+    top = counted.where(F.col("c") > LONG_LIST).orderBy(F.desc("c"), "g").limit(COUNTED_GRAMS).toArrow()
+    order = plan.with_counts(
+        top.column("g").to_numpy().astype(np.int64).view(np.uint64), top.column("c").to_numpy().astype(np.float64)
+    )
+    shared = own.sparkSession.sparkContext.broadcast(order)
+    signed = with_arrow_columns(
+        texts, "text", "n int, prefix array<bigint>", lambda t: list_entries(shingle, percent, shared.value)(t)
+    ).drop("text").join(members, "doc_id", "left_semi").where("n > 0")
+    again = stored(
+        signed.select(F.posexplode("prefix").alias("pos", "token"), "doc_id", "n", F.lit(False).alias("subset")), "jaccard-lists"
+    )
+    return links.unionAll(linked(mixed(again), tested.unionAll(likely))[1])
 
 
 def ngram_classes(
