@@ -19,11 +19,11 @@ any order give the same links.
 
 A list is not turned into all its pairs. First every member meets one pivot, the member with the fewest n-grams before the
 shared one (in a group of near copies: the text nearest to the common core). Then only members that are still in different
-components meet each other, and only in lists of at most ``LONG_LIST`` members. What a longer list shares is a passage or a
-phrase of many documents. The members of longer lists are listed once more, in an order by how many of them have an n-gram,
-counted over all n-grams of their whole texts: passages come last, and lists are of what is rare. Two sets above the threshold
-that met in no short list were both members of a long one, so they are both in this second round, and they share a list in any
-order. What is long then, texts made of little else than such passages, is paired.
+components are left. What they share is mostly a passage or a phrase of many documents, so they are listed once more, in an order
+by how many of them have an n-gram, counted over all n-grams of their whole texts: passages come last, and lists are of what is
+rare. Two sets above the threshold that are still apart are both members of a list that is left, so they are both in this second
+round, and they share a list in any order; there lists are paired. (Counting leaves out what a task meets once; like the sample,
+it decides about cost only.)
 """
 
 from __future__ import annotations
@@ -48,10 +48,11 @@ SAMPLE_DOCS = 5000
 SAMPLE_FREQUENT = 5
 # Light sets have at most this many subsets each, whatever the cost estimate says.
 MOST_SUBSETS = 500
-# Members up to which a list is paired at once; n-grams that are ordered by their counts for the rest (the bound of a broadcast:
-# the most frequent ones, others count as rare).
-LONG_LIST = 48
+# For the second round: n-grams that are ordered by their counts (the most frequent ones, the bound of a broadcast; others count
+# as rare), the least count, and n-grams that a worker counts at once.
 COUNTED_GRAMS = 1 << 20
+LEAST_COUNT = 4
+GRAMS_AT_ONCE = 1 << 21
 # Least number of parts of a sketch.
 SKETCH = 256
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -317,7 +318,7 @@ class Plan:
 
     def with_counts(self, grams: np.ndarray, counts: np.ndarray) -> "Plan":
         more, order = copy(self), np.argsort(grams)
-        more.counted, more.counted_class = grams[order], (100 + 16 * np.log2(counts[order])).astype(np.int16)
+        more.counted, more.counted_class = grams[order], (100 + 16 * np.log2(np.maximum(counts[order], 1))).astype(np.int16)
         return more
 
     def word_class(self, hashes: np.ndarray) -> np.ndarray:
@@ -402,23 +403,32 @@ def _links_of_lists(
         return likely, stored(verified(likely, own, shingle, percent), "jaccard-more-links")
 
     apart = mixed(entries)
-    # a shared subset of the size a pair needs is a link, so such a list is never long for nothing
-    is_long = (F.col("members") > LONG_LIST) & ~F.col("subset")
-    likely, links = linked(apart.where(~is_long), tested)
-    members = stored(apart.where(is_long).select("doc_id").distinct(), "jaccard-members")
+    # a shared subset of the size that a pair needs is a link: such lists are paired at once
+    likely, links = linked(apart.where("subset"), tested)
+    members = stored(apart.where("NOT subset").select("doc_id").distinct(), "jaccard-members")
     if members.isEmpty():
         return links
     texts = perhaps_with(own, "doc_id", members)
 
     def grams_of(batches):
+        def counted(parts):
+            grams, counts = np.unique(np.concatenate(parts), return_counts=True)
+            more = counts > 1
+            return pa.RecordBatch.from_arrays([pa.array(grams[more].view(np.int64)), pa.array(counts[more])], ["g", "c"])
+
+        parts, held = [np.zeros(0, np.uint64)], 0
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
-                grams, counts = np.unique(distinct_ngrams(data, offsets, shingle)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts)], ["g", "c"])
+                parts.append(distinct_ngrams(data, offsets, shingle)[1])
+                held += len(parts[-1])
+                if held >= GRAMS_AT_ONCE:
+                    yield counted(parts)
+                    parts, held = [np.zeros(0, np.uint64)], 0
             release_memory()
+        yield counted(parts)
 
     counted = texts.select("text").mapInArrow(grams_of, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
-    top = counted.where(F.col("c") > LONG_LIST).orderBy(F.desc("c"), "g").limit(COUNTED_GRAMS).toArrow()
+    top = counted.where(F.col("c") >= LEAST_COUNT).orderBy(F.desc("c"), "g").limit(COUNTED_GRAMS).toArrow()
     order = plan.with_counts(
         top.column("g").to_numpy().astype(np.int64).view(np.uint64), top.column("c").to_numpy().astype(np.float64)
     )
