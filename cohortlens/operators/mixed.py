@@ -7,9 +7,10 @@ Laplace criterion built on that solution (no adaptive quadrature over the fixed
 One pass:
 
 1. unit effects are updated from the sums of the last pass (batched algebra per unit, ``mapInArrow``);
-2. cells are joined with them and summed per unit and level by built-in expressions. Cells are cached hash-partitioned by
-   model and unit (one number, the node), so neither this join nor the sums move them: only the effects, one row per
-   unit, are exchanged;
+2. cells are joined with them and summed per model, unit and level by built-in expressions. Models of the same records share
+   one set of cells: a cell row meets the effects of each of them. Cells are cached hash-partitioned by set and unit (one
+   number, the node), so neither this join nor the sums move them: only the effects, one row per model and unit, are
+   exchanged, with models as numbers; what is equal for all units of a model (its slopes) is a constant of the pass;
 3. the sums, again one row per unit, are checkpointed, which keeps the plan flat and survives the loss of executors;
 4. what units add to the equations of the fixed effects is added up within tasks and then by Spark. The driver sees only
    these totals, whose size depends on the number of levels and models.
@@ -39,11 +40,8 @@ from cohortlens.session import checkpoint_dir, ship_package, small_table
 CELLS_PER_TASK = 1_000_000
 UNITS_PER_TASK = 4_000    # in the batched algebra, where a unit costs about levels^3 operations
 UNITS_PER_JOIN = 200_000   # in the hash table that cells are joined with
-EFFECT_COLUMNS = ["model", "unit", "node", "salts", "v", "previous", "off", "slope"]
-EFFECTS_SCHEMA = (
-    "model string, unit string, node bigint, salts int, v array<double>, previous array<double>, off array<double>, "
-    "slope array<double>"
-)
+EFFECT_COLUMNS = ["m", "node", "salts", "v", "previous", "off"]
+EFFECTS_SCHEMA = "m int, node bigint, salts int, v array<double>, previous array<double>, off array<double>"
 START_TOL = 1e-2           # for a fit that only serves as a start; the search moves all parameters on
 MAX_ALGEBRA = 20_000_000   # numbers held on the driver for the models fitted together: levels^4 / 4 each with vector effects
 BATCH_VALUES = 4_000_000   # bound on the numbers held at once by the batched algebra
@@ -76,7 +74,8 @@ class ModelFit:
 
 @dataclass
 class FitSet:
-    """Fits made together. ``unit_effects`` holds the log-odds offset and slope of every unit and level."""
+    """Fits made together. ``cells`` has the counted cells of every model and ``unit_effects`` the log-odds offset and slope of
+    every unit and level; both are by ``model``, ``unit`` and ``node``, a number for the unit."""
 
     spark: SparkSession
     models: dict[str, ModelFit]
@@ -117,15 +116,15 @@ def _matrix_list(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(matrix).ravel()))
 
 
-def _model_batches(batch: pa.RecordBatch, designs: Mapping[str, Design]) -> Iterator[tuple[str, pa.RecordBatch, dict]]:
+def _model_batches(batch: pa.RecordBatch, designs: Mapping[int, Design]) -> Iterator[tuple[int, pa.RecordBatch, dict]]:
     """Rows of each model in bounded pieces, with the sums as units x levels matrices of the levels it has."""
-    names = batch.column("model").to_numpy(zero_copy_only=False)
-    for name in sorted(set(names)):
-        design = designs[name]
+    numbers = batch.column("m").to_numpy(zero_copy_only=False)
+    for m in sorted(set(numbers.tolist())):
+        design = designs[m]
         rows_at_once = max(1, BATCH_VALUES // max(1, design.n_fixed * design.n_random))
         place = np.full(max(design.levels) + 1, -1)
         place[list(design.levels)] = np.arange(len(design.levels))
-        of_model = batch.filter(pa.array(names == name))
+        of_model = batch.filter(pa.array(numbers == m))
         for start in range(0, of_model.num_rows, rows_at_once):
             part = of_model.slice(start, rows_at_once)
             column = part.column("sums")
@@ -136,19 +135,19 @@ def _model_batches(batch: pa.RecordBatch, designs: Mapping[str, Design]) -> Iter
             for key in SUMS:
                 sums[key] = np.zeros((len(column), len(design.levels)))
                 sums[key][row, level] = entries.field(key).to_numpy(zero_copy_only=False)
-            yield name, part, sums
+            yield m, part, sums
 
 
-def _contribution_task(designs: Mapping[str, Design], factors: Mapping[str, np.ndarray]):
+def _contribution_task(designs: Mapping[int, Design], factors: Mapping[int, np.ndarray]):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, np.ndarray] = {}
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for name, part, sums in _model_batches(batch, designs):
-                v = _list_matrix(part.column("v"), designs[name].n_random)
-                added = unit_contributions(sums, v, factors[name], designs[name])
-                totals[name] = totals[name] + added if name in totals else added
-        for name, vector in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name]), _matrix_list(vector[None, :])], ["model", "parts"])
+            for m, part, sums in _model_batches(batch, designs):
+                v = _list_matrix(part.column("v"), designs[m].n_random)
+                added = unit_contributions(sums, v, factors[m], designs[m])
+                totals[m] = totals[m] + added if m in totals else added
+        for m, vector in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), _matrix_list(vector[None, :])], ["m", "parts"])
 
     return task
 
@@ -161,24 +160,21 @@ def _effect_columns(
     fixed = design.fixed_map @ beta
     off = np.zeros((len(v), n_levels))
     off[:, at] = fixed[:g] + v @ factor.T @ design.random_map.T
-    slope = np.zeros((len(v), n_levels))
-    slope[:, at] = fixed[g:]
     return pa.RecordBatch.from_arrays(
-        [*(part.column(name) for name in EFFECT_COLUMNS[:4]), *map(_matrix_list, (v, previous, off, slope))],
-        EFFECT_COLUMNS,
+        [*(part.column(name) for name in EFFECT_COLUMNS[:3]), *map(_matrix_list, (v, previous, off))], EFFECT_COLUMNS
     )
 
 
 def _update_task(
-    designs: Mapping[str, Design], factors: Mapping[str, np.ndarray], steps: Mapping[str, Step], n_levels: int
+    designs: Mapping[int, Design], factors: Mapping[int, np.ndarray], steps: Mapping[int, Step], n_levels: int
 ):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, part, sums in _model_batches(batch, designs):
-                design, step = designs[name], steps[name]
+            for m, part, sums in _model_batches(batch, designs):
+                design, step = designs[m], steps[m]
                 v = _list_matrix(part.column("v"), design.n_random)
                 previous = _list_matrix(part.column("previous"), design.n_random)
-                new = updated_effects(sums, v, previous, factors[name], step, design)
+                new = updated_effects(sums, v, previous, factors[m], step, design)
                 kept = v if step.backtrack is None else previous
                 yield _effect_columns(part, new, kept, step.beta, step.factor, design, n_levels)
 
@@ -212,44 +208,61 @@ def _sum_columns():
     return [F.sum(value).alias(name) for name, value in zip(SUMS, values)]
 
 
-def unit_sums(packed: DataFrame, effects: DataFrame, keys: Sequence[str], partitions: int) -> DataFrame:
-    """One row per unit: its effects and the sums of its cells per level. Effects come partitioned by node.
+def _level_slopes(design: Design, beta: np.ndarray, n_levels: int) -> list[float]:
+    """Slope of every level of the common list; zero where the model lacks it."""
+    slope = np.zeros(n_levels)
+    slope[list(design.levels)] = (design.fixed_map @ beta)[len(design.levels) :]
+    return slope.tolist()
+
+
+def unit_sums(
+    packed: DataFrame, effects: DataFrame, slopes: Mapping[int, list[float]], keys: Sequence[str], partitions: int
+) -> DataFrame:
+    """One row per model and unit: its effects and the sums of its cells per level. Effects come partitioned by node.
 
     With ``keys`` = (node) the cells stay where they are cached. With a salt among the keys each piece of a split unit is
     summed in its own task first, and only these sums are exchanged.
     """
-    sides = effects.select("node", "salts", "off", "slope")
+    sides = effects.select("m", "node", "salts", "off")
     if "salt" in keys:
         sides = sides.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).repartition(
             partitions, *keys
         )
     joined = packed.join(sides.hint("shuffle_hash"), list(keys))
-    with_eta = joined.withColumn("eta", F.get("off", F.col("lev")) + F.get("slope", F.col("lev")) * F.col("s"))
-    summed = _with_sums(with_eta, ["node", "lev"]).groupBy("node", "lev").agg(*_sum_columns())
-    per_unit = summed.groupBy("node").agg(F.collect_list(F.struct("lev", *SUMS)).alias("sums"))
-    return per_unit.join(effects.hint("shuffle_hash"), "node")
+    # a constant array per model; models that are not in this pass have no effects here either
+    none = [0.0] * max(map(len, slopes.values()))
+    slope = F.lit([slopes.get(m, none) for m in range(max(slopes) + 1)])
+    with_eta = joined.withColumn(
+        "eta", F.get("off", F.col("lev")) + F.get(F.get(slope, F.col("m")), F.col("lev")) * F.col("s")
+    )
+    summed = _with_sums(with_eta, ["m", "node", "lev"]).groupBy("node", "m", "lev").agg(*_sum_columns())
+    per_unit = summed.groupBy("node", "m").agg(F.collect_list(F.struct("lev", *SUMS)).alias("sums"))
+    # both sides lie by node; as a second key the model would ask for an exchange
+    same_model = (F.col("summed_m") - F.col("m")) == 0
+    return per_unit.withColumnRenamed("m", "summed_m").join(effects.hint("shuffle_hash"), "node").where(same_model).drop("summed_m")
 
 
 def total_contributions(
-    state: DataFrame, designs: Mapping[str, Design], factors: Mapping[str, np.ndarray], tasks: int
-) -> dict[str, np.ndarray]:
+    state: DataFrame, designs: Mapping[int, Design], factors: Mapping[int, np.ndarray], tasks: int
+) -> dict[int, np.ndarray]:
     """Sums over units per model. Tasks pre-add their units; several tasks are added up by Spark, entry by entry."""
-    parts = state.select("model", "sums", "v").coalesce(tasks).mapInArrow(
-        _contribution_task(designs, factors), "model string, parts array<double>"
+    parts = state.select("m", "sums", "v").coalesce(tasks).mapInArrow(
+        _contribution_task(designs, factors), "m int, parts array<double>"
     )
-    entries = parts.select("model", F.posexplode("parts").alias("pos", "part"))
-    totals = {name: np.zeros(algebra_size(design)) for name, design in designs.items()}
-    for row in entries.groupBy("model", "pos").agg(F.sum("part").alias("part")).collect():
-        totals[row["model"]][row["pos"]] = row["part"]
+    entries = parts.select("m", F.posexplode("parts").alias("pos", "part"))
+    totals = {m: np.zeros(algebra_size(design)) for m, design in designs.items()}
+    for row in entries.groupBy("m", "pos").agg(F.sum("part").alias("part")).collect():
+        totals[row["m"]][row["pos"]] = row["part"]
     return totals
 
 
 def fit_fixed(
-    pooled: DataFrame, designs: Mapping[str, Design], tol: float = 1e-20, max_passes: int = 100,
-    odds: Mapping[tuple[str, int], float] | None = None,
+    pooled: DataFrame, designs: Mapping[str, Design], cell_sets: Mapping[str, str], tol: float = 1e-20, max_passes: int = 100,
+    odds: Mapping[tuple[str, int], float] | None = None, runaway: Mapping[str, Sequence[int]] | None = None,
 ) -> dict[str, dict]:
     """Logistic fits without unit effects, by Newton steps; every pass is one aggregation to model x level rows. They start
-    from the odds per model and level, without slopes."""
+    from the odds per model and level, without slopes. ``runaway`` names levels by model whose own parameters move on for ever
+    and are not waited for."""
     spark = pooled.sparkSession
     found = {name: {"beta": np.zeros(d.n_fixed), "ll": -np.inf, "move": None} for name, d in designs.items()}
     for name, design in designs.items() if odds else ():
@@ -260,10 +273,12 @@ def fit_fixed(
         for name in sorted(active):
             design, g = designs[name], len(designs[name].levels)
             fixed = design.fixed_map @ found[name]["beta"]
-            rows += [(name, lev, float(fixed[i]), float(fixed[g + i])) for i, lev in enumerate(design.levels)]
-        params = small_table(spark, rows, "model string, lev int, a double, c double")
+            rows += [
+                (name, cell_sets[name], lev, float(fixed[i]), float(fixed[g + i])) for i, lev in enumerate(design.levels)
+            ]
+        params = small_table(spark, rows, "model string, cell_set string, lev int, a double, c double")
         summed = _with_sums(
-            pooled.join(F.broadcast(params), ["model", "lev"]).withColumn("eta", F.col("a") + F.col("c") * F.col("s")),
+            pooled.join(F.broadcast(params), ["cell_set", "lev"]).withColumn("eta", F.col("a") + F.col("c") * F.col("s")),
             ["model", "lev"],
         ).groupBy("model", "lev").agg(*_sum_columns()).collect()
         for name in sorted(active):
@@ -286,7 +301,9 @@ def fit_fixed(
             score = m0.T @ sums["r0"] + m1.T @ sums["r1"]
             move = Search._solve(info, score)
             enough = tol * max(1.0, abs(ll)) if design.random == "none" else START_TOL
-            fit.update(ll=ll, info=info, passes=passes, converged=bool(score @ move < enough))
+            lost = [place[lev] for lev in (runaway or {}).get(name, ())]
+            waited = (np.delete(m, [*lost, *(g + i for i in lost)], axis=0) != 0).any(axis=0)
+            fit.update(ll=ll, info=info, passes=passes, converged=bool(score[waited] @ move[waited] < enough))
             if fit["converged"]:
                 active.discard(name)
             else:
@@ -311,8 +328,8 @@ def fit_mixed_logit(
 ) -> FitSet:
     """Fit several models in one loop.
 
-    With a column ``model`` in ``cells``, one model per value of it. Without, all models named in ``designs`` on the same
-    cells, or a single one. ``fixed``: ``interaction`` (score x level) or ``additive`` (score + level). ``random``:
+    With a column ``model`` in ``cells``, one model per value of it. Without, all models named in ``designs`` on one and the same
+    set of cells, or a single one. ``fixed``: ``interaction`` (score x level) or ``additive`` (score + level). ``random``:
     ``level`` (a vector of level effects per unit with free covariance), ``intercept`` (one effect per unit) or ``none``.
     ``designs`` gives (fixed, random) by model name. ``levels`` fixes the order of the levels; cells of other levels are
     left out. A level without cells in a model is left out of that model; one whose cells all have the same score takes the
@@ -332,15 +349,16 @@ def fit_mixed_logit(
     spark = cells.sparkSession
     checkpoint_dir(spark)
     ship_package(spark)
-    keyed = ["model"] if "model" in cells.columns else []
+    keyed = "model" in cells.columns
+    cell_set = F.col("model") if keyed else F.lit("all")
     # from here on the source is not read again
-    stored = cells.select(*keyed, "unit", "level", F.col("saps").cast("double").alias("saps"), "n", "k").checkpoint()
-    if not keyed:
-        stored = stack_models(stored, list(designs or ["model"]))
+    stored = cells.select(
+        cell_set.alias("cell_set"), "unit", "level", F.col("saps").cast("double").alias("saps"), "n", "k"
+    ).checkpoint()
 
     if levels is not None:
         stored = stored.where(F.col("level").isin(list(levels)))
-    margins = stored.groupBy("model", "level").agg(
+    margins = stored.groupBy("cell_set", "level").agg(
         F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n"),
         F.sum(F.col("n") * F.col("saps")).alias("ns"), F.sum(F.col("n") * F.col("saps") * F.col("saps")).alias("nss"),
         F.min("saps").alias("low"), F.max("saps").alias("high"), F.sum("k").alias("k"),
@@ -351,6 +369,9 @@ def fit_mixed_logit(
         raise ValueError("no cells to fit")
     if len(margins) > max_algebra // 100:
         raise ValueError("more levels than max_algebra allows")
+    # which cells each model is fitted to
+    cell_sets = {row["cell_set"]: row["cell_set"] for row in margins} if keyed else {m: "all" for m in designs or ["model"]}
+    margins_of = lambda name: [row for row in margins if row["cell_set"] == cell_sets[name]]
     level_names = list(levels) if levels is not None else sorted({row["level"] for row in margins})
     place = {level: i for i, level in enumerate(level_names)}
     positions = level_table(spark, level_names).select("level", (F.col("idx") - 1).alias("lev"))
@@ -359,29 +380,35 @@ def fit_mixed_logit(
     total = sum(row["n"] for row in margins)
     center = sum(row["ns"] for row in margins) / total
     spread = math.sqrt(max(sum(row["nss"] for row in margins) / total - center * center, 0.0)) or 1.0
-    names = sorted({row["model"] for row in margins})
+    names = sorted(cell_sets)
     plans: dict[str, Design] = {}
     for name in names:
         f, r = (designs or {}).get(name, (fixed, random))
-        mine = sorted((place[row["level"]], row["low"] == row["high"]) for row in margins if row["model"] == name)
+        mine = sorted((place[row["level"]], row["low"] == row["high"]) for row in margins_of(name))
         plans[name] = Design(f, r, tuple(at for at, _ in mine), tuple(i for i, (_, one) in enumerate(mine) if one))
-    n_obs = {name: sum(row["n"] for row in margins if row["model"] == name) for name in names}
+    n_obs = {name: sum(row["n"] for row in margins_of(name)) for name in names}
 
     coded = coded.withColumn("s", (F.col("saps") - center) / spread)
     runaway = {
-        name: tuple(row["level"] for row in margins if row["model"] == name and row["k"] in (0, row["n"])) for name in names
+        name: tuple(row["level"] for row in margins_of(name) if row["k"] in (0, row["n"])) for name in names
+    }
+    odds = {
+        (name, place[row["level"]]): (row["k"] + 0.5) / (row["n"] - row["k"] + 0.5) for name in names for row in margins_of(name)
     }
-    odds = {(row["model"], place[row["level"]]): (row["k"] + 0.5) / (row["n"] - row["k"] + 0.5) for row in margins}
     given = {name: _given_factor(name, design, len(level_names), variance, covariance) for name, design in plans.items()}
     models, final_cells, final_effects = {}, [], []
     for group in _groups(plans, max_algebra):
-        own = coded if len(group) == len(plans) else coded.where(F.col("model").isin(group))
+        sets = sorted({cell_sets[name] for name in group})
+        own = coded.where(F.col("cell_set").isin(sets)) if keyed and len(group) < len(plans) else coded
         made, own, effects = _fit_group(
-            spark, own, {name: plans[name] for name in group}, odds, level_names, n_obs,
-            sum(row["cells"] for row in margins if row["model"] in group), center, spread, tol, max_passes, runaway, given,
+            spark, own, {name: plans[name] for name in group}, cell_sets, odds, level_names, n_obs,
+            sum(row["cells"] for row in margins if row["cell_set"] in sets), center, spread, tol, max_passes, runaway, given,
         )
         models |= made
-        final_cells.append(own.select("model", "unit", "node", "lev", "s", "saps", "n", "k"))
+        of_model = small_table(spark, [(name, cell_sets[name]) for name in group], "model string, cell_set string")
+        final_cells.append(
+            own.join(F.broadcast(of_model), "cell_set").select("model", "unit", "node", "lev", "s", "saps", "n", "k")
+        )
         final_effects.append(effects.select("model", "unit", "node", "off", "slope"))
     return FitSet(
         spark, models, level_names, reduce(DataFrame.unionByName, final_cells), reduce(DataFrame.unionByName, final_effects),
@@ -433,32 +460,37 @@ def _groups(plans: Mapping[str, Design], max_algebra: int) -> list[list[str]]:
 
 
 def _fit_group(
-    spark, coded, plans, odds, level_names, n_obs, n_cells, center, spread, tol, max_passes, runaway, given
+    spark, coded, plans, cell_sets, odds, level_names, n_obs, n_cells, center, spread, tol, max_passes, runaway, given
 ) -> tuple[dict[str, ModelFit], DataFrame, DataFrame]:
     """Fit some models together: their results, the cells with nodes, the unit effects."""
     names = list(plans)
-    pooled = coded.groupBy("model", "lev", "s").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).persist(
+    pooled = coded.groupBy("cell_set", "lev", "s").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).persist(
         StorageLevel.MEMORY_AND_DISK
     )
-    simple = fit_fixed(pooled, plans, odds=odds)
+    at = {level: i for i, level in enumerate(level_names)}
+    lost = {name: [at[level] for level in runaway[name]] for name in names}
+    simple = fit_fixed(pooled, plans, cell_sets, odds=odds, runaway=lost)
     pooled.unpersist()
 
     coded, per_unit, sizes = _with_nodes(coded)
-    n_units = {row["model"]: row["units"] for row in sizes}
+    n_units = {name: row["units"] for row in sizes for name in names if cell_sets[name] == row["cell_set"]}
     largest = max(row["largest"] for row in sizes)
 
+    number = {name: m for m, name in enumerate(names)}
     mixed = {name: design for name, design in plans.items() if design.random != "none"}
     searches = {name: Search(design, simple[name]["beta"], tol, given[name]) for name, design in mixed.items()}
     # models without unit effects take part in the table of unit effects with their fixed part only
-    effects = _start_effects(spark, coded, per_unit, plans, simple, len(level_names))
-    finished = [effects.where(F.col("model").isin([n for n in names if n not in mixed]))]
+    effects = _start_effects(spark, per_unit, plans, number, cell_sets, simple, len(level_names))
+    finished = [effects.where(F.col("m").isin([number[n] for n in names if n not in mixed]))]
     if mixed:
         finished.append(_run_search(
-            coded.where(F.col("model").isin(list(mixed))), effects.where(F.col("model").isin(list(mixed))), mixed,
-            searches, len(level_names), n_cells, largest, sum(n_units[name] for name in mixed), max_passes,
+            coded, effects.where(F.col("m").isin([number[n] for n in mixed])), {number[n]: d for n, d in mixed.items()},
+            {number[n]: search for n, search in searches.items()}, len(level_names), n_cells, largest,
+            sum(n_units[name] for name in mixed), max_passes,
         ))
 
     models = {}
+    betas = {}
     for name, design in plans.items():
         search = searches.get(name)
         if search is None:
@@ -468,11 +500,12 @@ def _fit_group(
             slope = fisher = None
         else:
             parts = search.parts
-            beta, info = search.beta, (parts["info"] + parts["info"].T) / 2
+            beta, info = search.solution, (parts["info"] + parts["info"].T) / 2
             log_lik = -0.5 * (-2 * parts["ll"] + parts["penalty"] + parts["logdet"])
             covariance = search.factor @ search.factor.T
             passes, converged = search.passes, search.converged
             slope, fisher = search.log_variance_slope(), search.variance_information()
+        betas[name] = beta
         g = len(design.levels)
         back = np.eye(2 * g)                  # from the centred and scaled score to the original one
         back[:g, g:] = -np.eye(g) * center / spread
@@ -483,22 +516,28 @@ def _fit_group(
             to_level @ Search._solve(info, np.eye(design.n_fixed)) @ to_level.T, covariance, float(log_lik),
             int(n_obs[name]), int(n_units[name]), passes, converged, runaway[name], given[name] is not None, slope, fisher,
         )
-    return models, coded, finished[0] if len(finished) == 1 else finished[0].unionByName(finished[1])
+    effects = finished[0] if len(finished) == 1 else finished[0].unionByName(finished[1])
+    # back from numbers to names, and the slopes, which are the same for all units of a model
+    rows = [(number[n], n, cell_sets[n], _level_slopes(d, betas[n], len(level_names))) for n, d in plans.items()]
+    named = small_table(spark, rows, "m int, model string, cell_set string, slope array<double>")
+    units = per_unit.select("cell_set", "unit", "node")
+    effects = effects.join(F.broadcast(named), "m").join(units, ["cell_set", "node"])
+    return models, coded, effects.select("model", "unit", "node", "off", "slope")
 
 
 def _with_nodes(coded: DataFrame) -> tuple[DataFrame, DataFrame, list]:
-    """Cells and units with a ``node``, one number per model and unit, so that passes join and group on a plain long; and
-    per model the number of units and the most cells in one.
+    """Cells and units with a ``node``, one number per set of cells and unit, so that passes join and group on a plain long;
+    and per set the number of units and the most cells in one.
 
     A hash needs no shuffle of the cells; should two units ever share one, another seed is taken.
     """
     for seed in range(10):
-        node = F.xxhash64(F.lit(seed), "model", "unit").alias("node")
-        units = coded.groupBy("model", "unit").agg(F.count(F.lit(1)).alias("cells")).select("*", node)
+        node = F.xxhash64(F.lit(seed), "cell_set", "unit").alias("node")
+        units = coded.groupBy("cell_set", "unit").agg(F.count(F.lit(1)).alias("cells")).select("*", node)
         by_node = units.groupBy("node").agg(
-            F.count(F.lit(1)).alias("sharing"), F.min("model").alias("model"), F.max("cells").alias("cells")
+            F.count(F.lit(1)).alias("sharing"), F.min("cell_set").alias("cell_set"), F.max("cells").alias("cells")
         )
-        sizes = by_node.groupBy("model").agg(
+        sizes = by_node.groupBy("cell_set").agg(
             F.count(F.lit(1)).alias("units"), F.max("cells").alias("largest"), F.max("sharing").alias("sharing")
         ).collect()
         if max(row["sharing"] for row in sizes) == 1:
@@ -506,20 +545,17 @@ def _with_nodes(coded: DataFrame) -> tuple[DataFrame, DataFrame, list]:
     raise RuntimeError("no seed without collisions")
 
 
-def _start_effects(spark, coded, per_unit, plans, simple, n_levels) -> DataFrame:
-    """Every unit with zero effects on top of the fit without unit effects."""
+def _start_effects(spark, per_unit, plans, number, cell_sets, simple, n_levels) -> DataFrame:
+    """Every unit of every model with zero effects on top of the fit without unit effects."""
     rows = []
     for name, design in plans.items():
-        g, fixed = len(design.levels), design.fixed_map @ simple[name]["beta"]
-        off, slope = np.zeros(n_levels), np.zeros(n_levels)
-        off[list(design.levels)], slope[list(design.levels)] = fixed[:g], fixed[g:]
+        off = np.zeros(n_levels)
+        off[list(design.levels)] = (design.fixed_map @ simple[name]["beta"])[: len(design.levels)]
         zero = [0.0] * design.n_random
-        rows.append((name, zero, zero, off.tolist(), slope.tolist()))
-    start = small_table(
-        spark, rows, "model string, v array<double>, previous array<double>, off array<double>, slope array<double>"
-    )
+        rows.append((number[name], cell_sets[name], zero, zero, off.tolist()))
+    start = small_table(spark, rows, "m int, cell_set string, v array<double>, previous array<double>, off array<double>")
     salts = F.ceil(F.col("cells") / CELLS_PER_TASK).cast("int").alias("salts")
-    return per_unit.select("model", "unit", "node", salts).join(F.broadcast(start), "model").select(EFFECT_COLUMNS)
+    return per_unit.select("cell_set", "node", salts).join(F.broadcast(start), "cell_set").select(EFFECT_COLUMNS)
 
 
 def _run_search(coded, effects, designs, searches, n_levels, n_cells, largest, n_units, max_passes) -> DataFrame:
@@ -537,7 +573,7 @@ def _run_search(coded, effects, designs, searches, n_levels, n_cells, largest, n
     if largest > CELLS_PER_TASK:
         keys.append("salt")
         # every split unit has more than CELLS_PER_TASK cells, so there are at most n_cells / CELLS_PER_TASK of them
-        split = F.broadcast(effects.where("salts > 1").select("node", "salts"))
+        split = F.broadcast(effects.where("salts > 1").select("node", "salts").distinct())
         salts = F.coalesce(F.col("salts"), F.lit(1))
         coded = coded.join(split, "node", "left").withColumn(
             "salt", F.pmod(F.xxhash64("lev", "s"), salts).cast("int")
@@ -547,31 +583,34 @@ def _run_search(coded, effects, designs, searches, n_levels, n_cells, largest, n
         StorageLevel.MEMORY_AND_DISK
     )
 
-    def visit_cells(changed: DataFrame) -> DataFrame:
+    def visit_cells(changed: DataFrame, models: Sequence[int]) -> DataFrame:
         # read twice: to give cells their linear predictor, and to go along with the new sums
         placed = changed.repartition(partitions, "node").persist(StorageLevel.MEMORY_AND_DISK)
-        reached = unit_sums(packed, placed, keys, partitions).checkpoint()
+        slopes = {m: _level_slopes(designs[m], searches[m].beta, n_levels) for m in models}
+        reached = unit_sums(packed, placed, slopes, keys, partitions).checkpoint()
         placed.unpersist()
+        for m in models:
+            searches[m].solution = searches[m].beta
         return reached
 
-    state = visit_cells(effects)
+    state = visit_cells(effects, list(designs))
     final, active = [], dict(designs)
     for last in range(max_passes, 0, -1):
-        factors = {name: searches[name].factor for name in active}
+        factors = {m: searches[m].factor for m in active}
         totals = total_contributions(state, active, factors, tasks)
-        steps = {name: searches[name].advance(totals[name]) for name in sorted(active)}
-        stopped = [name for name, step in steps.items() if step is None]
+        steps = {m: searches[m].advance(totals[m]) for m in sorted(active)}
+        stopped = [m for m, step in steps.items() if step is None]
         if last == 1:
             stopped = list(active)
         if stopped:
-            final.append(state.where(F.col("model").isin(stopped)))
-            active = {name: design for name, design in active.items() if name not in stopped}
+            final.append(state.where(F.col("m").isin(stopped)))
+            active = {m: design for m, design in active.items() if m not in stopped}
         if not active:
             break
-        moved = state.where(F.col("model").isin(list(active))).select(
-            "model", "unit", "node", "salts", "sums", "v", "previous"
+        moved = state.where(F.col("m").isin(list(active))).select(
+            "m", "node", "salts", "sums", "v", "previous"
         ).coalesce(tasks).mapInArrow(_update_task(active, factors, steps, n_levels), EFFECTS_SCHEMA)
-        state = visit_cells(moved)
+        state = visit_cells(moved, list(active))
     packed.unpersist()
     result = final[0].select(EFFECT_COLUMNS)
     for more in final[1:]:
@@ -586,8 +625,8 @@ def with_linear_predictor(fit: FitSet) -> DataFrame:
     a unit that holds very many cells.
     """
     eta = F.get("off", F.col("lev")) + F.get("slope", F.col("lev")) * F.col("s")
-    effects = fit.unit_effects.select("node", "off", "slope")
-    return fit.cells.join(effects, "node").select("model", "unit", "lev", "saps", "n", "k", eta.alias("eta"))
+    effects = fit.unit_effects.select("model", "node", "off", "slope")
+    return fit.cells.join(effects, ["model", "node"]).select("model", "unit", "lev", "saps", "n", "k", eta.alias("eta"))
 
 
 def fitted_totals(fit: FitSet, allow_unfinished: bool = False) -> DataFrame:

@@ -220,6 +220,7 @@ class Search:
         q = design.n_random
         self.design, self.tol = design, tol
         self.beta, self.factor = np.asarray(beta, float), np.sqrt(self.FIRST_VARIANCE) * np.eye(q)
+        self.solution = self.beta    # what the current sums were taken at
         self.damping, self.best, self.predicted = 1e-3, None, np.inf
         self.phase, self.converged, self.passes = "start", False, 0
         self.trail, self.before, self.halvings = None, np.inf, 0

@@ -449,7 +449,8 @@ def given_cov_unit_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log odds of every unit and level at a score of 60, its unit effect included."""
     fit = _given_fit(spark, sf_dir)
     names = level_table(spark, fit.level_names).select("level", (F.col("idx") - 1).alias("lev"))
-    seen = fit.cells.select("node", "unit", "lev").distinct().join(fit.unit_effects.select("node", "off", "slope"), "node")
+    effects = fit.unit_effects.select("model", "node", "off", "slope")
+    seen = fit.cells.select("model", "node", "unit", "lev").distinct().join(effects, ["model", "node"])
     eta = F.get("off", F.col("lev")) + F.get("slope", F.col("lev")) * ((60 - fit.center) / fit.spread)
     return rounded(seen.join(names, "lev").select("unit", "level", eta.alias("log_odds")))
 

@@ -313,8 +313,8 @@ def test_cells_are_not_moved_between_passes(spark, small, monkeypatch):
     plans = []
     original = mixed.unit_sums
 
-    def spy(packed, effects, keys, partitions):
-        found = original(packed, effects, keys, partitions)
+    def spy(packed, effects, slopes, keys, partitions):
+        found = original(packed, effects, slopes, keys, partitions)
         if len(plans) < 2:
             found.count()
             found.collect()
@@ -322,7 +322,9 @@ def test_cells_are_not_moved_between_passes(spark, small, monkeypatch):
         return found
 
     monkeypatch.setattr(mixed, "unit_sums", spy)
-    mixed.fit_mixed_logit(cells(records(spark, *small)), max_passes=2)
+    # three models on one set of cells
+    designs = dict(zip("abc", DESIGNS))
+    mixed.fit_mixed_logit(cells(records(spark, *small)), max_passes=2, designs=designs)
     for plan in plans:
         own = plan.split("InMemoryRelation")[0]      # everything above the cached cells
         assert "ShuffledHashJoin" in own and "Exchange" not in own and "Broadcast" not in own
