@@ -93,7 +93,7 @@ def coef_table(
         ]
     table = small_table(fit.spark, out, "model string, idx int, term string, estimate double, std_error double")
     with_z = table.withColumn("z_value", F.col("estimate") / F.col("std_error"))
-    return with_z.withColumn("p_value", two_sided_p(F.col("z_value")))
+    return with_z.withColumn("p_value", F.when(F.col("z_value").isNotNull(), two_sided_p(F.col("z_value"))))
 
 
 def effect_correlations(
