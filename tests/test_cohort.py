@@ -67,6 +67,23 @@ def test_tagging_rows_gives_the_same_as_tagging_cells(records):
     assert rows_of(tagged, *columns) == rows_of(subgroup_cells(records), *columns)
 
 
+def test_subgroups_are_laid_out_after_the_last_count(records):
+    plan = subgroup_cells(records)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.index("Generate") < plan.index("HashAggregate")
+    # neither the subgroup columns nor names of subgroups are keys of a count
+    keys = re.findall(r"HashAggregate\(keys=\[(.*?)\]", plan)
+    assert keys and not any(word in key for key in keys for word in ("adm_type", "ecog", "subgroup"))
+
+
+def test_any_number_of_subgroups(spark, records):
+    many = {f"s{i}": ("saps", i) for i in range(130)} | {"surg": ("adm_type", "eSurgery"), "last": ("ecog", "0")}
+    found = rows_of(subgroup_cells(records, many), "subgroup", "unit", "level", "saps", "n", "k")
+    assert found == sorted([
+        ("s50", "u1", "2019", 50, 2, 1), ("s60", "u1", "2020", 60, 1, 1), ("s50", "u2", "2020", 50, 2, 1),
+        ("surg", "u1", "2019", 50, 1, 1), ("last", "u1", "2019", 50, 1, 1), ("last", "u2", "2020", 50, 1, 1),
+    ], key=str)
+
+
 def test_attach_dates(spark, records):
     day = datetime.date(2020, 5, 1)
     dates = spark.createDataFrame([("a1", day), ("a3", day), ("zz", day), (None, day)], io.ADMISSION_DATES_SCHEMA)
