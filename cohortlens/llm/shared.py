@@ -5,18 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.session import scratch_path, ship_package
+from cohortlens.session import scratch_path, ship_package, stored
 
 __all__ = ["crc_remainder", "discarded", "own_columns", "scratch_path", "ship_package", "stored"]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: a cut of the lineage that outlives any executor."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def own_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, text`` alone, so that no other column of the input can clash with a name used inside."""
     return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

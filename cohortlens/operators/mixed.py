@@ -35,7 +35,7 @@ from cohortlens.operators.cohort import level_table
 from cohortlens.operators.unit_algebra import (
     SUMS, Design, Search, Step, contribution_shapes, unit_contributions, updated_effects,
 )
-from cohortlens.session import checkpoint_dir, ship_package, small_table
+from cohortlens.session import checkpoint_dir, ship_package, small_table, stored
 
 CELLS_PER_TASK = 1_000_000
 UNITS_PER_TASK = 4_000    # in the batched algebra, where a unit costs about levels^3 operations
@@ -351,15 +351,19 @@ def fit_mixed_logit(
     ship_package(spark)
     keyed = "model" in cells.columns
     cell_set = F.col("model") if keyed else F.lit("all")
-    # from here on the source is not read again
-    stored = cells.select(
+    # from here on the source is not read again; in columns the cells take a fraction of a checkpoint's size and reading time
+    counted = stored(cells.select(
         cell_set.alias("cell_set"), "unit", "level", F.col("saps").cast("double").alias("saps"), "n", "k"
-    ).checkpoint()
+    ), "cells")
 
     if levels is not None:
-        stored = stored.where(F.col("level").isin(list(levels)))
-    margins = stored.groupBy("cell_set", "level").agg(
-        F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n"),
+        counted = counted.where(F.col("level").isin(list(levels)))
+    # counts over all units, of which margins and the fits without unit effects are made
+    pooled = stored(counted.groupBy("cell_set", "level", "saps").agg(
+        F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n"), F.sum("k").alias("k")
+    ), "pooled")
+    margins = pooled.groupBy("cell_set", "level").agg(
+        F.sum("cells").alias("cells"), F.sum("n").alias("n"),
         F.sum(F.col("n") * F.col("saps")).alias("ns"), F.sum(F.col("n") * F.col("saps") * F.col("saps")).alias("nss"),
         F.min("saps").alias("low"), F.max("saps").alias("high"), F.sum("k").alias("k"),
     )
@@ -375,7 +379,7 @@ def fit_mixed_logit(
     level_names = list(levels) if levels is not None else sorted({row["level"] for row in margins})
     place = {level: i for i, level in enumerate(level_names)}
     positions = level_table(spark, level_names).select("level", (F.col("idx") - 1).alias("lev"))
-    coded = stored.join(F.broadcast(positions), "level").drop("level")
+    coded, pooled = (df.join(F.broadcast(positions), "level").drop("level") for df in (counted, pooled))
 
     total = sum(row["n"] for row in margins)
     center = sum(row["ns"] for row in margins) / total
@@ -388,7 +392,7 @@ def fit_mixed_logit(
         plans[name] = Design(f, r, tuple(at for at, _ in mine), tuple(i for i, (_, one) in enumerate(mine) if one))
     n_obs = {name: sum(row["n"] for row in margins_of(name)) for name in names}
 
-    coded = coded.withColumn("s", (F.col("saps") - center) / spread)
+    coded, pooled = (df.withColumn("s", (F.col("saps") - center) / spread) for df in (coded, pooled))
     runaway = {
         name: tuple(row["level"] for row in margins_of(name) if row["k"] in (0, row["n"])) for name in names
     }
@@ -401,7 +405,7 @@ def fit_mixed_logit(
         sets = sorted({cell_sets[name] for name in group})
         own = coded.where(F.col("cell_set").isin(sets)) if keyed and len(group) < len(plans) else coded
         made, own, effects = _fit_group(
-            spark, own, {name: plans[name] for name in group}, cell_sets, odds, level_names, n_obs,
+            spark, own, pooled, {name: plans[name] for name in group}, cell_sets, odds, level_names, n_obs,
             sum(row["cells"] for row in margins if row["cell_set"] in sets), center, spread, tol, max_passes, runaway, given,
         )
         models |= made
@@ -460,17 +464,13 @@ def _groups(plans: Mapping[str, Design], max_algebra: int) -> list[list[str]]:
 
 
 def _fit_group(
-    spark, coded, plans, cell_sets, odds, level_names, n_obs, n_cells, center, spread, tol, max_passes, runaway, given
+    spark, coded, pooled, plans, cell_sets, odds, level_names, n_obs, n_cells, center, spread, tol, max_passes, runaway, given
 ) -> tuple[dict[str, ModelFit], DataFrame, DataFrame]:
     """Fit some models together: their results, the cells with nodes, the unit effects."""
     names = list(plans)
-    pooled = coded.groupBy("cell_set", "lev", "s").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
     at = {level: i for i, level in enumerate(level_names)}
     lost = {name: [at[level] for level in runaway[name]] for name in names}
     simple = fit_fixed(pooled, plans, cell_sets, odds=odds, runaway=lost)
-    pooled.unpersist()
 
     coded, per_unit, sizes = _with_nodes(coded)
     n_units = {name: row["units"] for row in sizes for name in names if cell_sets[name] == row["cell_set"]}
@@ -529,11 +529,13 @@ def _with_nodes(coded: DataFrame) -> tuple[DataFrame, DataFrame, list]:
     """Cells and units with a ``node``, one number per set of cells and unit, so that passes join and group on a plain long;
     and per set the number of units and the most cells in one.
 
-    A hash needs no shuffle of the cells; should two units ever share one, another seed is taken.
+    A hash needs no shuffle of the cells; should two units ever share one, another seed is taken. Units are counted once and
+    stored, since the start of the search and the table of effects need them again.
     """
+    counted = stored(coded.groupBy("cell_set", "unit").agg(F.count(F.lit(1)).alias("cells")), "units")
     for seed in range(10):
         node = F.xxhash64(F.lit(seed), "cell_set", "unit").alias("node")
-        units = coded.groupBy("cell_set", "unit").agg(F.count(F.lit(1)).alias("cells")).select("*", node)
+        units = counted.select("*", node)
         by_node = units.groupBy("node").agg(
             F.count(F.lit(1)).alias("sharing"), F.min("cell_set").alias("cell_set"), F.max("cells").alias("cells")
         )

@@ -328,3 +328,11 @@ def test_cells_are_not_moved_between_passes(spark, small, monkeypatch):
     for plan in plans:
         own = plan.split("InMemoryRelation")[0]      # everything above the cached cells
         assert "ShuffledHashJoin" in own and "Exchange" not in own and "Broadcast" not in own
+
+
+def test_cells_are_kept_in_columns_and_counted_once(spark, small):
+    fit = mixed.fit_mixed_logit(cells(records(spark, *small)), variance=0.2)
+    # cells, counts over all units and the units are read back from files; the unit effects hold no count of their own
+    assert any("cells-" in f for f in fit.cells.inputFiles())
+    assert any("units-" in f for f in fit.unit_effects.inputFiles())
+    assert "Aggregate" not in fit.unit_effects._jdf.queryExecution().optimizedPlan().toString()
