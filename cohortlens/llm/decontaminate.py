@@ -47,6 +47,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS = 20, 8
 INDEX_WORDS = 2_000_000
 BITS_AT_ONCE = 200_000   # shingles whose bits are spread out at once
+WINDOWS_AT_ONCE = 10_000   # windows looked up together, and a slice more
 MATCH = "item_id bigint, similarity double, hamming int, start_word int, n_words int, passage string"
 
 
@@ -167,13 +168,21 @@ class ItemIndex:
             grams, whole = shingles(hashes, words.first, length)
             hit = self.hits(grams) & whole
             hit_at = np.flatnonzero(hit)
+            held, many = [], 0
             for w in sizes:
                 m = w - length + 1
                 p = self._places(hit_at, int(m), similarity)
                 p = p[p + w <= last[p]]
                 # windows in slices, so that a very long text costs no more memory
                 step = max(1, BITS_AT_ONCE // int(m))
-                found += [self._verify(p[lo : lo + step], int(w), int(m), grams, similarity) for lo in range(0, len(p), step)]
+                for lo in range(0, len(p), step):
+                    held.append((p[lo : lo + step], int(w), int(m)))
+                    many += len(held[-1][0])
+                    if many >= WINDOWS_AT_ONCE:
+                        found.append(self._verify(held, grams, similarity))
+                        held, many = [], 0
+            if held:
+                found.append(self._verify(held, grams, similarity))
         found = [f for f in found if len(f[0])]
         if not found:
             return
@@ -202,30 +211,40 @@ class ItemIndex:
         many = np.maximum(end - begin, 0)
         return np.repeat(begin, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
 
-    def _verify(self, p: np.ndarray, w: int, m: int, grams: np.ndarray, similarity: float):
-        # all shingles of the windows, each once; p ascends
+    @staticmethod
+    def _window_prints(p: np.ndarray, m: int, grams: np.ndarray) -> np.ndarray:
+        """Fingerprints of the windows of m shingles at the given places, ascending."""
+        # all shingles of the windows, each once
         begin = np.maximum(p, np.concatenate([p[:1], p[:-1] + m]))
         many = np.maximum(p + m - begin, 0)
         covered = np.repeat(begin, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         sums = _bit_sums(mix(grams[covered]))
         at = np.searchsorted(covered, p)
-        prints = _pack(sums[at + m] - sums[at], np.full(len(p), m))
-        size_no = np.full(len(p), np.searchsorted(self.sizes, w))
+        return _pack(sums[at + m] - sums[at], np.full(len(p), m))
+
+    def _verify(self, held: list[tuple[np.ndarray, int, int]], grams: np.ndarray, similarity: float):
+        """Matches of windows given by their places, words and shingles. Windows of all sizes are looked up together, because
+        probing a table costs about the same for few windows as for some thousands."""
+        p = np.concatenate([places for places, _, _ in held])
+        prints = np.concatenate([self._window_prints(places, m, grams) for places, _, m in held])
+        size_no = np.repeat(np.searchsorted(self.sizes, [w for _, w, _ in held]), [len(places) for places, _, _ in held])
         window, item, distance = self.near(prints, size_no)
-        sim = np.zeros(len(window))
-        for lo in range(0, len(window), 20_000):
-            part = slice(lo, lo + 20_000)
-            k = len(window[part])
-            own = grams[p[window[part]][:, None] + np.arange(m)].ravel()
-            ranked = _ranked(np.repeat(np.arange(k), m), own)
-            theirs = self.ranked[(self.first[item[part]][:, None] + np.arange(m)).ravel()]
-            group = np.tile(np.repeat(np.arange(k), m), 2)
-            value = np.concatenate([ranked, theirs])
-            order = np.lexsort((value, group))
-            g, v = group[order], value[order]
-            same = (g[1:] == g[:-1]) & (v[1:] == v[:-1])
-            both = np.bincount(g[1:][same], minlength=k)
-            sim[part] = both / (2 * m - both)
+        sim, n_grams = np.zeros(len(window)), self.n_grams[item]
+        for m in np.unique(n_grams).tolist():
+            of_size = np.flatnonzero(n_grams == m)
+            for lo in range(0, len(of_size), 20_000):
+                part = of_size[lo : lo + 20_000]
+                k = len(part)
+                own = grams[p[window[part]][:, None] + np.arange(m)].ravel()
+                ranked = _ranked(np.repeat(np.arange(k), m), own)
+                theirs = self.ranked[(self.first[item[part]][:, None] + np.arange(m)).ravel()]
+                group = np.tile(np.repeat(np.arange(k), m), 2)
+                value = np.concatenate([ranked, theirs])
+                order = np.lexsort((value, group))
+                g, v = group[order], value[order]
+                same = (g[1:] == g[:-1]) & (v[1:] == v[:-1])
+                both = np.bincount(g[1:][same], minlength=k)
+                sim[part] = both / (2 * m - both)
         good = sim >= similarity
         return p[window[good]], item[good], sim[good], distance[good]
 

@@ -2,8 +2,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
+from cohortlens.llm import decontaminate
 from cohortlens.llm.decontaminate import ItemIndex, benchmark_matches, drop_contaminated
+from cohortlens.llm.tokens import slices
 
 BENCH = "item_id bigint, text string, doc_id string"
 
@@ -150,3 +153,18 @@ def test_recall_at_the_threshold(spark, docs_of):
         blocks = 8 if radius < 64 else 16
         got = {(r["doc_id"], r["item_id"]) for r in benchmark_matches(docs_of(rows), bench, radius=radius, blocks=blocks).collect()}
         assert len(expected & got) >= least * len(expected)
+
+
+def test_windows_of_all_sizes_are_looked_up_together(monkeypatch):
+    rng = np.random.default_rng(5)
+    items = [" ".join(f"w{i}" for i in rng.integers(0, 4000, n)) for n in range(12, 40)]
+    index = decontaminate.ItemIndex(list(range(len(items))), items, 5, 20, 8)
+    texts = pa.array([f"before {item} after" for item in items] + ["nothing of it"])
+    calls, near = [], index.near
+    monkeypatch.setattr(index, "near", lambda *args: calls.append(1) or near(*args))
+    found = lambda: [m for lo, _, data, offsets in slices(texts) for m in index.matches(data, offsets, 0.8)]
+    together = found()
+    assert len(calls) == 1 and [m[1] for m in together] == list(range(len(items)))
+    # the bound on windows held at once changes nothing
+    monkeypatch.setattr(decontaminate, "WINDOWS_AT_ONCE", 1)
+    assert found() == together and len(calls) > len(items)
