@@ -15,8 +15,8 @@ from cohortlens.llm.shared import ship_package
 
 
 def release_memory() -> None:
-    """Give memory that the last batch no longer needs back to the system: workers stay alive between stages, next to the
-    executor's heap."""
+    """Give memory that the last batch or fit no longer needs back to the system: workers stay alive between stages, next to
+    the executor's heap, and so does the driver."""
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.arrow import with_arrow_columns
+from cohortlens.llm.arrow import release_memory, with_arrow_columns
 from cohortlens.llm.shared import stored
 from cohortlens.llm.tokens import PUNCTUATION, Words, mix, slices, span_hashes
 
@@ -165,6 +165,13 @@ def fit_severity(
     docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: int = BITS, bands: int = 3
 ) -> SeverityModel:
     """Fit on ``docs`` (``doc_id, text``) with ``labels`` (``doc_id, toxic``)."""
+    model = _fitted(docs, labels, max_rows, bits, bands)
+    # the driver goes on to other work and needs none of what the fit took
+    release_memory()
+    return model
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, max_rows: int, bits: int, bands: int) -> SeverityModel:
     featured = with_arrow_columns(
         labelled_sample(docs, labels.select(F.col("doc_id"), F.col("toxic").cast("int")), max_rows)
         .withColumn("text_hash", F.xxhash64("text")),

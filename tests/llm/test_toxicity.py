@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
+from cohortlens.llm import toxicity
 from cohortlens.llm.toxicity import PENALTY, calibrated_cut, fit_ordinal, fit_severity, keep_clean, with_severity, word_features
 
 LABELS = "doc_id bigint, quality int, toxic int, text string"
@@ -122,3 +123,11 @@ def test_ordinal_fit_against_a_dense_one():
         weights, thresholds = model.weights.astype(float), model.thresholds + rng.normal(0, 0.1, len(model.thresholds))
         weights[used] = np.maximum(weights[used] + rng.normal(0, 0.1, len(used)), 0)
         assert criterion(weights, np.sort(thresholds)) < best + 2e-3
+
+
+def test_driver_gives_back_what_the_fit_took(spark, docs_of, monkeypatch):
+    calls, give_back = [], toxicity.release_memory
+    monkeypatch.setattr(toxicity, "release_memory", lambda: calls.append(1) or give_back())
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, toxic int")
+    toxicity.fit_severity(docs_of([(1, "bad words"), (2, "good words")]).select("doc_id", "text"), labels)
+    assert calls
