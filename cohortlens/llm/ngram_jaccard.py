@@ -6,20 +6,22 @@ Light sets (few n-grams) are joined by fixed-size subsets: two sets of sizes a a
 share a subset of c(a, b) = ceil(p (a + b) / (100 + p)) n-grams, so every light set emits the hashes of its subsets of each
 size that some partner asks for. That is a handful of deletions from a small set.
 
-Heavy sets are joined by inverted lists. N-grams have a global order, rare ones first: those found often in a sample of
-documents come last, the others by the frequency that the sample's counts of their words let expect; a set enters the lists of its
-first n - ceil(p n / 100) + 1 n-grams only, which a partner above the threshold cannot miss. A light set that a heavy one
-can still reach enters the lists as well. Lists give candidates after length and position filters. Every set also has a
-sketch of a byte per part of the hash range, with about half as many parts as n-grams; the parts that differ are a lower bound of the symmetric difference,
-which drops most false candidates without a look at their texts. The others are verified exactly on their whole texts.
+Heavy sets are joined by parts. Sizes are grouped so that a partner above the threshold is of the same group or the next. For
+a group whose largest size is u, two sets that reach the threshold differ in at most d = 2 u (100 - p) / (100 + p) n-grams, so
+n-grams are dealt by hash over d + 1 + e parts, of which at least 1 + e hold the very same n-grams in both. A set enters the
+lists of its parts, for its own group and, as the smaller one, for the next. A part holds several n-grams, so that texts
+which only share common passages rarely meet, however many there are. Parts without n-grams are left out, unless
+a set has more than e of them; e is set so that few have. A light set that a heavy one can still reach enters the lists as well.
+Lists give candidates after a length filter. Every set also has a sketch of a byte per part of the hash range, with about half as
+many parts as n-grams; the parts that differ are a lower bound of the symmetric difference, which drops most false candidates
+without a look at their texts. The others are verified exactly on their whole texts.
 
 The boundary between light and heavy minimizes the estimated number of emitted subsets, list entries and list pairs. The
-estimate and the frequent n-grams come from a bounded sample of documents; both decide about cost only, any boundary and
-any order give the same links.
+estimate comes from a bounded sample of documents; it decides about cost only, any boundary gives the same links.
 
-A list with very many members is not turned into all its pairs. First every member meets one pivot, the member with the
-fewest n-grams before the shared one (in a group of near copies: the text nearest to the common core). Then only members
-that are still in different components meet each other.
+A list with very many members is not turned into all its pairs. First every member meets one pivot, the member that is in most
+lists (in a group of near copies: the text nearest to the common core). Then only members that are still in different
+components meet each other.
 """
 
 from __future__ import annotations
@@ -39,31 +41,22 @@ from cohortlens.llm.tokens import Words, mix, shingles, slices
 
 SHINGLE, PERCENT = 5, 80
 SAMPLE_DOCS = 5000
-# An n-gram in this many sampled documents comes late in the order.
-SAMPLE_FREQUENT = 5
 # Light sets have at most this many subsets each, whatever the cost estimate says.
 MOST_SUBSETS = 500
 # Least number of parts of a sketch.
 SKETCH = 256
 _SALT = np.uint64(0x5851F42D4C957F2D)
+_DEAL, _GROUP = np.uint64(0x14057B7EF767814F), np.uint64(0xD1342543DE82EF95)
 
 
-def distinct_ngrams(
-    data: np.ndarray, offsets: np.ndarray, size: int, word_class=None
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, distinct n-gram hashes (sorted by row and hash) and the sums of their words' classes. A text of fewer words is
-    one n-gram as a whole, of class 0. ``word_class`` maps word hashes to classes."""
+def distinct_ngrams(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and distinct n-gram hashes, sorted by row and hash. A text of fewer words is one n-gram as a whole."""
     words = Words(data, offsets)
     hashes = words.hashes()
     gram, whole = shingles(hashes, words.first, size)
-    classes = np.zeros(len(gram), np.int16)
-    if word_class is not None:
-        each = word_class(hashes)
-        for k in range(size):
-            classes[: max(len(each) - k, 0)] += each[k:]
     counts = np.diff(words.first)
     short = np.flatnonzero((counts > 0) & (counts < size))
-    rows, grams, classes = words.row[whole], gram[whole], classes[whole]
+    rows, grams = words.row[whole], gram[whole]
     if len(short):
         ends = []
         for row in short:
@@ -72,13 +65,12 @@ def distinct_ngrams(
                 value = mix(np.array([value ^ h]))[0]
             ends.append(value)
         rows, grams = np.concatenate([rows, short]), np.concatenate([grams, np.array(ends, np.uint64)])
-        classes = np.concatenate([classes, np.zeros(len(short), np.int16)])
     order = np.argsort(grams)
     order = order[np.argsort(rows[order].astype(np.int32), kind="stable")]
     rows, grams = rows[order], grams[order]
     new = np.ones(len(rows), dtype=bool)
     new[1:] = (rows[1:] != rows[:-1]) | (grams[1:] != grams[:-1])
-    return rows[new], grams[new], classes[order][new]
+    return rows[new], grams[new]
 
 
 def sketch_cells(n: np.ndarray) -> np.ndarray:
@@ -101,19 +93,74 @@ def subset_count(a: int, percent: int) -> int:
     return sum(comb(a, c) for c in subset_sizes(a, percent))
 
 
-def prefix_length(n: np.ndarray | int, percent: int):
-    return n - -(-percent * n // 100) + 1
+class Groups:
+    """Groups of set sizes: the smallest size of each, its number of parts, and how many of them may be without n-grams in a
+    set that leaves such parts out. Group i ends before ``least[i + 1]``, beyond what a set of group i - 1 can reach."""
+
+    def __init__(self, largest: int, percent: int):
+        self.percent = percent
+        least, parts, spare = [1], [], []
+        # one group more than the largest size is in
+        while len(parts) < 2 or least[-2] <= largest:
+            least.append(100 * least[-1] // percent + 1)
+            differ = 2 * (least[-1] - 1) * (100 - percent) // (100 + percent)
+            smallest, empty = -(-percent * least[-2] // 100), 0
+            for _ in range(4):
+                expected = (differ + 1 + empty) * np.exp(-smallest / (differ + 1 + empty))
+                empty = int(expected + 4 * np.sqrt(expected)) if differ else 0
+            parts.append(differ + 1 + empty)
+            spare.append(empty)
+        self.least, self.parts, self.spare = np.array(least, np.int64), np.array(parts, np.int64), np.array(spare, np.int64)
+
+    def of(self, n: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.least, n, "right") - 1
+
+    def entries(self, n: np.ndarray) -> np.ndarray:
+        """List entries of sets of these sizes, at most."""
+        own = self.of(n)
+        return self.parts[own] + np.where(self.reach_next(n, own), self.parts[own + 1], 0)
+
+    def reach_next(self, n: np.ndarray, own: np.ndarray) -> np.ndarray:
+        return 100 * n // self.percent >= self.least[own + 1]
+
+
+def part_hashes(rows: np.ndarray, grams: np.ndarray, n: np.ndarray, listed: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and hashes of the parts of the listed rows' sets, sorted by row. ``n``: the set sizes."""
+    groups = Groups(int(n.max(initial=1)), percent)
+    own = groups.of(np.maximum(n, 1))
+    dealt, terms = mix(grams ^ _DEAL) >> np.uint64(32), mix(grams ^ _SALT)
+    out_rows, out = [], []
+    for group, takes in ((own, listed), (own + 1, listed & groups.reach_next(n, own))):
+        parts = np.where(takes, groups.parts[group], 0)
+        begin = np.concatenate([[0], np.cumsum(parts)])
+        inside = takes[rows]
+        row = rows[inside]
+        part = (dealt[inside] * parts[row].astype(np.uint64)) >> np.uint64(32)
+        sums = np.zeros(begin[-1], np.uint64)
+        np.add.at(sums, begin[row] + part.astype(np.int64), terms[inside])
+        row = np.repeat(np.arange(len(n)), parts)
+        number = np.arange(begin[-1]) - begin[row]
+        empty = sums == 0
+        many = np.bincount(row[empty], minlength=len(n)) > groups.spare[group]
+        kept = ~empty | many[row]
+        of = mix(group[row[kept]].astype(np.uint64) * _GROUP + number[kept].astype(np.uint64))
+        out_rows.append(row[kept])
+        out.append(mix(sums[kept] + of))
+    found_rows, found = np.concatenate(out_rows), np.concatenate(out)
+    order = np.argsort(found_rows, kind="stable")
+    return found_rows[order], found[order]
 
 
 def choose_boundary(sizes: np.ndarray, list_length: float, percent: int) -> int:
     """Largest light size, by cost: subsets of the light sets against entries and list pairs of the heavy ones."""
     best, boundary, total = 0.0, 0, 0.0
     counts = np.bincount(sizes) if len(sizes) else np.zeros(1)
+    entries = Groups(len(counts), percent).entries(np.maximum(np.arange(len(counts)), 1))
     for a in range(1, len(counts)):
         subsets = subset_count(a, percent)
         if subsets > MOST_SUBSETS:
             break
-        total += counts[a] * (subsets - prefix_length(a, percent) * (1 + list_length))
+        total += counts[a] * (subsets - entries[a] * (1 + list_length))
         if total <= best:
             best, boundary = total, a
     return boundary
@@ -138,13 +185,12 @@ def subset_hashes(grams: np.ndarray, percent: int) -> np.ndarray:
 
 
 class Signatures:
-    """Signature columns of a batch of texts: set size, 128-bit set hash, list entries in order, subset hashes."""
+    """Signature columns of a batch of texts: set size, 128-bit set hash, part hashes, subset hashes, sketch."""
 
-    ddl = "n int, h1 bigint, h2 bigint, prefix array<bigint>, subsets array<bigint>, sketch binary"
+    ddl = "n int, h1 bigint, h2 bigint, parts array<bigint>, subsets array<bigint>, sketch binary"
 
-    def __init__(self, size: int, percent: int, plan: "Plan"):
-        self.size, self.percent, self.boundary, self.frequent = size, percent, plan.boundary, plan.frequent
-        self.plan = plan
+    def __init__(self, size: int, percent: int, boundary: int):
+        self.size, self.percent, self.boundary = size, percent, boundary
 
     def __call__(self, texts: pa.Array) -> list[pa.Array]:
         parts = [self._slice(data, offsets) for _, _, data, offsets in slices(texts)]
@@ -155,22 +201,15 @@ class Signatures:
 
     def _slice(self, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
         n_rows = len(offsets) - 1
-        rows, grams, classes = distinct_ngrams(data, offsets, self.size, self.plan.word_class)
+        rows, grams = distinct_ngrams(data, offsets, self.size)
         n = np.bincount(rows, minlength=n_rows)
         first = np.concatenate([[0], np.cumsum(n)])
         hashes = []
         for salt in (np.uint64(1), _SALT):
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams ^ salt), dtype=np.uint64)])
             hashes.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
-        # rare n-grams first
-        if len(self.frequent) and len(grams):
-            at = np.minimum(np.searchsorted(self.frequent, grams), len(self.frequent) - 1)
-            classes = np.where(self.frequent[at] == grams, np.int16(1000), classes)
-        by_class = np.argsort(classes, kind="stable")
-        ordered = grams[by_class[np.argsort(rows[by_class].astype(np.int32), kind="stable")]]
-        place = np.arange(len(rows)) - first[rows]
         smallest = -(-self.percent * (self.boundary + 1) // 100)
-        listed = (place < prefix_length(n, self.percent)[rows]) & (n[rows] >= smallest)
+        part_rows, parts = part_hashes(rows, grams, n, (n > 0) & (n >= smallest), self.percent)
         light = np.flatnonzero((n > 0) & (n <= self.boundary))
         subsets = [subset_hashes(grams[first[r] : first[r + 1]], self.percent) for r in light]
         many = np.zeros(n_rows, np.int64)
@@ -186,7 +225,7 @@ class Signatures:
         )
         return [
             pa.array(n.astype(np.int32)), pa.array(hashes[0]), pa.array(hashes[1]),
-            _lists(ordered[listed], np.bincount(rows[listed], minlength=n_rows)),
+            _lists(parts, np.bincount(part_rows, minlength=n_rows)),
             _lists(np.concatenate([np.zeros(0, np.uint64), *subsets]), many),
             sketch,
         ]
@@ -203,10 +242,10 @@ def pair_overlap(size: int):
     def compute(texts_a: pa.Array, texts_b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         inter, union = np.zeros(len(texts_a), np.int64), np.zeros(len(texts_a), np.int64)
         for lo, hi, data, offsets in slices(texts_a):
-            rows_a, grams_a, _ = distinct_ngrams(data, offsets, size)
+            rows_a, grams_a = distinct_ngrams(data, offsets, size)
             rows_b, grams_b = [], []
             for lo_b, _, data_b, offsets_b in slices(texts_b.slice(lo, hi - lo)):
-                r, g, _ = distinct_ngrams(data_b, offsets_b, size)
+                r, g = distinct_ngrams(data_b, offsets_b, size)
                 rows_b.append(r + lo_b)
                 grams_b.append(g)
             rows = np.concatenate([rows_a, *rows_b])
@@ -271,67 +310,27 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-class Plan:
-    """What the sample tells: the light boundary, the frequent n-grams, and classes of words by frequency (rare: 0)."""
-
-    def __init__(self, boundary: int = 0, frequent: np.ndarray | None = None, words: np.ndarray | None = None, times: np.ndarray | None = None):
-        none = np.zeros(0, np.uint64)
-        self.boundary, self.frequent = boundary, none if frequent is None else frequent
-        self.words = none if words is None else words
-        self.classes = np.zeros(0, np.int16) if times is None else np.log2(times).astype(np.int16)
-
-    def word_class(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(hashes), np.int16)
-        distinct, which = np.unique(hashes, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.words, distinct), len(self.words) - 1)
-        return np.where(self.words[at] == distinct, self.classes[at], np.int16(0))[which]
-
-
-def _plan(docs: DataFrame, size: int, percent: int, sample_docs: int) -> Plan:
-    """From at most about ``sample_docs`` documents, which also bounds what is collected here."""
+def _boundary(docs: DataFrame, size: int, percent: int, sample_docs: int) -> int:
+    """Largest light size, from at most about ``sample_docs`` documents."""
     rows = docs.count()
     if not rows:
-        return Plan()
+        return 0
     share = min(1.0, sample_docs / rows)
     drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-
-    def found(texts: pa.Array) -> list[pa.Array]:
-        parts = []
-        for _, _, data, offsets in slices(texts):
-            r, g, _ = distinct_ngrams(data, offsets, size)
-            rw, w, _ = distinct_ngrams(data, offsets, 1)
-            rows = len(offsets) - 1
-            parts.append((_lists(g, np.bincount(r, minlength=rows)), _lists(w, np.bincount(rw, minlength=rows))))
-        return [pa.chunked_array([p[i] for p in parts], type=pa.list_(pa.int64())).combine_chunks() for i in (0, 1)]
-
-    sampled = stored(
-        with_arrow_columns(drawn, "text", "grams array<bigint>, words array<bigint>", found).select("grams", "words"), "jaccard-sample"
-    )
-    sizes = sampled.groupBy(F.least(F.size("grams"), F.lit(1000)).alias("n")).count().collect()
-    counted = lambda c: sampled.select(F.explode(c).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
-    grams = stored(counted("grams"), "jaccard-counted")
-
-    def hashes(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        table = df.toArrow()
-        h = table.column("g").to_numpy().astype(np.int64).view(np.uint64)
-        order = np.argsort(h)
-        return h[order], table.column("c").to_numpy().astype(np.int64)[order]
-
-    frequent, _ = hashes(grams.where(F.col("c") >= SAMPLE_FREQUENT))
-    words, times = hashes(counted("words").where("c > 1"))
+    signed = with_arrow_columns(drawn, "text", Signatures.ddl, lambda texts: Signatures(size, percent, 0)(texts))
+    sampled = stored(signed.select("n", "h1", "h2", "parts"), "jaccard-sample")
+    sizes = sampled.groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect()
     counts = np.repeat([r["n"] for r in sizes], [r["count"] for r in sizes]).astype(np.int64)
-    # other documents that a rarer n-gram has on average, carried over from the sample to the table
-    rare = grams.where(F.col("c") < SAMPLE_FREQUENT).agg(F.sum(F.col("c") * (F.col("c") - 1)), F.sum("c")).first()
-    list_length = (rare[0] or 0) / max(rare[1] or 0, 1) / max(share, 1e-9)
-    return Plan(choose_boundary(counts[counts > 0], list_length, percent), frequent, words, times)
+    # other sets in a list of parts on average, carried over from the sample to the table
+    lists = sampled.dropDuplicates(["h1", "h2", "n"]).select(F.explode("parts").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("c"))
+    shared = lists.agg(F.sum(F.col("c") * (F.col("c") - 1)), F.sum("c")).first()
+    list_length = (shared[0] or 0) / max(shared[1] or 0, 1) / max(share, 1e-9)
+    return choose_boundary(counts[counts > 0], list_length, percent)
 
 
 def _fits(percent: int) -> Column:
-    """Length and position filter of a pair of list entries."""
-    small, large = F.least("n_x", "n_y"), F.greatest("n_x", "n_y")
-    left = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
-    return (100 * small >= percent * large) & ((100 + percent) * left >= percent * (F.col("n_x") + F.col("n_y")))
+    """Length filter of a pair of list entries."""
+    return 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
 
 
 def ngram_classes(
@@ -346,29 +345,28 @@ def ngram_classes(
     results. Other columns of ``docs`` are not looked at.
     """
     own = own_columns(docs, id_col, text_col)
-    plan = own.sparkSession.sparkContext.broadcast(_plan(own, shingle, percent, sample_docs))
-    signed = with_arrow_columns(own, "text", Signatures.ddl, lambda texts: Signatures(shingle, percent, plan.value)(texts))
+    boundary = _boundary(own, shingle, percent, sample_docs)
+    signed = with_arrow_columns(own, "text", Signatures.ddl, lambda texts: Signatures(shingle, percent, boundary)(texts))
     signatures = stored(signed.drop("text"), "jaccard-signatures")
     linked = signatures.where("n > 0 and doc_id is not null")
     classes = stored(linked.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     reps = linked.drop("sketch").join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "n", "doc_id"], "left_semi")
-    entries = reps.select(
-        F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("rep"), "n"
-    ).unionByName(
-        # a shared subset is proof enough, whatever its place
-        reps.select(F.lit(0).alias("pos"), F.explode("subsets").alias("token"), F.col("doc_id").alias("rep"), "n")
-    )
     # one exchange serves the counts and the join with them
-    entries = entries.repartition("token")
+    entries = reps.select(
+        F.explode(F.concat("parts", "subsets")).alias("token"), F.col("doc_id").alias("rep"), "n"
+    ).repartition("token")
+    # lists of the very same members give the same pairs: one of them is enough
+    digest = lambda salt: F.sum(F.shiftright(F.xxhash64(F.lit(salt), "rep"), 24))
     shared = entries.groupBy("token").agg(
-        F.count(F.lit(1)).alias("members"), F.min(F.struct("pos", "rep", "n")).alias("pivot")
-    ).where("members > 1").select(
-        "token", F.col("pivot.pos").alias("pos_y"), F.col("pivot.rep").alias("b"), F.col("pivot.n").alias("n_y")
-    )
+        F.count(F.lit(1)).alias("members"), digest(1).alias("d1"), digest(2).alias("d2")
+    ).where("members > 1").groupBy("members", "d1", "d2").agg(F.min("token").alias("token")).select("token")
+    members = stored(entries.join(shared, "token"), "jaccard-members")
+    often = members.groupBy("rep").agg(F.count(F.lit(1)).alias("often"))
+    pivots = members.join(often, "rep").groupBy("token").agg(
+        F.min(F.struct((-F.col("often")).alias("often"), "rep", "n")).alias("pivot")
+    ).select("token", F.col("pivot.rep").alias("b"), F.col("pivot.n").alias("n_y"))
     lists = stored(
-        entries.join(shared, "token").select("token", F.col("pos").alias("pos_x"), F.col("rep").alias("a"),
-                                             F.col("n").alias("n_x"), "pos_y", "b", "n_y"),
-        "jaccard-lists",
+        members.join(pivots, "token").select("token", F.col("rep").alias("a"), F.col("n").alias("n_x"), "b", "n_y"), "jaccard-lists"
     )
     pairs_of = lambda df: df.where("a != b").where(_fits(percent)).select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
@@ -387,12 +385,11 @@ def ngram_classes(
     so_far = connected_components(links.union(ties))
     # members of one list that are still apart
     apart = lists.join(so_far.withColumnRenamed("node", "a"), "a", "left").select(
-        "token", "pos_x", "a", "n_x", F.coalesce("component", "a").alias("c_x")
+        "token", "a", "n_x", F.coalesce("component", "a").alias("c_x")
     )
     mixed = apart.groupBy("token").agg(F.min("c_x").alias("lo"), F.max("c_x").alias("hi")).where("lo != hi").select("token")
     apart = stored(apart.join(mixed, "token", "left_semi"), "jaccard-apart")
-    others = apart.select("token", F.col("pos_x").alias("pos_y"), F.col("a").alias("b"), F.col("n_x").alias("n_y"),
-                          F.col("c_x").alias("c_y"))
+    others = apart.select("token", F.col("a").alias("b"), F.col("n_x").alias("n_y"), F.col("c_x").alias("c_y"))
     rest = pairs_of(apart.join(others, "token").where("a > b and c_x != c_y"))
     rest = rest.join(to_pivots, ["a", "b"], "left_anti")
     likely = stored(plausible(rest, sketches, percent), "jaccard-likely")

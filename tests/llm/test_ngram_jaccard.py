@@ -5,8 +5,9 @@ import re
 import numpy as np
 import pytest
 
+from cohortlens.llm import ngram_jaccard
 from cohortlens.llm.components import connected_components
-from cohortlens.llm.ngram_jaccard import ngram_classes, one_of_each, subset_sizes
+from cohortlens.llm.ngram_jaccard import needed, ngram_classes, one_of_each, part_hashes, subset_sizes
 
 
 def grams(text, size):
@@ -86,3 +87,36 @@ def test_components_of_a_long_chain_and_a_star(spark):
     found = {r["node"]: r["component"] for r in connected_components(
         spark.createDataFrame([(int(a), int(b)) for a, b in edges], "a bigint, b bigint")).collect()}
     assert found == {i: 0 for i in range(1, 201)} | {1000 + i: 1000 for i in range(1, 300)}
+
+
+def test_texts_of_common_sentences_do_not_meet(docs_of, monkeypatch):
+    """Every n-gram is in many texts, but hardly a part is: the lists follow the links, not the pairs with something in common."""
+    random.seed(6)
+    pool = [" ".join(f"s{i}w{k}" for k in range(10)) for i in range(120)]
+    rows = [(i, " ".join(random.sample(pool, 12))) for i in range(300)]
+    rows += [(1000 + i, text + " and more") for i, text in rows[:20]]
+    held = {}
+
+    def stored(df, name):
+        held.setdefault(name, []).append(ngram_jaccard.scratch(df, name))
+        return held[name][-1]
+
+    monkeypatch.setattr(ngram_jaccard, "scratch", ngram_jaccard.stored, raising=False)
+    monkeypatch.setattr(ngram_jaccard, "stored", stored)
+    assert mine(docs_of(rows), 3, 90) == brute(rows, 3, 90)
+    # 20 links of one or two distinct lists each
+    assert held["jaccard-lists"][0].count() < 100
+
+
+def test_links_of_any_size_share_a_part():
+    """Sets at the threshold, smaller and larger, in one group of sizes or two."""
+    rng = np.random.default_rng(7)
+    for percent in (60, 80, 90):
+        for a in [*range(1, 60), 400, 3000]:
+            x = rng.integers(1, 2**63, a).astype(np.uint64)
+            for b in {a, 100 * a // percent, (a + 100 * a // percent) // 2}:
+                both = min(a, needed(a, b, percent))
+                y = np.concatenate([x[:both], rng.integers(1, 2**63, b - both).astype(np.uint64)])
+                n = np.array([len(x), len(y)])
+                row, found = part_hashes(np.repeat([0, 1], n), np.concatenate([x, y]), n, n > 0, percent)
+                assert set(found[row == 0].tolist()) & set(found[row == 1].tolist())
