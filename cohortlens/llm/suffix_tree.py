@@ -24,20 +24,20 @@ neither training nor held out (null) but scored; without training texts every ba
 
 from __future__ import annotations
 
-import gc
-import time
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property, reduce
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.shared import ship_package, stored
+from cohortlens.llm.shared import discarded, ship_package, stored
 from cohortlens.llm.tokens import Words, mix, slices
 
 MIN_COUNT = 2
@@ -216,10 +216,9 @@ def _word_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _context_counts(train: DataFrame, tree: SuffixTree, depth: int, repeated: np.ndarray | None, min_count: int) -> DataFrame:
+def _context_counts(train: DataFrame, shared: Broadcast, depth: int, min_count: int) -> DataFrame:
     """``ctx, pentry, c`` of contexts of ``depth`` words whose parent may be a state and which are seen with a next token
-    at least ``min_count`` times; ``pentry`` is the token with the parent. From depth 3 on there is a row without ``pentry`` for the count of the context itself. ``repeated`` is a filter of contexts worth counting."""
-    shared = train.sparkSession.sparkContext.broadcast((tree, repeated))
+    at least ``min_count`` times; ``pentry`` is the token with the parent. From depth 3 on there is a row without ``pentry`` for the count of the context itself. ``shared`` holds the tree and a filter of contexts worth counting, if any."""
 
     def counted(parts: list) -> pa.RecordBatch:
         context, parent, total = (np.concatenate(x) for x in zip(*parts))
@@ -266,12 +265,24 @@ def _with_entry(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in columns))
 
 
-def _release(spark) -> None:
-    """Let Spark remove the shuffle files of tables that are written: it does so when its driver collects garbage, at the second time."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go as soon as the table that needed them is written; every table here is read back from its files."""
+    before = spark.conf.get(CLEANUP_KEY)
+    spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP_KEY, before)
+
+
+def _spent(table: DataFrame) -> None:
+    """Remove a stored table."""
+    files = table.inputFiles()
+    discarded(table.sparkSession, files[0].rsplit("/", 1)[0] if files else None)
 
 
 def _grow(tree: SuffixTree, counted: DataFrame, totals: DataFrame, parents: DataFrame, min_gain: float, smoothing: float) -> bool:
@@ -285,18 +296,19 @@ def _grow(tree: SuffixTree, counted: DataFrame, totals: DataFrame, parents: Data
     own = F.log10(c / (whole + smoothing) + F.pow(F.lit(10.0), F.col("escape") + F.col("plog")))
     joined = pairs.join(parents, "pentry").join(sums, "ctx").select("ctx", "pentry", "pctx", "c", "plog", "escape", "whole", "listed", own.alias("log"))
     all_entries = stored(joined, "tree-entries")
-    _release(counted.sparkSession)
     gain = F.sum(c * (F.col("log") - F.col("plog"))) + F.first((whole - listed) * F.col("escape"))
     states = all_entries.groupBy("ctx").agg(
         F.first("pctx").alias("pctx"), F.first("escape").alias("escape"), F.first("whole").alias("whole"), gain.alias("gain")
     ).where(F.col("gain") * float(np.log(10)) >= min_gain).drop("gain")
     states = stored(states, "tree-states")
     if states.isEmpty():
+        _spent(all_entries)
         return False
     value = (F.col("log") - F.col("plog") - F.col("escape")).alias("value")
     kept = _with_entry(all_entries.select("pentry", "ctx", "log", value, "c").join(states.select("ctx"), "ctx", "left_semi"))
     tree.states.append(states)
     tree.entries.append(stored(kept, "tree-kept"))
+    _spent(all_entries)
     tree.bits |= _bits_of(states.select(_state_key("ctx").alias("key")).unionAll(tree.entries[-1].select("entry")))
     return True
 
@@ -326,6 +338,13 @@ def fit_suffix_tree(
 ) -> tuple[SuffixTree, DataFrame]:
     """The tree, and the counts ``h, c`` of all training tokens, from a table with a ``text`` column. With a ``depth`` no context
     is longer."""
+    with _shuffles_removed(train.sparkSession):
+        return _fit(train, depth, min_count, dictionary_share, min_gain, smoothing, head_keys)
+
+
+def _fit(
+    train: DataFrame, depth: int | None, min_count: int, dictionary_share: float, min_gain: float, smoothing: float, head_keys: int
+) -> tuple[SuffixTree, DataFrame]:
     texts = train.select(F.col("text").cast("string"))
     counts = stored(_word_counts(texts), "tree-words")
     tokens, distinct = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
@@ -343,21 +362,29 @@ def fit_suffix_tree(
         F.col("h").alias("pentry"), F.lit(0).cast("bigint").alias("pctx"),
         F.log10((F.col("c") + 1) / F.lit(float(tokens + distinct + 1))).alias("plog"),
     )
-    repeated = None
+    repeated, before = None, None
     while tokens and (depth is None or len(tree.states) < depth):
         d = len(tree.states) + 1
-        counted = stored(_context_counts(texts, tree, d, repeated, min_count), "tree-contexts")
-        _release(train.sparkSession)
+        shared = train.sparkSession.sparkContext.broadcast((tree, repeated))
+        counted = stored(_context_counts(texts, shared, d, min_count), "tree-contexts")
+        shared.destroy()
         if d > 2:
             totals = counted.where("pentry is null").select("ctx", F.col("c").alias("whole"))
-        if not _grow(tree, counted, totals, parents, min_gain, smoothing):
+        grown = _grow(tree, counted, totals, parents, min_gain, smoothing)
+        # the counts of one depth are the totals of the next
+        for table in (before, None if grown and d == 1 else counted):
+            if table is not None:
+                _spent(table)
+        if not grown:
             break
+        before = counted if d == 1 else None
         parents = tree.entries[-1].select(F.col("entry").alias("pentry"), F.col("ctx").alias("pctx"), F.col("log").alias("plog"))
         # all pairs of words were counted: a longer context that isn't among them has too few next tokens
         repeated = _bits_of(_with_entry(counted.select("ctx", "pentry")).select("entry")) if d == 1 else None
         if d == 1:
             totals = _with_entry(counted).select(F.col("entry").alias("ctx"), F.col("c").alias("whole"))
-        _release(train.sparkSession)
+    if before is not None and len(tree.states) == depth:
+        _spent(before)
     _set_head(tree, head_keys)
     return tree, counts
 

@@ -1,5 +1,6 @@
 import collections
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -7,8 +8,9 @@ import zlib
 import numpy as np
 import pytest
 
-from cohortlens.llm.suffix_tree import END, _tokens, fit_suffix_tree, score_texts
+from cohortlens.llm.suffix_tree import CLEANUP_KEY, END, _tokens, fit_suffix_tree, score_texts
 from cohortlens.llm.tokens import buffers
+from cohortlens.session import checkpoint_dir
 
 
 def words(text):
@@ -164,3 +166,13 @@ def test_rare_words_and_long_contexts_against_brute_force(docs_of):
         assert len(tree.states) == deepest and sum(s.count() for s in tree.states) == n_states
         out = score_texts(docs_of(list(enumerate(held))), tree, counts).collect()
         assert [r["score"] for r in sorted(out, key=lambda r: r["doc_id"])] == pytest.approx(expected)
+
+
+def test_tables_that_were_needed_for_one_depth_go(docs_of, spark):
+    held = lambda: [p for kind in ("contexts", "entries") for p in pathlib.Path(
+        checkpoint_dir(spark).removeprefix("file:")).glob(f"tree-{kind}-*/*.parquet")]
+    before, setting = set(held()), spark.conf.get(CLEANUP_KEY)
+    for depth in (None, 1):
+        tree, counts = fit_suffix_tree(docs_of(chain(5, 200)), depth=depth)
+        assert tree.states and set(held()) <= before and spark.conf.get(CLEANUP_KEY) == setting
+        assert score_texts(docs_of(chain(6, 5)), tree, counts).count() == 5
