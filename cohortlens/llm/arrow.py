@@ -14,6 +14,17 @@ from pyspark.sql import types as T
 from cohortlens.llm.shared import ship_package
 
 
+# An Arrow batch is taken in pieces of about this many bytes: it has as many rows as the session's setting says, however long.
+PIECE_BYTES = 4 << 20
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch, about ``PIECE_BYTES`` at a time."""
+    rows = max(1, batch.num_rows * PIECE_BYTES // max(batch.nbytes, 1))
+    for row in range(0, batch.num_rows, rows):
+        yield batch.slice(row, rows)
+
+
 def release_memory() -> None:
     """Give memory that the last batch or fit no longer needs back to the system: workers stay alive between stages, next to
     the executor's heap, and so does the driver."""
@@ -25,10 +36,11 @@ def release_memory() -> None:
 
 
 def with_arrow_columns(
-    df: DataFrame, text_col: str, added: str, compute: Callable[[pa.Array], list[pa.Array]], cast: str | None = "string"
+    df: DataFrame, text_col: str, added: str, compute: Callable[[pa.Array], list[pa.Array]], cast: str | None = "string",
+    forget: Callable[[], None] | None = None,
 ) -> DataFrame:
-    """``df`` with the columns of the schema ``added`` computed from the text column, batch by batch; a column that is
-    there under such a name is replaced. Nothing is shuffled."""
+    """``df`` with the columns of the schema ``added`` computed from the text column, piece by piece; a column that is
+    there under such a name is replaced. Nothing is shuffled. ``forget`` is called in the worker at the end of a task."""
     ship_package(df.sparkSession)
     fields = T.StructType.fromDDL(added)
     kept = [f for f in df.schema.fields if f.name not in fields.names]
@@ -43,8 +55,13 @@ def with_arrow_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *compute(batch.column(place))], names)
+            for piece in pieces(batch):
+                yield pa.RecordBatch.from_arrays([*piece.columns[:width], *compute(piece.column(place))], names)
+                del piece
             del batch
             release_memory()
+        if forget:
+            forget()
+            release_memory()
 
     return frame.mapInArrow(run, T.StructType(kept + fields.fields))

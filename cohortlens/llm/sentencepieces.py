@@ -8,7 +8,8 @@ common prefix are kept, and only those of the new characters are computed.
 The forward state of a prefix is its best last piece. In a unigram model that is the piece with the largest sum of scores.
 A BPE model doesn't maximize a sum; there the encoding of a prefix ends in the one piece t for which the encoding of the
 rest ends in a piece that stays apart from t when the two are merged on their own, so the state is found by the same
-forward pass with that test in place of the sum. A worker remembers a bounded number of words and tests. Both give the ids of the model's own library. Runs of several marks,
+forward pass with that test in place of the sum. A worker remembers a bounded number of words and tests during a task. Both give
+the ids of the model's own library. Runs of several marks,
 whose pieces have equal scores, are merged directly.
 
 Decoding puts the pieces' bytes together again. Characters outside the vocabulary are written as byte pieces, and so is the
@@ -39,6 +40,8 @@ _LITERAL_MARK = "\udc81"
 UNKNOWN_PENALTY = 10.0
 # Distinct words are gathered over about this much text at a time.
 ENCODE_BYTES = 2 << 20
+# Words remembered before a slice, and tests whether pieces stay apart.
+CACHED_WORDS, CACHED_TESTS = 50_000, 200_000
 
 
 class PieceModel:
@@ -79,6 +82,11 @@ class PieceModel:
         # pieces that merging can yield
         self.whole = {p for p in self.ids if self.merge(p) == [p]} if self.bpe else set(self.ids)
 
+    def forget(self) -> None:
+        """Let go of what was remembered."""
+        for held in (self._apart, self._spines, self._words):
+            held.clear()
+
     def merge(self, text: str, log: list | None = None) -> list[str]:
         """BPE pieces of a text by merging the best pair, the leftmost of equal ones. ``log`` gets the merges."""
         parts = list(text)
@@ -155,7 +163,7 @@ class PieceModel:
                 i += 1
             else:
                 j += 1
-        if len(self._apart) >= 250_000:
+        if len(self._apart) >= CACHED_TESTS:
             self._apart.clear()
         self._apart[left, right] = fits
         return fits
@@ -163,7 +171,7 @@ class PieceModel:
     def encode_cached(self, words: list[str]) -> list[bytes]:
         """Packed ids of distinct marked words; words of earlier calls are looked up, the others walked in sorted order."""
         cache = self._words
-        if len(cache) > 150_000:
+        if len(cache) > CACHED_WORDS:
             cache.clear()
         new = sorted(w for w in words if w not in cache)
         found = {w: array("I", ids).tobytes() for w, ids in zip(new, self.encode_words(new))}
@@ -330,7 +338,7 @@ def with_pieces(docs: DataFrame, text_col: str = "text", model_file: str = MODEL
         counts = pa.array(np.diff(first).astype(np.int32), mask=np.asarray(texts.is_null()))
         return [_id_lists(ids, first, texts), counts]
 
-    return with_arrow_columns(docs, text_col, "token_ids array<int>, n_tokens int", compute)
+    return with_arrow_columns(docs, text_col, "token_ids array<int>, n_tokens int", compute, forget=lambda: shared.value.forget())
 
 
 def with_round_trip(docs: DataFrame, text_col: str = "text", model_file: str = MODEL) -> DataFrame:
@@ -357,7 +365,9 @@ def with_round_trip(docs: DataFrame, text_col: str = "text", model_file: str = M
             _id_lists(flat, first, texts), pa.array(np.diff(first).astype(np.int32), mask=null), pa.array(np.concatenate(same)),
         ]
 
-    return with_arrow_columns(docs, text_col, "token_ids array<int>, n_tokens int, round_trip boolean", compute)
+    return with_arrow_columns(
+        docs, text_col, "token_ids array<int>, n_tokens int, round_trip boolean", compute, forget=lambda: shared.value.forget()
+    )
 
 
 def _id_lists(ids: np.ndarray, first: np.ndarray, texts: pa.Array) -> pa.Array:

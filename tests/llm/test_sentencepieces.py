@@ -4,7 +4,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
+from cohortlens.llm.arrow import with_arrow_columns
 from cohortlens.llm.sentencepieces import MODEL, PieceModel, decode, encode, with_decoded, with_pieces
 
 
@@ -83,3 +85,18 @@ def test_awkward_rows(awkward, nothing):
         assert (r["token_ids"] is None) == (r["text"] is None)
         assert r["text"] is None or r["n_tokens"] == len(r["token_ids"])
     assert with_decoded(with_pieces(nothing)).count() == 0
+
+
+def test_batches_are_taken_in_pieces(spark):
+    """10,000 rows make an Arrow batch, however long they are."""
+    docs = spark.range(0, 1000, 1, 1).select("id", F.repeat(F.lit("words "), 5000).alias("text"))
+    out = with_arrow_columns(docs, "text", "n int", lambda texts: [pa.array([len(texts)] * len(texts), pa.int32())])
+    assert out.count() == 1000 and out.agg(F.max("n")).first()[0] * 30_000 < 5 << 20
+
+
+def test_a_model_forgets(model):
+    rows = texts(9, 50)
+    before = split(*encode(model, pa.array(rows)))
+    model.forget()
+    assert not model._apart and not model._words and not model._spines
+    assert split(*encode(model, pa.array(rows))) == before
