@@ -24,7 +24,6 @@ from __future__ import annotations
 import heapq
 from array import array
 from collections.abc import Iterable, Iterator
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +75,10 @@ class PieceModel:
                 self.bytes_of.append(b"")
         self.longest = max(map(len, self.ids), default=1)
         self.unknown = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
-        self._apart: dict[tuple[str, str], bool] = {}
+        self.packed = {piece: array("I", [number]).tobytes() for piece, number in self.ids.items()}
+        # by the left piece
+        self._apart: dict[str, dict[str, bool]] = {}
+        self._tests = 0
         self._spines: dict[str, tuple[list, list]] = {}
         self._words: dict[str, bytes] = {}
         # pieces that merging can yield
@@ -86,6 +88,7 @@ class PieceModel:
         """Let go of what was remembered."""
         for held in (self._apart, self._spines, self._words):
             held.clear()
+        self._tests = 0
 
     def merge(self, text: str, log: list | None = None) -> list[str]:
         """BPE pieces of a text by merging the best pair, the leftmost of equal ones. ``log`` gets the merges."""
@@ -143,7 +146,7 @@ class PieceModel:
         edge. They merge across the border if that merge is better than the one that ends the left part, and no worse than the
         one that ends the right part (of equal merges the leftmost comes first).
         """
-        known = self._apart.get((left, right))
+        known = self._apart.get(left, {}).get(right)
         if known is not None:
             return known
         a, b = self.spines(left)[1], self.spines(right)[0]
@@ -163,34 +166,47 @@ class PieceModel:
                 i += 1
             else:
                 j += 1
-        if len(self._apart) >= CACHED_TESTS:
+        if self._tests >= CACHED_TESTS:
+            for held in self._apart.values():
+                held.clear()
             self._apart.clear()
-        self._apart[left, right] = fits
+            self._tests = 0
+        self._apart.setdefault(left, {})[right] = fits
+        self._tests += 1
         return fits
 
     def encode_cached(self, words: list[str]) -> list[bytes]:
-        """Packed ids of distinct marked words; words of earlier calls are looked up, the others walked in sorted order."""
+        """Packed ids of distinct marked words; words of earlier calls are looked up, the others walked in sorted order. When
+        there are too many, those stay that are asked for again."""
         cache = self._words
-        if len(cache) > CACHED_WORDS:
-            cache.clear()
         new = sorted(w for w in words if w not in cache)
-        found = {w: array("I", ids).tobytes() for w, ids in zip(new, self.encode_words(new))}
+        found = dict(zip(new, map(self._pack, self._pieces(new))))
         out = [cache[w] if w in cache else found[w] for w in words]
+        if len(cache) > CACHED_WORDS:
+            self._words = cache = {w: ids for w, ids in zip(words, out) if w in cache}
         cache.update((w, ids) for w, ids in found.items() if len(w) <= 32)
         return out
 
     def encode_words(self, words: Iterable[str]) -> Iterator[list[int]]:
         """Ids of sorted distinct marked words, by one depth-first pass over their trie."""
-        last, score = [""], [0.0]  # per prefix length: its last piece, its score
+        return map(self._numbers, self._pieces(words))
+
+    def _pieces(self, words: Iterable[str]) -> Iterator[list[str]]:
+        # per prefix length: its last piece, its score (unigram) or what is known about that piece as the left one (BPE)
+        last, state = [""], [0.0]
         previous = ""
         extend = self._extend_bpe if self.bpe else self._extend_unigram
         for word in words:
             if self.bpe and word.startswith(MARK + MARK):
-                yield self._numbers(self.merge(word))
+                yield self.merge(word)
                 continue
-            common = len(commonprefix((word, previous)))
-            del last[common + 1 :], score[common + 1 :]
-            extend(word, common, last, score)
+            common = 0
+            for x, y in zip(word, previous):
+                if x != y:
+                    break
+                common += 1
+            del last[common + 1 :], state[common + 1 :]
+            extend(word, common, last, state)
             previous = word
             pieces, end = [], len(word)
             while end:
@@ -198,7 +214,14 @@ class PieceModel:
                 pieces.append(piece)
                 end -= len(piece)
             pieces.reverse()
-            yield self._numbers(pieces)
+            yield pieces
+
+    def _pack(self, pieces: list[str]) -> bytes:
+        packed = self.packed
+        try:
+            return b"".join([packed[piece] for piece in pieces])
+        except KeyError:
+            return array("I", self._numbers(pieces)).tobytes()
 
     def _extend_unigram(self, word: str, done: int, last: list[str], score: list[float]) -> None:
         """Forward states of the characters behind the first ``done``: the best sum of scores."""
@@ -217,26 +240,28 @@ class PieceModel:
             last.append(chosen)
             score.append(best)
 
-    def _extend_bpe(self, word: str, done: int, last: list[str], score: list[float]) -> None:
+    def _extend_bpe(self, word: str, done: int, last: list[str], tests: list[dict[str, bool]]) -> None:
         """Forward states of the characters behind the first ``done``: the piece that stays apart from the one before it."""
         known, apart, longest = self.whole, self._apart, self.longest
         for end in range(done + 1, len(word) + 1):
             start = end - 1
             piece = word[start]
-            stop = end - longest if end > longest else 0
             while start:
-                left = last[start]
-                fits = apart.get((left, piece))
-                if fits or (fits is None and self.apart(left, piece)):
+                fits = tests[start].get(piece)
+                if fits or (fits is None and self.apart(last[start], piece)):
                     break
                 # the next longer piece that ends here
+                stop = end - longest if end > longest else 0
                 start -= 1
                 while start >= stop and (piece := word[start:end]) not in known:
                     start -= 1
                 if start < stop:
                     raise AssertionError(f"no encoding of {word[:end]!r}")
             last.append(piece)
-            score.append(0.0)
+            held = apart.get(piece)
+            if held is None:
+                held = apart[piece] = {}
+            tests.append(held)
 
     def _numbers(self, pieces: Iterable[str]) -> list[int]:
         out = []

@@ -6,6 +6,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+from cohortlens.llm import sentencepieces
 from cohortlens.llm.arrow import with_arrow_columns
 from cohortlens.llm.sentencepieces import MODEL, PieceModel, decode, encode, with_decoded, with_pieces
 
@@ -100,3 +101,21 @@ def test_a_model_forgets(model):
     model.forget()
     assert not model._apart and not model._words and not model._spines
     assert split(*encode(model, pa.array(rows))) == before
+
+
+def test_words_that_come_again_stay_remembered(model, monkeypatch):
+    """When too many words are held, those of the next slice that were known are not walked again."""
+    monkeypatch.setattr(sentencepieces, "CACHED_WORDS", 3)
+    model.forget()
+    walked = []
+    walk = model._pieces
+    monkeypatch.setattr(model, "_pieces", lambda words: (walked.extend(words), walk(words))[1])
+    often = ["▁again", "▁and", "▁common"]
+    for k in range(4):
+        words = [*often, f"▁rare{k}", f"▁other{k}"]
+        assert [np.frombuffer(x, np.int32).tolist() for x in model.encode_cached(words)] == [
+            next(iter(model.encode_words([w]))) for w in words
+        ]
+        assert len(model._words) <= 5
+    assert walked.count("▁again") == 1 + 4  # once, and by the comparison
+    model.forget()
