@@ -37,14 +37,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.llm.arrow import pieces, release_memory
 from cohortlens.llm.shared import discarded, ship_package, stored
 from cohortlens.llm.tokens import Words, mix, slices
 
 MIN_COUNT = 2
 DICTIONARY_SHARE = 5e-7
 HEAD_KEYS, FILTER_BITS = 1 << 20, 1 << 28
-# Pairs that a worker counts at once.
-PAIRS = 1 << 21
+# Pairs that a worker counts at once, and about how many of all pairs meet in a group.
+PAIRS, GROUP_PAIRS = 1 << 20, 1 << 18
 MIN_GAIN = 10.0
 SMOOTHING = 20.0
 # Fixed hashes of the end token and of the start, which is never a next token.
@@ -212,43 +213,98 @@ def _word_counts(train: DataFrame) -> DataFrame:
                 parts.append(_tokens(data, offsets)[0])
             h, c = np.unique(np.concatenate(parts), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+            del batch, parts, h, c
+            release_memory()
 
     return train.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _context_counts(train: DataFrame, shared: Broadcast, depth: int, min_count: int) -> DataFrame:
-    """``ctx, pentry, c`` of contexts of ``depth`` words whose parent may be a state and which are seen with a next token
-    at least ``min_count`` times; ``pentry`` is the token with the parent. From depth 3 on there is a row without ``pentry`` for the count of the context itself. ``shared`` holds the tree and a filter of contexts worth counting, if any."""
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The keys' order, the first of each distinct key in it, where they are among the keys, and the distinct keys."""
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    return order, first, order[first], key[first]
+
+
+def _blocks(key: np.ndarray, context: np.ndarray, parent: np.ndarray, c: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Counts as one row per part of the range of keys: ``part``, and as bytes ``ctx, pentry, c``."""
+    part = (key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    first = np.flatnonzero(np.diff(part, prepend=np.uint64(parts)))
+    ends = np.append(first, len(key))
+    column = lambda x: pa.Array.from_buffers(
+        pa.binary(), len(first), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)]
+    )
+    held = [column(x) for x in (context, parent, c.astype(np.int32))]
+    return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), *held], ["part", "ctx", "pentry", "c"])
+
+
+def _block_sums(blocks: DataFrame, min_count: int) -> DataFrame:
+    """``ctx, pentry, c`` from blocks, where the sum is at least ``min_count``."""
 
-    def counted(parts: list) -> pa.RecordBatch:
-        context, parent, total = (np.concatenate(x) for x in zip(*parts))
-        _, at, c = np.unique(np.where(total, context ^ np.uint64(STATE), _joined(context, parent)), return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([
-            pa.array(context[at].view(np.int64)), pa.array(parent[at].view(np.int64), mask=total[at]), pa.array(c)
-        ], ["ctx", "pentry", "c"])
+    def run(table: pa.Table) -> pa.Table:
+        of = lambda k, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(k)])
+        context, parent, c = of("ctx", np.uint64), of("pentry", np.uint64), of("c", np.int32).astype(np.int64)
+        # counts below zero are those of contexts themselves
+        order, first, at, _ = _distinct(np.where(c < 0, context ^ np.uint64(STATE), _joined(context, parent)))
+        c = np.add.reduceat(c[order], first)
+        keep = np.abs(c) >= min_count
+        context, parent, c = context[at[keep]], parent[at[keep]], c[keep]
+        return pa.table({
+            "ctx": pa.array(context.view(np.int64)), "pentry": pa.array(parent.view(np.int64), mask=c < 0), "c": pa.array(np.abs(c)),
+        })
+
+    return blocks.groupBy("part").applyInArrow(run, "ctx bigint, pentry bigint, c bigint")
+
+
+def _context_counts(train: DataFrame, shared: Broadcast, depth: int, min_count: int, parts: int) -> DataFrame:
+    """``ctx, pentry, c`` of contexts of ``depth`` words whose parent may be a state and which are seen with a next token
+    at least ``min_count`` times; ``pentry`` is the token with the parent. From depth 3 on there is a row without ``pentry`` for
+    the count of the context itself. ``shared`` holds the tree and a filter of contexts worth counting, if any. Counts travel in
+    blocks, one per ``parts``-th of the range of keys, so that what is seen once is no row of its own."""
+
+    def counted(waiting: list[list]) -> Iterator[pa.RecordBatch]:
+        contexts, parents, alone = waiting
+        if contexts:
+            context, parent = np.concatenate(contexts), np.concatenate(parents)
+            contexts.clear()
+            parents.clear()
+            _, first, at, key = _distinct(_joined(context, parent))
+            c = np.diff(np.append(first, len(context)))
+            yield from pieces(_blocks(key, context[at], parent[at], c, parts))
+        if alone:
+            key = np.concatenate(alone) ^ np.uint64(STATE)
+            alone.clear()
+            n = len(key)
+            _, first, _, key = _distinct(key)
+            c = -np.diff(np.append(first, n))
+            yield from pieces(_blocks(key, key ^ np.uint64(STATE), np.zeros(len(key), np.uint64), c, parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, repeated = shared.value
-        parts, held = [], 0
-        for batch in batches:
-            for _, _, data, offsets in slices(batch.column(0)):
+        waiting, held = [[], [], []], 0
+        for texts in (piece.column(0) for batch in batches for piece in pieces(batch)):
+            for _, _, data, offsets in slices(texts):
                 level = next(islice(tree.walk(*_tokens(data, offsets)), depth - 1, None), None)
                 if level is None:
                     continue
                 _, context, _, parent, listed = level
                 keep = listed if repeated is None else listed & _in_bits(repeated, context)
-                parts.append((context[keep], parent[keep], np.zeros(keep.sum(), bool)))
+                waiting[0].append(context[keep])
+                waiting[1].append(parent[keep])
                 if depth > 2:
-                    parts.append((context, parent, np.ones(len(context), bool)))
-                held += sum(len(p[0]) for p in parts[-1 - (depth > 2) :])
+                    waiting[2].append(context)
+                held += len(waiting[0][-1]) + (len(context) if depth > 2 else 0)
                 if held >= PAIRS:
-                    yield counted(parts)
-                    parts, held = [], 0
-        if parts:
-            yield counted(parts)
+                    yield from counted(waiting)
+                    held = 0
+                    release_memory()
+        yield from counted(waiting)
+        release_memory()
 
-    sums = train.mapInArrow(run, "ctx bigint, pentry bigint, c bigint").groupBy("ctx", "pentry").agg(F.sum("c").alias("c"))
-    return sums.where(F.col("c") >= min_count)
+    return _block_sums(train.mapInArrow(run, "part int, ctx binary, pentry binary, c binary"), min_count)
 
 
 def _with_entry(pairs: DataFrame) -> DataFrame:
@@ -366,7 +422,7 @@ def _fit(
     while tokens and (depth is None or len(tree.states) < depth):
         d = len(tree.states) + 1
         shared = train.sparkSession.sparkContext.broadcast((tree, repeated))
-        counted = stored(_context_counts(texts, shared, d, min_count), "tree-contexts")
+        counted = stored(_context_counts(texts, shared, d, min_count, -(-tokens // GROUP_PAIRS)), "tree-contexts")
         shared.destroy()
         if d > 2:
             totals = counted.where("pentry is null").select("ctx", F.col("c").alias("whole"))
@@ -430,6 +486,8 @@ def score_texts(docs: DataFrame, tree: SuffixTree, counts: DataFrame, id_col: st
                         pa.array(own[row[new]]), pa.array(h[new].view(np.int64)), pa.array(times.astype(np.int32)),
                         *[pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())],
                     ], names)
+            del batch
+            release_memory()
 
     sums = rows.mapInArrow(
         run, "row bigint, h bigint, times int, doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"

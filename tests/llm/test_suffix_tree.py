@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from cohortlens.llm.suffix_tree import CLEANUP_KEY, END, _tokens, fit_suffix_tree, score_texts
+from cohortlens.llm.suffix_tree import CLEANUP_KEY, END, _blocks, _distinct, _joined, _tokens, fit_suffix_tree, score_texts
 from cohortlens.llm.tokens import buffers
 from cohortlens.session import checkpoint_dir
 
@@ -176,3 +176,16 @@ def test_tables_that_were_needed_for_one_depth_go(docs_of, spark):
         tree, counts = fit_suffix_tree(docs_of(chain(5, 200)), depth=depth)
         assert tree.states and set(held()) <= before and spark.conf.get(CLEANUP_KEY) == setting
         assert score_texts(docs_of(chain(6, 5)), tree, counts).count() == 5
+
+
+def test_counts_travel_in_blocks_of_bounded_size():
+    """What a worker has counted is a row per part of the range of keys, not a row per context and token."""
+    rng = np.random.default_rng(7)
+    context, parent = (rng.integers(0, 50, 20_000).astype(np.uint64) for _ in range(2))
+    _, first, at, key = _distinct(_joined(context, parent))
+    c = np.diff(np.append(first, len(context)))
+    blocks = _blocks(key, context[at], parent[at], c, 16)
+    assert 1 < blocks.num_rows <= 16 and blocks.column(0).to_pylist() == sorted(set(blocks.column(0).to_pylist()))
+    held = [np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in blocks.column(k)]) for k, kind in ((1, np.uint64), (2, np.uint64), (3, np.int32))]
+    expected = collections.Counter(zip(context.tolist(), parent.tolist()))
+    assert dict(zip(zip(held[0].tolist(), held[1].tolist()), held[2].tolist())) == expected
