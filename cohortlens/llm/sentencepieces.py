@@ -41,6 +41,8 @@ UNKNOWN_PENALTY = 10.0
 ENCODE_BYTES = 2 << 20
 # Words remembered before a slice, and tests whether pieces stay apart.
 CACHED_WORDS, CACHED_TESTS = 50_000, 200_000
+# Characters of a word whose prefixes have their ids kept; what is behind them is found by the last pieces.
+KEPT_PREFIX = 48
 
 
 class PieceModel:
@@ -179,34 +181,37 @@ class PieceModel:
         """Packed ids of distinct marked words; words of earlier calls are looked up, the others walked in sorted order. When
         there are too many, those stay that are asked for again."""
         cache = self._words
-        new = sorted(w for w in words if w not in cache)
-        found = dict(zip(new, map(self._pack, self._pieces(new))))
-        out = [cache[w] if w in cache else found[w] for w in words]
+        out = list(map(cache.get, words))
         if len(cache) > CACHED_WORDS:
-            self._words = cache = {w: ids for w, ids in zip(words, out) if w in cache}
-        cache.update((w, ids) for w, ids in found.items() if len(w) <= 32)
+            self._words = cache = {w: ids for w, ids in zip(words, out) if ids is not None}
+        places = sorted([i for i, ids in enumerate(out) if ids is None], key=words.__getitem__)
+        new = [words[i] for i in places]
+        for i, word, ids in zip(places, new, self._pieces(new)):
+            out[i] = ids
+            if len(word) <= 32:
+                cache[word] = ids
         return out
 
     def encode_words(self, words: Iterable[str]) -> Iterator[list[int]]:
         """Ids of sorted distinct marked words, by one depth-first pass over their trie."""
-        return map(self._numbers, self._pieces(words))
+        return (array("I", ids).tolist() for ids in self._pieces(words))
 
-    def _pieces(self, words: Iterable[str]) -> Iterator[list[str]]:
-        # per prefix length: its last piece, its score (unigram) or what is known about that piece as the left one (BPE)
-        last, state = [""], [0.0]
+    def _pieces(self, words: Iterable[str]) -> Iterator[bytes]:
+        """Packed ids of sorted distinct marked words."""
+        return self._walk_bpe(words) if self.bpe else self._walk_unigram(words)
+
+    def _walk_unigram(self, words: Iterable[str]) -> Iterator[bytes]:
+        # per prefix length: its last piece, its score
+        last, score = [""], [0.0]
         previous = ""
-        extend = self._extend_bpe if self.bpe else self._extend_unigram
         for word in words:
-            if self.bpe and word.startswith(MARK + MARK):
-                yield self.merge(word)
-                continue
             common = 0
             for x, y in zip(word, previous):
                 if x != y:
                     break
                 common += 1
-            del last[common + 1 :], state[common + 1 :]
-            extend(word, common, last, state)
+            del last[common + 1 :], score[common + 1 :]
+            self._extend_unigram(word, common, last, score)
             previous = word
             pieces, end = [], len(word)
             while end:
@@ -214,7 +219,59 @@ class PieceModel:
                 pieces.append(piece)
                 end -= len(piece)
             pieces.reverse()
-            yield pieces
+            yield self._pack(pieces)
+
+    def _walk_bpe(self, words: Iterable[str]) -> Iterator[bytes]:
+        """The forward state of a prefix is the piece that stays apart from the one before it; the packed ids of the first
+        ``KEPT_PREFIX`` prefixes are part of it, so that a word needs no way back."""
+        known, packed, longest, apart = self.whole, self.packed, self.longest, self._apart
+        # per prefix length: its last piece, what is known about that piece as the left one, its ids
+        last: list[str] = [""]
+        tests: list[dict[str, bool]] = [{}]
+        ids = [b""]
+        previous = ""
+        for word in words:
+            if word.startswith(MARK + MARK):
+                yield self._pack(self.merge(word))
+                continue
+            common = 0
+            for x, y in zip(word, previous):
+                if x != y:
+                    break
+                common += 1
+            del last[common + 1 :], tests[common + 1 :], ids[common + 1 :]
+            previous, size = word, len(word)
+            for end in range(common + 1, size + 1):
+                start = end - 1
+                piece = word[start]
+                while start:
+                    fits = tests[start].get(piece)
+                    if fits or (fits is None and self.apart(last[start], piece)):
+                        break
+                    # the next longer piece that ends here
+                    stop = end - longest if end > longest else 0
+                    start -= 1
+                    while start >= stop and (piece := word[start:end]) not in known:
+                        start -= 1
+                    if start < stop:
+                        raise AssertionError(f"no encoding of {word[:end]!r}")
+                last.append(piece)
+                try:
+                    tests.append(apart[piece])
+                except KeyError:
+                    held = apart[piece] = {}
+                    tests.append(held)
+                if end <= KEPT_PREFIX:
+                    ids.append(ids[start] + (packed[piece] if piece in packed else self._pack([piece])))
+            if size <= KEPT_PREFIX:
+                yield ids[size]
+            else:
+                pieces = []
+                while size > KEPT_PREFIX:
+                    pieces.append(last[size])
+                    size -= len(last[size])
+                pieces.reverse()
+                yield ids[size] + self._pack(pieces)
 
     def _pack(self, pieces: list[str]) -> bytes:
         packed = self.packed
@@ -240,29 +297,6 @@ class PieceModel:
             last.append(chosen)
             score.append(best)
 
-    def _extend_bpe(self, word: str, done: int, last: list[str], tests: list[dict[str, bool]]) -> None:
-        """Forward states of the characters behind the first ``done``: the piece that stays apart from the one before it."""
-        known, apart, longest = self.whole, self._apart, self.longest
-        for end in range(done + 1, len(word) + 1):
-            start = end - 1
-            piece = word[start]
-            while start:
-                fits = tests[start].get(piece)
-                if fits or (fits is None and self.apart(last[start], piece)):
-                    break
-                # the next longer piece that ends here
-                stop = end - longest if end > longest else 0
-                start -= 1
-                while start >= stop and (piece := word[start:end]) not in known:
-                    start -= 1
-                if start < stop:
-                    raise AssertionError(f"no encoding of {word[:end]!r}")
-            last.append(piece)
-            held = apart.get(piece)
-            if held is None:
-                held = apart[piece] = {}
-            tests.append(held)
-
     def _numbers(self, pieces: Iterable[str]) -> list[int]:
         out = []
         for piece in pieces:
@@ -297,6 +331,33 @@ def _marked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, new
 
 
+def _marked_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
+    """The byte ranges as marked words, decoded many at a time with a zero byte behind each."""
+    out: list[str] = []
+    ends = np.cumsum(end - start + 1)
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
+        if hi == lo + 1:
+            held = data[start[lo] : end[lo]].tobytes().decode("utf-8", "replace")
+            out.append(held.replace(MARK, _LITERAL_MARK).replace(" ", MARK))
+        else:
+            lens = end[lo:hi] - start[lo:hi] + 1
+            chars = data[np.minimum(_ragged(start[lo:hi], lens), len(data) - 1)]
+            behind = np.cumsum(lens) - 1
+            chars[behind] = 1
+            if chars.all():
+                chars[behind] = 0
+                held = chars[:-1].tobytes().decode("utf-8", "replace").replace(MARK, _LITERAL_MARK).replace(" ", MARK)
+                out += held.split("\0")
+            else:  # a text has zero bytes of its own
+                for a, b in zip(start[lo:hi].tolist(), end[lo:hi].tolist()):
+                    held = data[a:b].tobytes().decode("utf-8", "replace")
+                    out.append(held.replace(MARK, _LITERAL_MARK).replace(" ", MARK))
+        lo = hi
+    return out
+
+
 def encode(model: PieceModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, and the first of each (one entry more than texts)."""
     ids, counts = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
@@ -323,14 +384,8 @@ def _encode_slice(model: PieceModel, data: np.ndarray, offsets: np.ndarray) -> t
         hashes.append(span_hashes(data[base : end[hi - 1]], start[lo:hi] - base, end[lo:hi] - base, EXACT))
         lo = hi
     _, example, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    raw = data.tobytes()
-    words = [
-        raw[a:b].decode("utf-8", "replace").replace(MARK, _LITERAL_MARK).replace(" ", MARK)
-        for a, b in zip(start[example].tolist(), end[example].tolist())
-    ]
-    del raw
-    ids = model.encode_cached(words)
-    counts = np.array([len(x) // 4 for x in ids], np.int64)
+    ids = model.encode_cached(_marked_words(data, start[example], end[example]))
+    counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
     flat = np.frombuffer(b"".join(ids), np.int32)
     at = which

@@ -119,3 +119,37 @@ def test_words_that_come_again_stay_remembered(model, monkeypatch):
         assert len(model._words) <= 5
     assert walked.count("▁again") == 1 + 4  # once, and by the comparison
     model.forget()
+
+
+class Counted(str):
+    """A word that counts how often it is looked up."""
+
+    asked = 0
+
+    def __hash__(self):
+        Counted.asked += 1
+        return str.__hash__(self)
+
+
+def test_a_known_word_is_looked_up_once(model):
+    words = ["▁known", "▁words", "▁" + "kn" * 40, "▁" + "kn" * 40 + "own", "▁▁"]
+    model.forget()
+    expected = model.encode_cached(words)
+    assert [np.frombuffer(x, np.int32).tolist() for x in expected] == [next(iter(model.encode_words([w]))) for w in words]
+    Counted.asked = 0
+    assert model.encode_cached([Counted(w) for w in words[:2]]) == expected[:2]
+    assert Counted.asked == 2
+    model.forget()
+
+
+@pytest.mark.parametrize("size", [1, 40, 1 << 20])
+def test_words_are_decoded_many_at_a_time(monkeypatch, size):
+    monkeypatch.setattr(sentencepieces, "SLICE_BYTES", size)
+    spans = [b" one", b"  two", "é▁".encode(), b" cut \xe2\x96", b"x" * 60, b" \xff", b""]
+    for more in ([], [b" zero\x00byte"]):
+        all_spans = spans + more + [b" last"]
+        data = np.frombuffer(b"".join(all_spans), np.uint8)
+        ends = np.cumsum([len(x) for x in all_spans])
+        assert sentencepieces._marked_words(data, ends - [len(x) for x in all_spans], ends) == [
+            x.decode("utf-8", "replace").replace("▁", "\udc81").replace(" ", "▁") for x in all_spans
+        ]
