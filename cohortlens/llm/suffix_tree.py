@@ -13,7 +13,8 @@ token is scored by the longest state that ends before it; the start of a text co
 Counts are gathered over all training tokens and all words. States and their entries are tables, found by 64-bit hashes of
 their words: the hash of n + 1 tokens is that of the two runs of n tokens in it. Broadcast are only structures of fixed size: a
 bit filter that keeps most other contexts out of the shuffles, and the ``head_keys`` most frequent states and entries; the
-others are joined, as are the root counts of words below ``dictionary_share``. Neither changes any result.
+others, and the root counts of words below ``dictionary_share``, are looked up: what the texts ask for travels in blocks to the
+part of the range of keys where the model's own keys are, and sums per text come back. Neither changes any result.
 
 The score is a sum over the depths: a state adds log10 of the share it leaves to its parent, and the next tokens that it keeps
 add what is between that and their own probability.
@@ -25,7 +26,7 @@ neither training nor held out (null) but scored; without training texts every ba
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property, reduce
@@ -46,6 +47,9 @@ DICTIONARY_SHARE = 5e-7
 HEAD_KEYS, FILTER_BITS = 1 << 20, 1 << 28
 # Pairs that a worker counts at once, and about how many of all pairs meet in a group.
 PAIRS, GROUP_PAIRS = 1 << 20, 1 << 18
+# Lookups that a worker gathers before it sends them, how many travel in a row, how many parts of the range of keys there are at
+# least, and how many keys of the model are in a part at most.
+LOOKUPS, BLOCK, LOOKUP_PARTS, PART_KEYS = 1 << 21, 256, 32, 1 << 20
 MIN_GAIN = 10.0
 SMOOTHING = 20.0
 # Fixed hashes of the end token and of the start, which is never a next token.
@@ -231,7 +235,7 @@ def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 def _blocks(key: np.ndarray, context: np.ndarray, parent: np.ndarray, c: np.ndarray, parts: int) -> pa.RecordBatch:
     """Counts as one row per part of the range of keys: ``part``, and as bytes ``ctx, pentry, c``."""
-    part = (key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    part = _part_of(key, parts)
     first = np.flatnonzero(np.diff(part, prepend=np.uint64(parts)))
     ends = np.append(first, len(key))
     column = lambda x: pa.Array.from_buffers(
@@ -408,6 +412,7 @@ def _fit(
     # bounded by 1 / dictionary_share
     frequent = counts.where(F.col("c") >= max(1, int(np.ceil(tokens * dictionary_share)))).toArrow()
     h, c = frequent.column("h").to_numpy().astype(np.int64).view(np.uint64), frequent.column("c").to_numpy().astype(np.int64)
+    del frequent
     order = np.argsort(h)
     bits = np.zeros(FILTER_BITS >> 3, np.uint8)
     tree = SuffixTree(tokens, distinct, h[order], c[order], bits, np.zeros(0, np.uint64), np.zeros(0), [], [])
@@ -424,6 +429,9 @@ def _fit(
         shared = train.sparkSession.sparkContext.broadcast((tree, repeated))
         counted = stored(_context_counts(texts, shared, d, min_count, -(-tokens // GROUP_PAIRS)), "tree-contexts")
         shared.destroy()
+        del shared
+        # the driver gives back what the copies for the workers took
+        release_memory()
         if d > 2:
             totals = counted.where("pentry is null").select("ctx", F.col("c").alias("whole"))
         grown = _grow(tree, counted, totals, parents, min_gain, smoothing)
@@ -442,66 +450,215 @@ def _fit(
     if before is not None and len(tree.states) == depth:
         _spent(before)
     _set_head(tree, head_keys)
+    release_memory()
     return tree, counts
 
 
+def _part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    return (key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers with their first bytes in front, then their second ones: small numbers leave runs of zeros."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _numbers(held: pa.Scalar, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(held.as_buffer(), np.uint8).reshape(size, -1).T).view(kind)[:, 0]
+
+
+def _asked(key: np.ndarray, row: np.ndarray, parts: int) -> tuple[np.ndarray, list[bytes], list[bytes], list[bytes]]:
+    """Lookups in blocks of at most ``BLOCK``, each within a part of the range of keys: the parts, and as bytes the steps between
+    the distinct keys, how many rows ask for each, and these rows (once for each time)."""
+    order = np.argsort(key)
+    key, row = key[order], row[order].astype(np.int32)
+    part = _part_of(key, parts)
+    edge = np.flatnonzero(np.diff(part, prepend=np.uint64(parts)))
+    cuts = np.concatenate([np.arange(a, b, BLOCK) for a, b in zip(edge, np.append(edge[1:], len(key)))])
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    new[cuts] = True
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(key))).astype(np.int32)
+    at = np.append(np.searchsorted(first, cuts), len(first)).tolist()
+    steps, rows = key[first], np.append(cuts, len(key)).tolist()
+    steps[1:] -= key[first[:-1]]
+    steps[at[:-1]] = key[cuts]
+    return (
+        part[cuts], [_planes(steps[a:b]) for a, b in zip(at, at[1:])], [_planes(times[a:b]) for a, b in zip(at, at[1:])],
+        [_planes(row[a:b]) for a, b in zip(rows, rows[1:])],
+    )
+
+
+_ASK = {"part": "int", "kind": "int", "row": "bigint"}
+_BLOBS = {"steps": "binary", "times": "binary", "rows": "binary", "held": "binary"}
+_SUMS = {"doc_id": "bigint", "n_tokens": "bigint", "n_known": "bigint", "base_score": "double", "score": "double"}
+_FOUND = {"more": "bigint", "rest": "double", "longer": "double"}
+# What a row of a part is, in the order in which they come: words and states and entries of the model, blocks that ask for either, and
+# the sums of a text's own.
+_WORD, _LONGER, _ASK_WORD, _ASK_LONGER, _OWN = range(5)
+
+
+def _ddl(columns: dict[str, str]) -> str:
+    return ", ".join(f"{k} {t}" for k, t in columns.items())
+
+
+def _filled(columns: dict[str, str], n: int, values: dict) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays(
+        [pa.array(values[k], kinds[t]) if k in values else pa.nulls(n, kinds[t]) for k, t in columns.items()], list(columns)
+    )
+
+
+def _model_blocks(kind: int, key: np.ndarray, value: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Keys of the model with what is held for each, in blocks like those that ask for them."""
+    order = np.argsort(key)
+    key, value = key[order], value[order]
+    part = _part_of(key, parts)
+    edge = np.flatnonzero(np.diff(part, prepend=np.uint64(parts)))
+    cuts = np.concatenate([np.arange(a, b, BLOCK) for a, b in zip(edge, np.append(edge[1:], len(key)))])
+    steps = np.diff(key, prepend=np.uint64(0))
+    steps[cuts] = key[cuts]
+    ends = [*cuts[1:].tolist(), len(key)]
+    return _filled(_ASK | _BLOBS | _SUMS, len(cuts), {
+        "part": part[cuts].astype(np.int32), "kind": np.full(len(cuts), kind, np.int32),
+        "steps": [_planes(steps[a:b]) for a, b in zip(cuts, ends)], "held": [_planes(value[a:b]) for a, b in zip(cuts, ends)],
+    })
+
+
+def _block_answers(
+    blocks: pa.RecordBatch, keys: np.ndarray, values: np.ndarray, root_log: Callable[[np.ndarray], np.ndarray] | None
+) -> tuple[int, dict]:
+    """How many texts ask, and their sums: of words with ``root_log``, else of states and entries."""
+    wanted = np.concatenate([np.cumsum(_numbers(x, np.uint64)) for x in blocks.column("steps")])
+    times = np.concatenate([_numbers(x, np.int32) for x in blocks.column("times")])
+    rows = [_numbers(x, np.int32) for x in blocks.column("rows")]
+    row = np.repeat(blocks.column("row").to_numpy(), list(map(len, rows))) + np.concatenate(rows)
+    at = _find(keys, wanted)
+    value = values[np.maximum(at, 0)] if len(keys) else np.zeros(len(at))
+    value = np.repeat(np.where(at >= 0, value, 0), times)
+    texts, which = np.unique(row, return_inverse=True)
+    if root_log is None:
+        return len(texts), {"row": texts, "longer": np.bincount(which, value)}
+    return len(texts), {"row": texts, "more": np.bincount(which, value > 0).astype(np.int64), "rest": np.bincount(which, root_log(value))}
+
+
+def _answered(batches: Iterator[pa.RecordBatch], root_log: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Sums per text of what the blocks of a part ask for; the parts come one after the other, in the order of the kinds."""
+    columns = {"row": "bigint"} | _SUMS | _FOUND
+    current, tables = None, {}
+    for batch in batches:
+        part, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        edge = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(kind, prepend=-1) != 0)).tolist()
+        for a, b in zip(edge, [*edge[1:], len(part)]):
+            if part[a] != current:
+                current, tables = part[a], {_WORD: [], _LONGER: []}
+            own, held = kind[a], batch.slice(a, b - a)
+            if own in (_WORD, _LONGER):
+                key = np.concatenate([np.cumsum(_numbers(x, np.uint64)) for x in held.column("steps")])
+                tables[own].append((key, np.concatenate([_numbers(x, np.float64) for x in held.column("held")])))
+            elif own == _OWN:
+                yield _filled(columns, b - a, {k: held.column(k) for k in ("row", *_SUMS)})
+            else:
+                table = tables[own - _ASK_WORD]
+                if isinstance(table, list):
+                    key = np.concatenate([k for k, _ in table] or [np.zeros(0, np.uint64)])
+                    order = np.argsort(key)
+                    value = np.concatenate([v for _, v in table] or [np.zeros(0)])
+                    table = tables[own - _ASK_WORD] = (key[order], value[order])
+                for blocks in pieces(held):
+                    yield _filled(columns, *_block_answers(blocks, *table, root_log if own == _ASK_WORD else None))
+        del batch
+    release_memory()
+
+
 def score_texts(docs: DataFrame, tree: SuffixTree, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, n_known, base_score, score`` for every row."""
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tree)
+    release_memory()
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string")
     )
-    names = ["row", "h", "times", "doc_id", "n_tokens", "n_known", "base_score", "score"]
+    model = tree.model()
+    keys = tree.distinct + (model.count() if model is not None else 0)
+    parts = max(LOOKUP_PARTS, -(-keys // PART_KEYS))
+    columns = _ASK | _BLOBS | _SUMS
+    bottom = tree.tokens + tree.distinct + 1
+
+    def tree_log(c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 1) / bottom)
+
+    def sent(waiting: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """What was gathered, as blocks; the rows in them count from the first one."""
+        base = waiting[0][0] if waiting else 0
+        for kind, k in ((_ASK_WORD, 1), (_ASK_LONGER, 3)):
+            key = np.concatenate([x[k] for x in waiting] or [np.zeros(0, np.uint64)])
+            if len(key):
+                row = np.concatenate([x[k + 1] + (x[0] - base) for x in waiting])
+                part, steps, times, asking = _asked(key, row, parts)
+                n = len(part)
+                blocks = _filled(columns, n, {
+                    "part": part.astype(np.int32), "kind": np.full(n, kind, np.int32), "row": np.full(n, base), "steps": steps,
+                    "times": times, "rows": asking,
+                })
+                del key, row, steps, times, asking
+                yield from pieces(blocks)
+        waiting.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
-        for batch in batches:
+        waiting, held = [], 0
+        for batch in (piece for batch in batches for piece in pieces(batch)):
             number = batch.column(0).to_numpy()
             for lo, hi, data, offsets in slices(batch.column(2)):
                 tokens, first = _tokens(data, offsets)
                 count, root, value, token, key = tree.parts(tokens, first)
                 run_of = lambda x: (s := np.concatenate([[0], np.cumsum(x)]))[first[1:]] - s[first[:-1]]
                 own = number[lo:hi]
-                # a key that meets no word: the row's own sums travel with the words that are still to be looked up
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(own), pa.array(~own), pa.array(np.zeros(hi - lo, np.int32)), batch.column(1).slice(lo, hi - lo),
-                    pa.array(np.diff(first).astype(np.int64)), pa.array(run_of(count > 0).astype(np.int64)),
-                    pa.array(run_of(root)), pa.array(run_of(value)),
-                ], names)
+                yield _filled(columns, hi - lo, {
+                    "part": (own % parts).astype(np.int32), "kind": np.full(hi - lo, _OWN, np.int32), "row": own,
+                    "doc_id": batch.column(1).slice(lo, hi - lo), "n_tokens": np.diff(first).astype(np.int64),
+                    "n_known": run_of(count > 0).astype(np.int64), "base_score": run_of(root), "score": run_of(value),
+                })
                 rare = np.flatnonzero(count < 0)
-                rows_of = np.repeat(np.arange(hi - lo), np.diff(first))
-                # words to be looked up, and with times below zero states and entries
-                for sign, place, h in ((1, rare, tokens[rare]), (-1, token, key)):
-                    if not len(h):
-                        continue
-                    row = rows_of[place]
-                    order = np.lexsort((h, row))
-                    row, h = row[order], h[order]
-                    new = np.ones(len(h), bool)
-                    new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
-                    times = sign * np.diff(np.append(np.flatnonzero(new), len(h)))
-                    k = len(times)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(own[row[new]]), pa.array(h[new].view(np.int64)), pa.array(times.astype(np.int32)),
-                        *[pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())],
-                    ], names)
-            del batch
-            release_memory()
+                # rows of a partition are numbered without gaps
+                rows_of = np.repeat(np.arange(hi - lo, dtype=np.int32), np.diff(first))
+                waiting.append((own[0], tokens[rare], rows_of[rare], key, rows_of[token]))
+                held += len(rare) + len(key)
+                if held >= LOOKUPS:
+                    yield from sent(waiting)
+                    held = 0
+                    release_memory()
+        yield from sent(waiting)
+        release_memory()
 
-    sums = rows.mapInArrow(
-        run, "row bigint, h bigint, times int, doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
+    def packed(batches: Iterator[pa.RecordBatch], kind: int) -> Iterator[pa.RecordBatch]:
+        waiting, held = [], 0
+        for batch in batches:
+            waiting.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+            held += batch.num_rows
+            if held >= LOOKUPS:
+                yield from pieces(_model_blocks(kind, *map(np.concatenate, zip(*waiting)), parts))
+                waiting, held = [], 0
+        if held:
+            yield from pieces(_model_blocks(kind, *map(np.concatenate, zip(*waiting)), parts))
+        waiting.clear()
+        release_memory()
+
+    asked = rows.mapInArrow(run, _ddl(columns)).unionAll(
+        counts.select("h", F.col("c").cast("double")).mapInArrow(lambda batches: packed(batches, _WORD), _ddl(columns))
     )
-    table, model = counts.select("h", "c", F.lit(None).cast("double").alias("v")), tree.model()
     if model is not None:
-        table = table.unionAll(model.select("key", F.lit(None).cast("bigint"), "v"))
-    looked_up = sums.join(table, "h", "left")
-    times, c = F.col("times"), F.coalesce("c", F.lit(0))
-    rest = F.when(times > 0, times * F.log10((c + 1) / F.lit(float(tree.tokens + tree.distinct + 1))))
-    per_row = looked_up.groupBy("row").agg(
+        asked = asked.unionAll(model.select("key", "v").mapInArrow(lambda batches: packed(batches, _LONGER), _ddl(columns)))
+    found = asked.repartition(parts, "part").sortWithinPartitions("part", "kind", "row").mapInArrow(
+        lambda batches: _answered(batches, tree_log), _ddl({"row": "bigint"} | _SUMS | _FOUND)
+    )
+    per_row = found.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("known"),
-        F.sum(F.when((times > 0) & (c > 0), times)).alias("more"), F.sum(rest).alias("rest"),
-        F.max("base_score").alias("base"), F.max("score").alias("value"), F.sum(F.when(times < 0, -times * F.col("v"))).alias("longer"),
+        F.sum("more").alias("more"), F.sum("rest").alias("rest"), F.max("base_score").alias("base"), F.max("score").alias("value"),
+        F.sum("longer").alias("longer"),
     )
     rest = F.coalesce("rest", F.lit(0.0))
     return per_row.select(

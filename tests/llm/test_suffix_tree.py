@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
+from cohortlens.llm import suffix_tree
 from cohortlens.llm.suffix_tree import CLEANUP_KEY, END, _blocks, _distinct, _joined, _tokens, fit_suffix_tree, score_texts
 from cohortlens.llm.tokens import buffers
 from cohortlens.session import checkpoint_dir
@@ -189,3 +190,36 @@ def test_counts_travel_in_blocks_of_bounded_size():
     held = [np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in blocks.column(k)]) for k, kind in ((1, np.uint64), (2, np.uint64), (3, np.int32))]
     expected = collections.Counter(zip(context.tolist(), parent.tolist()))
     assert dict(zip(zip(held[0].tolist(), held[1].tolist()), held[2].tolist())) == expected
+
+
+def test_lookups_travel_in_blocks():
+    """A text's lookups are no rows of their own: few rows carry them all, each within a part of the range of keys."""
+    rng = np.random.default_rng(8)
+    model = np.unique(rng.integers(0, 2**64, 3_000, np.uint64))
+    value = rng.normal(size=len(model))
+    key = np.concatenate([rng.choice(model, 20_000), rng.integers(0, 2**64, 5_000, np.uint64)])
+    row = rng.integers(0, 40, len(key))
+    known = dict(zip(model.tolist(), value.tolist()))
+    expected = collections.Counter()
+    for k, r in zip(key.tolist(), row.tolist()):
+        expected[1000 + r] += known.get(k, 0.0)
+    part, steps, times, rows = suffix_tree._asked(key, row, 8)
+    assert len(part) <= len(key) / suffix_tree.BLOCK + 8 and part.tolist() == sorted(part.tolist())
+    assert sum(map(len, rows)) == 4 * len(key) and max(map(len, rows)) == 4 * suffix_tree.BLOCK
+    blocks = suffix_tree._filled(
+        {"row": "bigint"} | suffix_tree._BLOBS, len(part), {"row": np.full(len(part), 1000), "steps": steps, "times": times, "rows": rows}
+    )
+    n, found = suffix_tree._block_answers(blocks, model, value, None)
+    assert n == 40 and dict(zip(found["row"].tolist(), found["longer"])) == pytest.approx(dict(expected))
+
+
+def test_many_parts_and_small_blocks_give_the_same(docs_of, monkeypatch):
+    docs = docs_of([*chain(9, 120), (None, "a b"), (7, None), (8, "never seen a b c")])
+    tree, counts = fit_suffix_tree(docs, dictionary_share=1e-2, head_keys=0)
+    scored = lambda: sorted((r["doc_id"] or -1, r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in score_texts(docs, tree, counts).collect())
+    before = scored()
+    assert len(before) == 123
+    for name, most in (("LOOKUP_PARTS", 3), ("PART_KEYS", 5), ("BLOCK", 2), ("LOOKUPS", 10)):
+        monkeypatch.setattr(suffix_tree, name, most)
+    for a, b in zip(before, scored()):
+        assert a == pytest.approx(b)
