@@ -10,11 +10,12 @@ from the parent, weighted by its count, reaches ``min_gain`` nats, and its paren
 at least ``min_count`` times behind it, whatever the size of the input. Contexts get longer as long as states pass the test. A
 token is scored by the longest state that ends before it; the start of a text counts as a word of contexts.
 
-Counts are gathered over all training tokens and all words. States and their entries are tables, found by 64-bit hashes of
-their words: the hash of n + 1 tokens is that of the two runs of n tokens in it. Broadcast are only structures of fixed size: a
-bit filter that keeps most other contexts out of the shuffles, and the ``head_keys`` most frequent states and entries; the
-others, and the root counts of words below ``dictionary_share``, are looked up: what the texts ask for travels in blocks to the
-part of the range of keys where the model's own keys are, and sums per text come back. Neither changes any result.
+Counts are gathered over all training tokens and all words. States and their entries are tables of blocks, found by 64-bit
+hashes of their words: the hash of n + 1 tokens is that of the two runs of n tokens in it. What is known of a key meets what asks
+for it in a part of the range of keys, in blocks of numbers, not in rows. Broadcast are only structures of fixed size: a bit
+filter that keeps most other contexts out of the shuffles, and the ``head_keys`` most frequent states and entries; the others,
+and the root counts of words below ``dictionary_share``, are looked up, and sums per text come back. Where few tokens are left
+behind a state, several depths are counted in one pass over the texts. None of this changes any result.
 
 The score is a sum over the depths: a state adds log10 of the share it leaves to its parent, and the next tokens that it keeps
 add what is between that and their own probability.
@@ -26,7 +27,7 @@ neither training nor held out (null) but scored; without training texts every ba
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property, reduce
@@ -45,11 +46,17 @@ from cohortlens.llm.tokens import Words, mix, slices
 MIN_COUNT = 2
 DICTIONARY_SHARE = 5e-7
 HEAD_KEYS, FILTER_BITS = 1 << 20, 1 << 28
+# Texts are hashed about this many bytes at a time, so that what is computed stays in the processor's cache.
+TEXT_BYTES = 1 << 18
+# Of a filter: places in a part of it, and up to how many keys reach the driver as they are.
+FILTER_PART, FEW_KEYS = 1 << 22, 1 << 20
+# Depths counted in one pass, at most: as many as take no more than this share of the tokens together.
+DEPTHS, DEPTHS_SHARE = 8, 0.125
 # Pairs that a worker counts at once, and about how many of all pairs meet in a group.
 PAIRS, GROUP_PAIRS = 1 << 20, 1 << 18
 # Lookups that a worker gathers before it sends them, how many travel in a row, how many parts of the range of keys there are at
 # least, and how many keys of the model are in a part at most.
-LOOKUPS, BLOCK, LOOKUP_PARTS, PART_KEYS = 1 << 21, 256, 32, 1 << 20
+LOOKUPS, BLOCK, LOOKUP_PARTS, PART_KEYS = 1 << 21, 1 << 10, 32, 1 << 20
 MIN_GAIN = 10.0
 SMOOTHING = 20.0
 # Fixed hashes of the end token and of the start, which is never a next token.
@@ -79,6 +86,28 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
+class Lookup:
+    """Sorted keys, found by their first bits: these tell where the keys that begin with them start."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(1, len(keys).bit_length())
+        self.held, self.shift = len(keys), np.uint64(64 - bits)
+        self.keys = np.append(keys, ~np.uint64(0))
+        self.start = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits), out=self.start[1:])
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Place of every wanted key, -1 where it isn't there."""
+        at = self.start[wanted >> self.shift]
+        key = self.keys[at]
+        left = np.flatnonzero(key < wanted)
+        while len(left):
+            at[left] += 1
+            key[left] = self.keys[at[left]]
+            left = left[key[left] < wanted[left]]
+        return np.where((key == wanted) & (at < self.held), at, -1)
+
+
 def _joined(older: np.ndarray, newer: np.ndarray) -> np.ndarray:
     """Hash of n + 1 tokens from those of the first n and the last n."""
     return mix(older * _OLDER + newer * _NEWER)
@@ -89,19 +118,6 @@ def _in_bits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
 
-def _bits_of(keys: DataFrame) -> np.ndarray:
-    """Bit filter of the keys (the only column)."""
-    place = F.pmod(F.col(keys.columns[0]), F.lit(FILTER_BITS)) + 1
-    buckets = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")
-    ).toArrow()
-    out = np.zeros(FILTER_BITS >> 3, np.uint8)
-    for bucket, bits in zip(buckets.column("bucket").to_pylist(), buckets.column("bits")):
-        part = np.frombuffer(bits.as_buffer(), np.uint8)
-        out[(bucket - 1) * 4096 : (bucket - 1) * 4096 + len(part)] = part
-    return out
-
-
 @dataclass
 class SuffixTree:
     tokens: int
@@ -112,17 +128,21 @@ class SuffixTree:
     head: np.ndarray  # sorted keys of the frequent ones
     head_value: np.ndarray
     states: list[DataFrame]  # per depth: ctx, pctx, escape, whole
-    entries: list[DataFrame]  # per depth: entry, ctx, log, value, c
+    kept: list[DataFrame]  # per depth: blocks of states and entries
+    held: int  # how many these are
 
     def __getstate__(self) -> dict:
         """What a worker needs: no tables, only how many."""
-        return self.__dict__ | {"states": [None] * len(self.states), "entries": []}
+        own = {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+        return own | {"states": [None] * len(self.states), "kept": []}
+
+    @cached_property
+    def _words(self) -> tuple[Lookup, np.ndarray, np.ndarray]:
+        return Lookup(self.dictionary), np.append(self.counts, -1), np.append(self.root_log(self.counts), 0.0)
 
-    def model(self) -> DataFrame | None:
-        """``key, v, c`` of all states and entries."""
-        parts = [s.select(_state_key("ctx").alias("key"), F.col("escape").alias("v"), F.col("whole").alias("c")) for s in self.states]
-        parts += [e.select(F.col("entry").alias("key"), F.col("value").alias("v"), "c") for e in self.entries]
-        return reduce(DataFrame.unionAll, parts) if parts else None
+    @cached_property
+    def _head(self) -> Lookup:
+        return Lookup(self.head)
 
     @cached_property
     def _numbered(self) -> tuple[int, list[np.ndarray]]:
@@ -150,9 +170,11 @@ class SuffixTree:
     def root_log(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.tokens + self.distinct + 1))
 
-    def walk(self, tokens: np.ndarray, first: np.ndarray):
-        """Per depth, from 1 on: the tokens (their places) whose context of one word less may be a state, the hashes of the
-        context and of the context with the token, of the token with the context of one word less, and whether that may be an entry."""
+    def walk(self, tokens: np.ndarray, first: np.ndarray, start: int = 1):
+        """Per depth, from ``start`` on: the tokens (their places) whose context of one word less may be a state, the hashes of the
+        context and of the context with the token, of the token with the context of one word less, and whether that may be an
+        entry; then which of these contexts may be states, and which of the latter's tokens may be entries. Beyond the depths
+        of the tree, all may be. At the depth ``start`` also which contexts were counted as pairs at the depth before."""
         rows = len(first) - 1
         length = np.diff(first)
         # a start in front of every text
@@ -161,14 +183,28 @@ class SuffixTree:
         run[at] = tokens
         behind = np.arange(len(tokens)) - np.repeat(first[:-1], length) + 1
         own, listed, d = np.arange(len(tokens)), np.ones(len(tokens), bool), 1
+        counted = np.zeros(len(tokens), bool)
         while len(own):
             longer = run.copy()
             longer[1:] = _joined(run[:-1], run[1:])
             place = at[own]
-            context, entry = run[place - 1], longer[place]
-            yield own, context, entry, run[place], listed
-            alive = _in_bits(self.bits, context ^ np.uint64(STATE)) & (behind[own] > d)
-            own, listed = own[alive], _in_bits(self.bits, entry[alive])
+            context = run[place - 1]
+            if d <= len(self.states):
+                inside = np.flatnonzero(_in_bits(self.bits, context ^ np.uint64(STATE)))
+            else:
+                inside = np.arange(len(own))
+            entered = np.ones(len(inside), bool)
+            if d >= start - 1:
+                entry = longer[place]
+                if d <= len(self.states):
+                    entered = _in_bits(self.bits, entry[inside])
+                if d >= start:
+                    yield own, context, entry, run[place], listed, inside, entered, counted[own - 1] if d == start else None
+                else:
+                    counted[own[listed]] = True
+            own = own[inside]
+            alive = np.flatnonzero(behind[own] > d)
+            own, listed = own[alive], entered[alive]
             run, d = longer, d + 1
 
     def score(self, tokens: np.ndarray, first: np.ndarray):
@@ -179,53 +215,40 @@ class SuffixTree:
 
     def parts(self, tokens: np.ndarray, first: np.ndarray):
         """``score``, and the tokens with keys that are still to be looked up."""
-        distinct, which = np.unique(tokens, return_inverse=True)
-        place = _find(self.dictionary, distinct)
-        known = np.where(place >= 0, self.counts[np.maximum(place, 0)] if len(self.counts) else 0, -1)
-        count = known[which]
-        value = np.where(count >= 0, self.root_log(np.maximum(known, 0))[which], 0.0)
-        root = value.copy()
+        words, counts, logs = self._words
+        place = words.find(tokens)
+        count, root = counts[place], logs[place]
+        value = root.copy()
         token, key = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for d, (own, context, entry, _, _) in enumerate(self.walk(tokens, first)):
-            if d == len(self.states):
-                break
-            state = context ^ np.uint64(STATE)
-            inside = _in_bits(self.bits, state)
-            own, state, entry = own[inside], state[inside], entry[inside]
-            listed = _in_bits(self.bits, entry)
-            for places, keys in ((own, state), (own[listed], entry[listed])):
-                found = _find(self.head, keys)
-                held = found >= 0
+        for own, context, entry, _, _, inside, entered, _ in islice(self.walk(tokens, first), len(self.states)):
+            own = own[inside]
+            for places, keys in ((own, context[inside] ^ np.uint64(STATE)), (own[entered], entry[inside[entered]])):
+                found = self._head.find(keys)
+                held, other = np.flatnonzero(found >= 0), np.flatnonzero(found < 0)
                 value[places[held]] += self.head_value[found[held]]
-                token.append(places[~held])
-                key.append(keys[~held])
+                token.append(places[other])
+                key.append(keys[other])
         return count, root, value, np.concatenate(token), np.concatenate(key)
 
 
-def _state_key(column: str):
-    return F.col(column).bitwiseXOR(F.lit(STATE).cast("bigint"))
-
-
-def _word_counts(train: DataFrame) -> DataFrame:
-    """``h, c`` over the training texts (one column)."""
-    ship_package(train.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [np.zeros(0, np.uint64)]
-            for _, _, data, offsets in slices(batch.column(0)):
-                parts.append(_tokens(data, offsets)[0])
-            h, c = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
-            del batch, parts, h, c
-            release_memory()
-
-    return train.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+def _order(key: np.ndarray) -> np.ndarray:
+    """Order of the keys, equal ones as they come: sorted with their places in the last bits, which is faster."""
+    bits = max(len(key) - 1, 1).bit_length()
+    if bits <= 24:
+        last = np.uint64((1 << bits) - 1)
+        packed = (key & ~last) | np.arange(len(key), dtype=np.uint64)
+        packed.sort()
+        order = (packed & last).astype(np.int64)
+        key_in_order = key[order]
+        # the bits that were left out seldom matter
+        if (key_in_order[1:] >= key_in_order[:-1]).all():
+            return order
+    return np.argsort(key, kind="stable")
 
 
 def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The keys' order, the first of each distinct key in it, where they are among the keys, and the distinct keys."""
-    order = np.argsort(key)
+    order = _order(key)
     key = key[order]
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
@@ -233,74 +256,249 @@ def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return order, first, order[first], key[first]
 
 
+def _part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    return (key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+
+
+def _cut(x: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The numbers between each two ends, as bytes."""
+    x = np.ascontiguousarray(x)
+    return pa.Array.from_buffers(
+        pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)]
+    )
+
+
+def _flat(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The numbers held in a column of bytes, one row after the other."""
+    if isinstance(column, pa.ChunkedArray):
+        return np.concatenate([_flat(x, kind) for x in column.chunks] or [np.zeros(0, kind)])
+    _, ends, data = column.buffers()
+    if data is None or not len(column):
+        return np.zeros(0, kind)
+    ends = np.frombuffer(ends, np.int32)
+    at, end = int(ends[column.offset]), int(ends[column.offset + len(column)])
+    return np.frombuffer(data, kind, (end - at) // np.dtype(kind).itemsize, at)
+
+
+# Keys with what is held for each travel and are stored as rows of up to ``RUN`` of them: ``a`` and ``b`` hold keys, ``c`` counts,
+# ``d`` and ``e`` other numbers; ``n`` is how many, ``total`` the sum of the counts.
+RUN = 1 << 13
+_KINDS = {"a": np.uint64, "b": np.uint64, "c": np.int64, "d": np.float64, "e": np.float64}
+_HELD = {"level": "int", "part": "int", "kind": "int", "n": "bigint", "total": "bigint"} | dict.fromkeys(_KINDS, "binary")
+# Of the first two a context's own count; the pairs of a context and a next token. Then what the tree keeps.
+_ALONE, _PAIR, _STATE, _ENTRY = range(4)
+# In a part: what is known of a key, and what asks for it.
+_KNOWN, _ASKING = range(2)
+
+
+def _packed(kind: int, values: Sequence[np.ndarray | None], part: np.ndarray | None = None, level: int = 0) -> pa.RecordBatch:
+    """Rows that hold the values, whose parts come one after the other."""
+    n = len(values[0])
+    edge = np.flatnonzero(np.diff(part, prepend=-1)) if part is not None else np.zeros(min(n, 1), np.int64)
+    cuts = np.concatenate([np.arange(a, b, RUN) for a, b in zip(edge, np.append(edge[1:], n))] or [edge])
+    ends = np.append(cuts, n).astype(np.int64)
+    total = np.add.reduceat(values[2], cuts) if len(values) > 2 and values[2] is not None and n else np.zeros(len(cuts), np.int64)
+    held = dict(zip(_KINDS, values))
+    held = [pa.nulls(len(cuts), pa.binary()) if held.get(k) is None else _cut(held[k], ends) for k in _KINDS]
+    same = lambda x: pa.array(np.full(len(cuts), x, np.int32))
+    parts = pa.array(part[cuts].astype(np.int32)) if part is not None else same(0)
+    return pa.RecordBatch.from_arrays([same(level), parts, same(kind), pa.array(np.diff(ends)), pa.array(total), *held], list(_HELD))
+
+
+def _values(rows: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
+    return [_flat(rows.column(k), kind) for k, kind in _KINDS.items()]
+
+
+def _ddl(columns: dict[str, str]) -> str:
+    return ", ".join(f"{k} {t}" for k, t in columns.items())
+
+
+def _gathered(found: Iterator[Sequence[np.ndarray | None]], most: int) -> Iterator[list[np.ndarray | None]]:
+    """Values put together until there are about so many."""
+    joined = lambda: [None if x[0] is None else np.concatenate(x) for x in zip(*waiting)]
+    waiting, held = [], 0
+    for values in found:
+        if len(values[0]):
+            waiting.append(values)
+            held += len(values[0])
+        if held >= most:
+            yield joined()
+            waiting, held = [], 0
+    if held:
+        yield joined()
+
+
+def _dealt(found: Iterator[Sequence[np.ndarray | None]], kind: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Values as rows for the parts of the range of keys that their first ones are in."""
+    for values in _gathered(found, PAIRS):
+        order = _order(values[0])
+        values = [None if x is None else x[order] for x in values]
+        yield from pieces(_packed(kind, values, _part_of(values[0], parts).astype(np.int64)))
+    release_memory()
+
+
+def _in_tasks(table: DataFrame, n: int) -> DataFrame:
+    """A table of blocks that hold n keys, read by no more tasks than these need: a task takes a while to begin."""
+    return table.coalesce(max(1, -(-n // GROUP_PAIRS)))
+
+
+def _sent(
+    table: DataFrame, n: int, change: Callable[[pa.RecordBatch], Sequence[np.ndarray | None]], kind: int, parts: int
+) -> DataFrame:
+    return _in_tasks(table, n).mapInArrow(lambda batches: _dealt(map(change, batches), kind, parts), _ddl(_HELD))
+
+
+def _meeting(known: DataFrame, asking: DataFrame, parts: int) -> DataFrame:
+    """Rows of each part together, what is known first."""
+    return known.unionAll(asking).repartition(parts, "part").sortWithinPartitions("part", "kind")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """Part, kind and values of consecutive rows of a part and a kind."""
+    for batch in batches:
+        part, kind = batch.column("part").to_numpy(), batch.column("kind").to_numpy()
+        edge = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(kind, prepend=-1) != 0)).tolist()
+        for a, b in zip(edge, [*edge[1:], len(part)]):
+            yield int(part[a]), int(kind[a]), _values(batch.slice(a, b - a))
+
+
+def _words_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the training tokens: every word is a context, and every text has a start and an end."""
+    context, _, c, _, _ = _values(batch)
+    return np.where(context == START, END, context), c
+
+
+def _keyed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of states and entries, what each adds to a score, and their counts."""
+    a, _, c, d, _ = _values(batch)
+    state = np.repeat(batch.column("kind").to_numpy() == _STATE, batch.column("n").to_numpy())
+    return np.where(state, a ^ np.uint64(STATE), a), d, c
+
+
+def _all_kept(tree: SuffixTree) -> DataFrame:
+    return _in_tasks(reduce(DataFrame.unionAll, tree.kept), tree.held)
+
+
+def _state_rows(kept: DataFrame) -> DataFrame:
+    """``ctx, pctx, escape, whole``, a row per state."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, parent, whole, escape, _ = _values(batch)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(x.view(np.int64)) for x in (context, parent)), pa.array(escape), pa.array(whole)], ["ctx", "pctx", "escape", "whole"]
+            )
+
+    return kept.where(F.col("kind") == _STATE).mapInArrow(run, "ctx bigint, pctx bigint, escape double, whole bigint")
+
+
+def _bits_of(table: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], n: int) -> np.ndarray:
+    """Bit filter of the n keys that are in a table of blocks."""
+    few = n <= FEW_KEYS
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = np.unique((keys(batch) & np.uint64(FILTER_BITS - 1)).astype(np.uint32))
+            part = (place // np.uint32(FILTER_PART)).astype(np.int64) * (not few)
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            held = _cut(place, np.append(first, len(place)))
+            yield pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), held], ["part", "held"])
+
+    def merged(rows: pa.Table) -> pa.Table:
+        flags = np.zeros(FILTER_PART, bool)
+        flags[_flat(rows.column("held"), np.uint32) % FILTER_PART] = True
+        bits = np.packbits(flags, bitorder="little")
+        return pa.table({"part": rows.column("part").slice(0, 1), "held": pa.array([bits.tobytes()], pa.binary())})
+
+    rows = _in_tasks(table, n).mapInArrow(places, "part int, held binary")
+    out = np.zeros(FILTER_BITS >> 3, np.uint8)
+    if few:
+        place = _flat(rows.toArrow().column("held"), np.uint32)
+        np.bitwise_or.at(out, place >> 3, (1 << (place & 7)).astype(np.uint8))
+        return out
+    size = FILTER_PART >> 3
+    found = rows.groupBy("part").applyInArrow(merged, "part int, held binary").toArrow()
+    for part, held in zip(found.column("part").to_pylist(), found.column("held")):
+        out[part * size : (part + 1) * size] = np.frombuffer(held.as_buffer(), np.uint8)
+    return out
+
+
 def _blocks(key: np.ndarray, context: np.ndarray, parent: np.ndarray, c: np.ndarray, parts: int) -> pa.RecordBatch:
     """Counts as one row per part of the range of keys: ``part``, and as bytes ``ctx, pentry, c``."""
     part = _part_of(key, parts)
     first = np.flatnonzero(np.diff(part, prepend=np.uint64(parts)))
     ends = np.append(first, len(key))
-    column = lambda x: pa.Array.from_buffers(
-        pa.binary(), len(first), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)]
-    )
-    held = [column(x) for x in (context, parent, c.astype(np.int32))]
+    held = [_cut(x, ends) for x in (context, parent, c.astype(np.int32))]
     return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), *held], ["part", "ctx", "pentry", "c"])
 
 
 def _block_sums(blocks: DataFrame, min_count: int) -> DataFrame:
-    """``ctx, pentry, c`` from blocks, where the sum is at least ``min_count``."""
+    """Sums of the counts in blocks, where they are at least ``min_count``; of single words, all."""
 
     def run(table: pa.Table) -> pa.Table:
-        of = lambda k, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(k)])
-        context, parent, c = of("ctx", np.uint64), of("pentry", np.uint64), of("c", np.int32).astype(np.int64)
+        level, part = table.column("level")[0].as_py(), table.column("part")[0].as_py()
+        context, parent = _flat(table.column("ctx"), np.uint64), _flat(table.column("pentry"), np.uint64)
+        c = _flat(table.column("c"), np.int32).astype(np.int64)
         # counts below zero are those of contexts themselves
         order, first, at, _ = _distinct(np.where(c < 0, context ^ np.uint64(STATE), _joined(context, parent)))
         c = np.add.reduceat(c[order], first)
-        keep = np.abs(c) >= min_count
-        context, parent, c = context[at[keep]], parent[at[keep]], c[keep]
-        return pa.table({
-            "ctx": pa.array(context.view(np.int64)), "pentry": pa.array(parent.view(np.int64), mask=c < 0), "c": pa.array(np.abs(c)),
-        })
-
-    return blocks.groupBy("part").applyInArrow(run, "ctx bigint, pentry bigint, c bigint")
-
-
-def _context_counts(train: DataFrame, shared: Broadcast, depth: int, min_count: int, parts: int) -> DataFrame:
-    """``ctx, pentry, c`` of contexts of ``depth`` words whose parent may be a state and which are seen with a next token
-    at least ``min_count`` times; ``pentry`` is the token with the parent. From depth 3 on there is a row without ``pentry`` for
-    the count of the context itself. ``shared`` holds the tree and a filter of contexts worth counting, if any. Counts travel in
-    blocks, one per ``parts``-th of the range of keys, so that what is seen once is no row of its own."""
-
-    def counted(waiting: list[list]) -> Iterator[pa.RecordBatch]:
-        contexts, parents, alone = waiting
-        if contexts:
-            context, parent = np.concatenate(contexts), np.concatenate(parents)
-            contexts.clear()
-            parents.clear()
-            _, first, at, key = _distinct(_joined(context, parent))
-            c = np.diff(np.append(first, len(context)))
-            yield from pieces(_blocks(key, context[at], parent[at], c, parts))
-        if alone:
-            key = np.concatenate(alone) ^ np.uint64(STATE)
-            alone.clear()
-            n = len(key)
-            _, first, _, key = _distinct(key)
-            c = -np.diff(np.append(first, n))
-            yield from pieces(_blocks(key, key ^ np.uint64(STATE), np.zeros(len(key), np.uint64), c, parts))
+        alone = np.flatnonzero(c <= (-1 if level == 1 else -min_count))
+        pair = np.flatnonzero(c >= min_count)
+        found = [
+            _packed(kind, [context[at[own]], next_, np.abs(c[own])], np.full(len(own), part, np.int64), level)
+            for kind, own, next_ in ((_ALONE, alone, None), (_PAIR, pair, parent[at[pair]])) if len(own)
+        ]
+        return pa.Table.from_batches(found, _packed(_PAIR, [np.zeros(0, np.uint64)]).schema)
+
+    return blocks.groupBy("part", "level").applyInArrow(run, _ddl(_HELD))
+
+
+def _context_counts(train: DataFrame, shared: Broadcast, depths: range, min_count: int, parts: int) -> DataFrame:
+    """Counts (``_PAIR``: ``ctx, pentry, c``) of contexts of so many words (the ``level``) whose parent may be a state and which
+    are seen with a next token at least ``min_count`` times; ``pentry`` is the token with the parent. But for two words, there
+    are the counts of the contexts themselves (``_ALONE``: ``ctx, -, c``). ``shared`` holds the tree and a filter, if any, of the
+    pairs of the depth before: a context that was counted among them and isn't there has too few next tokens. Counts travel in blocks, one per ``parts``-th of the range of keys, so that what is seen once is no
+    row of its own."""
+
+    def counted(waiting: dict[int, tuple[list, list, list]]) -> Iterator[pa.RecordBatch]:
+        for level, (contexts, parents, alone) in waiting.items():
+            blocks = []
+            if contexts:
+                context, parent = np.concatenate(contexts), np.concatenate(parents)
+                contexts.clear()
+                parents.clear()
+                _, first, at, key = _distinct(_joined(context, parent))
+                c = np.diff(np.append(first, len(context)))
+                blocks.append(_blocks(key, context[at], parent[at], c, parts))
+            if alone:
+                key = np.concatenate(alone) ^ np.uint64(STATE)
+                alone.clear()
+                n = len(key)
+                _, first, _, key = _distinct(key)
+                c = -np.diff(np.append(first, n))
+                blocks.append(_blocks(key, key ^ np.uint64(STATE), np.zeros(len(key), np.uint64), c, parts))
+            for block in blocks:
+                yield from pieces(block.append_column("level", pa.array(np.full(block.num_rows, level, np.int32))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, repeated = shared.value
-        waiting, held = [[], [], []], 0
+        waiting, held = {level: ([], [], []) for level in depths}, 0
         for texts in (piece.column(0) for batch in batches for piece in pieces(batch)):
-            for _, _, data, offsets in slices(texts):
-                level = next(islice(tree.walk(*_tokens(data, offsets)), depth - 1, None), None)
-                if level is None:
-                    continue
-                _, context, _, parent, listed = level
-                keep = listed if repeated is None else listed & _in_bits(repeated, context)
-                waiting[0].append(context[keep])
-                waiting[1].append(parent[keep])
-                if depth > 2:
-                    waiting[2].append(context)
-                held += len(waiting[0][-1]) + (len(context) if depth > 2 else 0)
+            for _, _, data, offsets in slices(texts, TEXT_BYTES):
+                walk = tree.walk(*_tokens(data, offsets), depths.start)
+                for level, (_, context, _, parent, listed, _, _, known) in zip(depths, walk):
+                    if repeated is not None and known is not None:
+                        known = np.flatnonzero(known)
+                        worth = np.ones(len(context), bool)
+                        worth[known] = _in_bits(repeated, context[known])
+                        context, parent, listed = context[worth], parent[worth], listed[worth]
+                    keep = np.flatnonzero(listed)
+                    waiting[level][0].append(context[keep])
+                    waiting[level][1].append(parent[keep])
+                    held += len(waiting[level][0][-1])
+                    if level != 2:
+                        waiting[level][2].append(context)
+                        held += len(context) if level > 2 else 0
                 if held >= PAIRS:
                     yield from counted(waiting)
                     held = 0
@@ -308,21 +506,7 @@ def _context_counts(train: DataFrame, shared: Broadcast, depth: int, min_count:
         yield from counted(waiting)
         release_memory()
 
-    return _block_sums(train.mapInArrow(run, "part int, ctx binary, pentry binary, c binary"), min_count)
-
-
-def _with_entry(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with ``entry`` in place of ``pentry``."""
-    columns = ["entry" if k == "pentry" else k for k in pairs.columns]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            context, parent = (batch.column(k).to_numpy().view(np.uint64) for k in ("ctx", "pentry"))
-            entry = pa.array(_joined(context, parent).view(np.int64))
-            yield pa.RecordBatch.from_arrays([entry if k == "entry" else batch.column(k) for k in columns], columns)
-
-    kinds = dict(pairs.dtypes) | {"entry": "bigint"}
-    return pairs.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in columns))
+    return _block_sums(train.mapInArrow(run, "part int, ctx binary, pentry binary, c binary, level int"), min_count)
 
 
 CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -345,50 +529,141 @@ def _spent(table: DataFrame) -> None:
     discarded(table.sparkSession, files[0].rsplit("/", 1)[0] if files else None)
 
 
-def _grow(tree: SuffixTree, counted: DataFrame, totals: DataFrame, parents: DataFrame, min_gain: float, smoothing: float) -> bool:
-    """Add the states of the next depth to the tree; whether there are any. ``totals``: ``ctx, whole``; ``parents``: ``pentry,
-    pctx, plog``, the parent's log10 P of the entries it keeps. A token kept by a state is kept by its parent, too."""
-    pairs = counted.where("pentry is not null")
-    whole, listed, c = F.col("whole"), F.col("listed"), F.col("c")
-    sums = pairs.groupBy("ctx").agg(F.sum("c").alias("listed")).join(totals, "ctx").select(
-        "ctx", "whole", "listed", F.log10((whole - listed + smoothing) / (whole + smoothing)).alias("escape")
+def _with_parents(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Pairs with what is known of the next token with the parent: ``ctx, pentry, c, plog, pctx``, dealt out by their contexts."""
+
+    def found() -> Iterator[Sequence[np.ndarray]]:
+        current, known = None, []
+        for part, kind, (key, other, c, plog, _) in _runs(batches):
+            if part != current:
+                current, known = part, []
+            if kind == _KNOWN:
+                known.append((key, other, plog))
+                continue
+            if isinstance(known, list):
+                known = [np.concatenate(x) for x in zip(*known)] or [np.zeros(0, k) for k in (np.uint64, np.uint64, np.float64)]
+                order = _order(known[0])
+                known = tuple(x[order] for x in known)
+            at = _find(known[0], key)
+            have = np.flatnonzero(at >= 0)
+            at = at[have]
+            yield other[have], key[have], c[have], known[2][at], known[1][at].view(np.float64)
+
+    return _dealt(found(), _ASKING, parts)
+
+
+def _kept_of(batches: Iterator[pa.RecordBatch], min_gain: float, smoothing: float) -> Iterator[pa.RecordBatch]:
+    """Of a part's contexts, the states (``ctx, pctx, whole, escape``) and their entries (``entry, ctx, c, value, log``)."""
+
+    def tested(totals: list, pairs: list) -> Iterator[pa.RecordBatch]:
+        if not totals or not pairs:
+            return
+        (known, whole), (context, parent, c, plog, above) = ([np.concatenate(x) for x in zip(*held)] for held in (totals, pairs))
+        order = _order(known)
+        known, whole = known[order], whole[order]
+        order, first, _, key = _distinct(context)
+        at = _find(known, key)
+        parent, c, plog, above = (x[order] for x in (parent, c, plog, above))
+        times = np.diff(np.append(first, len(order)))
+        listed, whole = np.add.reduceat(c, first), np.where(at >= 0, whole[at], 0)
+        escape = np.log10((whole - listed + smoothing) / (whole + smoothing), where=at >= 0, out=np.zeros(len(at)))
+        of = lambda x: np.repeat(x, times)
+        log = np.log10(c / of(whole + smoothing) + 10.0 ** (of(escape) + plog))
+        gain = np.add.reduceat(c * (log - plog), first) + (whole - listed) * escape
+        state = (at >= 0) & (gain * float(np.log(10)) >= min_gain)
+        if state.any():
+            yield _packed(_STATE, [key[state], above.view(np.uint64)[first[state]], whole[state], escape[state]])
+            own, context = of(state), of(key)
+            value = log - plog - of(escape)
+            entry = _joined(context[own], parent[own])
+            yield from pieces(_packed(_ENTRY, [entry, context[own], c[own], value[own], log[own]]))
+
+    current, held = None, ([], [])
+    for part, kind, (a, b, c, d, e) in _runs(batches):
+        if part != current:
+            yield from tested(*held)
+            current, held = part, ([], [])
+        held[kind].append((a, c) if kind == _KNOWN else (a, b, c, d, e))
+    yield from tested(*held)
+    release_memory()
+
+
+def _grow(
+    tree: SuffixTree, pairs: DataFrame, totals: Callable[[int], DataFrame], parents: Callable[[int], DataFrame], n: int,
+    known: int, min_gain: float, smoothing: float,
+) -> tuple[int, int]:
+    """Add the states of the next depth to the tree; the sum of their counts, and how many entries there are (zero if there are
+    no states). ``totals`` and ``parents`` deal out to so many parts: the counts of contexts; of the tokens with the parent, the
+    parent and its log10 P of the entries it keeps. A token kept by a state is kept by its parent, too. There are ``n`` pairs
+    and as many as ``known`` of the others."""
+    parts = -(-(n + known) // GROUP_PAIRS)
+
+    def asking(batch: pa.RecordBatch) -> Sequence[np.ndarray | None]:
+        context, parent, c, _, _ = _values(batch)
+        return parent, context, c
+
+    found = _meeting(parents(parts), _sent(pairs, n, asking, _ASKING, parts), parts).mapInArrow(
+        lambda batches: _with_parents(batches, parts), _ddl(_HELD)
     )
-    own = F.log10(c / (whole + smoothing) + F.pow(F.lit(10.0), F.col("escape") + F.col("plog")))
-    joined = pairs.join(parents, "pentry").join(sums, "ctx").select("ctx", "pentry", "pctx", "c", "plog", "escape", "whole", "listed", own.alias("log"))
-    all_entries = stored(joined, "tree-entries")
-    gain = F.sum(c * (F.col("log") - F.col("plog"))) + F.first((whole - listed) * F.col("escape"))
-    states = all_entries.groupBy("ctx").agg(
-        F.first("pctx").alias("pctx"), F.first("escape").alias("escape"), F.first("whole").alias("whole"), gain.alias("gain")
-    ).where(F.col("gain") * float(np.log(10)) >= min_gain).drop("gain")
-    states = stored(states, "tree-states")
-    if states.isEmpty():
-        _spent(all_entries)
-        return False
-    value = (F.col("log") - F.col("plog") - F.col("escape")).alias("value")
-    kept = _with_entry(all_entries.select("pentry", "ctx", "log", value, "c").join(states.select("ctx"), "ctx", "left_semi"))
-    tree.states.append(states)
-    tree.entries.append(stored(kept, "tree-kept"))
-    _spent(all_entries)
-    tree.bits |= _bits_of(states.select(_state_key("ctx").alias("key")).unionAll(tree.entries[-1].select("entry")))
-    return True
+    kept = _meeting(totals(parts), found, parts).mapInArrow(lambda batches: _kept_of(batches, min_gain, smoothing), _ddl(_HELD))
+    kept = stored(kept, "tree-kept")
+    sizes = _sizes(kept)
+    if not sizes:
+        _spent(kept)
+        return 0, 0
+    whole, entries = sizes[_STATE, 0][1], sizes[_ENTRY, 0][0]
+    held = sizes[_STATE, 0][0] + entries
+    tree.kept.append(kept)
+    tree.states.append(_state_rows(kept))
+    tree.held += held
+    tree.bits |= _bits_of(kept, lambda batch: _keyed(batch)[0], held)
+    return whole, entries
+
+
+def _sizes(table: DataFrame) -> dict[tuple[int, int], tuple[int, int]]:
+    """By kind and level: how many keys there are, and the sum of the counts."""
+    return {(r["kind"], r["level"]): (r["n"], r["total"]) for r in table.groupBy("kind", "level").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()}
+
+
+def _no_parents(tree: SuffixTree, d: int) -> None:
+    """Entries of a depth whose states have been tested are only looked up from now on: what their children needed goes."""
+    kept = tree.kept[d - 1]
+    of_state = lambda k: F.when(F.col("kind") == _STATE, F.col(k)).alias(k)
+    tree.kept[d - 1] = stored(kept.select(*(of_state(k) if k in ("b", "e") else k for k in _HELD)), "tree-kept")
+    tree.states[d - 1] = _state_rows(tree.kept[d - 1])
+    _spent(kept)
 
 
 def _set_head(tree: SuffixTree, most: int) -> None:
     """Take the most frequent keys, at most ``most``, whose counts are above a common bound."""
-    model = tree.model()
-    if model is None:
+    if not tree.kept:
         return
-    band = F.floor(F.log2("c") * 8)
+    model = _all_kept(tree)
+    band_of = lambda c: np.floor(np.log2(c) * 8).astype(np.int64)
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            band, n = np.unique(band_of(_keyed(batch)[2]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(n)], ["band", "n"])
+
     low = None
-    for row in sorted(model.groupBy(band.alias("band")).count().collect(), reverse=True):
-        most -= row["count"]
+    for row in sorted(model.mapInArrow(bands, "band bigint, n bigint").groupBy("band").agg(F.sum("n").alias("n")).collect(), reverse=True):
+        most -= row["n"]
         if most < 0:
             break
         low = row["band"]
     if low is not None:
-        rows = model.where(band >= low).select("key", "v").toArrow()
-        key, value = rows.column("key").to_numpy().astype(np.int64).view(np.uint64), rows.column("v").to_numpy()
-        order = np.argsort(key)
+
+        def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                key, value, c = _keyed(batch)
+                own = np.flatnonzero(band_of(c) >= low)
+                yield _packed(_KNOWN, [key[own], None, None, value[own]])
+
+        rows = model.mapInArrow(taken, _ddl(_HELD)).select("a", "d").toArrow()
+        key, value = _flat(rows.column("a"), np.uint64), _flat(rows.column("d"), np.float64)
+        del rows
+        order = _order(key)
         tree.head, tree.head_value = key[order], value[order]
 
 
@@ -396,8 +671,8 @@ def fit_suffix_tree(
     train: DataFrame, depth: int | None = None, min_count: int = MIN_COUNT, dictionary_share: float = DICTIONARY_SHARE,
     min_gain: float = MIN_GAIN, smoothing: float = SMOOTHING, head_keys: int = HEAD_KEYS,
 ) -> tuple[SuffixTree, DataFrame]:
-    """The tree, and the counts ``h, c`` of all training tokens, from a table with a ``text`` column. With a ``depth`` no context
-    is longer."""
+    """The tree, and the counts of all training tokens (a table of blocks), from a table with a ``text`` column. With a
+    ``depth`` no context is longer."""
     with _shuffles_removed(train.sparkSession):
         return _fit(train, depth, min_count, dictionary_share, min_gain, smoothing, head_keys)
 
@@ -405,57 +680,99 @@ def fit_suffix_tree(
 def _fit(
     train: DataFrame, depth: int | None, min_count: int, dictionary_share: float, min_gain: float, smoothing: float, head_keys: int
 ) -> tuple[SuffixTree, DataFrame]:
+    spark = train.sparkSession
+    ship_package(spark)
     texts = train.select(F.col("text").cast("string"))
-    counts = stored(_word_counts(texts), "tree-words")
-    tokens, distinct = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
-    tokens = tokens or 0
-    # bounded by 1 / dictionary_share
-    frequent = counts.where(F.col("c") >= max(1, int(np.ceil(tokens * dictionary_share)))).toArrow()
-    h, c = frequent.column("h").to_numpy().astype(np.int64).view(np.uint64), frequent.column("c").to_numpy().astype(np.int64)
-    del frequent
-    order = np.argsort(h)
-    bits = np.zeros(FILTER_BITS >> 3, np.uint8)
-    tree = SuffixTree(tokens, distinct, h[order], c[order], bits, np.zeros(0, np.uint64), np.zeros(0), [], [])
-    # every word has a next token, and every text a start and an end
-    signed = lambda x: F.lit(int(x.astype(np.int64))).cast("bigint")
-    totals = counts.select(F.when(F.col("h") == signed(END), signed(START)).otherwise(F.col("h")).alias("ctx"), F.col("c").alias("whole"))
-    parents = counts.select(
-        F.col("h").alias("pentry"), F.lit(0).cast("bigint").alias("pctx"),
-        F.log10((F.col("c") + 1) / F.lit(float(tokens + distinct + 1))).alias("plog"),
-    )
-    repeated, before = None, None
-    while tokens and (depth is None or len(tree.states) < depth):
-        d = len(tree.states) + 1
-        shared = train.sparkSession.sparkContext.broadcast((tree, repeated))
-        counted = stored(_context_counts(texts, shared, d, min_count, -(-tokens // GROUP_PAIRS)), "tree-contexts")
+    length, rows = texts.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    # words have some five letters
+    counting = -(-((length or 0) // 6 + rows) // GROUP_PAIRS) or 1
+
+    def counted_at(depths: range, repeated: np.ndarray | None) -> DataFrame:
+        shared = spark.sparkContext.broadcast((tree, repeated))
+        counted = stored(_context_counts(texts, shared, depths, min_count, counting), "tree-contexts")
         shared.destroy()
         del shared
         # the driver gives back what the copies for the workers took
         release_memory()
-        if d > 2:
-            totals = counted.where("pentry is null").select("ctx", F.col("c").alias("whole"))
-        grown = _grow(tree, counted, totals, parents, min_gain, smoothing)
+        return counted
+
+    none = np.zeros(0, np.uint64)
+    # counting words and their pairs needs no filter
+    tree = SuffixTree(0, 0, none, none.astype(np.int64), np.zeros(0, np.uint8), none, np.zeros(0), [], [], 0)
+    counted = before = counted_at(range(1, 2), None)
+    words = stored(counted.where(F.col("kind") == _ALONE), "tree-words")
+    tree.tokens, tree.distinct = (x or 0 for x in words.agg(F.sum("total"), F.sum("n")).first())
+    least, bottom = max(1, int(np.ceil(tree.tokens * dictionary_share))), float(tree.tokens + tree.distinct + 1)
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, c = _words_of(batch)
+            own = np.flatnonzero(c >= least)
+            yield _packed(_KNOWN, [h[own], None, c[own]])
+
+    # bounded by 1 / dictionary_share
+    found = words.mapInArrow(frequent, _ddl(_HELD)).select("a", "c").toArrow()
+    h, c = _flat(found.column("a"), np.uint64), _flat(found.column("c"), np.int64)
+    del found
+    order = _order(h)
+    tree.dictionary, tree.counts, tree.bits = h[order], c[order], np.zeros(FILTER_BITS >> 3, np.uint8)
+
+    def own_count(batch: pa.RecordBatch) -> Sequence[np.ndarray | None]:
+        context, _, c, _, _ = _values(batch)
+        return context, None, c
+
+    def pair(batch: pa.RecordBatch) -> Sequence[np.ndarray | None]:
+        context, parent, c, _, _ = _values(batch)
+        return _joined(context, parent), None, c
+
+    def word(batch: pa.RecordBatch) -> Sequence[np.ndarray | None]:
+        h, c = _words_of(batch)
+        # what is seen less isn't in a pair either
+        h, c = h[c >= min_count], c[c >= min_count]
+        return h, np.zeros(len(h), np.uint64), None, np.log10((c + 1) / bottom)
+
+    def entry(batch: pa.RecordBatch) -> Sequence[np.ndarray | None]:
+        entry, context, _, _, log = _values(batch)
+        return entry, context, None, log
+
+    of_kind = lambda table, kind, level: table.where((F.col("kind") == kind) & (F.col("level") == level))
+    depths, d, sizes, entries = range(1, 2), 1, _sizes(counted), tree.distinct
+    while tree.tokens and (depth is None or d <= depth):
+        if d not in depths:
+            more = min(DEPTHS, int(tree.tokens * DEPTHS_SHARE) // whole) if d > 2 else 1
+            depths = range(d, min(d + max(1, more), d + DEPTHS if depth is None else depth + 1))
+            counted = counted_at(depths, repeated)
+            sizes |= _sizes(counted)
+        n = sizes.get((_PAIR, d), (0, 0))[0]
         # the counts of one depth are the totals of the next
-        for table in (before, None if grown and d == 1 else counted):
-            if table is not None:
-                _spent(table)
-        if not grown:
+        sums, of, change = (before, (_PAIR, 1), pair) if d == 2 else (counted, (_ALONE, d), own_count)
+        above, known = (words, word) if d == 1 else (tree.kept[-1].where(F.col("kind") == _ENTRY), entry)
+        summed = sizes.get(of, (0, 0))[0]
+        whole, entries = _grow(
+            tree, of_kind(counted, _PAIR, d), lambda parts: _sent(of_kind(sums, *of), summed, change, _KNOWN, parts),
+            lambda parts: _sent(above, entries, known, _KNOWN, parts), n, max(summed, entries), min_gain, smoothing,
+        ) if n else (0, 0)
+        if d > 1:
+            _no_parents(tree, d - 1)
+        if d == 2:
+            _spent(before)
+            before = None
+        d += 1
+        if d not in depths:
+            repeated = _bits_of(of_kind(counted, _PAIR, d - 1), lambda batch: pair(batch)[0], n) if whole else None
+            if counted is not before:
+                _spent(counted)
+                counted = None
+        if not whole:
             break
-        before = counted if d == 1 else None
-        parents = tree.entries[-1].select(F.col("entry").alias("pentry"), F.col("ctx").alias("pctx"), F.col("log").alias("plog"))
-        # all pairs of words were counted: a longer context that isn't among them has too few next tokens
-        repeated = _bits_of(_with_entry(counted.select("ctx", "pentry")).select("entry")) if d == 1 else None
-        if d == 1:
-            totals = _with_entry(counted).select(F.col("entry").alias("ctx"), F.col("c").alias("whole"))
-    if before is not None and len(tree.states) == depth:
-        _spent(before)
+    if tree.kept and len(tree.kept) == d - 1:
+        _no_parents(tree, d - 1)
+    for table in (before, counted if counted is not before else None):
+        if table is not None:
+            _spent(table)
     _set_head(tree, head_keys)
     release_memory()
-    return tree, counts
-
-
-def _part_of(key: np.ndarray, parts: int) -> np.ndarray:
-    return (key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    return tree, words
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -471,7 +788,7 @@ def _numbers(held: pa.Scalar, kind: type) -> np.ndarray:
 def _asked(key: np.ndarray, row: np.ndarray, parts: int) -> tuple[np.ndarray, list[bytes], list[bytes], list[bytes]]:
     """Lookups in blocks of at most ``BLOCK``, each within a part of the range of keys: the parts, and as bytes the steps between
     the distinct keys, how many rows ask for each, and these rows (once for each time)."""
-    order = np.argsort(key)
+    order = _order(key)
     key, row = key[order], row[order].astype(np.int32)
     part = _part_of(key, parts)
     edge = np.flatnonzero(np.diff(part, prepend=np.uint64(parts)))
@@ -500,10 +817,6 @@ _FOUND = {"more": "bigint", "rest": "double", "longer": "double"}
 _WORD, _LONGER, _ASK_WORD, _ASK_LONGER, _OWN = range(5)
 
 
-def _ddl(columns: dict[str, str]) -> str:
-    return ", ".join(f"{k} {t}" for k, t in columns.items())
-
-
 def _filled(columns: dict[str, str], n: int, values: dict) -> pa.RecordBatch:
     kinds = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
     return pa.RecordBatch.from_arrays(
@@ -513,7 +826,7 @@ def _filled(columns: dict[str, str], n: int, values: dict) -> pa.RecordBatch:
 
 def _model_blocks(kind: int, key: np.ndarray, value: np.ndarray, parts: int) -> pa.RecordBatch:
     """Keys of the model with what is held for each, in blocks like those that ask for them."""
-    order = np.argsort(key)
+    order = _order(key)
     key, value = key[order], value[order]
     part = _part_of(key, parts)
     edge = np.flatnonzero(np.diff(part, prepend=np.uint64(parts)))
@@ -564,7 +877,7 @@ def _answered(batches: Iterator[pa.RecordBatch], root_log: Callable[[np.ndarray]
                 table = tables[own - _ASK_WORD]
                 if isinstance(table, list):
                     key = np.concatenate([k for k, _ in table] or [np.zeros(0, np.uint64)])
-                    order = np.argsort(key)
+                    order = _order(key)
                     value = np.concatenate([v for _, v in table] or [np.zeros(0)])
                     table = tables[own - _ASK_WORD] = (key[order], value[order])
                 for blocks in pieces(held):
@@ -581,9 +894,7 @@ def score_texts(docs: DataFrame, tree: SuffixTree, counts: DataFrame, id_col: st
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string")
     )
-    model = tree.model()
-    keys = tree.distinct + (model.count() if model is not None else 0)
-    parts = max(LOOKUP_PARTS, -(-keys // PART_KEYS))
+    parts = max(LOOKUP_PARTS, -(-(tree.distinct + tree.held) // PART_KEYS))
     columns = _ASK | _BLOBS | _SUMS
     bottom = tree.tokens + tree.distinct + 1
 
@@ -612,7 +923,7 @@ def score_texts(docs: DataFrame, tree: SuffixTree, counts: DataFrame, id_col: st
         waiting, held = [], 0
         for batch in (piece for batch in batches for piece in pieces(batch)):
             number = batch.column(0).to_numpy()
-            for lo, hi, data, offsets in slices(batch.column(2)):
+            for lo, hi, data, offsets in slices(batch.column(2), TEXT_BYTES):
                 tokens, first = _tokens(data, offsets)
                 count, root, value, token, key = tree.parts(tokens, first)
                 run_of = lambda x: (s := np.concatenate([[0], np.cumsum(x)]))[first[1:]] - s[first[:-1]]
@@ -634,24 +945,20 @@ def score_texts(docs: DataFrame, tree: SuffixTree, counts: DataFrame, id_col: st
         yield from sent(waiting)
         release_memory()
 
-    def packed(batches: Iterator[pa.RecordBatch], kind: int) -> Iterator[pa.RecordBatch]:
-        waiting, held = [], 0
-        for batch in batches:
-            waiting.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
-            held += batch.num_rows
-            if held >= LOOKUPS:
-                yield from pieces(_model_blocks(kind, *map(np.concatenate, zip(*waiting)), parts))
-                waiting, held = [], 0
-        if held:
-            yield from pieces(_model_blocks(kind, *map(np.concatenate, zip(*waiting)), parts))
-        waiting.clear()
+    def packed(batches: Iterator[pa.RecordBatch], kind: int, keyed: Callable) -> Iterator[pa.RecordBatch]:
+        for key, value in _gathered(map(keyed, batches), LOOKUPS):
+            yield from pieces(_model_blocks(kind, key, value, parts))
         release_memory()
 
+    def word(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        h, c = _words_of(batch)
+        return h, c.astype(np.float64)
+
     asked = rows.mapInArrow(run, _ddl(columns)).unionAll(
-        counts.select("h", F.col("c").cast("double")).mapInArrow(lambda batches: packed(batches, _WORD), _ddl(columns))
+        _in_tasks(counts, tree.distinct).mapInArrow(lambda batches: packed(batches, _WORD, word), _ddl(columns))
     )
-    if model is not None:
-        asked = asked.unionAll(model.select("key", "v").mapInArrow(lambda batches: packed(batches, _LONGER), _ddl(columns)))
+    if tree.kept:
+        asked = asked.unionAll(_all_kept(tree).mapInArrow(lambda batches: packed(batches, _LONGER, lambda x: _keyed(x)[:2]), _ddl(columns)))
     found = asked.repartition(parts, "part").sortWithinPartitions("part", "kind", "row").mapInArrow(
         lambda batches: _answered(batches, tree_log), _ddl({"row": "bigint"} | _SUMS | _FOUND)
     )

@@ -223,3 +223,47 @@ def test_many_parts_and_small_blocks_give_the_same(docs_of, monkeypatch):
         monkeypatch.setattr(suffix_tree, name, most)
     for a, b in zip(before, scored()):
         assert a == pytest.approx(b)
+
+
+def test_model_keys_are_stored_in_blocks(docs_of):
+    """What the tree keeps is a few rows that hold many keys each, not a row per state and entry, and the counts of words are, too."""
+    tree, counts = fit_suffix_tree(docs_of([*chain(10, 300), *((1000 + i, f"single{i} word{i}") for i in range(3000))]))
+    rows, keys = tree.kept[0].count(), tree.kept[0].selectExpr("sum(n)").first()[0]
+    assert keys == sum(s.count() for s in tree.states[:1]) + tree.kept[0].where(f"kind = {suffix_tree._ENTRY}").selectExpr("sum(n)").first()[0]
+    assert rows <= 8 < keys and tree.held == sum(k.selectExpr("sum(n)").first()[0] for k in tree.kept)
+    assert counts.selectExpr("sum(n)", "sum(total)").first() == (tree.distinct, tree.tokens) and counts.count() < tree.distinct / 10
+
+
+def test_deep_contexts_are_counted_in_few_passes(docs_of, monkeypatch):
+    """Several depths share a pass over the texts, and the states are the same as with a pass for each."""
+    random.seed(11)
+    rows = []
+    for i in range(200):
+        text = random.choices("abc", k=5)
+        for _ in range(80):
+            last = text[-random.choice((1, 2, 3, 4, 5)) :]
+            text.append("abc"[zlib.crc32(" ".join(last).encode()) % 3])
+        rows.append((i, " ".join(text)))
+    passes, once = [], suffix_tree._context_counts
+    monkeypatch.setattr(suffix_tree, "_context_counts", lambda texts, shared, depths, *rest: passes.append(depths) or once(texts, shared, depths, *rest))
+    found = []
+    for share in (0.0, 100.0):
+        monkeypatch.setattr(suffix_tree, "DEPTHS_SHARE", share)
+        passes.clear()
+        tree, _ = fit_suffix_tree(docs_of(rows))
+        found.append([sorted((r["ctx"], r["pctx"], r["whole"]) for r in s.collect()) for s in tree.states])
+        assert [d for p in passes for d in p][: len(tree.states)] == list(range(1, len(tree.states) + 1))
+        assert len(passes) == (3 if share else len(tree.states) + 1)
+    assert found[0] == found[1] and 4 <= len(found[0]) <= 9
+
+
+def test_keys_are_found_by_their_first_bits():
+    rng = np.random.default_rng(12)
+    for keys in (np.zeros(0, np.uint64), np.array([2**64 - 1], np.uint64), np.arange(50, dtype=np.uint64), rng.integers(0, 2**64, 5_000, np.uint64)):
+        keys = np.unique(keys)
+        wanted = np.concatenate([keys, keys + np.uint64(1), rng.integers(0, 2**64, 1_000, np.uint64), [np.uint64(0), np.uint64(2**64 - 1)]])
+        place = {int(k): i for i, k in enumerate(keys)}
+        assert suffix_tree.Lookup(keys).find(wanted).tolist() == [place.get(int(w), -1) for w in wanted]
+    # the last bits, in which the places are, count where the others agree
+    key = np.repeat(np.array([7, 5, 6, 5], np.uint64), 3) + (np.uint64(1) << np.uint64(60))
+    assert suffix_tree._order(key).tolist() == np.argsort(key, kind="stable").tolist()
